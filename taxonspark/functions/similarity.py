@@ -41,8 +41,8 @@ def jaro(a: str, b: str) -> float:
     if m == 0:
         return 0.0
     hits_b = [b[j] for j in range(lb) if used_b[j]]
-    half_transpositions = sum(1 for x, y in zip(hits_a, hits_b) if x != y)
-    t = half_transpositions / 2.0
+    mismatched = sum(1 for x, y in zip(hits_a, hits_b) if x != y)
+    t = mismatched // 2  # integer halving, as in the published implementation
     return (m / la + m / lb + (m - t) / m) / 3.0
 
 

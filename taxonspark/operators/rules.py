@@ -40,36 +40,51 @@ GROUPS_ALL_OF = ("g1", "g2", "g3", "g4")
 RULE_OUT = ("rule_idx", "level1", "code", "atomic")
 
 
-def _groups_1_4() -> Column:
-    return F.filter(F.array(*[F.col(g) for g in GROUPS_ALL_OF]), lambda g: F.size(g) > 0)
+def _rule_cols(cols: dict | None) -> dict:
+    cols = dict(cols or {})
+    for g in (*GROUPS_ALL_OF, "g5", "must_not"):
+        cols.setdefault(g, F.col(g))
+    return cols
 
 
-def rule_is_live() -> Column:
+def _groups_1_4(cols: dict | None = None) -> Column:
+    c = _rule_cols(cols)
+    return F.filter(F.array(*[c[g] for g in GROUPS_ALL_OF]), lambda g: F.size(g) > 0)
+
+
+def rule_is_live(cols: dict | None = None) -> Column:
     """Rule-only part of J1: some keyword group is non-empty (must-not alone never matches)."""
-    return (F.size(_groups_1_4()) > 0) | (F.size(F.col("g5")) > 0)
+    c = _rule_cols(cols)
+    return (F.size(_groups_1_4(c)) > 0) | (F.size(c["g5"]) > 0)
 
 
-def rule_predicate(text) -> Column:
-    """J1 over the rule columns in scope, with substring containment (case-sensitive)."""
-    t = F.col(text) if isinstance(text, str) else text
-    has = lambda k: t.contains(k)
-    groups = _groups_1_4()
-    return (rule_is_live()
-            & (t != "")
-            & ~F.exists(F.col("must_not"), has)
-            & ((F.size(F.col("g5")) == 0) | F.exists(F.col("g5"), has))
+def _predicate(has, cols: dict | None) -> Column:
+    c = _rule_cols(cols)
+    groups = _groups_1_4(c)
+    return (rule_is_live(c)
+            & ~F.exists(c["must_not"], has)
+            & ((F.size(c["g5"]) == 0) | F.exists(c["g5"], has))
             & ((F.size(groups) == 0) | F.exists(groups, lambda g: F.forall(g, has))))
 
 
-def hit_set_predicate(hits) -> Column:
+def rule_predicate(text, cols: dict | None = None) -> Column:
+    """J1 with substring containment (case-sensitive). Rule columns default to the columns
+    ``g1..g5, must_not`` in scope; ``cols`` may map any of them to other Columns (e.g. literals)."""
+    t = F.col(text) if isinstance(text, str) else text
+    return (t != "") & _predicate(lambda k: t.contains(k), cols)
+
+
+def literal_rule(g1=(), g2=(), g3=(), g4=(), g5=(), must_not=()) -> dict:
+    """Rule columns as array literals, for evaluating J1 as a plain projection."""
+    def arr(xs):
+        return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return {"g1": arr(g1), "g2": arr(g2), "g3": arr(g3), "g4": arr(g4), "g5": arr(g5), "must_not": arr(must_not)}
+
+
+def hit_set_predicate(hits, cols: dict | None = None) -> Column:
     """J1 evaluated on the set of rule keywords a text contains (anchor plan)."""
     h = F.col(hits) if isinstance(hits, str) else hits
-    has = lambda k: F.array_contains(h, k)
-    groups = _groups_1_4()
-    return (rule_is_live()
-            & ~F.exists(F.col("must_not"), has)
-            & ((F.size(F.col("g5")) == 0) | F.exists(F.col("g5"), has))
-            & ((F.size(groups) == 0) | F.exists(groups, lambda g: F.forall(g, has))))
+    return _predicate(lambda k: F.array_contains(h, k), cols)
 
 
 def _rule_count_checked(rules: DataFrame, limit: int) -> int:
