@@ -115,3 +115,73 @@ def combined_similarity(vec_a, vec_b, text_a, text_b, w: float | None = 0.5,
     ta = F.col(text_a) if isinstance(text_a, str) else text_a
     tb = F.col(text_b) if isinstance(text_b, str) else text_b
     return weighted(c, jaro_winkler_udf(ta, tb), w)
+
+
+def encode_names(names: list[str]) -> tuple:
+    """Code-point matrix (n, L) padded with -1, plus lengths, for ``jaro_winkler_many``.
+
+    Names are stripped first (E6 strips both sides)."""
+    import numpy as np
+    stripped = [(x or "").strip(PY_WHITESPACE) for x in names]
+    lens = np.array([len(x) for x in stripped], dtype=np.int64)
+    width = int(lens.max()) if len(stripped) else 0
+    mat = np.full((len(stripped), max(width, 1)), -1, dtype=np.int32)
+    for i, x in enumerate(stripped):
+        if x:
+            mat[i, :len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.int32)
+    return mat, lens
+
+
+def jaro_winkler_many(a: str | None, mat, lens):
+    """E6 of one text against many names at once (numpy, exact same arithmetic as
+    ``jaro_winkler``): the greedy window matching runs over the text's characters with all
+    names as one vector, so cost is O(len(a) x names x width) elementwise, not per pair."""
+    import numpy as np
+    a = (a or "").strip(PY_WHITESPACE)
+    n = mat.shape[0]
+    out = np.zeros(n, dtype=np.float64)
+    la = len(a)
+    if la == 0 or n == 0:
+        return out
+    av = np.frombuffer(a.encode("utf-32-le"), dtype=np.int32)
+    width = mat.shape[1]
+    window = np.maximum(np.maximum(la, lens) // 2 - 1, 0)
+    cols = np.arange(width)
+    used = np.zeros((n, width), dtype=bool)
+    a_hit = np.zeros((n, la), dtype=bool)
+    rows_all = np.arange(n)
+    present = np.isin(av, mat)
+    step = 32
+    for s0 in range(0, la, step):
+        idx = np.arange(s0, min(la, s0 + step))
+        idx = idx[present[idx]]
+        if len(idx) == 0:
+            continue
+        lo = np.maximum(idx[:, None] - window[None, :], 0)            # (k, n)
+        hi = np.minimum(lens[None, :], idx[:, None] + window[None, :] + 1)
+        eqwin = ((mat[None, :, :] == av[idx][:, None, None])
+                 & (cols[None, None, :] >= lo[:, :, None]) & (cols[None, None, :] < hi[:, :, None]))
+        for q, i in enumerate(idx):
+            cand = eqwin[q] & ~used
+            has = cand.any(axis=1)
+            if not has.any():
+                continue
+            r = rows_all[has]
+            used[r, cand[has].argmax(axis=1)] = True
+            a_hit[r, i] = True
+    m = a_hit.sum(axis=1)
+    k = min(la, width)
+    a_sorted = av[np.argsort(~a_hit, axis=1, kind="stable")][:, :k]
+    b_sorted = np.take_along_axis(mat, np.argsort(~used, axis=1, kind="stable"), axis=1)[:, :k]
+    valid = np.arange(k)[None, :] < m[:, None]
+    t = ((a_sorted != b_sorted) & valid).sum(axis=1) // 2
+    ok = (m > 0) & (lens > 0)
+    mf = m.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = (mf / la + mf / lens + (mf - t) / mf) / 3.0
+    sim = np.where(ok, sim, 0.0)
+    p = min(MAX_PREFIX, la, width)
+    same = (mat[:, :p] == av[None, :p]) if p > 0 else np.zeros((n, 0), dtype=bool)
+    prefix = np.cumprod(same, axis=1).sum(axis=1) if p > 0 else np.zeros(n, dtype=np.int64)
+    boosted = sim + prefix * PREFIX_WEIGHT * (1.0 - sim)
+    return np.where(sim > BOOST_GATE, boosted, sim)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,33 +25,41 @@ def _clean(desc) -> F.Column:
 
 
 def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None = None,
-             provider: Callable[[str], str | None] | None = None) -> DataFrame:
+             provider: Callable[[str], str | None] | None = None, active=None) -> DataFrame:
     """``requests`` plus ``description`` (stripped; blank, missing or failed -> null).
 
-    ``descriptions`` has columns ``text, description`` with one row per text.
+    ``descriptions`` has columns ``text, description`` with one row per text; the join is a
+    plain equi-join (AQE broadcasts it at run time when the table is small). ``active``
+    (a boolean Column) limits which rows are described; the others get null and the
+    provider is not called for them.
     """
+    act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     if descriptions is not None:
         d = descriptions.select(F.col("text").alias("_dkey"), F.col("description").alias("_desc"))
         out = requests.join(d, requests[text_col] == d["_dkey"], "left")
-        return out.select(*requests.columns, _clean(F.col("_desc")).alias("description"))
+        return out.select(*requests.columns, F.when(act, _clean(F.col("_desc"))).alias("description"))
     if provider is not None:
         ship_package(requests.sparkSession)
-        schema = T.StructType([*requests.schema.fields, T.StructField("description", T.StringType(), True)])
+        schema = T.StructType([*requests.schema.fields, T.StructField("_act", T.BooleanType(), True),
+                               T.StructField("description", T.StringType(), True)])
 
         def call(batches):
             for pdf in batches:
                 out = []
-                for t in pdf[text_col]:
-                    try:
-                        v = provider(t)
-                    except Exception:  # a failed call is "no description"
-                        v = None
+                for t, on in zip(pdf[text_col], pdf["_act"]):
+                    v = None
+                    if on:
+                        try:
+                            v = provider(t)
+                        except Exception:  # a failed call is "no description"
+                            v = None
                     out.append(None if v is None else str(v))
                 pdf = pdf.copy()
-                pdf["description"] = out
+                pdf["description"] = pd.Series(out, dtype=object)
                 yield pdf
 
-        return requests.mapInPandas(call, schema).withColumn("description", _clean(F.col("description")))
+        described = requests.withColumn("_act", act).mapInPandas(call, schema).drop("_act")
+        return described.withColumn("description", _clean(F.col("description")))
     return requests.withColumn("description", F.lit(None).cast("string"))
 
 

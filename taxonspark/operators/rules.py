@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import join_nonblank
+from ..functions.text import PY_WHITESPACE, join_nonblank
 from ..session import ship_package
 from ..params import DEFAULT_PARAMS, JOIN_SEPARATOR, Params
 
@@ -102,9 +102,13 @@ def match_rules(texts: DataFrame, rules: DataFrame, text_col: str, keys: list[st
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     plan = params.rule_plan
-    if plan == "auto":
-        n = rules.count()
-        plan = "broadcast" if n < params.anchor_min_rules else "anchor"
+    if plan in ("auto", "literal"):
+        rows = collect_rules(rules, params)
+        if rows is not None:
+            m = compiled_matches(text_col, rows)
+            return (texts.select(*keys, F.explode(m).alias("_r"))
+                    .select(*keys, *[F.col("_r")[c].alias(c) for c in RULE_OUT]))
+        plan = "anchor"
     if plan == "broadcast":
         return _match_broadcast(texts, rules, text_col, keys, params)
     if plan == "anchor":
@@ -235,26 +239,96 @@ def collapse_matches(hits: DataFrame, keys: list[str] | str, prefix: str = "") -
     return _collapsed(hits.groupBy(*keys).agg(_ordered_matches().alias("_m")), keys, prefix)
 
 
-def rules_left(texts: DataFrame, rules: DataFrame, text_col: str, keys: list[str] | str,
+def collect_rules(rules, params: Params = DEFAULT_PARAMS):
+    """Small rule tables as driver-side rows (one bounded job), else None (use the anchor plan).
+
+    A list of rows passes through unchanged, so a cascade collects its rules only once."""
+    if isinstance(rules, list):
+        return rules
+    if params.rule_plan == "anchor":
+        return None
+    limit = params.anchor_min_rules if params.rule_plan == "auto" else params.max_broadcast_rules
+    rows = rules.limit(limit + 1).collect()
+    if len(rows) > limit:
+        if params.rule_plan in ("literal", "broadcast"):
+            raise ValueError(f"rule table has more than {limit} rows, above the literal-plan bound")
+        return None
+    return sorted(rows, key=lambda r: r["rule_idx"])
+
+
+def _sql_str(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_sql(text: str, rule) -> str | None:
+    """J1 for one known rule as a SQL boolean over ``contains`` (None: the rule never matches).
+
+    Empty groups are dropped at build time, so the expression has no higher-order
+    functions and stays inside whole-stage codegen."""
+    t = f"`{text}`"
+    groups = [rule[g] for g in GROUPS_ALL_OF if rule[g]]
+    g5, no = rule["g5"], rule["must_not"]
+    if not groups and not g5:
+        return None
+    has = lambda k: f"contains({t}, {_sql_str(k)})"
+    parts = [f"{t} <> ''"]
+    if no:
+        parts.append("NOT (" + " OR ".join(has(k) for k in no) + ")")
+    if g5:
+        parts.append("(" + " OR ".join(has(k) for k in g5) + ")")
+    if groups:
+        parts.append("(" + " OR ".join("(" + " AND ".join(has(k) for k in g) + ")" for g in groups) + ")")
+    return "(" + " AND ".join(parts) + ")"
+
+
+def compiled_rule_columns(text: str, rows, prefix: str = "") -> list[Column]:
+    """J3 + A1 as four projected columns: level1 / code / atomic joined by '；' in rule order
+    (blanks dropped per column, codes not stripped) and ``n_rules``."""
+    preds = [(r, rule_sql(text, r)) for r in rows]
+    preds = [(r, p) for r, p in preds if p is not None]
+
+    def joined(field, keep):
+        cases = [f"CASE WHEN {p} THEN {_sql_str(keep(r[field]))} END" for r, p in preds if keep(r[field]) != ""]
+        if not cases:
+            return F.lit("")
+        return F.expr(f"concat_ws({_sql_str(JOIN_SEPARATOR)}, " + ", ".join(cases) + ")")
+
+    strip_py = lambda v: (v or "").strip(PY_WHITESPACE)
+    n = (F.expr("CAST(" + " + ".join(f"(CASE WHEN {p} THEN 1 ELSE 0 END)" for _, p in preds) + " AS BIGINT)")
+         if preds else F.lit(0).cast("bigint"))
+    return [joined("level1", strip_py).alias(prefix + "level1"), joined("code", lambda v: v or "").alias(prefix + "code"),
+            joined("atomic", strip_py).alias(prefix + "atomic"), n.alias(prefix + "n_rules")]
+
+
+def compiled_matches(text: str, rows) -> Column:
+    """J2 for one text as a projection: ``array<struct<rule_idx, level1, code, atomic>>`` in rule order."""
+    items = []
+    for r in rows:
+        p = rule_sql(text, r)
+        if p is None:
+            continue
+        items.append(f"CASE WHEN {p} THEN named_struct('rule_idx', CAST({int(r['rule_idx'])} AS BIGINT), "
+                     f"'level1', {_sql_str(r['level1'])}, 'code', {_sql_str(r['code'])}, "
+                     f"'atomic', {_sql_str(r['atomic'])}) END")
+    if not items:
+        return F.expr("CAST(array() AS array<struct<rule_idx:bigint,level1:string,code:string,atomic:string>>)")
+    return F.expr("array_compact(array(" + ", ".join(items) + "))")
+
+
+def rules_left(texts: DataFrame, rules, text_col: str, keys: list[str] | str | None = None,
                params: Params = DEFAULT_PARAMS, prefix: str = "") -> DataFrame:
-    """Every row of ``texts`` (grouped by ``keys``, which must include ``text_col``) with its
-    collapsed rule match, or blanks and ``n_rules = 0``.
+    """Every row of ``texts`` with its collapsed rule match (A1), or blanks and ``n_rules = 0``.
 
-    Broadcast plan: a left outer broadcast nested-loop join followed by ``groupBy(keys)``;
-    when ``texts`` is already hash-partitioned on ``keys`` (e.g. it is a ``groupBy(keys)``
-    result) the grouping needs no further shuffle.
+    Small rule tables (``collect_rules``) are compiled into the projection — no join, no
+    shuffle, all columns of ``texts`` kept. Large ones go through the anchor join on the
+    distinct texts, joined back on the text (``keys`` are kept). A null text matches nothing.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    plan = params.rule_plan
-    if plan == "auto":
-        plan = "broadcast" if rules.count() < params.anchor_min_rules else "anchor"
-    if plan == "broadcast":
-        _rule_count_checked(rules, params.max_broadcast_rules)
-        live = rules.where(rule_is_live())
-        j = texts.select(*keys).join(F.broadcast(live), rule_predicate(F.col(text_col)), "left")
-        g = j.groupBy(*keys).agg(_ordered_matches(F.col("rule_idx").isNotNull()).alias("_m"))
-        return _collapsed(g, keys, prefix)
-    pairs = match_rules(texts.select(text_col).distinct(), rules, text_col, [text_col], params)
+    rows = collect_rules(rules, params)
+    if rows is not None:
+        return texts.select("*", *compiled_rule_columns(text_col, rows, prefix))
+    keys = list(texts.columns) if keys is None else ([keys] if isinstance(keys, str) else list(keys))
+    distinct = texts.select(text_col).where(F.col(text_col).isNotNull()).distinct()
+    pairs = match_rules(distinct, rules, text_col, [text_col], params)
     col = collapse_matches(pairs, [text_col], prefix)
     out = texts.select(*keys).join(col, text_col, "left")
     return out.select(

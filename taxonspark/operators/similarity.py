@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import encode_names, jaro_winkler_many
 from ..functions.text import strip
 from ..session import ship_package
 from ..params import DEFAULT_PARAMS, Params
@@ -41,7 +41,7 @@ BRAND_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
 ])
 
-_TOPK_FIRST = 64
+_TOPK_FIRST = 32
 
 
 def _fmt4(x: float) -> str:
@@ -60,121 +60,109 @@ def _to_matrix(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return mat, has
 
 
-def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray,
-                ids: np.ndarray, names: list[str], bmat: np.ndarray, bhas: np.ndarray,
-                w: float, use_combined: bool):
-    """Best brand per text within one brand block. Returns (pos, score) lists; pos -1 = none.
+def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dict,
+                w: float, use_combined: bool, active=None):
+    """Best brand per text within one brand block: (positions, scores); position -1 = none.
 
-    ``ids`` must be ascending so that position order equals brand-index order.
+    Brands in ``block`` are in ascending ``brand_idx`` order, so the first maximum is the
+    lowest index. Combined scores: Jaro-Winkler is computed (vectorised over names) for the
+    top cosine candidates first, then only for brands whose bound ``w * cos01 + (1 - w)``
+    still reaches that best. Exact: a skipped brand cannot reach the maximum.
     """
-    m = len(ids)
-    out_pos, out_score = [], []
+    m = len(block["ids"])
+    n = len(texts)
     if m == 0:
-        return [-1] * len(texts), [float("nan")] * len(texts)
-    cos = (qmat @ bmat.T + 1.0) / 2.0
-    cos[:, ~bhas] = 0.0
+        return [-1] * n, [float("nan")] * n
+    cos = (qmat @ block["mat"].T + 1.0) / 2.0
+    cos[:, ~block["has"]] = 0.0
     cos[~qhas, :] = 0.0
+    names, lens = block["name_mat"], block["name_lens"]
+    out_pos, out_score = [], []
     for i, text in enumerate(texts):
+        if active is not None and not active[i]:
+            out_pos.append(-1)
+            out_score.append(float("nan"))
+            continue
         c = cos[i]
         if not use_combined:
-            s = np.clip(c, 0.0, 1.0)
-            s = np.where(np.isnan(s), -np.inf, s)
-            j = int(np.argmax(s))
-            if not np.isfinite(s[j]):
-                out_pos.append(-1)
-                out_score.append(float("nan"))
-            else:
-                out_pos.append(j)
-                out_score.append(float(s[j]))
-            continue
-        best, best_j = -1.0, -1
-        ub = w * c + (1.0 - w)
-        k = min(m, _TOPK_FIRST)
-        first = np.argpartition(-c, k - 1)[:k] if k < m else np.arange(m)
-        first = first[np.lexsort((first, -c[first]))]
-        stopped = False
-        for order in (first, None):
-            if order is None:
-                if stopped or k >= m:
-                    break
-                mask = np.ones(m, dtype=bool)
-                mask[first] = False
-                rest = np.nonzero(mask)[0]
-                order = rest[np.lexsort((rest, -c[rest]))]
-            for j in order:
-                if ub[j] < best:
-                    stopped = True
-                    break
-                s = w * c[j] + (1.0 - w) * jaro_winkler(text, names[j])
-                s = min(1.0, max(0.0, s))
-                if s != s:  # NaN never wins
-                    continue
-                if s > best or (s == best and j < best_j):
-                    best, best_j = s, int(j)
-        out_pos.append(best_j)
-        out_score.append(best if best_j >= 0 else float("nan"))
+            sc = np.clip(c, 0.0, 1.0)
+        else:
+            sc = np.full(m, -np.inf)
+            k = min(m, _TOPK_FIRST)
+            first = np.argpartition(-c, k - 1)[:k] if k < m else np.arange(m)
+            jw = jaro_winkler_many(text, names[first], lens[first])
+            sc[first] = np.clip(w * c[first] + (1.0 - w) * jw, 0.0, 1.0)
+            top = np.nanmax(sc[first]) if np.any(~np.isnan(sc[first])) else -1.0
+            need = (w * c + (1.0 - w)) >= top
+            need[first] = False
+            rest = np.nonzero(need)[0]
+            if len(rest):
+                jw = jaro_winkler_many(text, names[rest], lens[rest])
+                sc[rest] = np.clip(w * c[rest] + (1.0 - w) * jw, 0.0, 1.0)
+        sc = np.where(np.isnan(sc), -np.inf, sc)
+        j = int(np.argmax(sc))
+        if np.isfinite(sc[j]):
+            out_pos.append(j)
+            out_score.append(float(sc[j]))
+        else:
+            out_pos.append(-1)
+            out_score.append(float("nan"))
     return out_pos, out_score
 
 
-def _top1_schema(key_fields: list[T.StructField]) -> T.StructType:
-    return T.StructType([
-        *key_fields,
-        T.StructField("brand_idx", T.LongType(), True),
-        T.StructField("brand_name", T.StringType(), True),
-        T.StructField("brand_code", T.StringType(), True),
-        T.StructField("brand_atomic", T.StringType(), True),
-        T.StructField("score", T.DoubleType(), True),
-        T.StructField("score_text", T.StringType(), True),
-        T.StructField("error", T.StringType(), True),
-    ])
-
+_OUT_FIELDS = [
+    T.StructField("brand_idx", T.LongType(), True),
+    T.StructField("brand_name", T.StringType(), True),
+    T.StructField("brand_code", T.StringType(), True),
+    T.StructField("brand_atomic", T.StringType(), True),
+    T.StructField("score", T.DoubleType(), True),
+    T.StructField("score_text", T.StringType(), True),
+    T.StructField("error", T.StringType(), True),
+]
+_OUT = tuple(f.name for f in _OUT_FIELDS)
 
-_OUT = ("brand_idx", "brand_name", "brand_code", "brand_atomic", "score", "score_text", "error")
 
-
-def _score_frame(pdf: pd.DataFrame, keys: list[str], block: dict, dim: int, w: float,
+def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w: float,
                  use_combined: bool, cells: int) -> pd.DataFrame:
     """Score one pandas batch of texts against one brand block; one output row per text
-    (brand columns null when no brand qualifies). Work is bounded by ``cells`` per matmul."""
+    (brand columns null when none qualifies or the row is inactive). Each matmul is bounded
+    by ``cells`` text x brand scores."""
     ids = block["ids"]
     rows_per = max(1, cells // max(1, len(ids)))
-    cols = {k: [] for k in (*keys, *_OUT)}
+    cols = {k: [] for k in _OUT}
     for start in range(0, len(pdf), rows_per):
         part = pdf.iloc[start:start + rows_per]
-        texts = ["" if t is None else t for t in part["_t"]]
+        texts = ["" if t is None else t for t in part["_kt"]]
         try:
-            qmat, qhas = _to_matrix(list(part["_v"]), dim)
-            pos, sc = score_block(texts, qmat, qhas, ids, block["names"], block["mat"], block["has"],
-                                  w, use_combined)
+            qmat, qhas = _to_matrix(list(part["_kv"]), dim)
+            pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, part["_ka"].to_numpy())
             err = [None] * len(texts)
         except Exception as exc:  # C4: a failing batch becomes error rows, the job goes on
             pos, sc = [-1] * len(texts), [float("nan")] * len(texts)
             err = [f"{type(exc).__name__}: {exc}"] * len(texts)
-        for k in keys:
-            cols[k].extend(part[k].tolist())
-        for p, s, e in zip(pos, sc, err):
+        for p, s_, e in zip(pos, sc, err):
             ok = p >= 0
             cols["brand_idx"].append(int(ids[p]) if ok else None)
             cols["brand_name"].append(block["names"][p] if ok else None)
             cols["brand_code"].append(block["codes"][p] if ok else None)
             cols["brand_atomic"].append(block["atomics"][p] if ok else None)
-            cols["score"].append(float(s) if ok else None)
-            cols["score_text"].append(_fmt4(s) if ok else None)
+            cols["score"].append(float(s_) if ok else None)
+            cols["score_text"].append(_fmt4(s_) if ok else None)
             cols["error"].append(e)
-    out = pd.DataFrame(cols)
-    out["brand_idx"] = pd.array(cols["brand_idx"], dtype="Int64")
-    out["score"] = pd.array(cols["score"], dtype="Float64")
+    out = pdf[carry].reset_index(drop=True).copy()
+    for k in _OUT:
+        out[k] = pd.Series(cols[k], dtype=object)
     return out
 
 
 def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     bpdf = bpdf.sort_values("brand_idx", kind="stable")
     mat, has = _to_matrix(list(bpdf["embedding"]), dim)
-    return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64),
-            "names": [str(x) for x in bpdf["brand_name"]],
-            "codes": [str(x) for x in bpdf["brand_code"]],
-            "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has}
+    names = [str(x) for x in bpdf["brand_name"]]
+    name_mat, name_lens = encode_names(names)
+    return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": names,
+            "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
+            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:
@@ -182,49 +170,45 @@ def _live_brands(brands: DataFrame) -> DataFrame:
             .select("brand_idx", "brand_name", "brand_code", "atomic", "embedding"))
 
 
-def _vector_dim(brands: DataFrame, texts: DataFrame, vec_col: str) -> int:
-    r = brands.agg(F.max(F.size("embedding")).alias("d")).collect()[0]["d"]
-    if r is None or r < 0:
-        r = texts.agg(F.max(F.size(vec_col)).alias("d")).collect()[0]["d"]
-    return int(r) if r is not None and r > 0 else 0
-
-
 def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
-         params: Params = DEFAULT_PARAMS, plan: str = "auto") -> DataFrame:
-    """J5 without the threshold, one row per text: ``keys + brand_idx, brand_name, brand_code,
-    brand_atomic, score, score_text, error`` (brand columns null when no brand is eligible).
+         params: Params = DEFAULT_PARAMS, plan: str = "auto", active=None, carry=None) -> DataFrame:
+    """J5 without the threshold, one row per input row: ``carry`` (default ``keys``) + ``brand_idx,
+    brand_name, brand_code, brand_atomic, score, score_text, error``; brand columns are null when
+    no brand is eligible or ``active`` (a boolean Column) is false for the row.
 
     ``text_col`` must be stripped. ``vec_col`` may be null per row (cosine part 0.0).
+    The plan is ``broadcast`` when the brand block passes the size check, else ``grid``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    carry = list(carry) if carry is not None else list(keys)
     w = float(params.vector_weight)
     use_combined = bool(params.use_combined)
     ship_package(texts.sparkSession)
     live = _live_brands(brands)
-    n_brands = live.count()
-    schema = _top1_schema([texts.schema[k] for k in keys])
-    cols = [F.col(k) for k in keys]
-    if "_t" not in keys:
-        cols.append(F.col(text_col).alias("_t"))
-    if "_v" not in keys:
-        cols.append(F.col(vec_col).alias("_v"))
-    tx = texts.select(*cols)
+    act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    tx = texts.select(*carry, F.col(text_col).alias("_kt"), F.col(vec_col).cast("array<float>").alias("_kv"),
+                      act.alias("_ka"))
+    schema = T.StructType([*[texts.schema[c] for c in carry], *_OUT_FIELDS])
+    if plan in ("auto", "broadcast"):
+        # one bounded job: the size check and the broadcast payload together
+        pdf = live.limit(params.max_broadcast_brands + 1).toPandas()
+        dim = max([len(v) for v in pdf["embedding"] if v is not None], default=0)
+        fits = len(pdf) <= params.max_broadcast_brands and len(pdf) * max(dim, 1) * 4 <= params.max_broadcast_bytes
+        if fits:
+            if len(pdf) == 0:
+                return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
+            return _top1_broadcast(tx, pdf, carry, dim, w, use_combined, params, schema)
+        if plan == "broadcast":
+            raise ValueError("brand table exceeds the broadcast bound; use the grid plan")
+    stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    n_brands, dim = int(stats["n"]), max(int(stats["d"] or 0), 0)
     if n_brands == 0:
-        return tx.select(*keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(keys):]])
-    dim = _vector_dim(live, texts, vec_col)
-    brand_bytes = n_brands * max(dim, 1) * 4
-    if plan == "auto":
-        fits = n_brands <= params.max_broadcast_brands and brand_bytes <= 256 * 1024 * 1024
-        plan = "broadcast" if fits else "grid"
-    if plan == "broadcast":
-        return _top1_broadcast(tx, live, keys, dim, w, use_combined, params, schema, n_brands)
-    return _top1_grid(tx, live, keys, dim, w, use_combined, params, schema, n_brands)
-
-
-def _top1_broadcast(tx, live, keys, dim, w, use_combined, params, schema, n_brands):
-    if n_brands > params.max_broadcast_brands:
-        raise ValueError(f"{n_brands} brands exceed the broadcast bound {params.max_broadcast_brands}")
-    block = _block_from_pandas(live.toPandas(), dim)
+        return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
+    return _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands)
+
+
+def _top1_broadcast(tx, pdf, carry, dim, w, use_combined, params, schema):
+    block = _block_from_pandas(pdf, dim)
     block["mat"] = block["mat"].astype(np.float32)
     bc = tx.sparkSession.sparkContext.broadcast(block)
     cells = params.kernel_batch_cells
@@ -233,17 +217,18 @@ def _top1_broadcast(tx, live, keys, dim, w, use_combined, params, schema, n_bran
         blk = dict(bc.value)
         blk["mat"] = blk["mat"].astype(np.float64)
         for pdf_ in batches:
-            yield _score_frame(pdf_, keys, blk, dim, w, use_combined, cells)
+            yield _score_frame(pdf_, carry, blk, dim, w, use_combined, cells)
 
     return tx.mapInPandas(run, schema)
 
 
-def _top1_grid(tx, live, keys, dim, w, use_combined, params, schema, n_brands):
-    n_texts = tx.count()
+def _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands):
+    on = tx.where(F.col("_ka"))
+    n_texts = on.count()
     n_blocks = max(1, math.ceil(n_brands / params.brand_block_rows))
     n_buckets = max(1, math.ceil(n_texts / params.text_block_rows))
     cells = params.kernel_batch_cells
-    t_rep = (tx.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)))
+    t_rep = (on.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)))
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
     b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)))
              .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))))
@@ -251,20 +236,20 @@ def _top1_grid(tx, live, keys, dim, w, use_combined, params, schema, n_brands):
 
     def cell(tpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if len(tpdf) == 0:
-            return pd.DataFrame({c: [] for c in names})
-        return _score_frame(tpdf, keys, _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        return _score_frame(tpdf, carry, _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
 
     partial = (t_rep.groupBy("_blk", "_tb")
                .cogroup(b_rep.groupBy("_blk", "_tb"))
                .applyInPandas(cell, schema))
-    # merge the blocks: highest score, then lowest brand_idx; any error wins (C4)
+    # merge the blocks: highest score, then lowest brand_idx; an error in any block wins (C4)
     best = F.max(F.when(F.col("brand_idx").isNotNull(),
                         F.struct(F.col("score"), (-F.col("brand_idx")).alias("neg"), "brand_name",
                                  "brand_code", "brand_atomic", "score_text")))
-    merged = partial.groupBy(*keys).agg(best.alias("b"), F.max("error").alias("error"))
+    merged = partial.groupBy(*carry).agg(best.alias("b"), F.max("error").alias("error"))
     ok = F.col("error").isNull()
-    return merged.select(
-        *keys,
+    scored = merged.select(
+        *carry,
         F.when(ok, -F.col("b.neg")).alias("brand_idx"),
         F.when(ok, F.col("b.brand_name")).alias("brand_name"),
         F.when(ok, F.col("b.brand_code")).alias("brand_code"),
@@ -272,12 +257,15 @@ def _top1_grid(tx, live, keys, dim, w, use_combined, params, schema, n_brands):
         F.when(ok, F.col("b.score")).alias("score"),
         F.when(ok, F.col("b.score_text")).alias("score_text"),
         "error")
+    off = tx.where(~F.col("_ka")).select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
+    return scored.unionByName(off)
 
 
 def match_by_similarity(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
-                        params: Params = DEFAULT_PARAMS, plan: str = "auto") -> DataFrame:
+                        params: Params = DEFAULT_PARAMS, plan: str = "auto", active=None, carry=None) -> DataFrame:
     """``top1`` with brands below ``similarity_threshold`` cleared (brand columns null)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    best = top1(texts, brands, keys, text_col, vec_col, params, plan)
+    carry = list(carry) if carry is not None else list(keys)
+    best = top1(texts, brands, keys, text_col, vec_col, params, plan, active, carry)
     keep = F.col("score") >= F.lit(float(params.similarity_threshold))
-    return best.select(*keys, *[F.when(keep, F.col(c)).alias(c) for c in _OUT[:-1]], "error")
+    return best.select(*carry, *[F.when(keep, F.col(c)).alias(c) for c in _OUT[:-1]], "error")

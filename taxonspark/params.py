@@ -66,6 +66,7 @@ class Params:
     anchor_min_rules: int = 64              # from this many rules on, "auto" uses the anchor plan
     max_broadcast_keywords: int = 2_000_000  # distinct keywords shipped to the automaton
     max_broadcast_brands: int = 250_000     # brand rows allowed in the broadcast kernel
+    max_broadcast_bytes: int = 256 * 1024 * 1024  # brand vector bytes (float32) in the broadcast
     brand_block_rows: int = 50_000          # brand rows per block in the grid plan
     text_block_rows: int = 20_000           # text rows per bucket in the grid plan
     kernel_batch_cells: int = 4_000_000     # text x brand score cells per numpy block

@@ -21,15 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.describe import describe
-from ..operators.rules import rules_left
+from ..operators.rules import collect_rules, rules_left
 from ..operators.similarity import match_by_similarity
 from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_ERROR, METHOD_NONE, METHOD_NOT_FOUND,
                       METHOD_RULE, METHOD_SEARCH_MATCHED, METHOD_SEARCH_UNMATCHED, METHOD_SIMILARITY,
                       RESULT_COLUMNS, Params)
 
 KEYS = ["_t", "_vh"]
-PER_TEXT = ["_t", "_vh", "m_n", "m_level1", "m_code", "m_atomic", "from_sim", "ref_idx", "ref_name",
-            "ref_code", "ref_atomic", "score", "score_text", "llm_desc", "error"]
 
 
 def _null(t: str) -> Column:
@@ -44,65 +42,74 @@ def distinct_texts(leads: DataFrame, name_col: str = "lead_name", vec_col: str =
             .withColumn("_vh", F.xxhash64("_v")))
 
 
-def _rows(df: DataFrame, **cols: Column) -> DataFrame:
-    base = {"m_n": F.lit(0).cast("bigint"), "m_level1": F.lit(""), "m_code": F.lit(""), "m_atomic": F.lit(""),
-            "from_sim": F.lit(False), "ref_idx": _null("bigint"), "ref_name": _null("string"),
-            "ref_code": _null("string"), "ref_atomic": _null("string"), "score": _null("double"),
-            "score_text": _null("string"), "llm_desc": _null("string"), "error": _null("string")}
-    base.update(cols)
-    return df.select("_t", "_vh", *[base[c].alias(c) for c in PER_TEXT[2:]])
-
-
-def _sim_cols() -> dict:
-    return {"from_sim": F.lit(True), "ref_idx": F.col("brand_idx"), "ref_name": F.col("brand_name"),
-            "ref_code": F.col("brand_code"), "ref_atomic": F.col("brand_atomic"),
-            "score": F.col("score"), "score_text": F.col("score_text")}
-
-
-def _brand_as_rule() -> dict:
-    """The synthesized one-rule match of a similarity hit: atomic only."""
-    a = F.coalesce(strip(F.col("brand_atomic")), F.lit(""))
-    return {"m_n": F.lit(1).cast("bigint"), "m_level1": F.lit(""), "m_code": F.lit(""), "m_atomic": a}
-
-
 def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | None,
                      descriptions: DataFrame | None = None,
                      provider: Callable[[str], str | None] | None = None,
                      params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """C1 over distinct texts: one row per ``(_t, _vh)`` with the cascade's decision."""
+    """C1 over distinct texts: one row per ``(_t, _vh)`` with the cascade's decision.
+
+    One linear chain, every stage a projection or a single operator over the previous one:
+    rules (projection) -> nearest brand for rows without a rule (kernel; others pass
+    through) -> description for rows below the gate (equi-join) -> rules over the
+    description (projection) -> decision columns (one ``select`` of ``when`` chains).
+    """
+    rule_rows = collect_rules(rules, params)
+    if rule_rows is not None:
+        rules = rule_rows
     stage1 = rules_left(names, rules, "_t", ["_t", "_vh", "_v"], params, prefix="r_")
-    ruled = _rows(stage1.where(F.col("r_n_rules") > 0),
-                  m_n=F.col("r_n_rules"), m_level1=F.col("r_level1"), m_code=F.col("r_code"),
-                  m_atomic=F.col("r_atomic"))
-    rest = stage1.where(F.col("r_n_rules") == 0).select("_t", "_vh", "_v")
+    ruled = F.col("r_n_rules") > 0
     if brands is None:
-        return ruled.unionByName(_rows(rest))
-    sim = match_by_similarity(rest, brands, ["_t", "_vh"], "_t", "_v", params)
-    err = _rows(sim.where(F.col("error").isNotNull()), error=F.col("error"))
-    ok = sim.where(F.col("error").isNull())
-    none = _rows(ok.where(F.col("brand_idx").isNull()))
-    gate = F.lit(float(params.fallback_threshold))
-    hit = ok.where(F.col("brand_idx").isNotNull())
-    high = _rows(hit.where(F.col("score") >= gate), **_sim_cols(), **_brand_as_rule())
-    low = describe(hit.where(F.col("score") < gate), "_t", descriptions, provider)
+        return stage1.select("_t", "_vh", *_decide(ruled, None, params))
+    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules"]
+    sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
+                              active=~ruled, carry=carry)
+    low = (F.col("error").isNull() & F.col("brand_idx").isNotNull()
+           & (F.col("score") < F.lit(float(params.fallback_threshold))))
+    described = describe(sim, "_t", descriptions, provider, active=low)
+    d = rules_left(described, rules, "description", None, params, prefix="d_")
+    return d.select("_t", "_vh", *_decide(ruled, low, params))
+
+
+def _decide(ruled: Column, low: Column | None, params: Params) -> list[Column]:
+    """The cascade decision table as per-text columns (first applicable row wins)."""
+    def pick(*cases, default):
+        e = None
+        for cond, val in cases:
+            e = F.when(cond, val) if e is None else e.when(cond, val)
+        return e.otherwise(default) if e is not None else default
+
+    if low is None:
+        return [F.col("r_n_rules").alias("m_n"), F.col("r_level1").alias("m_level1"),
+                F.col("r_code").alias("m_code"), F.col("r_atomic").alias("m_atomic"),
+                F.lit(False).alias("from_sim"), _null("bigint").alias("ref_idx"), _null("string").alias("ref_name"),
+                _null("string").alias("ref_code"), _null("string").alias("ref_atomic"),
+                _null("double").alias("score"), _null("string").alias("score_text"),
+                _null("string").alias("llm_desc"), _null("string").alias("error")]
+    err = ~ruled & F.col("error").isNotNull()
+    hit = ~ruled & ~err & F.col("brand_idx").isNotNull()
+    desc = F.col("description")
     aliases = list(params.unmatched_aliases)
-    empty = _rows(low.where(F.col("description").isNull()), **_sim_cols(), **_brand_as_rule(),
-                  llm_desc=F.lit(EMPTY_DESCRIPTION))
-    alias = _rows(low.where(F.col("description").isin(aliases)), **_sim_cols(), **_brand_as_rule(),
-                  llm_desc=F.lit(params.unmatched_marker))
-    other = low.where(F.col("description").isNotNull() & ~F.col("description").isin(aliases))
-    d = rules_left(other.select("_t", "_vh", "description", *[c for c in other.columns
-                                                               if c.startswith("brand_") or c.startswith("score")]),
-                   rules, "description",
-                   ["_t", "_vh", "description", "brand_idx", "brand_name", "brand_code", "brand_atomic",
-                    "score", "score_text"], params, prefix="d_")
-    rematched = _rows(d.where(F.col("d_n_rules") > 0),
-                      m_n=F.col("d_n_rules"), m_level1=F.col("d_level1"), m_code=F.col("d_code"),
-                      m_atomic=F.col("d_atomic"), llm_desc=F.col("description"))
-    unmatched = _rows(d.where(F.col("d_n_rules") == 0), **_sim_cols(), **_brand_as_rule(),
-                      llm_desc=F.col("description"))
-    return (ruled.unionByName(err).unionByName(none).unionByName(high).unionByName(empty)
-            .unionByName(alias).unionByName(rematched).unionByName(unmatched))
+    no_desc = hit & low & desc.isNull()
+    alias = hit & low & desc.isin(aliases)
+    rematch = hit & low & desc.isNotNull() & ~desc.isin(aliases) & (F.col("d_n_rules") > 0)
+    from_sim = hit & ~rematch
+    brand_atomic = F.coalesce(strip(F.col("brand_atomic")), F.lit(""))
+    m_n = pick((ruled, F.col("r_n_rules")), (rematch, F.col("d_n_rules")), (hit, F.lit(1).cast("bigint")),
+               default=F.lit(0).cast("bigint"))
+    m_level1 = pick((ruled, F.col("r_level1")), (rematch, F.col("d_level1")), default=F.lit(""))
+    m_code = pick((ruled, F.col("r_code")), (rematch, F.col("d_code")), default=F.lit(""))
+    m_atomic = pick((ruled, F.col("r_atomic")), (rematch, F.col("d_atomic")), (hit, brand_atomic), default=F.lit(""))
+    llm_desc = pick((no_desc, F.lit(EMPTY_DESCRIPTION)), (alias, F.lit(params.unmatched_marker)),
+                    (hit & low, desc), default=_null("string"))
+
+    def ref(c):
+        return F.when(from_sim, F.col(c))
+
+    return [m_n.alias("m_n"), m_level1.alias("m_level1"), m_code.alias("m_code"), m_atomic.alias("m_atomic"),
+            from_sim.alias("from_sim"), ref("brand_idx").alias("ref_idx"), ref("brand_name").alias("ref_name"),
+            ref("brand_code").alias("ref_code"), ref("brand_atomic").alias("ref_atomic"),
+            ref("score").alias("score"), ref("score_text").alias("score_text"), llm_desc.alias("llm_desc"),
+            F.when(err, F.col("error")).alias("error")]
 
 
 def method_label(params: Params = DEFAULT_PARAMS) -> Column:

@@ -122,7 +122,8 @@ def q_rule_join_docs(spark, sf):
 
 def q_rule_unmatched(spark, sf):
     leads = _leads_t(fx.part_leads(spark, sf))
-    return rules_left(leads, fx.rules(spark), "_t", ["lead_idx", "_t"], P).drop("_t")
+    out = rules_left(leads, fx.rules(spark), "_t", ["lead_idx", "_t"], P)
+    return out.select("lead_idx", "level1", "code", "atomic", "n_rules")
 
 
 def q_rule_collapse(spark, sf):
