@@ -184,22 +184,20 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
     w = float(params.vector_weight)
     use_combined = bool(params.use_combined)
     ship_package(texts.sparkSession)
-    live = _live_brands(brands)
     act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     tx = texts.select(*carry, F.col(text_col).alias("_kt"), F.col(vec_col).cast("array<float>").alias("_kv"),
                       act.alias("_ka"))
     schema = T.StructType([*[texts.schema[c] for c in carry], *_OUT_FIELDS])
-    if plan in ("auto", "broadcast"):
-        # one bounded job: the size check and the broadcast payload together
-        pdf = live.limit(params.max_broadcast_brands + 1).toPandas()
-        dim = max([len(v) for v in pdf["embedding"] if v is not None], default=0)
-        fits = len(pdf) <= params.max_broadcast_brands and len(pdf) * max(dim, 1) * 4 <= params.max_broadcast_bytes
-        if fits:
-            if len(pdf) == 0:
-                return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
-            return _top1_broadcast(tx, pdf, carry, dim, w, use_combined, params, schema)
-        if plan == "broadcast":
+    index = brands if isinstance(brands, BrandIndex) else None
+    if index is None and plan in ("auto", "broadcast"):
+        index = prepare_brands(brands, params)
+        if index is None and plan == "broadcast":
             raise ValueError("brand table exceeds the broadcast bound; use the grid plan")
+    if index is not None:
+        if index.n == 0:
+            return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
+        return _top1_broadcast(tx, index, carry, w, use_combined, params, schema)
+    live = _live_brands(brands)
     stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n_brands, dim = int(stats["n"]), max(int(stats["d"] or 0), 0)
     if n_brands == 0:
@@ -207,10 +205,31 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
     return _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands)
 
 
-def _top1_broadcast(tx, pdf, carry, dim, w, use_combined, params, schema):
-    block = _block_from_pandas(pdf, dim)
-    block["mat"] = block["mat"].astype(np.float32)
-    bc = tx.sparkSession.sparkContext.broadcast(block)
+class BrandIndex:
+    """A size-checked brand table prepared once for the broadcast kernel: ids, names, codes,
+    code-point matrix and float32 vectors in one broadcast variable. Reusable across
+    queries and micro-batches (the stream broadcasts it once, not per batch)."""
+
+    def __init__(self, spark, pdf: pd.DataFrame, dim: int):
+        block = _block_from_pandas(pdf, dim)
+        block["mat"] = block["mat"].astype(np.float32)
+        self.n, self.dim = len(pdf), dim
+        self.frame = pdf
+        self.bc = spark.sparkContext.broadcast(block)
+
+
+def prepare_brands(brands: DataFrame, params: Params = DEFAULT_PARAMS) -> "BrandIndex | None":
+    """One bounded job (``limit(max + 1)``): the size check and the payload together.
+    Returns None when the brand table is beyond the broadcast bounds (use the grid plan)."""
+    pdf = _live_brands(brands).limit(params.max_broadcast_brands + 1).toPandas()
+    dim = max([len(v) for v in pdf["embedding"] if v is not None], default=0)
+    if len(pdf) > params.max_broadcast_brands or len(pdf) * max(dim, 1) * 4 > params.max_broadcast_bytes:
+        return None
+    return BrandIndex(brands.sparkSession, pdf, dim)
+
+
+def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schema):
+    bc, dim = index.bc, index.dim
     cells = params.kernel_batch_cells
 
     def run(batches):
