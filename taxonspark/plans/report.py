@@ -68,20 +68,28 @@ def match_counts(df: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).cast("bigint").alias("n_total"))
 
 
-def chunk_progress(df: DataFrame, size: int, order_col: str = "lead_idx") -> DataFrame:
+def chunk_progress(df: DataFrame, size: int, order_col: str = "lead_idx", block: int = 4096) -> DataFrame:
     """A3: per chunk ``floor(position / size)``: rows, successes, running total and percent.
 
-    ``order_col`` is the dense 0-based position from the source; the per-chunk aggregate is
-    tiny (rows / size), so the running window over it is cheap.
+    ``order_col`` is the dense 0-based position from the source. The running total is a
+    two-level prefix sum, so no task ever holds more than ``block`` chunks: chunk counts ->
+    per-block totals -> offsets of the blocks (a ``block``-times smaller table) -> running
+    sum inside each block (window partitioned by block) plus the block's offset.
     """
     ok = F.col("method").isin(*SUCCESS_METHODS)
     per = (df.groupBy(F.floor(F.col(order_col) / F.lit(size)).cast("bigint").alias("chunk"))
-           .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.count_if(ok).cast("bigint").alias("n_success")))
-    w = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(F.lit(1))
-    out = (per.withColumn("processed", F.sum("n_rows").over(w).cast("bigint"))
-           .withColumn("total", F.sum("n_rows").over(total).cast("bigint")))
-    return out.withColumn("percent", F.round(F.lit(100.0) * F.col("processed") / F.col("total"), 1))
+           .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.count_if(ok).cast("bigint").alias("n_success"))
+           .withColumn("_blk", F.floor(F.col("chunk") / F.lit(block)).cast("bigint")))
+    totals = per.groupBy("_blk").agg(F.sum("n_rows").cast("bigint").alias("_bt"))
+    upto = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (totals.withColumn("_off", F.coalesce(F.sum("_bt").over(upto), F.lit(0)).cast("bigint"))
+               .withColumn("total", F.sum("_bt").over(Window.partitionBy(F.lit(1))).cast("bigint")))
+    inside = Window.partitionBy("_blk").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = (per.withColumn("_run", F.sum("n_rows").over(inside))
+           .join(offsets.select("_blk", "_off", "total"), "_blk")
+           .withColumn("processed", (F.col("_run") + F.col("_off")).cast("bigint")))
+    return out.select("chunk", "n_rows", "n_success", "processed", "total",
+                      F.round(F.lit(100.0) * F.col("processed") / F.col("total"), 1).alias("percent"))
 
 
 def table_counts(**tables: DataFrame) -> dict[str, int]:

@@ -111,3 +111,14 @@ def test_stream_equals_batch(spark):
     a = sorted(tuple(r) for r in q_stream_chunked(spark, sf).select(*q_cascade_full(spark, sf).columns).collect())
     b = sorted(tuple(r) for r in q_cascade_full(spark, sf).collect())
     assert a == b
+
+
+def test_batch_job_writes_ordered_results(inputs, spark):
+    import tempfile
+    from taxonspark.plans.job import result_view, run_job
+    rules, brands, leads, desc = inputs
+    out = tempfile.mkdtemp(prefix="job-", dir="/tmp") + "/out"
+    counts = run_job(spark, leads, rules, brands, out, descriptions=desc)
+    assert counts == {"success": 4, "failed": 3, "total": 7}
+    view = result_view(spark, out).collect()
+    assert [r["lead_idx"] for r in view] == list(range(7)) and "匹配方式" in view[0].asDict()
