@@ -228,9 +228,16 @@ def prepare_brands(brands: DataFrame, params: Params = DEFAULT_PARAMS) -> "Brand
     return BrandIndex(brands.sparkSession, pdf, dim)
 
 
+def kernel_partitions(spark, params: Params) -> int:
+    """Task count for the Python kernel: its cost is per row, not per byte, so the input is
+    hash-partitioned to a fixed count (not coalesced by AQE's byte-based rule)."""
+    return params.kernel_partitions or max(2 * spark.sparkContext.defaultParallelism, 1)
+
+
 def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schema):
     bc, dim = index.bc, index.dim
     cells = params.kernel_batch_cells
+    tx = tx.repartition(kernel_partitions(tx.sparkSession, params), "_kt")
 
     def run(batches):
         blk = dict(bc.value)

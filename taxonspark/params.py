@@ -70,6 +70,7 @@ class Params:
     brand_block_rows: int = 50_000          # brand rows per block in the grid plan
     text_block_rows: int = 20_000           # text rows per bucket in the grid plan
     kernel_batch_cells: int = 4_000_000     # text x brand score cells per numpy block
+    kernel_partitions: int = 0              # tasks for the similarity kernel (0: 2 x defaultParallelism)
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":

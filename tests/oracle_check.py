@@ -16,6 +16,8 @@ import duckdb
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+SPARK2DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -75,6 +77,11 @@ def main():
             print(f"{name:24s} SQL ERROR {type(e).__name__}: {str(e)[:400]}")
             bad += 1
             continue
+        smap = {f.name: SPARK2DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        dmap = dict(zip(dcols, [str(t) for t in rel.types]))
+        tdiff = {c: (smap.get(c), dmap.get(c)) for c in set(smap) | set(dmap) if smap.get(c) != dmap.get(c)}
+        if tdiff:
+            print(f"   types differ: {tdiff}")
         hs, ls = digest(scols, srows)
         hd, ld = digest(dcols, drows)
         same = sorted(scols) == sorted(dcols) and hs == hd
