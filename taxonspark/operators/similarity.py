@@ -254,9 +254,10 @@ def _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_br
     n_blocks = max(1, math.ceil(n_brands / params.brand_block_rows))
     n_buckets = max(1, math.ceil(n_texts / params.text_block_rows))
     cells = params.kernel_batch_cells
-    t_rep = (on.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)))
+    # both sides must carry the cell keys with the same type, or they hash to different partitions
+    t_rep = (on.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int"))
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)))
+    b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)).cast("int"))
              .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))))
     names = schema.fieldNames()
 

@@ -77,7 +77,7 @@ def make_data(seed, n_text=40, n_brand=60, dim=8):
 @pytest.mark.parametrize("plan", ["broadcast", "grid"])
 @pytest.mark.parametrize("combined", [True, False])
 def test_top1_equals_brute_force(spark, plan, combined):
-    texts, brands = make_data(7)
+    texts, brands = make_data(7, n_text=150, n_brand=200)
     tdf = spark.createDataFrame(texts, "k long, t string, v array<float>")
     bdf = spark.createDataFrame(brands, "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<float>")
     params = Params(use_combined=combined, brand_block_rows=16, text_block_rows=10)
