@@ -133,13 +133,21 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
     for start in range(0, len(pdf), rows_per):
         part = pdf.iloc[start:start + rows_per]
         texts = ["" if t is None else t for t in part["_kt"]]
+        vecs = list(part["_kv"])
+        active = part["_ka"].to_numpy(dtype=bool)
+        # C4: a vector whose length differs from the brands' cannot be scored (the dot product
+        # raises in the reference); that row becomes an error row and the others go on
+        err = [block.get("dim_error") if on else None for on in active]
+        for i, v in enumerate(vecs):
+            if err[i] is None and active[i] and v is not None and dim and len(v) != dim:
+                err[i] = f"ValueError: text vector has {len(v)} values, brand vectors have {dim}"
         try:
-            qmat, qhas = _to_matrix(list(part["_kv"]), dim)
-            pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, part["_ka"].to_numpy())
-            err = [None] * len(texts)
-        except Exception as exc:  # C4: a failing batch becomes error rows, the job goes on
+            qmat, qhas = _to_matrix(vecs, dim)
+            ok_rows = active & np.array([e is None for e in err], dtype=bool)
+            pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, ok_rows)
+        except Exception as exc:  # any other failure: the batch's scored rows become error rows
             pos, sc = [-1] * len(texts), [float("nan")] * len(texts)
-            err = [f"{type(exc).__name__}: {exc}"] * len(texts)
+            err = [e or (f"{type(exc).__name__}: {exc}" if on else None) for e, on in zip(err, active)]
         for p, s_, e in zip(pos, sc, err):
             ok = p >= 0
             cols["brand_idx"].append(int(ids[p]) if ok else None)
@@ -157,12 +165,15 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
 
 def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     bpdf = bpdf.sort_values("brand_idx", kind="stable")
-    mat, has = _to_matrix(list(bpdf["embedding"]), dim)
+    vecs = list(bpdf["embedding"])
+    mat, has = _to_matrix(vecs, dim)
     names = [str(x) for x in bpdf["brand_name"]]
     name_mat, name_lens = encode_names(names)
+    bad = sorted({len(v) for v in vecs if v is not None and len(v) != dim})
+    dim_error = f"ValueError: brand vectors have {bad[0]} and {dim} values" if bad else None
     return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": names,
             "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens}
+            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens, "dim_error": dim_error}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:

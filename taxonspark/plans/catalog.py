@@ -313,6 +313,13 @@ def q_cascade_vectors(spark, sf):
     return _with_score6(_cascade_vectors(spark, sf))
 
 
+def q_error_rows(spark, sf):
+    """C4: texts whose vector is corrupt become error rows; every other row is unaffected."""
+    out = cascade(fx.vector_leads_damaged(spark, sf), fx.rules(spark), fx.brands(spark, sf),
+                  descriptions=fx.vector_descriptions(spark, sf))
+    return _with_score6(out)
+
+
 def q_result_rows(spark, sf):
     from ..params import RESULT_COLUMNS
     return _cascade_vectors(spark, sf).select("lead_idx", *RESULT_COLUMNS)
@@ -416,6 +423,7 @@ QUERIES = {
     "cascade_full": q_cascade_full,
     "cascade_vectors": q_cascade_vectors,
     "result_rows": q_result_rows,
+    "error_rows": q_error_rows,
     "method_label": q_method_label,
     "reattach_duplicates": q_reattach_duplicates,
     "match_counts": q_match_counts,

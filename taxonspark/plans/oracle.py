@@ -8,7 +8,7 @@ CTEs. Tables ``part``, ``documents``, ... are views registered by the checker.
 from __future__ import annotations
 
 from ..functions.text import PY_WHITESPACE
-from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_NONE, METHOD_NOT_FOUND, METHOD_RULE,
+from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_ERROR, METHOD_NONE, METHOD_NOT_FOUND, METHOD_RULE,
                       METHOD_SEARCH_MATCHED, METHOD_SEARCH_UNMATCHED, METHOD_SIMILARITY, SUCCESS_METHODS)
 from ..sources import fixtures as fx
 from .catalog import RULE_SHEET_HEADER
@@ -80,7 +80,7 @@ NAMED = ("nv AS (SELECT e.vec_id, e.label, e.embedding, p.p_name, p.p_name || '
          f"FROM embeddings e JOIN part p ON p.p_partkey = e.vec_id % {fx.BRAND_PARTS})")
 BRANDS = ("brands AS (SELECT vec_id AS brand_idx, CAST(vec_id AS VARCHAR) AS brand_code, name AS brand_name, "
           "'' AS brand_keywords, 'cat_' || CAST(label AS VARCHAR) AS atomic, embedding FROM nv WHERE vec_id % 2 = 1)")
-VLEADS = ("vleads AS (SELECT vec_id AS lead_idx, CAST(vec_id AS VARCHAR) AS lead_code, name AS lead_name, embedding, p_name "
+VLEADS = ("vleads AS (SELECT vec_id AS lead_idx, CAST(vec_id AS VARCHAR) AS lead_code, name AS lead_name, embedding, p_name, label "
           "FROM nv WHERE vec_id % 2 = 0 OR vec_id % 10 = 1)")
 PDESC = (f"pdesc AS (SELECT DISTINCT p_name AS text, {fx.description_case_sql('p_name')} AS description FROM part "
          f"WHERE p_name IN {fx.description_names_sql()})")
@@ -280,14 +280,19 @@ def cascade_ctes(leads: str, descs: str | None, with_brands: bool = True) -> lis
         f"names AS (SELECT DISTINCT {strip('lead_name')} AS t, embedding AS v FROM {leads})",
         f"r1 AS (SELECT n.t, r.rule_idx, r.level1, r.code, r.atomic FROM names n JOIN rules r ON {pred('n.t', 'r.')})",
         f"c1 AS ({collapse('r1', 't')})",
-        "rest AS (SELECT n.t, n.v FROM names n ANTI JOIN c1 USING (t))",
+        "rest0 AS (SELECT n.t, n.v FROM names n ANTI JOIN c1 USING (t))",
     ]
     nulls = "NULL::BIGINT AS ref_idx, NULL::VARCHAR AS ref_name, NULL::VARCHAR AS ref_code, NULL::VARCHAR AS ref_atomic, NULL::DOUBLE AS score, NULL::VARCHAR AS score_text"
-    branches = [f"SELECT t, n_rules AS m_n, level1 AS m_level1, code AS m_code, atomic AS m_atomic, false AS from_sim, {nulls}, NULL::VARCHAR AS llm_desc FROM c1"]
+    branches = [f"SELECT t, n_rules AS m_n, level1 AS m_level1, code AS m_code, atomic AS m_atomic, false AS from_sim, {nulls}, NULL::VARCHAR AS llm_desc, false AS is_err FROM c1"]
     if not with_brands:
-        branches.append(f"SELECT t, 0, '', '', '', false, {nulls}, NULL FROM rest")
+        ctes.append("rest AS (SELECT * FROM rest0)")
+        branches.append(f"SELECT t, 0, '', '', '', false, {nulls}, NULL, false FROM rest")
     else:
         ctes += [
+            # a vector whose length differs from the brands' cannot be scored: error row
+            (f"erred AS (SELECT t FROM rest0 WHERE v IS NOT NULL AND len(v) <> "
+             f"(SELECT max(len(embedding)) FROM brands WHERE {strip('brand_name')} <> ''))"),
+            "rest AS (SELECT * FROM rest0 ANTI JOIN erred USING (t))",
             _top1("rest", "rest.t", "rest.v", "rest.t"),
             f"sim AS (SELECT *, printf('%.4f', score) AS score_text FROM best WHERE score >= {float(P.similarity_threshold)!r})",
             (f"low AS (SELECT s.*, nullif({strip('d.description')}, '') AS description FROM sim s LEFT JOIN {descs} d ON d.text = s.t "
@@ -299,17 +304,18 @@ def cascade_ctes(leads: str, descs: str | None, with_brands: bool = True) -> lis
         simc = f"true, brand_idx, brand_name, brand_code, brand_atomic, score, score_text"
         brand_rule = f"1, '', '', coalesce({strip('brand_atomic')}, '')"
         branches += [
-            f"SELECT t, 0, '', '', '', false, {nulls}, NULL FROM rest ANTI JOIN sim USING (t)",
-            f"SELECT t, {brand_rule}, {simc}, NULL FROM sim WHERE score >= {float(P.fallback_threshold)!r}",
-            f"SELECT t, {brand_rule}, {simc}, {s(EMPTY_DESCRIPTION)} FROM low WHERE description IS NULL",
-            f"SELECT t, {brand_rule}, {simc}, {s(P.unmatched_marker)} FROM low WHERE description IN ({alias_list()})",
-            (f"SELECT o.t, c2.n_rules, c2.level1, c2.code, c2.atomic, false, {nulls}, o.description "
+            f"SELECT t, 0, '', '', '', false, {nulls}, NULL, true FROM erred",
+            f"SELECT t, 0, '', '', '', false, {nulls}, NULL, false FROM rest ANTI JOIN sim USING (t)",
+            f"SELECT t, {brand_rule}, {simc}, NULL, false FROM sim WHERE score >= {float(P.fallback_threshold)!r}",
+            f"SELECT t, {brand_rule}, {simc}, {s(EMPTY_DESCRIPTION)}, false FROM low WHERE description IS NULL",
+            f"SELECT t, {brand_rule}, {simc}, {s(P.unmatched_marker)}, false FROM low WHERE description IN ({alias_list()})",
+            (f"SELECT o.t, c2.n_rules, c2.level1, c2.code, c2.atomic, false, {nulls}, o.description, false "
              f"FROM other o JOIN c2 USING (t)"),
-            f"SELECT t, {brand_rule}, {simc}, description FROM other ANTI JOIN c2 USING (t)",
+            f"SELECT t, {brand_rule}, {simc}, description, false FROM other ANTI JOIN c2 USING (t)",
         ]
     ctes.append("per_text AS (" + " UNION ALL ".join(branches) + ")")
     desc = "coalesce(llm_desc, '')"
-    method = (f"CASE WHEN m_n = 0 THEN {s(METHOD_NONE)} "
+    method = (f"CASE WHEN is_err THEN {s(METHOD_ERROR)} WHEN m_n = 0 THEN {s(METHOD_NONE)} "
               f"WHEN {desc} = '' THEN (CASE WHEN from_sim THEN {s(METHOD_SIMILARITY)} ELSE {s(METHOD_RULE)} END) "
               f"WHEN {strip(desc)} IN ({alias_list()}) THEN {s(METHOD_NOT_FOUND)} "
               f"WHEN NOT from_sim THEN {s(METHOD_SEARCH_MATCHED)} ELSE {s(METHOD_SEARCH_UNMATCHED)} END")
@@ -327,16 +333,20 @@ def result_select(leads: str) -> str:
             f"CASE WHEN {ref} THEN coalesce(p.ref_code, '') ELSE '' END AS sim_code, "
             f"CASE WHEN {ref} THEN {cell('p.ref_atomic')} ELSE '' END AS sim_atomic, "
             f"CASE WHEN {ref} AND p.from_sim THEN coalesce(p.score_text, '') ELSE '' END AS sim_score, "
-            f"coalesce(p.llm_desc, '') AS llm_desc, "
+            f"CASE WHEN p.is_err THEN {s(METHOD_ERROR)} ELSE coalesce(p.llm_desc, '') END AS llm_desc, "
             f"round(CASE WHEN p.from_sim AND p.m_n > 0 THEN p.score END, 6) AS score "
             f"FROM {leads} l JOIN labelled p ON p.t = {strip('l.lead_name')}")
 
 
 _PART_CASCADE = with_(RULES, NAMED, BRANDS, PART_LEADS, PDESC, *cascade_ctes("pleads", "pdesc"))
 _VEC_CASCADE = with_(RULES, NAMED, BRANDS, VLEADS, VDESC, *cascade_ctes("vleads", "vdesc"))
+BLEADS = ("bleads AS (SELECT lead_idx, lead_code, lead_name, CASE WHEN label = 9 THEN "
+          "list_slice(embedding, 1, len(embedding) - 1) ELSE embedding END AS embedding FROM vleads)")
+_BAD_CASCADE = with_(RULES, NAMED, BRANDS, VLEADS, VDESC, BLEADS, *cascade_ctes("bleads", "vdesc"))
 _RESULT = "lead_idx, lead_code, lead_name, level1, code, atomic, method, sim_brand, sim_code, sim_atomic, sim_score, llm_desc"
 SQL["cascade_full"] = _PART_CASCADE + result_select("pleads")
 SQL["cascade_vectors"] = _VEC_CASCADE + result_select("vleads")
+SQL["error_rows"] = _BAD_CASCADE + result_select("bleads")
 SQL["result_rows"] = f"SELECT {_RESULT} FROM ({SQL['cascade_vectors']})"
 SQL["method_label"] = f"SELECT lead_idx, method FROM ({SQL['cascade_full']})"
 SQL["reattach_duplicates"] = (f"SELECT {_RESULT} FROM (" + with_(RULES, PART_LEADS, *cascade_ctes("pleads", None, False))
@@ -354,7 +364,7 @@ SQL["describe_rematch"] = (with_(RULES, PDESC, f"d AS ({SQL['describe_join'][len
                              "coalesce(c.atomic, '') AS atomic, coalesce(c.n_rules, 0)::BIGINT AS n_rules "
                              "FROM o LEFT JOIN c USING (text, description)")
 SQL["fallback_requests"] = (
-    with_(RULES, NAMED, BRANDS, VLEADS, *cascade_ctes("vleads", "vdesc")[:5],
+    with_(RULES, NAMED, BRANDS, VLEADS, *cascade_ctes("vleads", "vdesc")[:7],
           _top_words("rules", P.max_keyword_examples), _hint(P.max_keyword_hint_chars),
           f"sim AS (SELECT *, printf('%.4f', score) AS score_text FROM best WHERE score >= {float(P.similarity_threshold)!r})")
     + f"SELECT s.t AS text, h.hint AS reference_keywords, {float(P.fallback_threshold)!r}::DOUBLE AS similarity_threshold, "

@@ -94,7 +94,7 @@ def vector_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     nv = _named_vectors(spark, sf_dir)
     return (nv.where((F.pmod("vec_id", F.lit(2)) == 0) | (F.pmod("vec_id", F.lit(10)) == 1))
             .select(F.col("vec_id").alias("lead_idx"), F.col("vec_id").cast("string").alias("lead_code"),
-                    F.col("name").alias("lead_name"), F.col("embedding"), F.col("p_name")))
+                    F.col("name").alias("lead_name"), F.col("embedding"), F.col("p_name"), F.col("label")))
 
 
 def _description_case(name_col):
@@ -129,3 +129,11 @@ def description_case_sql(col: str) -> str:
 
 def description_names_sql() -> str:
     return "(" + ", ".join(f"'{n}'" for n, _ in DESCRIPTION_FIXTURE) + ")"
+
+
+def vector_leads_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity texts where every vector of label 9 lost its last value (a corrupt feed):
+    those rows cannot be scored and must come out as error rows, the rest unaffected."""
+    cut = F.slice("embedding", 1, F.size("embedding") - 1)
+    return vector_leads(spark, sf_dir).withColumn(
+        "embedding", F.when(F.col("label") == 9, cut).otherwise(F.col("embedding")))

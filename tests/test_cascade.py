@@ -122,3 +122,21 @@ def test_batch_job_writes_ordered_results(inputs, spark):
     assert counts == {"success": 4, "failed": 3, "total": 7}
     view = result_view(spark, out).collect()
     assert [r["lead_idx"] for r in view] == list(range(7)) and "匹配方式" in view[0].asDict()
+
+
+def test_wrong_dimension_vectors_become_error_rows(spark):
+    from taxonspark.plans.catalog import q_error_rows
+    out = q_error_rows(spark, "/root/testdata/sf0.001").groupBy("method").count().collect()
+    counts = {r["method"]: r["count"] for r in out}
+    assert counts.get("程序异常", 0) > 0 and counts.get("规则", 0) > 0
+    err = q_error_rows(spark, "/root/testdata/sf0.001").where("method = '程序异常'").first()
+    assert (err["atomic"], err["sim_brand"], err["sim_score"], err["llm_desc"]) == ("", "", "", "程序异常")
+
+
+def test_brand_dimension_mismatch_fails_scored_rows_only(inputs, spark):
+    rules, _, leads, desc = inputs
+    brands = spark.createDataFrame([(10, "B10", "品牌甲", "", "咖啡", [1.0, 0.0]), (11, "B11", "路边摊", "", "小吃", [1.0])],
+                                   BRAND_COLS)
+    out = rows(cascade(leads, rules, brands, descriptions=desc))
+    assert out[0]["method"] == "规则"
+    assert all(out[i]["method"] == "程序异常" for i in (1, 2, 3, 4, 5, 6))
