@@ -82,9 +82,19 @@ def literal_rule(g1=(), g2=(), g3=(), g4=(), g5=(), must_not=()) -> dict:
 
 
 def hit_set_predicate(hits, cols: dict | None = None) -> Column:
-    """J1 evaluated on the set of rule keywords a text contains (anchor plan)."""
+    """J1 evaluated on the set of rule keywords a text contains (anchor plan).
+
+    Written with built-in array functions only (``arrays_overlap``, ``array_except``), no
+    lambdas, so it is code-generated; arrays here never contain nulls."""
     h = F.col(hits) if isinstance(hits, str) else hits
-    return _predicate(lambda k: F.array_contains(h, k), cols)
+    c = _rule_cols(cols)
+    all_of = [(F.size(c[g]) > 0) & (F.size(F.array_except(c[g], h)) == 0) for g in GROUPS_ALL_OF]
+    any_group = all_of[0] | all_of[1] | all_of[2] | all_of[3]
+    n14 = F.size(c["g1"]) + F.size(c["g2"]) + F.size(c["g3"]) + F.size(c["g4"])
+    return (((n14 > 0) | (F.size(c["g5"]) > 0))
+            & ~F.arrays_overlap(c["must_not"], h)
+            & ((F.size(c["g5"]) == 0) | F.arrays_overlap(c["g5"], h))
+            & ((n14 == 0) | any_group))
 
 
 def _rule_count_checked(rules: DataFrame, limit: int) -> int:
@@ -188,26 +198,55 @@ def rule_anchors(rules: DataFrame) -> DataFrame:
             .withColumn("anchors", anchors))
 
 
-def _match_anchor(texts, rules, text_col, keys, params):
-    live = rule_anchors(rules)
+def _rule_keywords(rules: DataFrame, params: Params) -> list[str]:
     kw_df = (rules.select(F.explode(F.concat(*[F.col(g) for g in (*GROUPS_ALL_OF, "g5", "must_not")])).alias("kw"))
              .distinct())
-    n_kw = kw_df.count()
-    if n_kw > params.max_broadcast_keywords:
-        raise ValueError(f"{n_kw} distinct keywords exceed the automaton bound {params.max_broadcast_keywords}")
-    words = sorted(r.kw for r in kw_df.collect())
-    hits = keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, words)
-    cand = hits.select(*keys, "hits", F.explode("hits").alias("kw"))
-    anchor_rows = live.select("*", F.explode("anchors").alias("kw"))
-    n_rules = rules.count()
-    if n_rules <= params.max_broadcast_rules:
+    rows = kw_df.limit(params.max_broadcast_keywords + 1).collect()
+    if len(rows) > params.max_broadcast_keywords:
+        raise ValueError(f"more than {params.max_broadcast_keywords} distinct keywords: above the automaton bound")
+    return sorted(r.kw for r in rows)
+
+
+def signature_matches(hits: DataFrame, rules: DataFrame, params: Params) -> DataFrame:
+    """Rules matched by each distinct hit set: ``hits, rule_idx, level1, code, atomic``.
+
+    J1 depends only on which rule keywords a text contains, so the rules are matched once
+    per distinct hit set (map-side deduplicated), not once per text: candidates come from an
+    equi-join on one anchor keyword per rule alternative, kept once per (set, rule) via the
+    first anchor present, then verified by set algebra."""
+    sigs = hits.select("hits").where(F.size("hits") > 0).distinct()
+    anchor_rows = rule_anchors(rules).select("*", F.explode("anchors").alias("kw"))
+    if rules.limit(params.max_broadcast_rules + 1).count() <= params.max_broadcast_rules:
         anchor_rows = F.broadcast(anchor_rows)
-    joined = cand.join(anchor_rows, "kw")
-    # keep exactly one candidate row per (text, rule): the first anchor the text contains
-    first_present = F.element_at(F.filter("anchors", lambda a: F.array_contains(F.col("hits"), a)), 1)
-    return (joined.where(F.col("kw") == first_present)
+    cand = sigs.select("hits", F.explode("hits").alias("kw")).join(anchor_rows, "kw")
+    # array_intersect keeps the order of its first argument: its head is the first anchor present
+    first_present = F.element_at(F.array_intersect("anchors", "hits"), 1)
+    return (cand.where(F.col("kw") == first_present)
             .where(hit_set_predicate("hits"))
-            .select(*keys, *RULE_OUT))
+            .select("hits", *RULE_OUT))
+
+
+def _match_anchor(texts, rules, text_col, keys, params):
+    words = _rule_keywords(rules, params)
+    hits = keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, words)
+    sig = signature_matches(hits, rules, params)
+    # hot hit sets are fine here: AQE broadcasts the (small) per-set side or splits the skewed one
+    return hits.where(F.size("hits") > 0).join(sig, "hits").select(*keys, *RULE_OUT)
+
+
+def _left_anchor(texts, rules, text_col, keys, params, prefix):
+    """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches."""
+    words = _rule_keywords(rules, params)
+    distinct = texts.select(text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).distinct()
+    hits = keyword_hits(distinct, text_col, [text_col], words)
+    per_set = collapse_matches(signature_matches(hits, rules, params), ["hits"], prefix)
+    per_text = hits.join(per_set, "hits").drop("hits")
+    out = texts.select(*keys).join(per_text, text_col, "left")
+    return out.select(
+        *keys,
+        *[F.coalesce(F.col(prefix + c), F.lit("")).alias(prefix + c) for c in ("level1", "code", "atomic")],
+        F.coalesce(F.col(prefix + "n_rules"), F.lit(0).cast("bigint")).alias(prefix + "n_rules"),
+    )
 
 
 # ----------------------------------------------------------------------------- J3 / A1
@@ -327,12 +366,4 @@ def rules_left(texts: DataFrame, rules, text_col: str, keys: list[str] | str | N
     if rows is not None:
         return texts.select("*", *compiled_rule_columns(text_col, rows, prefix))
     keys = list(texts.columns) if keys is None else ([keys] if isinstance(keys, str) else list(keys))
-    distinct = texts.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    pairs = match_rules(distinct, rules, text_col, [text_col], params)
-    col = collapse_matches(pairs, [text_col], prefix)
-    out = texts.select(*keys).join(col, text_col, "left")
-    return out.select(
-        *keys,
-        *[F.coalesce(F.col(prefix + c), F.lit("")).alias(prefix + c) for c in ("level1", "code", "atomic")],
-        F.coalesce(F.col(prefix + "n_rules"), F.lit(0).cast("bigint")).alias(prefix + "n_rules"),
-    )
+    return _left_anchor(texts, rules, text_col, keys, params, prefix)

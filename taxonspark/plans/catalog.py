@@ -320,6 +320,21 @@ def q_error_rows(spark, sf):
     return _with_score6(out)
 
 
+def q_cascade_lineitem(spark, sf):
+    """The full cascade over lineitem leads with one hot name (a quarter of all rows)."""
+    out = cascade(fx.lineitem_leads(spark, sf), fx.rules(spark), fx.brands(spark, sf),
+                  descriptions=fx.part_descriptions(spark, sf))
+    return out.select("lead_idx", "lead_code", "method", "atomic", "sim_brand", "sim_score", "llm_desc")
+
+
+def q_rule_join_sheet(spark, sf):
+    """Whole documents against the rule table parsed from the part-derived sheet
+    (thousands of rules: above the compile bound, so the anchor plan runs)."""
+    docs = _leads_t(fx.document_leads(spark, sf))
+    rules = rules_from_table(raw_rule_sheet(spark, sf))
+    return match_rules(docs, rules, "_t", ["lead_idx"], P).select("lead_idx", "rule_idx", "atomic")
+
+
 def q_result_rows(spark, sf):
     from ..params import RESULT_COLUMNS
     return _cascade_vectors(spark, sf).select("lead_idx", *RESULT_COLUMNS)
@@ -423,6 +438,8 @@ QUERIES = {
     "cascade_full": q_cascade_full,
     "cascade_vectors": q_cascade_vectors,
     "result_rows": q_result_rows,
+    "cascade_lineitem": q_cascade_lineitem,
+    "rule_join_sheet": q_rule_join_sheet,
     "error_rows": q_error_rows,
     "method_label": q_method_label,
     "reattach_duplicates": q_reattach_duplicates,

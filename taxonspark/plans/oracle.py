@@ -390,3 +390,14 @@ SQL["flag_failed"] = f"SELECT lead_idx, method, method NOT IN ({_SUCC}) AS is_fa
 SQL["compact_rows"] = (f"SELECT lead_idx, {cell('lead_name')} AS raw_text, {cell('level1')} AS level1, {cell('code')} AS code, "
                        f"{cell('atomic')} AS atomic, {cell('method')} AS method, {cell('sim_brand')} AS similarity_detail, "
                        f"{cell('llm_desc')} AS llm_desc FROM ({SQL['cascade_vectors']})")
+
+
+LLEADS = (f"lleads AS (SELECT l.l_orderkey * 8 + l.l_linenumber AS lead_idx, "
+          f"CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS lead_code, "
+          f"CASE WHEN l.l_linenumber = 1 THEN {s(fx.HOT_NAME)} ELSE coalesce(p.p_name, '') END AS lead_name, "
+          f"NULL::FLOAT[] AS embedding FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey)")
+SQL["cascade_lineitem"] = (f"SELECT lead_idx, lead_code, method, atomic, sim_brand, sim_score, llm_desc FROM ("
+                           + with_(RULES, NAMED, BRANDS, LLEADS, PDESC, *cascade_ctes("lleads", "pdesc"))
+                           + result_select("lleads") + ")")
+SQL["rule_join_sheet"] = (with_(RAW, PARSED, DOC_LEADS)
+                          + f"SELECT l.lead_idx, r.rule_idx, r.atomic FROM dleads l JOIN parsed r ON {pred(strip('l.lead_name'), 'r.')}")
