@@ -261,9 +261,8 @@ def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schem
 
 def _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands):
     on = tx.where(F.col("_ka"))
-    n_texts = on.count()
-    n_blocks = max(1, math.ceil(n_brands / params.brand_block_rows))
-    n_buckets = max(1, math.ceil(n_texts / params.text_block_rows))
+    n_blocks = params.grid_blocks or max(1, math.ceil(n_brands / params.brand_block_rows))
+    n_buckets = params.grid_buckets or max(1, math.ceil(on.count() / params.text_block_rows))
     cells = params.kernel_batch_cells
     # both sides must carry the cell keys with the same type, or they hash to different partitions
     t_rep = (on.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int"))

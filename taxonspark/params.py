@@ -69,6 +69,8 @@ class Params:
     max_broadcast_bytes: int = 256 * 1024 * 1024  # brand vector bytes (float32) in the broadcast
     brand_block_rows: int = 50_000          # brand rows per block in the grid plan
     text_block_rows: int = 20_000           # text rows per bucket in the grid plan
+    grid_blocks: int = 0                    # fixed brand-block count for the grid (0: from brand_block_rows)
+    grid_buckets: int = 0                   # fixed text-bucket count for the grid (0: from text_block_rows)
     kernel_batch_cells: int = 4_000_000     # text x brand score cells per numpy block
     kernel_partitions: int = 0              # tasks for the similarity kernel (0: 2 x defaultParallelism)
     extra: dict = field(default_factory=dict)

@@ -267,7 +267,7 @@ def q_sim_top1(spark, sf):
 
 
 def q_sim_top1_grid(spark, sf):
-    return _top1_query(spark, sf, P.with_(brand_block_rows=100, text_block_rows=150), "grid")
+    return _top1_query(spark, sf, P.with_(grid_blocks=4, grid_buckets=4), "grid")
 
 
 def q_sim_top1_vector_only(spark, sf):

@@ -28,8 +28,17 @@ def get_session(app: str = "taxonspark", master: str | None = None, conf: dict |
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir`` (None if unset)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder the cluster names in ``spark.checkpoint.dir`` (or the context's current
+    checkpoint folder); None if neither is set."""
+    sc = spark.sparkContext
+    return (sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+            or sc.getCheckpointDir())
+
+
+def checkpoint_dir_or_local(spark: SparkSession) -> str:
+    """``checkpoint_dir``; only when nothing is set (local runs, tests) a fresh local folder."""
+    import tempfile
+    return checkpoint_dir(spark) or use_checkpoint_dir(spark, tempfile.mkdtemp(prefix="taxonspark-ckpt-"))
 
 
 def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:

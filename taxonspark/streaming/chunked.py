@@ -19,7 +19,7 @@ from ..params import DEFAULT_PARAMS, Params
 from ..operators.rules import collect_rules
 from ..operators.similarity import BrandIndex, prepare_brands
 from ..plans.cascade import cascade
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir_or_local
 
 
 def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_path: str,
@@ -57,9 +57,7 @@ def q_stream_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part-lead cascade run as a stream of 4 chunks; equals the batch result."""
     from ..sources import fixtures as fx
 
-    base = checkpoint_dir(spark)
-    if base is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; the stream needs a shared folder")
+    base = checkpoint_dir_or_local(spark)
     run_dir = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stage_leads(fx.part_leads(spark, sf_dir), f"{run_dir}/in", 4)
     run_chunked(spark, f"{run_dir}/in", f"{run_dir}/out", f"{run_dir}/chk", fx.rules(spark),
