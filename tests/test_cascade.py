@@ -140,3 +140,23 @@ def test_brand_dimension_mismatch_fails_scored_rows_only(inputs, spark):
     out = rows(cascade(leads, rules, brands, descriptions=desc))
     assert out[0]["method"] == "规则"
     assert all(out[i]["method"] == "程序异常" for i in (1, 2, 3, 4, 5, 6))
+
+
+def test_score_equal_to_gate_is_similarity(inputs, spark):
+    from taxonspark.operators.similarity import top1
+    rules, brands, leads, desc = inputs
+    one = leads.where("lead_idx = 2")
+    score = top1(one.withColumn("_t", one.lead_name), brands, ["lead_idx"], "_t", "embedding").first()["score"]
+    at_gate = rows(cascade(one, rules, brands, descriptions=desc, params=Params(fallback_threshold=score)))
+    above = rows(cascade(one, rules, brands, descriptions=desc, params=Params(fallback_threshold=score + 1e-12)))
+    assert at_gate[2]["method"] == "相似度" and above[2]["method"] == "搜索后未匹配"
+
+
+def test_nan_score_never_wins(spark):
+    from taxonspark.operators.similarity import top1
+    nan = float("nan")
+    texts = spark.createDataFrame([(1, "abc", [1.0, 0.0])], "k long, t string, v array<float>")
+    brands = spark.createDataFrame([(0, "0", "abc", "", "x", [nan, 0.0]), (1, "1", "zzz", "", "y", [0.0, 1.0])], BRAND_COLS)
+    assert top1(texts, brands, ["k"], "t", "v").first()["brand_idx"] == 1
+    only_nan = spark.createDataFrame([(0, "0", "abc", "", "x", [nan, 0.0])], BRAND_COLS)
+    assert top1(texts, only_nan, ["k"], "t", "v").first()["brand_idx"] is None
