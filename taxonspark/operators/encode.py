@@ -63,3 +63,29 @@ def fill_embeddings(brands: DataFrame, encoder: Callable | None = None) -> DataF
     names = brands.select("brand_name").distinct()
     vec = encode_texts(names, "brand_name", encoder, "_vec")
     return brands.drop("embedding").join(vec, "brand_name").withColumnRenamed("_vec", "embedding")
+
+
+def encode_missing(df: DataFrame, text_col: str, vec_col: str, encoder: Callable | None = None,
+                   active=None) -> DataFrame:
+    """Fill ``vec_col`` for rows where it is null (and ``active`` holds) with the encoder's
+    L2-normalised vector; other rows pass through unchanged. One encoder call per Arrow batch."""
+    ship_package(df.sparkSession)
+    enc = encoder or hashed_ngrams()
+    on = F.col(vec_col).isNull() if active is None else (F.coalesce(active, F.lit(False)) & F.col(vec_col).isNull())
+    staged = df.withColumn("_enc_on", on)
+    schema = staged.schema
+
+    def run(batches):
+        for pdf in batches:
+            mask = pdf["_enc_on"].to_numpy(dtype=bool)
+            if mask.any():
+                texts = ["" if t is None else str(t) for t in pdf.loc[mask, text_col]]
+                mat = l2_rows(np.asarray(enc(texts), dtype=np.float64))
+                vals = list(pdf[vec_col])
+                for i, row in zip(np.nonzero(mask)[0], mat):
+                    vals[i] = row.astype(np.float32)
+                pdf = pdf.copy()
+                pdf[vec_col] = vals
+            yield pdf
+
+    return staged.mapInPandas(run, schema).drop("_enc_on")

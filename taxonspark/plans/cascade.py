@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.describe import describe
+from ..operators.encode import encode_missing, fill_embeddings
 from ..operators.rules import collect_rules, rules_left
 from ..operators.similarity import match_by_similarity
 from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_ERROR, METHOD_NONE, METHOD_NOT_FOUND,
@@ -45,7 +46,7 @@ def distinct_texts(leads: DataFrame, name_col: str = "lead_name", vec_col: str =
 def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | None,
                      descriptions: DataFrame | None = None,
                      provider: Callable[[str], str | None] | None = None,
-                     params: Params = DEFAULT_PARAMS) -> DataFrame:
+                     params: Params = DEFAULT_PARAMS, encoder: Callable | None = None) -> DataFrame:
     """C1 over distinct texts: one row per ``(_t, _vh)`` with the cascade's decision.
 
     One linear chain, every stage a projection or a single operator over the previous one:
@@ -60,6 +61,13 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     ruled = F.col("r_n_rules") > 0
     if brands is None:
         return stage1.select("_t", "_vh", *_decide(ruled, None, params))
+    if encoder is not None:
+        # the reference encodes every text that reaches the similarity stage, and brand names
+        # when no brand carries a vector (then with the fixed default weight)
+        stage1 = encode_missing(stage1, "_t", "_v", encoder, active=~ruled)
+        if isinstance(brands, DataFrame) and brands.where(F.col("embedding").isNotNull()).limit(1).count() == 0:
+            brands = fill_embeddings(brands, encoder)
+            params = params.with_(vector_weight=DEFAULT_PARAMS.vector_weight)
     carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules"]
     sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
                               active=~ruled, carry=carry)
@@ -167,10 +175,14 @@ def reattach(leads: DataFrame, per_text: DataFrame, name_col: str = "lead_name",
 def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
             descriptions: DataFrame | None = None,
             provider: Callable[[str], str | None] | None = None,
-            params: Params = DEFAULT_PARAMS, extra_cols: tuple[str, ...] = ("lead_idx",)) -> DataFrame:
-    """C1-C4 end to end: ``extra_cols`` + the 11 result columns + ``score`` (double) per lead."""
+            params: Params = DEFAULT_PARAMS, extra_cols: tuple[str, ...] = ("lead_idx",),
+            encoder: Callable | None = None) -> DataFrame:
+    """C1-C4 end to end: ``extra_cols`` + the 11 result columns + ``score`` (double) per lead.
+
+    ``encoder`` (texts -> vectors) fills the vectors of texts and, when no brand has one, of
+    brand names, as the reference does with its embedding model."""
     names = distinct_texts(leads)
-    per_text = per_text_results(names, rules, brands, descriptions, provider, params)
+    per_text = per_text_results(names, rules, brands, descriptions, provider, params, encoder)
     joined = reattach(leads.select(*extra_cols, "lead_code", "lead_name",
                                    *(["embedding"] if "embedding" in leads.columns else [])), per_text)
     labelled = joined.withColumn("method", method_label(params))

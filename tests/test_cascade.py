@@ -160,3 +160,14 @@ def test_nan_score_never_wins(spark):
     assert top1(texts, brands, ["k"], "t", "v").first()["brand_idx"] == 1
     only_nan = spark.createDataFrame([(0, "0", "abc", "", "x", [nan, 0.0])], BRAND_COLS)
     assert top1(texts, only_nan, ["k"], "t", "v").first()["brand_idx"] is None
+
+
+def test_encoder_fills_text_and_brand_vectors(spark):
+    from taxonspark.operators.encode import hashed_ngrams
+    rules = spark.createDataFrame([rule(0, g1=["奶茶"])], RULE_SCHEMA)
+    brands = spark.createDataFrame([(10, "B10", "品牌甲", "", "咖啡", None), (11, "B11", "路边摊", "", "小吃", None)], BRAND_COLS)
+    leads = spark.createDataFrame([(0, "c0", "品牌甲", None), (1, "c1", "路边摊", None), (2, "c2", "奶茶", None)], LEAD_COLS)
+    out = rows(cascade(leads, rules, brands, encoder=hashed_ngrams(32)))
+    assert (out[0]["method"], out[0]["sim_brand"], out[0]["sim_score"]) == ("相似度", "品牌甲", "1.0000")
+    assert (out[1]["method"], out[1]["sim_brand"]) == ("相似度", "路边摊")
+    assert out[2]["method"] == "规则"
