@@ -74,3 +74,18 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 * 1024 * 1024) -> dict:
+    """Session settings sized for the input: enough shuffle partitions that each holds about
+    ``target_partition_bytes`` (AQE coalesces small ones and splits skewed ones at run time),
+    scan splits of the same size, and skew thresholds relative to it."""
+    parts = max(total_cores * 3, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
