@@ -335,6 +335,19 @@ def q_rule_join_sheet(spark, sf):
     return match_rules(docs, rules, "_t", ["lead_idx"], P).select("lead_idx", "rule_idx", "atomic")
 
 
+def q_output_names(spark, sf):
+    """S11 per source stem of the documents (one stem is on the ignore list)."""
+    src = fx.table(spark, sf, "documents").select(F.col("source").alias("stem")).distinct()
+    return src.select("stem", report.output_name_col("stem", "20260101_000000", "src3").alias("output_name"))
+
+
+def q_table_counts(spark, sf):
+    """Rows loaded per input (parsed rule sheet, brand sheet, lead sheet)."""
+    return report.table_counts_frame(rules=rules_from_table(raw_rule_sheet(spark, sf)),
+                                     brands=brands_from_table(raw_brand_sheet(spark, sf)),
+                                     leads=leads_from_table(raw_lead_sheet(spark, sf)))
+
+
 def q_result_rows(spark, sf):
     from ..params import RESULT_COLUMNS
     return _cascade_vectors(spark, sf).select("lead_idx", *RESULT_COLUMNS)
@@ -438,6 +451,8 @@ QUERIES = {
     "cascade_full": q_cascade_full,
     "cascade_vectors": q_cascade_vectors,
     "result_rows": q_result_rows,
+    "output_names": q_output_names,
+    "table_counts": q_table_counts,
     "cascade_lineitem": q_cascade_lineitem,
     "rule_join_sheet": q_rule_join_sheet,
     "error_rows": q_error_rows,

@@ -401,3 +401,11 @@ SQL["cascade_lineitem"] = (f"SELECT lead_idx, lead_code, method, atomic, sim_bra
                            + result_select("lleads") + ")")
 SQL["rule_join_sheet"] = (with_(RAW, PARSED, DOC_LEADS)
                           + f"SELECT l.lead_idx, r.rule_idx, r.atomic FROM dleads l JOIN parsed r ON {pred(strip('l.lead_name'), 'r.')}")
+
+SQL["output_names"] = ("SELECT stem, CASE WHEN coalesce(stem, '') = '' OR stem = 'src3' THEN '匹配结果_20260101_000000' "
+                       "ELSE stem || '_匹配结果_20260101_000000' END AS output_name "
+                       "FROM (SELECT DISTINCT source AS stem FROM documents)")
+SQL["table_counts"] = (
+    "SELECT 'rules' AS \"table\", count(*)::BIGINT AS n FROM (" + with_(RAW, PARSED) + "SELECT * FROM parsed) UNION ALL "
+    "SELECT 'brands', count(*)::BIGINT FROM (" + SQL["brands_parse"] + ") UNION ALL "
+    "SELECT 'leads', count(*)::BIGINT FROM (" + SQL["leads_parse"] + ")")

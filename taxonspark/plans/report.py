@@ -60,6 +60,25 @@ def output_name(stem: str | None, stamp: str, ignore: str | None = None) -> str:
     return f"{stem}_{OUTPUT_NAME_TAG}_{stamp}"
 
 
+def output_name_col(stem, stamp: str, ignore: str | None = None):
+    """S11 as a Column (e.g. one output folder per source stem): same rule as ``output_name``."""
+    st = F.coalesce(F.col(stem) if isinstance(stem, str) else stem, F.lit(""))
+    plain = F.lit(f"{OUTPUT_NAME_TAG}_{stamp}")
+    named = F.concat(st, F.lit(f"_{OUTPUT_NAME_TAG}_{stamp}"))
+    cond = (st == "") if ignore is None else ((st == "") | (st == F.lit(ignore)))
+    return F.when(cond, plain).otherwise(named)
+
+
+def table_counts_frame(**tables: DataFrame) -> DataFrame:
+    """A6 as one small DataFrame ``(table, n)``: one partial/final count per input, unioned."""
+    frames = [df.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(name).alias("table"), "n")
+              for name, df in tables.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def match_counts(df: DataFrame) -> DataFrame:
     """A2: success / failed / total in one pass."""
     ok = F.col("method").isin(*SUCCESS_METHODS)
