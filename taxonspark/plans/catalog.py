@@ -348,6 +348,19 @@ def q_table_counts(spark, sf):
                                      leads=leads_from_table(raw_lead_sheet(spark, sf)))
 
 
+def q_workbook_roundtrip(spark, sf):
+    """Part leads written as 4 .xlsx workbooks to the shared folder, read back in parallel."""
+    import uuid
+    from ..session import checkpoint_dir_or_local
+    from ..sources.tables import header_table
+    from ..sources.workbooks import read_workbooks, write_workbooks
+    folder = f"{checkpoint_dir_or_local(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
+    leads = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("code"), "p_name")
+    write_workbooks(leads, folder, ["线索编码", "线索名称"], 4).collect()  # returns 4 paths, not data
+    raw = read_workbooks(spark, f"{folder}/*.xlsx")
+    return leads_from_table(header_table(raw)).select("lead_code", "lead_name")
+
+
 def q_result_rows(spark, sf):
     from ..params import RESULT_COLUMNS
     return _cascade_vectors(spark, sf).select("lead_idx", *RESULT_COLUMNS)
@@ -451,6 +464,7 @@ QUERIES = {
     "cascade_full": q_cascade_full,
     "cascade_vectors": q_cascade_vectors,
     "result_rows": q_result_rows,
+    "workbook_roundtrip": q_workbook_roundtrip,
     "output_names": q_output_names,
     "table_counts": q_table_counts,
     "cascade_lineitem": q_cascade_lineitem,

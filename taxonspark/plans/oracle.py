@@ -409,3 +409,5 @@ SQL["table_counts"] = (
     "SELECT 'rules' AS \"table\", count(*)::BIGINT AS n FROM (" + with_(RAW, PARSED) + "SELECT * FROM parsed) UNION ALL "
     "SELECT 'brands', count(*)::BIGINT FROM (" + SQL["brands_parse"] + ") UNION ALL "
     "SELECT 'leads', count(*)::BIGINT FROM (" + SQL["leads_parse"] + ")")
+SQL["workbook_roundtrip"] = (f"SELECT {cell('CAST(p_partkey AS VARCHAR)')} AS lead_code, {cell('p_name')} AS lead_name "
+                             f"FROM part WHERE {cell('p_name')} <> ''")

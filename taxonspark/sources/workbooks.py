@@ -165,3 +165,27 @@ def write_xlsx(rows: list[list], path: str, sheet: str = "Sheet1") -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, text)
+
+
+def write_workbooks(df: DataFrame, folder: str, header: list[str], n_files: int) -> DataFrame:
+    """Write ``df`` as ``n_files`` .xlsx workbooks (header row + one row per record), one per
+    partition, named by partition id so a retried task overwrites its own file. Returns the
+    written paths. ``folder`` must be shared by all executors (e.g. under spark.checkpoint.dir)."""
+    import os
+
+    ship_package(df.sparkSession)
+    cols = list(df.columns)
+    local = folder[len("file:"):] if folder.startswith("file:") else folder
+
+    def write(batches):
+        from pyspark import TaskContext
+        rows = [list(header)]
+        for pdf in batches:
+            rows.extend(pdf[cols].astype(object).where(pdf[cols].notna(), None).values.tolist())
+        pid = TaskContext.get().partitionId()
+        os.makedirs(local, exist_ok=True)
+        path = os.path.join(local, f"part-{pid:05d}.xlsx")
+        write_xlsx(rows, path)
+        yield pd.DataFrame({"path": [path], "rows": [len(rows) - 1]})
+
+    return df.repartition(n_files).mapInPandas(write, "path string, rows long")
