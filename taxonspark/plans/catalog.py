@@ -361,6 +361,18 @@ def q_workbook_roundtrip(spark, sf):
     return leads_from_table(header_table(raw)).select("lead_code", "lead_name")
 
 
+def q_results_sink(spark, sf):
+    """S7 + the batch job: per-text stage checkpointed, results written in input order, read back."""
+    import uuid
+    from ..params import RESULT_COLUMNS
+    from ..session import checkpoint_dir_or_local
+    from .job import run_job
+    out = f"{checkpoint_dir_or_local(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    run_job(spark, fx.part_leads(spark, sf), fx.rules(spark), fx.brands(spark, sf), out,
+            descriptions=fx.part_descriptions(spark, sf))
+    return spark.read.parquet(out).select("lead_idx", *RESULT_COLUMNS)
+
+
 def q_result_rows(spark, sf):
     from ..params import RESULT_COLUMNS
     return _cascade_vectors(spark, sf).select("lead_idx", *RESULT_COLUMNS)
@@ -464,6 +476,7 @@ QUERIES = {
     "cascade_full": q_cascade_full,
     "cascade_vectors": q_cascade_vectors,
     "result_rows": q_result_rows,
+    "results_sink": q_results_sink,
     "workbook_roundtrip": q_workbook_roundtrip,
     "output_names": q_output_names,
     "table_counts": q_table_counts,

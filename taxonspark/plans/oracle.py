@@ -411,3 +411,4 @@ SQL["table_counts"] = (
     "SELECT 'leads', count(*)::BIGINT FROM (" + SQL["leads_parse"] + ")")
 SQL["workbook_roundtrip"] = (f"SELECT {cell('CAST(p_partkey AS VARCHAR)')} AS lead_code, {cell('p_name')} AS lead_name "
                              f"FROM part WHERE {cell('p_name')} <> ''")
+SQL["results_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
