@@ -226,9 +226,17 @@ def signature_matches(hits: DataFrame, rules: DataFrame, params: Params) -> Data
             .select("hits", *RULE_OUT))
 
 
+def _materialized(df: DataFrame) -> DataFrame:
+    """Write a DataFrame used twice to the shared checkpoint folder (a reliable checkpoint),
+    so the text scan behind it runs once and the lineage is cut there."""
+    from ..session import checkpoint_dir_or_local
+    checkpoint_dir_or_local(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _match_anchor(texts, rules, text_col, keys, params):
     words = _rule_keywords(rules, params)
-    hits = keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, words)
+    hits = _materialized(keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, words))
     sig = signature_matches(hits, rules, params)
     # hot hit sets are fine here: AQE broadcasts the (small) per-set side or splits the skewed one
     return hits.where(F.size("hits") > 0).join(sig, "hits").select(*keys, *RULE_OUT)
@@ -238,7 +246,7 @@ def _left_anchor(texts, rules, text_col, keys, params, prefix):
     """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches."""
     words = _rule_keywords(rules, params)
     distinct = texts.select(text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).distinct()
-    hits = keyword_hits(distinct, text_col, [text_col], words)
+    hits = _materialized(keyword_hits(distinct, text_col, [text_col], words))
     per_set = collapse_matches(signature_matches(hits, rules, params), ["hits"], prefix)
     per_text = hits.join(per_set, "hits").drop("hits")
     out = texts.select(*keys).join(per_text, text_col, "left")
