@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,19 +39,23 @@ def load_inputs(spark: SparkSession, leads_path: str, rules_path: str, brands_pa
     rules = rules_from_table(raw_rules) if "cells" in raw_rules.columns else raw_rules
     brands = None
     if brands_path:
-        raw_brands = _load(spark, brands_path)
-        brands = brands_from_table(header_table(raw_brands)) if "cells" in raw_brands.columns else raw_brands
+        try:
+            raw_brands = _load(spark, brands_path)
+            brands = brands_from_table(header_table(raw_brands)) if "cells" in raw_brands.columns else raw_brands
+        except AnalysisException:  # a missing brand file means no verified brands (S3)
+            brands = None
     return leads, rules, brands
 
 
 def run_job(spark: SparkSession, leads: DataFrame, rules: DataFrame, brands: DataFrame | None, out_path: str,
             descriptions: DataFrame | None = None, provider: Callable[[str], str | None] | None = None,
-            params: Params = DEFAULT_PARAMS, materialize: bool = True, fmt: str = "parquet") -> dict:
+            params: Params = DEFAULT_PARAMS, materialize: bool = True, fmt: str = "parquet",
+            encoder: Callable | None = None) -> dict:
     """Run the cascade over ``leads`` and overwrite ``out_path``; returns the counts (A2)."""
     rules = collect_rules(rules, params) or rules
-    if brands is not None:
+    if brands is not None and encoder is None:
         brands = prepare_brands(brands, params) or brands
-    per_text = per_text_results(distinct_texts(leads), rules, brands, descriptions, provider, params)
+    per_text = per_text_results(distinct_texts(leads), rules, brands, descriptions, provider, params, encoder)
     if materialize and checkpoint_dir(spark):
         per_text = per_text.checkpoint(eager=True)
     cols = ["lead_idx", "lead_code", "lead_name", *(["embedding"] if "embedding" in leads.columns else [])]

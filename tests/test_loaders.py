@@ -66,3 +66,29 @@ def test_output_name():
     assert report.output_name("in", "20260101") == "in_匹配结果_20260101"
     assert report.output_name("", "t") == "匹配结果_t"
     assert report.output_name("新建文本文档", "t", "新建文本文档") == "匹配结果_t"
+
+
+def test_job_from_workbooks(spark):
+    from taxonspark.plans.job import load_inputs, result_view, run_job
+    d = tempfile.mkdtemp(prefix="wbjob-", dir="/tmp")
+    write_xlsx([["判断逻辑"], ["一级原子品类", "品类编码", "原子品类", "序号", "关键词组1"],
+                ["饮品", 12, "奶茶店", 1, "奶茶，店"], [None]], os.path.join(d, "rules.xlsx"))
+    write_xlsx([["品牌编码", "品牌名称", "品牌关键词（，表示同时包含）", "原子品类"], ["B1", "品牌甲", "", "咖啡"]],
+               os.path.join(d, "brands.xlsx"))
+    write_xlsx([["线索编码", "线索名称"], ["L1", "奶茶店"], ["L2", "品牌甲"], ["L3", " "], ["L4", "奶茶店"]],
+               os.path.join(d, "leads.xlsx"))
+    leads, rules, brands = load_inputs(spark, os.path.join(d, "leads.xlsx"), os.path.join(d, "rules.xlsx"),
+                                       os.path.join(d, "brands.xlsx"))
+    from taxonspark.operators.encode import hashed_ngrams
+    out = os.path.join(d, "out")
+    assert run_job(spark, leads, rules, brands, out, encoder=hashed_ngrams()) == {"success": 3, "failed": 0, "total": 3}
+    got = [(r["线索编码"], r["匹配方式"], r["原子品类"], r["品类编码"]) for r in result_view(spark, out).collect()]
+    assert got == [("L1", "规则", "奶茶店", "12"), ("L2", "相似度", "咖啡", ""), ("L4", "规则", "奶茶店", "12")]
+    # without an encoder there are no vectors: an exact name scores 0.5 and falls below the gate
+    out2 = os.path.join(d, "out2")
+    assert run_job(spark, leads, rules, brands, out2)["failed"] == 1
+    _, _, none = load_inputs(spark, os.path.join(d, "leads.xlsx"), os.path.join(d, "rules.xlsx"),
+                             os.path.join(d, "missing.xlsx"))
+    assert none is None
+    with pytest.raises(Exception):
+        load_inputs(spark, os.path.join(d, "leads.xlsx"), os.path.join(d, "missing_rules.xlsx"), None)
