@@ -132,6 +132,9 @@ def encode_names(names: list[str]) -> tuple:
     return mat, lens
 
 
+SCALAR_BELOW = 16
+
+
 def jaro_winkler_many(a: str | None, mat, lens):
     """E6 of one text against many names at once (numpy, exact same arithmetic as
     ``jaro_winkler``): the greedy window matching runs over the text's characters with all
@@ -143,6 +146,11 @@ def jaro_winkler_many(a: str | None, mat, lens):
     la = len(a)
     if la == 0 or n == 0:
         return out
+    if n <= SCALAR_BELOW:  # few names: the scalar routine (identical arithmetic) is cheaper
+        for j in range(n):
+            nm = mat[j, :lens[j]].astype("<i4").tobytes().decode("utf-32-le")
+            out[j] = jaro_winkler(a, nm)
+        return out
     av = np.frombuffer(a.encode("utf-32-le"), dtype=np.int32)
     width = mat.shape[1]
     window = np.maximum(np.maximum(la, lens) // 2 - 1, 0)
@@ -185,3 +193,50 @@ def jaro_winkler_many(a: str | None, mat, lens):
     prefix = np.cumprod(same, axis=1).sum(axis=1) if p > 0 else np.zeros(n, dtype=np.int64)
     boosted = sim + prefix * PREFIX_WEIGHT * (1.0 - sim)
     return np.where(sim > BOOST_GATE, boosted, sim)
+
+
+HIST_BUCKETS = 256
+
+
+def char_histograms(mat, lens):
+    """Per-name character counts in ``HIST_BUCKETS`` buckets (code point modulo the bucket
+    count). Bucketing only loosens the bound below: min(a1 + a2, b1 + b2) >= min(a1, b1) + min(a2, b2)."""
+    import numpy as np
+    n, width = mat.shape
+    hist = np.zeros((n, HIST_BUCKETS), dtype=np.int32)
+    valid = np.arange(width)[None, :] < lens[:, None]
+    rows = np.broadcast_to(np.arange(n)[:, None], mat.shape)[valid]
+    np.add.at(hist, (rows, mat[valid] % HIST_BUCKETS), 1)
+    return hist
+
+
+def jaro_winkler_upper(a: str | None, mat, lens, hist=None):
+    """An upper bound of ``jaro_winkler_many`` from character counts only: matches cannot
+    exceed the shared multiset of characters, transpositions are at least 0, and the prefix
+    boost uses the exact common prefix. Equal to the true value whenever the bound's matches
+    are all realised without transpositions (same formula, same rounding)."""
+    import numpy as np
+    a = (a or "").strip(PY_WHITESPACE)
+    n = mat.shape[0]
+    la = len(a)
+    if la == 0 or n == 0:
+        return np.zeros(n, dtype=np.float64)
+    av = np.frombuffer(a.encode("utf-32-le"), dtype=np.int32)
+    if hist is not None:
+        buckets, counts = np.unique(av % HIST_BUCKETS, return_counts=True)
+        m = np.minimum(hist[:, buckets], counts[None, :]).sum(axis=1)
+    else:
+        chars, counts = np.unique(av, return_counts=True)
+        m = np.zeros(n, dtype=np.int64)
+        for ch, ca in zip(chars, counts):
+            m += np.minimum((mat == ch).sum(axis=1), ca)
+    m = np.minimum(m, np.minimum(la, lens))
+    mf = m.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = (mf / la + mf / lens + (mf - 0) / mf) / 3.0
+    sim = np.where((m > 0) & (lens > 0), sim, 0.0)
+    width = mat.shape[1]
+    p = min(MAX_PREFIX, la, width)
+    prefix = np.cumprod(mat[:, :p] == av[None, :p], axis=1).sum(axis=1) if p > 0 else np.zeros(n, dtype=np.int64)
+    boosted = sim + prefix * PREFIX_WEIGHT * (1.0 - sim)
+    return np.where(sim > BOOST_GATE, boosted, sim)

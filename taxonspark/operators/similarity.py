@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import encode_names, jaro_winkler_many
+from ..functions.similarity import char_histograms, encode_names, jaro_winkler_many, jaro_winkler_upper
 from ..functions.text import strip
 from ..session import ship_package
 from ..params import DEFAULT_PARAMS, Params
@@ -41,7 +41,7 @@ BRAND_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
 ])
 
-_TOPK_FIRST = 32
+_TOPK_FIRST = 8
 
 
 def _fmt4(x: float) -> str:
@@ -88,12 +88,14 @@ def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dic
             sc = np.clip(c, 0.0, 1.0)
         else:
             sc = np.full(m, -np.inf)
+            # exact upper bound per brand: cosine part + Jaro-Winkler bound from shared characters
+            ub = w * c + (1.0 - w) * jaro_winkler_upper(text, names, lens, block["name_hist"])
             k = min(m, _TOPK_FIRST)
-            first = np.argpartition(-c, k - 1)[:k] if k < m else np.arange(m)
+            first = np.argpartition(-ub, k - 1)[:k] if k < m else np.arange(m)
             jw = jaro_winkler_many(text, names[first], lens[first])
             sc[first] = np.clip(w * c[first] + (1.0 - w) * jw, 0.0, 1.0)
             top = np.nanmax(sc[first]) if np.any(~np.isnan(sc[first])) else -1.0
-            need = (w * c + (1.0 - w)) >= top
+            need = ub >= top
             need[first] = False
             rest = np.nonzero(need)[0]
             if len(rest):
@@ -169,11 +171,13 @@ def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     mat, has = _to_matrix(vecs, dim)
     names = [str(x) for x in bpdf["brand_name"]]
     name_mat, name_lens = encode_names(names)
+    name_hist = char_histograms(name_mat, name_lens)
     bad = sorted({len(v) for v in vecs if v is not None and len(v) != dim})
     dim_error = f"ValueError: brand vectors have {bad[0]} and {dim} values" if bad else None
     return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": names,
             "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens, "dim_error": dim_error}
+            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens, "name_hist": name_hist,
+            "dim_error": dim_error}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:
