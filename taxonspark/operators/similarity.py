@@ -200,6 +200,7 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
     use_combined = bool(params.use_combined)
     ship_package(texts.sparkSession)
     act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    act = act & F.coalesce(F.col(text_col) != "", F.lit(False))  # a blank text is never scored
     tx = texts.select(*carry, F.col(text_col).alias("_kt"), F.col(vec_col).cast("array<float>").alias("_kv"),
                       act.alias("_ka"))
     schema = T.StructType([*[texts.schema[c] for c in carry], *_OUT_FIELDS])

@@ -171,3 +171,10 @@ def test_encoder_fills_text_and_brand_vectors(spark):
     assert (out[0]["method"], out[0]["sim_brand"], out[0]["sim_score"]) == ("相似度", "品牌甲", "1.0000")
     assert (out[1]["method"], out[1]["sim_brand"]) == ("相似度", "路边摊")
     assert out[2]["method"] == "规则"
+
+
+def test_blank_text_is_unmatched(inputs, spark):
+    rules, brands, _, desc = inputs
+    leads = spark.createDataFrame([(0, "c0", "　 ", E1), (1, "c1", "", None)], LEAD_COLS)
+    out = rows(cascade(leads, rules, brands, descriptions=desc))
+    assert out[0]["method"] == "未匹配" and out[1]["method"] == "未匹配" and out[0]["sim_brand"] == ""
