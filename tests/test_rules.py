@@ -75,3 +75,12 @@ def test_collapse_keeps_order_duplicates_and_drops_blanks(spark):
     for plan in ("literal", "anchor"):
         r = rules_left(tdf, spark.createDataFrame(rules, RULE_SCHEMA), "t", ["k", "t"], Params(rule_plan=plan)).first()
         assert (r["level1"], r["code"], r["atomic"], r["n_rules"]) == ("L；M", "100； 7 ", "X；X", 3)
+
+
+def test_special_characters_in_keywords(spark):
+    rules = [rule(0, g1=["a'b", "c\\d"]), rule(1, g5=["x\ny", "%_"], no=["\\n"]), rule(2, g1=["$1", "``"])]
+    texts = ["za'bc\\d", "x\ny", "100%_", "%_ \\n", "$1``", "a'b"]
+    want = [[r[3] for r in rules if py_match(t, r)] for t in texts]
+    assert want == [["A0"], ["A1"], ["A1"], [], ["A2"], []]
+    for plan in PLANS:
+        assert run(spark, texts, rules, plan) == want, plan
