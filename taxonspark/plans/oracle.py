@@ -412,3 +412,5 @@ SQL["table_counts"] = (
 SQL["workbook_roundtrip"] = (f"SELECT {cell('CAST(p_partkey AS VARCHAR)')} AS lead_code, {cell('p_name')} AS lead_name "
                              f"FROM part WHERE {cell('p_name')} <> ''")
 SQL["results_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
+SQL["encode_join"] = ("SELECT p_partkey AS lead_idx, 64::BIGINT AS dim, "
+                      "CASE WHEN p_name = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM part")

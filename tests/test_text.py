@@ -64,3 +64,14 @@ def test_l2_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = [r["o"] for r in df.select(tx.l2_normalize("v").alias("o")).collect()]
     assert got[0] == [0.6, 0.8] and got[1] == [0.0, 0.0]
+
+
+def test_encoder_distributed_equals_local(spark):
+    import numpy as np
+    from taxonspark.operators.encode import encode_texts, hashed_ngrams, l2_rows
+    texts = ["奶茶店", "red rod", "", "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    got = {r["k"]: np.array(r["embedding"], dtype=np.float32) for r in encode_texts(df, "t").collect()}
+    want = l2_rows(hashed_ngrams()(texts)).astype(np.float32)
+    for i in range(len(texts)):
+        assert np.array_equal(got[i], want[i])
