@@ -168,8 +168,12 @@ def reattach(leads: DataFrame, per_text: DataFrame, name_col: str = "lead_name",
              vec_col: str = "embedding") -> DataFrame:
     """J9 step 2: every lead (duplicates included) gets its text's result."""
     v = F.col(vec_col).cast("array<float>") if vec_col in leads.columns else _null("array<float>")
-    keyed = leads.withColumn("_t", strip(F.col(name_col))).withColumn("_vh", F.xxhash64(v))
-    return keyed.join(per_text, KEYS, "inner")
+    # the text crosses the shuffle once: the original name only travels where stripping changed it
+    keyed = (leads.withColumn("_t", strip(F.col(name_col))).withColumn("_vh", F.xxhash64(v))
+             .withColumn("_orig", F.when(F.col(name_col) != F.col("_t"), F.col(name_col)))
+             .drop(name_col))
+    return (keyed.join(per_text, KEYS, "inner")
+            .withColumn(name_col, F.coalesce(F.col("_orig"), F.col("_t"))).drop("_orig"))
 
 
 def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,

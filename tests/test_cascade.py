@@ -39,6 +39,7 @@ def test_decision_table(inputs):
     rules, brands, leads, desc = inputs
     out = rows(cascade(leads, rules, brands, descriptions=desc))
     assert len(out) == 7
+    assert out[0]["lead_name"] == " 奶茶店 " and out[1]["lead_name"] == "品牌甲"  # original names come back
     r = out[0]
     assert (r["level1"], r["code"], r["atomic"], r["method"], r["sim_brand"], r["sim_score"], r["llm_desc"]) == \
         ("饮品", "100", "奶茶店", "规则", "", "", "")
