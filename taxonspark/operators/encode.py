@@ -2,7 +2,9 @@
 
 The reference runs a neural sentence encoder; any encoder ``list[str] -> array (n, d)``
 can be plugged in. The built-in default hashes character 1-3-grams into ``dim`` buckets
-(deterministic, dependency-free), which is what the tests use.
+(deterministic, dependency-free), which is what the tests use. The callable travels with
+each task, so a heavy model should be loaded lazily inside it (once per Python worker) and
+not captured as a large object.
 """
 
 from __future__ import annotations

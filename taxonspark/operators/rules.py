@@ -165,9 +165,11 @@ def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], words: list[s
     token = hashlib.sha1("\x00".join(words).encode("utf-8")).hexdigest()
     key_fields = [texts.schema[k] for k in keys]
     out_schema = T.StructType([*key_fields, T.StructField("hits", T.ArrayType(T.StringType(), False), False)])
+    words_bc = texts.sparkSession.sparkContext.broadcast(words)  # shipped once per executor, not per task
 
     def scan(batches):
         import pandas as pd
+        words = words_bc.value
         auto = _automaton(token, words)
         for pdf in batches:
             found = []
