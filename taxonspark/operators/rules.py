@@ -200,13 +200,34 @@ def rule_anchors(rules: DataFrame) -> DataFrame:
             .withColumn("anchors", anchors))
 
 
-def _rule_keywords(rules: DataFrame, params: Params) -> list[str]:
-    kw_df = (rules.select(F.explode(F.concat(*[F.col(g) for g in (*GROUPS_ALL_OF, "g5", "must_not")])).alias("kw"))
-             .distinct())
-    rows = kw_df.limit(params.max_broadcast_keywords + 1).collect()
-    if len(rows) > params.max_broadcast_keywords:
-        raise ValueError(f"more than {params.max_broadcast_keywords} distinct keywords: above the automaton bound")
-    return sorted(r.kw for r in rows)
+def _keyword_frame(rules: DataFrame) -> DataFrame:
+    return (rules.select(F.explode(F.concat(*[F.col(g) for g in (*GROUPS_ALL_OF, "g5", "must_not")])).alias("kw"))
+            .distinct())
+
+
+def rule_keyword_hits(texts: DataFrame, rules: DataFrame, text_col: str, keys: list[str], params: Params) -> DataFrame:
+    """``keys + hits`` (sorted distinct rule keywords found in each text).
+
+    Up to ``max_broadcast_keywords`` keywords: one automaton, one pass. Beyond it the
+    dictionary is split by keyword hash into chunks under the bound, each chunk scanned with
+    its own automaton, and the hits merged per text (one small shuffle of keys and hit lists)."""
+    kw = _keyword_frame(rules)
+    bound = params.max_broadcast_keywords
+    rows = kw.limit(bound + 1).collect()
+    if len(rows) <= bound:
+        return keyword_hits(texts, text_col, keys, sorted(r.kw for r in rows))
+    n_total = kw.count()
+    n_chunks = -(-n_total // bound) + 1  # hash buckets are uneven; one spare chunk of headroom
+    chunked = kw.withColumn("_c", F.pmod(F.xxhash64("kw"), F.lit(n_chunks)))
+    parts = []
+    for c in range(n_chunks):  # bounded collects: each chunk holds about n_total / n_chunks words
+        words = sorted(r.kw for r in chunked.where(F.col("_c") == c).select("kw").collect())
+        if words:
+            parts.append(keyword_hits(texts, text_col, keys, words))
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    return (merged.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits")))
 
 
 def signature_matches(hits: DataFrame, rules: DataFrame, params: Params) -> DataFrame:
@@ -237,8 +258,7 @@ def _materialized(df: DataFrame) -> DataFrame:
 
 
 def _match_anchor(texts, rules, text_col, keys, params):
-    words = _rule_keywords(rules, params)
-    hits = _materialized(keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, words))
+    hits = _materialized(rule_keyword_hits(texts.where(F.col(text_col) != ""), rules, text_col, keys, params))
     sig = signature_matches(hits, rules, params)
     # hot hit sets are fine here: AQE broadcasts the (small) per-set side or splits the skewed one
     return hits.where(F.size("hits") > 0).join(sig, "hits").select(*keys, *RULE_OUT)
@@ -246,9 +266,8 @@ def _match_anchor(texts, rules, text_col, keys, params):
 
 def _left_anchor(texts, rules, text_col, keys, params, prefix):
     """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches."""
-    words = _rule_keywords(rules, params)
     distinct = texts.select(text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).distinct()
-    hits = _materialized(keyword_hits(distinct, text_col, [text_col], words))
+    hits = _materialized(rule_keyword_hits(distinct, rules, text_col, [text_col], params))
     per_set = collapse_matches(signature_matches(hits, rules, params), ["hits"], prefix)
     per_text = hits.join(per_set, "hits").drop("hits")
     out = texts.select(*keys).join(per_text, text_col, "left")

@@ -84,3 +84,16 @@ def test_special_characters_in_keywords(spark):
     assert want == [["A0"], ["A1"], ["A1"], [], ["A2"], []]
     for plan in PLANS:
         assert run(spark, texts, rules, plan) == want, plan
+
+
+def test_anchor_plan_with_chunked_keyword_dictionary(spark):
+    rules = [rule(0, g1=["a", "b"]), rule(1, g5=["c", "奶"], no=["x"]), rule(2, g2=["ab", "茶"]), rule(3, g1=["d"])]
+    texts = ["ab", "cx", "奶茶ab", "d", "abc"]
+    want = [[r[3] for r in rules if py_match(t, r)] for t in texts]
+    tdf = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+    rdf = spark.createDataFrame(rules, RULE_SCHEMA)
+    rows = match_rules(tdf, rdf, "t", ["k"], Params(rule_plan="anchor", max_broadcast_keywords=2)).collect()
+    got = {i: [] for i in range(len(texts))}
+    for r in sorted(rows, key=lambda r: (r["k"], r["rule_idx"])):
+        got[r["k"]].append(r["atomic"])
+    assert [got[i] for i in range(len(texts))] == want
