@@ -174,10 +174,10 @@ def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], words: list[s
         for pdf in batches:
             found = []
             if isinstance(auto, list):
-                for s in pdf["_t"]:
+                for s in pdf["_kh_text"]:
                     found.append([w for w in auto if s and w in s])
             else:
-                for s in pdf["_t"]:
+                for s in pdf["_kh_text"]:
                     if not s:
                         found.append([])
                         continue
@@ -187,7 +187,7 @@ def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], words: list[s
             out["hits"] = pd.Series(found, index=pdf.index, dtype=object)
             yield out
 
-    return (texts.select(*keys, F.col(text_col).alias("_t"))
+    return (texts.select(*keys, F.col(text_col).alias("_kh_text"))
             .mapInPandas(scan, out_schema))
 
 

@@ -127,9 +127,17 @@ def q_rule_unmatched(spark, sf):
 
 
 def q_rule_collapse(spark, sf):
-    docs = _leads_t(fx.document_leads(spark, sf))
-    hits = match_rules(docs, fx.rules(spark), "_t", ["lead_idx"], P)
-    return collapse_matches(hits, ["lead_idx"])
+    """A1 over whole documents: compiled rules give the collapsed columns in one projection."""
+    docs = _leads_t(fx.document_leads(spark, sf)).select("lead_idx", "_t")
+    out = rules_left(docs, fx.rules(spark), "_t", ["lead_idx", "_t"], P)
+    return out.where(F.col("n_rules") > 0).select("lead_idx", "level1", "code", "atomic", "n_rules")
+
+
+def q_rule_collapse_sheet(spark, sf):
+    """A1 with the parsed sheet's thousands of rules: anchor plan, collapsed once per hit set."""
+    docs = _leads_t(fx.document_leads(spark, sf)).select("lead_idx", "_t")
+    out = rules_left(docs, rules_from_table(raw_rule_sheet(spark, sf)), "_t", ["lead_idx", "_t"], P)
+    return out.where(F.col("n_rules") > 0).select("lead_idx", "level1", "code", "atomic", "n_rules")
 
 
 # --------------------------------------------------------------------------- loaders
@@ -454,6 +462,7 @@ QUERIES = {
     "rule_join_anchor": q_rule_join_anchor,
     "rule_unmatched": q_rule_unmatched,
     "rule_collapse": q_rule_collapse,
+    "rule_collapse_sheet": q_rule_collapse_sheet,
     "rules_parse": q_rules_parse,
     "rule_meta": q_rule_meta,
     "brands_parse": q_brands_parse,

@@ -414,3 +414,7 @@ SQL["workbook_roundtrip"] = (f"SELECT {cell('CAST(p_partkey AS VARCHAR)')} AS le
 SQL["results_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
 SQL["encode_join"] = ("SELECT p_partkey AS lead_idx, 64::BIGINT AS dim, "
                       "CASE WHEN p_name = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM part")
+SQL["rule_collapse_sheet"] = (with_(RAW, PARSED, DOC_LEADS,
+                                   f"hits AS (SELECT l.lead_idx, r.rule_idx, r.level1, r.code, r.atomic FROM dleads l "
+                                   f"JOIN parsed r ON {pred(strip('l.lead_name'), 'r.')})")
+                             + collapse("hits", "lead_idx"))

@@ -179,3 +179,10 @@ def test_blank_text_is_unmatched(inputs, spark):
     leads = spark.createDataFrame([(0, "c0", "　 ", E1), (1, "c1", "", None)], LEAD_COLS)
     out = rows(cascade(leads, rules, brands, descriptions=desc))
     assert out[0]["method"] == "未匹配" and out[1]["method"] == "未匹配" and out[0]["sim_brand"] == ""
+
+
+def test_cascade_same_under_anchor_plan(inputs):
+    rules, brands, leads, desc = inputs
+    a = rows(cascade(leads, rules, brands, descriptions=desc))
+    b = rows(cascade(leads, rules, brands, descriptions=desc, params=Params(rule_plan="anchor")))
+    assert a == b
