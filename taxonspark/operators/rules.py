@@ -162,6 +162,8 @@ def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], words: list[s
     built once per Python worker from the (size-checked) keyword list.
     """
     ship_package(texts.sparkSession)
+    if not words:  # no rule keyword at all: every hit set is empty
+        return texts.select(*keys, F.array().cast("array<string>").alias("hits"))
     token = hashlib.sha1("\x00".join(words).encode("utf-8")).hexdigest()
     key_fields = [texts.schema[k] for k in keys]
     out_schema = T.StructType([*key_fields, T.StructField("hits", T.ArrayType(T.StringType(), False), False)])

@@ -97,3 +97,9 @@ def test_anchor_plan_with_chunked_keyword_dictionary(spark):
     for r in sorted(rows, key=lambda r: (r["k"], r["rule_idx"])):
         got[r["k"]].append(r["atomic"])
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_rule_table_without_keywords(spark):
+    rules = [rule(0, no=["x"]), rule(1)]
+    for plan in PLANS:
+        assert run(spark, ["x", "abc", ""], rules, plan) == [[], [], []]
