@@ -14,7 +14,7 @@ from ..functions.text import (cell_text, clean_list, ellipsize, mask_secret, spl
                               to_int0, url_origin)
 from ..operators.describe import describe, fallback_requests
 from ..operators.keywords import keyword_hint, keyword_hint_text, keyword_top_n
-from ..operators.rules import (collapse_matches, literal_rule, match_rules, rule_predicate, rules_left)
+from ..operators.rules import literal_rule, match_rules, rule_predicate, rules_left
 from ..operators.similarity import match_by_similarity, top1
 from ..params import DEFAULT_PARAMS
 from ..sources import fixtures as fx

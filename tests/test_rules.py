@@ -1,7 +1,6 @@
 import random
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import Row
 
 from taxonspark.operators.rules import RULE_SCHEMA, match_rules, rules_left
 from taxonspark.params import Params

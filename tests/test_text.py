@@ -1,4 +1,3 @@
-import sys
 
 from pyspark.sql import functions as F
 
