@@ -246,8 +246,13 @@ def prepare_brands(brands: DataFrame, params: Params = DEFAULT_PARAMS) -> "Brand
 
 def kernel_partitions(spark, params: Params) -> int:
     """Task count for the Python kernel: its cost is per row, not per byte, so the input is
-    hash-partitioned to a fixed count (not coalesced by AQE's byte-based rule)."""
-    return params.kernel_partitions or max(2 * spark.sparkContext.defaultParallelism, 1)
+    hash-partitioned to a fixed count (not coalesced by AQE's byte-based rule): at least two
+    tasks per core and at least the shuffle partition count, which ``scale_conf`` sizes from the
+    input volume."""
+    if params.kernel_partitions:
+        return params.kernel_partitions
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2 * spark.sparkContext.defaultParallelism, shuffle, 1)
 
 
 def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schema):
