@@ -36,7 +36,10 @@ def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None
     """
     act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     if descriptions is not None:
-        d = descriptions.select(F.col("text").alias("_dkey"), F.col("description").alias("_desc"))
+        # one description per text (deterministic if a table repeats a text), so the join never
+        # multiplies result rows
+        d = (descriptions.groupBy(F.col("text").alias("_dkey"))
+             .agg(F.max(_clean(F.col("description"))).alias("_desc")))
         out = requests.join(d, requests[text_col] == d["_dkey"], "left")
         return out.select(*requests.columns, F.when(act, _clean(F.col("_desc"))).alias("description"))
     if provider is not None:

@@ -186,3 +186,9 @@ def test_cascade_same_under_anchor_plan(inputs):
     a = rows(cascade(leads, rules, brands, descriptions=desc))
     b = rows(cascade(leads, rules, brands, descriptions=desc, params=Params(rule_plan="anchor")))
     assert a == b
+
+
+def test_repeated_description_rows_do_not_multiply_results(inputs, spark):
+    rules, brands, leads, desc = inputs
+    twice = desc.unionByName(desc).unionByName(spark.createDataFrame([("描述不中", None)], "text string, description string"))
+    assert rows(cascade(leads, rules, brands, descriptions=twice)) == rows(cascade(leads, rules, brands, descriptions=desc))
