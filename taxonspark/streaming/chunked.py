@@ -37,9 +37,15 @@ def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_
               .parquet(leads_path))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        out = cascade(batch, rules, brands, descriptions=descriptions, provider=provider, params=params)
-        (out.sortWithinPartitions("lead_idx").write.mode("overwrite")
-         .parquet(f"{out_path}/batch_id={batch_id}"))
+        # a micro-batch is bounded (maxFilesPerTrigger); keep it for its two passes
+        # (distinct texts and re-attachment) instead of reading its files twice
+        batch.persist()
+        try:
+            out = cascade(batch, rules, brands, descriptions=descriptions, provider=provider, params=params)
+            (out.sortWithinPartitions("lead_idx").write.mode("overwrite")
+             .parquet(f"{out_path}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(process)
          .option("checkpointLocation", checkpoint_path)
