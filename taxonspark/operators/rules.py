@@ -259,7 +259,14 @@ def _materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _anchor_rules(rules: DataFrame) -> DataFrame:
+    """The rule table is read several times by the anchor plan (keywords, size check, anchors):
+    materialise it once (only the columns the plan needs)."""
+    return _materialized(rules.select(*RULE_OUT, *GROUPS_ALL_OF, "g5", "must_not"))
+
+
 def _match_anchor(texts, rules, text_col, keys, params):
+    rules = _anchor_rules(rules)
     hits = _materialized(rule_keyword_hits(texts.where(F.col(text_col) != ""), rules, text_col, keys, params))
     sig = signature_matches(hits, rules, params)
     # hot hit sets are fine here: AQE broadcasts the (small) per-set side or splits the skewed one
@@ -268,6 +275,7 @@ def _match_anchor(texts, rules, text_col, keys, params):
 
 def _left_anchor(texts, rules, text_col, keys, params, prefix):
     """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches."""
+    rules = _anchor_rules(rules)
     distinct = texts.select(text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).distinct()
     hits = _materialized(rule_keyword_hits(distinct, rules, text_col, [text_col], params))
     per_set = collapse_matches(signature_matches(hits, rules, params), ["hits"], prefix)
