@@ -38,10 +38,18 @@ def clean_list(arr) -> Column:
     return F.filter(F.transform(a, lambda x: F.coalesce(strip(x), F.lit(""))), lambda x: x != "")
 
 
+_WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]"
+
+
 def split_keywords(c) -> Column:
-    """Split a keyword cell on ``,`` ``，`` ``、``; strip; drop blanks."""
-    text = _c(c).cast("string")
-    return clean_list(F.split(F.coalesce(text, F.lit("")), f"[{KEYWORD_SEPARATORS}]"))
+    """Split a keyword cell on ``,`` ``，`` ``、``; strip each piece; drop blanks.
+
+    Lambda-free (code-generated): whitespace next to a separator is removed with one regex,
+    the cell is stripped, split, and empty pieces are removed."""
+    text = F.coalesce(_c(c).cast("string"), F.lit(""))
+    seps = f"[{KEYWORD_SEPARATORS}]"
+    tight = F.regexp_replace(text, f"{_WS_CLASS}*({seps}){_WS_CLASS}*", "$1")
+    return F.array_remove(F.split(strip(tight), seps), "")
 
 
 def to_int0(c) -> Column:
