@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from .text import PY_WHITESPACE, strip
 
+# The published Jaro-Winkler parameters the results must match
+# (prefix weight 0.1, at most 4 prefix characters, boost only when Jaro exceeds 0.7).
 PREFIX_WEIGHT = 0.1
 MAX_PREFIX = 4
 BOOST_GATE = 0.7

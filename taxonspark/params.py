@@ -55,7 +55,7 @@ class Params:
     fallback_threshold: float = 0.9
     unmatched_marker: str = DEFAULT_UNMATCHED_MARKER
     unmatched_aliases: tuple[str, ...] = DEFAULT_UNMATCHED_ALIASES
-    vector_weight: float = 0.5
+    vector_weight: float = 0.5               # fixed default of the reference: 0.5 cosine / 0.5 Jaro-Winkler
     use_combined: bool = True
     max_keyword_examples: int = 10
     max_keyword_hint_chars: int = 120
