@@ -92,3 +92,13 @@ def test_job_from_workbooks(spark):
     assert none is None
     with pytest.raises(Exception):
         load_inputs(spark, os.path.join(d, "leads.xlsx"), os.path.join(d, "missing_rules.xlsx"), None)
+
+
+def test_append_results_chunks(spark):
+    d = tempfile.mkdtemp(prefix="append-", dir="/tmp") + "/out"
+    df = spark.createDataFrame([(i, f"c{i}", "规则") for i in range(10)], "lead_idx long, lead_code string, method string")
+    report.append_results(df.where("lead_idx < 5"), d)
+    report.append_results(df.where("lead_idx >= 5"), d)
+    report.append_results(df.where("lead_idx > 100"), d)  # an empty chunk adds no rows
+    back = spark.read.parquet(d)
+    assert back.count() == 10 and sorted(r["lead_idx"] for r in back.collect()) == list(range(10))
