@@ -26,7 +26,8 @@ def _clean(desc) -> F.Column:
 
 
 def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None = None,
-             provider: Callable[[str], str | None] | None = None, active=None) -> DataFrame:
+             provider: Callable[[str], str | None] | None = None, active=None,
+             provider_tasks: int = 0) -> DataFrame:
     """``requests`` plus ``description`` (stripped; blank, missing or failed -> null).
 
     ``descriptions`` has columns ``text, description`` with one row per text; the join is a
@@ -62,7 +63,10 @@ def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None
                 pdf["description"] = pd.Series(out, dtype=object)
                 yield pdf
 
-        described = requests.withColumn("_act", act).mapInPandas(call, schema).drop("_act")
+        staged = requests.withColumn("_act", act)
+        if provider_tasks > 0:  # bound the concurrent calls to a rate-limited service
+            staged = staged.repartition(provider_tasks)
+        described = staged.mapInPandas(call, schema).drop("_act")
         return described.withColumn("description", _clean(F.col("description")))
     return requests.withColumn("description", F.lit(None).cast("string"))
 

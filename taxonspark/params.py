@@ -73,6 +73,8 @@ class Params:
     grid_buckets: int = 0                   # fixed text-bucket count for the grid (0: from text_block_rows)
     kernel_batch_cells: int = 4_000_000     # text x brand score cells per numpy block
     kernel_partitions: int = 0              # tasks for the similarity kernel (0: 2 x defaultParallelism)
+    provider_tasks: int = 0                 # at most this many tasks call a describer callable at once
+                                            # (0: no cap; the reference runs 8 calls at a time)
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":

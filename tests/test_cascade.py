@@ -86,6 +86,7 @@ def test_provider_callable(inputs):
 
     out = rows(cascade(leads, rules, brands, provider=provider))
     assert out[4]["method"] == "搜索后匹配" and out[2]["llm_desc"] == EMPTY_DESCRIPTION
+    assert rows(cascade(leads, rules, brands, provider=provider, params=Params(provider_tasks=2))) == out
 
 
 def test_reports(inputs):
