@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid
+from . import decontam, jaccard, langid, linededup, spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op6_language_id)}
-SQL = {"op1_decontaminate": decontam.SQL, "op2_ngram_jaccard": jaccard.SQL}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+
+
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op6_language_id, op7_line_dedup, op10_sentence_spans)}
+SQL = {"op1_decontaminate": decontam.SQL, "op2_ngram_jaccard": jaccard.SQL, "op7_line_dedup": linededup.SQL}
