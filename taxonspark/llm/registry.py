@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, linededup, spans
+from . import decontam, jaccard, langid, lattice, linededup, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,15 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeated_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op6_language_id, op7_line_dedup, op10_sentence_spans)}
-SQL = {"op1_decontaminate": decontam.SQL, "op2_ngram_jaccard": jaccard.SQL, "op7_line_dedup": linededup.SQL}
+def op8_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op6_language_id, op7_line_dedup, op10_sentence_spans,
+                                   op8_e8_lattice, op3_warc)}
+SQL = {"op1_decontaminate": decontam.SQL, "op2_ngram_jaccard": jaccard.SQL, "op7_line_dedup": linededup.SQL,
+       "op8_e8_lattice": lattice.SQL, "op3_warc": warc.SQL}
