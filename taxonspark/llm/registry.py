@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, jaccard, langid, lattice, linededup, spans, warc
+from . import decontam, htmltext, jaccard, langid, lattice, licenses, linededup, mixing, spans, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,15 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.visible_text(_table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_jaccard, op6_language_id, op7_line_dedup, op10_sentence_spans,
-                                   op8_e8_lattice, op3_warc, op5_html_text)}
+                                   op8_e8_lattice, op3_warc, op5_html_text, op4_license_scan, op9_mixing)}
 SQL = {"op1_decontaminate": decontam.SQL, "op2_ngram_jaccard": jaccard.SQL, "op7_line_dedup": linededup.SQL,
        "op8_e8_lattice": lattice.SQL, "op3_warc": warc.SQL}
