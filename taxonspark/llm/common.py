@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,21 +49,13 @@ def small_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-class WordHash(dict):
-    """word (bytes) -> signed 64-bit hash, remembered per Python worker up to ``LIMIT`` words."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
-
-
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
-                  0xA0761D6478BD642F], dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER[65:91] += np.uint64(32)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of _BASE and of its inverse mod 2^64
+CHUNK = 1 << 20  # bytes of text that are hashed at once, if a text or word isn't longer
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -71,20 +64,73 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes, cache: WordHash, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes (int64) of the ``k``-word shingles of ``text``: A-Z lower-cased,
-    words split at ASCII white space. Fewer than ``k`` words: the whole sequence as one shingle;
-    none: empty. Word hashes are combined by position, so order counts."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
-    w = np.fromiter(map(cache.__getitem__, words), np.int64, n).view(np.uint64)
-    m = min(k, n)
-    acc = np.full(n - m + 1, m, np.uint64)
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        n = max(n, CHUNK)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return _POWERS
+
+
+def word_hashes(text: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text`` (uint8), A-Z lower-cased and split at ASCII white space and
+    at the offsets ``breaks``, and the words' starts. A word's hash is a polynomial of its bytes,
+    taken from prefix sums, then mixed with its length."""
+    word = ~_SPACE[text]
+    n = len(text)
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    cut = breaks[(breaks > 0) & (breaks < n)]
+    first[cut] = word[cut]
+    last[cut - 1] = word[cut - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LOWER[text] * up[:n], out=sums[1:])
+    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def _hash_runs(words: np.ndarray, m: int) -> np.ndarray:
+    """Hashes (int64) of all runs of ``m`` words; the order of the words counts."""
+    n = len(words) - m + 1
+    acc = np.full(n, m, np.uint64)
     for i in range(m):
-        acc = acc * np.uint64(0x100000001B3) + w[i:n - m + 1 + i] * _MULT[i % 5]
-    return np.unique(mix64(acc).view(np.int64))
+        acc = acc * np.uint64(0xD6E8FEB86659FD93) + words[i:n + i]
+    return mix64(acc).view(np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct 64-bit hashes) of the ``k``-word shingles of every text (binary): A-Z
+    lower-cased, words split at ASCII white space. Fewer than ``k`` words: the whole sequence as
+    one shingle; null or no word: empty. The column's own buffer is read, nothing is copied per word."""
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    width = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], width)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+        words, start = word_hashes(data[at[lo]:at[hi]], at[lo:hi] - at[lo])
+        bounds = np.searchsorted(start, at[lo:hi + 1] - at[lo])
+        every = _hash_runs(words, k) if len(words) >= k else None
+        for i in range(lo, hi):
+            a, z = int(bounds[i - lo]), int(bounds[i - lo + 1])
+            if z - a >= k:
+                yield i, _distinct(every[a:z - k + 1])
+            else:
+                yield i, _hash_runs(words[a:z], z - a) if z > a else np.empty(0, np.int64)
+        lo = hi
 
 
 def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:

@@ -9,7 +9,7 @@ fingerprint) from the start.
   condition, so this side needs no verification, and one key's members link through its least ones.
 * **Heavy** sets are joined by scanning inverted lists of the shingles of their prefix (the first
   n - ceil(threshold * n) + 1 in the order rare to frequent; two linked sets share one there).
-  Size, index-prefix and position bounds thin a list out; pairs are verified on the whole sets.
+  Pairs of fitting sizes that share enough prefix shingles are verified on the whole sets.
 * The boundary is the one of least cost (listed subsets + scanned list entries) by the size
   histogram; sets near it go to both sides, so that each pair of sizes is met on one.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, components, shingle_hashes, small_broadcast, staged, workers
+from .common import components, shingle_sets, small_broadcast, staged, workers
 
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
 ORDERED_SHINGLES = 200_000
@@ -65,12 +65,13 @@ def _profile(words: int):
     """mapInArrow (doc_id, text) -> kind 0: (doc_id, set size, fingerprint); kind 1: (shingle, documents
     of this batch that have it, null) for shingles frequent in the batch, which order the prefixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in batches:
-            sets = [shingle_hashes(t, cache, words) if t else np.empty(0, np.int64) for t in b.column(1).to_pylist()]
-            k, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.int64), return_counts=True)
-            often = n >= max(2, b.num_rows // 1000)
-            k, n = k[often], n[often]
+            sets = [s for _, s in shingle_sets(b.column(1), words)]
+            every = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            least = max(2, b.num_rows // 1000)
+            bucket = every & 0xFFFFF  # a shingle is at most as frequent as its bucket
+            k, n = np.unique(every[np.bincount(bucket, minlength=1 << 20)[bucket] >= least], return_counts=True)
+            k, n = k[n >= least], n[n >= least]
             ids = pa.concat_arrays([b.column(0), pa.array(k)])
             size = np.concatenate((np.array([len(s) for s in sets], np.int64), n))
             fp = [_fingerprint(s) if len(s) else None for s in sets] + [None] * len(k)
@@ -98,7 +99,7 @@ def _keys(words: int, threshold: int, boundary: int, hot):
     """mapInArrow (text) -> (token, fp, n, pos): pos >= 0 is a prefix shingle's place, -1 a subset of a
     set with partners of its own size, -2 one with partners of another size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHash(), set()
+        seen = set()
         keys, rank = hot.value  # sorted frequent shingles and their place in the order
         bits = np.zeros(1 << 22, bool)
         bits[keys & 0x3FFFFF] = True
@@ -110,8 +111,7 @@ def _keys(words: int, threshold: int, boundary: int, hot):
                 for col, v in zip(out, (token, np.full(m, fp, np.int64), np.full(m, n, np.int32), pos), strict=True):
                     col.append(v)
 
-            for t in b.column(0).to_pylist():
-                s = shingle_hashes(t, cache, words) if t else ()
+            for _, s in shingle_sets(b.column(0), words):
                 n = len(s)
                 if not n or (fp := _fingerprint(s)) in seen:
                     continue
@@ -142,8 +142,8 @@ def _keys(words: int, threshold: int, boundary: int, hot):
 
 def _lists(threshold: int):
     """mapInArrow over a hash partition of keys: drops keys of one set; kind 0 keeps the entries
-    (token, fp, n, pos) of prefix shingles with several; kind 1: neighbours (fp, fp) in such a list
-    that pass the bounds; kind 2: links (fp, fp) by subsets, each to a least member of its key."""
+    (token, fp, n, pos) of prefix shingles with several; kind 1: neighbours (fp, fp, n, n) in such a
+    list that pass the bounds; kind 2: links (fp, fp) by subsets, each to a least member of its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
@@ -173,8 +173,7 @@ def _lists(threshold: int):
         pair = (token[1:] == token[:-1]) & heavy[1:]
         a, b = np.flatnonzero(pair), np.flatnonzero(pair) + 1
         ok = _bounds(n[a].astype(np.int64), pos[a], n[b].astype(np.int64), pos[b], threshold)
-        zeros = np.zeros(int(ok.sum()), np.int32)
-        yield rows(1, fp[a][ok], fp[b][ok], zeros, zeros)
+        yield rows(1, fp[a][ok], fp[b][ok], n[a][ok], n[b][ok])
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         head = np.flatnonzero(start)[np.cumsum(start) - 1]
@@ -194,17 +193,18 @@ def _bounds(n1, p1, n2, p2, threshold: int):
             & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need(n1, n2, threshold)))
 
 
-def _bounds_sql(threshold: int) -> str:
+def _shared_sql(threshold: int) -> str:
+    """How many shingles two linked sets share in their prefixes at least: the others lie behind the
+    prefix of the one whose prefix ends first."""
     t = threshold
-    return (f"100 * n1 >= {t} * n2 and p1 < n1 - ceil({2 * t} * n1 / {100 + t}) + 1 "
-            f"and 1 + least(n1 - p1 - 1, n2 - p2 - 1) >= ceil({t} * (n1 + n2) / {100 + t})")
+    behind = "ceil({0} * n{1} / 100) - 1"
+    return f"ceil({t} * (n1 + n2) / {100 + t}) - greatest({behind.format(t, 1)}, {behind.format(t, 2)})"
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for b in batches:
-            sets = [s for t in b.column(0).to_pylist() if t and len(s := shingle_hashes(t, cache, words))]
+            sets = [s for _, s in shingle_sets(b.column(0), words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()),
                                               pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
     return run
@@ -215,8 +215,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, t
     fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     ids = staged(nodes.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_i")).select("_i"), "ids")
     some = docs.join(small_broadcast(ids, 500_000), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
-    sets = staged(some.select("_t").mapInArrow(_sets(words), "fp long, s array<long>").join(fps, "fp", "left_semi")
-                  .dropDuplicates(["fp"]), "sets")
+    # rows that repeat an id can give a set twice or one not asked for: both do no harm to the joins
+    sets = staged(some.select("_t").mapInArrow(_sets(words), "fp long, s array<long>"), "sets")
     both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
             .withColumn("o", F.size(F.array_intersect("sa", "sb")).cast("long")))
@@ -253,7 +253,9 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
         _lists(threshold), "kind int, token long, fp long, n int, pos int"), "lists")
     entries = lists.where("kind = 0").select("token", "fp", "n", "pos")
     sure = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
-    near = lists.where("kind = 1").groupBy(F.col("token").alias("a"), F.col("fp").alias("b")).count()
+    near = lists.where("kind = 1").groupBy(F.col("token").alias("a"), F.col("fp").alias("b"), F.col("n").alias("n1"), F.col("pos").alias("n2")).count()
+    # neighbours see only some of the shingles that they share: half as many will do for a try
+    near = near.where(f"2 * count >= {_shared_sql(threshold)}")
     best = staged(near.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")), "best")
     links = staged(_verified(docs, nodes, best, words, threshold).unionByName(sure), "links")
     comp = components(links, "first")
@@ -263,10 +265,10 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
     tagged = staged(tagged, "tagged")
     open_tokens = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     left = staged(tagged.join(open_tokens, "token", "left_semi"), "open")
-    one = left.select("token", *(F.col(x).alias(f"{y}1") for x, y in (("fp", "f"), ("n", "n"), ("pos", "p"), ("c", "c"))))
-    two = left.select("token", *(F.col(x).alias(f"{y}2") for x, y in (("fp", "f"), ("n", "n"), ("pos", "p"), ("c", "c"))))
-    rest = (one.join(two, "token").where("c1 <> c2 and (n1 < n2 or n1 = n2 and f1 < f2)").where(F.expr(_bounds_sql(threshold)))
-            .select(F.col("f1").alias("a"), F.col("f2").alias("b")).distinct())
+    one, two = (left.select("token", *(F.col(x).alias(f"{y}{i}") for x, y in (("fp", "f"), ("n", "n"), ("c", "c")))) for i in (1, 2))
+    rest = (one.join(two, "token").where(f"c1 <> c2 and (n1 < n2 or n1 = n2 and f1 < f2) and 100 * n1 >= {threshold} * n2")
+            .groupBy(F.col("f1").alias("a"), F.col("f2").alias("b"), "n1", "n2").count()
+            .where(f"count >= {_shared_sql(threshold)}").select("a", "b"))
     rest = staged(rest, "rest")
     more = staged(_verified(docs, nodes, rest, words, threshold), "more")
     comp = staged(components(links.unionByName(more), "all"), "comp")
