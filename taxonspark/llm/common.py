@@ -74,10 +74,10 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(text: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of ``text`` (uint8), A-Z lower-cased and split at ASCII white space and
-    at the offsets ``breaks``, and the words' starts. A word's hash is a polynomial of its bytes,
-    taken from prefix sums, then mixed with its length."""
+    at the offsets ``breaks``, with the words' starts and ends. A word's hash is a polynomial of its
+    bytes, taken from prefix sums (over a few MB at a time), then mixed with its length."""
     word = ~_SPACE[text]
     n = len(text)
     first, last = word.copy(), word.copy()
@@ -87,10 +87,24 @@ def word_hashes(text: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     first[cut] = word[cut]
     last[cut - 1] = word[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[text] * up[:n], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + 4 * CHUNK, "right")))
+        a, s, e = start[lo], start[lo:hi] - start[lo], end[lo:hi] - start[lo]
+        up, down = _powers(int(e[-1]))
+        sums = np.zeros(int(e[-1]) + 1, np.uint64)
+        np.cumsum(_LOWER[text[a:a + int(e[-1])]] * up[:int(e[-1])], out=sums[1:])
+        out[lo:hi] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out, start, end
+
+
+def range_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes (int64) of the word ranges [lo, hi) by prefix sums of a polynomial of ``words``."""
+    up, down = _powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:len(words)], out=sums[1:])
+    return mix64((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
 
 
 def _hash_runs(words: np.ndarray, m: int) -> np.ndarray:
@@ -109,10 +123,9 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit hashes) of the ``k``-word shingles of every text (binary): A-Z
-    lower-cased, words split at ASCII white space. Fewer than ``k`` words: the whole sequence as
-    one shingle; null or no word: empty. The column's own buffer is read, nothing is copied per word."""
+def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets with the end) of runs of rows of about ``CHUNK`` bytes of a binary
+    column; null counts as empty. The column's own buffer is read, nothing is copied."""
     if texts.null_count:
         texts = texts.fill_null(b"")
     width = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
@@ -121,16 +134,24 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
-        words, start = word_hashes(data[at[lo]:at[hi]], at[lo:hi] - at[lo])
-        bounds = np.searchsorted(start, at[lo:hi + 1] - at[lo])
+        yield lo, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+        lo = hi
+
+
+def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct 64-bit hashes) of the ``k``-word shingles of every text (binary): A-Z
+    lower-cased, words split at ASCII white space. Fewer than ``k`` words: the whole sequence as
+    one shingle; null or no word: empty."""
+    for lo, data, at in text_chunks(texts):
+        words, start, _ = word_hashes(data, at[:-1])
+        bounds = np.searchsorted(start, at)
         every = _hash_runs(words, k) if len(words) >= k else None
-        for i in range(lo, hi):
-            a, z = int(bounds[i - lo]), int(bounds[i - lo + 1])
+        for i in range(len(at) - 1):
+            a, z = int(bounds[i]), int(bounds[i + 1])
             if z - a >= k:
-                yield i, _distinct(every[a:z - k + 1])
+                yield lo + i, _distinct(every[a:z - k + 1])
             else:
-                yield i, _hash_runs(words[a:z], z - a) if z > a else np.empty(0, np.int64)
-        lo = hi
+                yield lo + i, _hash_runs(words[a:z], z - a) if z > a else np.empty(0, np.int64)
 
 
 def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:

@@ -1,10 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (at line ends and after . ! ? before white space; a sentence of more
-than ``MAX_WORDS`` words is cut further, every ``MAX_WORDS`` words). Every run of ``run`` consecutive
-sentences with at least ``min_words`` words is hashed (128 bits over lower-cased words). A run that
-occurs more than once keeps its first occurrence, by (doc_id, place); the sentences that any
-other occurrence covers are removed from their texts.
+A text is cut into sentences: after a word that ends in . ! or ?, at line ends, and, so that endless sentences
+have pieces too, after words chosen by their hash (one in ``PIECES``). The runs that are hashed
+(128 bits over lower-cased words) are, from every sentence forward and from every sentence's end backward, the shortest of
+at least ``run`` sentences and ``min_words`` words: any repeated passage that is a little longer is
+covered by such runs from its first whole sentence to its last. A run that occurs more than once
+keeps its first occurrence, by (doc_id, place); the sentences that any other occurrence covers go.
 
 The hashes are grouped by a partial and a final min/max of doc_id, so a run in a third of all documents
 sends one row per task; occurrences then meet the repeated runs in a join whose hot keys can be split.
@@ -12,109 +13,102 @@ sends one row per task; occurrences then meet the repeated runs in a join whose
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_broadcast, staged, workers
-
-MAX_WORDS = 10
-_END = re.compile(rb"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
-_PIECE = re.compile(rb"(?:\S+\s+){%d}(?=\S)" % MAX_WORDS)
-
-
-def sentence_starts(text: bytes) -> list[int]:
-    """Byte offsets where the sentences begin (each lasts to the next one's start); none: no words."""
-    ends = [m.end() for m in _END.finditer(text)]
-    first = len(text) - len(text.lstrip())
-    starts = [first, *(e for e in ends if first < e < len(text))] if first < len(text) else []
-    out = []
-    for a, z in zip(starts, [*starts[1:], len(text)], strict=True):
-        out.append(a)
-        if z - a > 2 * MAX_WORDS:
-            out += [m.end() for m in _PIECE.finditer(text, a, z)]
-    return out
-
-
-def runs(text: bytes, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (m x 2, int64) and first sentences of the text's runs, and its number of sentences."""
-    starts = sentence_starts(text)
-    n, none = len(starts), np.empty(0, np.int64)
-    if n < run:
-        return none.reshape(0, 2), none, n
-    low = text.lower()
-    units = [low[a:z].split() for a, z in zip(starts, [*starts[1:], len(text)], strict=True)]
-    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(u)) for u in units]), np.uint64).reshape(n, 2)
-    words = np.fromiter(map(len, units), np.int64, n)
-    m = n - run + 1
-    acc, total = np.full((m, 2), run, np.uint64), np.zeros(m, np.int64)
-    for i in range(run):
-        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i:m + i])
-        total += words[i:m + i]
-    at = np.flatnonzero(total >= min_words)
-    return acc[at].view(np.int64), at, n
+from .common import mix64, range_hashes, staged, text_chunks, word_hashes, workers
+
+PIECES = 16
+_STOP = np.zeros(256, bool)
+_STOP[[33, 46, 63]] = True  # ! . ?
+
+
+def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over the texts ``data[at[i]:at[i + 1]]``: word hashes; the first word of every sentence, with
+    the number of words at the end; the byte offsets of the sentences; the number of the first
+    sentence of every text, with the total at the end."""
+    words, start, end = word_hashes(data, at[:-1])
+    if not len(words):
+        return words, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    lines = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(data == 10, out=lines[1:])
+    new = np.ones(len(words), bool)  # whether a sentence begins with this word
+    new[1:] = _STOP[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]]) | (words[:-1] % np.uint64(PIECES) == 0)
+    texts = np.searchsorted(start, at[:-1])
+    new[texts[texts < len(words)]] = True
+    first = np.flatnonzero(new)
+    return words, np.append(first, len(words)), start[first], np.searchsorted(first, np.append(texts, len(words)))
+
+
+def runs(bounds: np.ndarray, texts: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, end sentence) of all runs; ``bounds`` and ``texts`` as ``sentences`` gives them."""
+    n = len(bounds) - 1
+    here = np.arange(n)
+    text = np.searchsorted(texts, here, "right") - 1
+    fwd = np.maximum(np.searchsorted(bounds, bounds[:-1] + min_words), here + run)
+    ok = fwd <= texts[text + 1]
+    back = np.minimum(np.searchsorted(bounds, bounds[1:] - min_words, "right") - 1, here + 1 - run)
+    ko = back >= texts[text]
+    key = np.unique(np.concatenate((here[ok] << 32 | fwd[ok], back[ko] << 32 | here[ko] + 1)))
+    return key >> 32, key & 0xFFFFFFFF
 
 
 def _emit(run: int, min_words: int):
-    """mapInArrow (doc_id, text) -> (h1, h2, doc_id, pos, again): every run; again: not the document's first such run."""
+    """mapInArrow (doc_id, text) -> (h1, h2, doc_id, at, again): every run; at: its first sentence and
+    length as one number; again: not the document's first such run."""
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                hs, ats, ids, again = [], [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if t is None or i is None:
-                        continue
-                    h, at, _ = runs(t, run, min_words)
-                    if len(at):
-                        first = np.zeros(len(at), bool)
-                        order = np.lexsort((at, h[:, 1], h[:, 0]))
-                        s = h[order]
-                        first[order] = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))
-                        hs.append(h)
-                        ats.append(at)
-                        ids.append(np.full(len(at), i, np.int64))
-                        again.append(~first)
-                if hs:
-                    h = np.concatenate(hs)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.concatenate(ids)),
-                         pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(again))],
-                        ["h1", "h2", "doc_id", "pos", "again"])
-    return go
-
-
-def _cut(run: int):
-    """mapInArrow (doc_id, text, runs to remove) -> doc_id, text, n_sentences, n_removed."""
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                texts, total, removed = [], [], []
-                for t, at in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    starts = sentence_starts(t) if t is not None else []
-                    drop = np.zeros(len(starts), bool)
-                    for p in at or ():
-                        drop[p:p + run] = True
-                    if drop.any():
-                        bounds = [*starts, len(t)]
-                        t = t[:bounds[0]] + b"".join(t[bounds[k]:bounds[k + 1]] for k in np.flatnonzero(~drop))
-                    texts.append(None if t is None else t.decode("utf-8", "replace"))
-                    total.append(len(starts))
-                    removed.append(int(drop.sum()))
+            b = b.filter(b.column(0).is_valid())
+            ids = b.column(0).to_numpy()
+            for lo, data, at in text_chunks(b.column(1)):
+                words, bounds, _, texts = sentences(data, at)
+                a, z = runs(bounds, texts, run, min_words)
+                if not len(a):
+                    continue
+                text = np.searchsorted(texts, a, "right") - 1
+                h1 = range_hashes(words, bounds[a], bounds[z])
+                h2 = range_hashes(mix64(words ^ np.uint64(0xA0761D6478BD642F)), bounds[a], bounds[z])
+                order = np.lexsort((a, h2, h1, text))
+                again = np.zeros(len(a), bool)
+                same = (text[order][1:] == text[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+                again[order[1:]] = same
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                    ["doc_id", "text", "n_sentences", "n_removed"])
+                    [pa.array(h1), pa.array(h2), pa.array(ids[lo + text]), pa.array((a - texts[text]) << 16 | (z - a)), pa.array(again)],
+                    ["h1", "h2", "doc_id", "at", "again"])
     return go
 
 
-def drop_repeated_spans(docs: DataFrame, *, run: int = 3, min_words: int = 10, doc_id: str = "doc_id",
-                        text: str = "text", max_broadcast_runs: int = 1_000_000) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow (doc_id, text, runs to remove) -> doc_id, text, n_sentences, n_removed."""
+    for b in batches:
+        valid, drops = b.column(1).is_valid().to_pylist(), b.column(2)
+        for lo, data, at in text_chunks(b.column(1)):
+            _, _, offsets, texts = sentences(data, at)
+            out, total, removed = [], np.diff(texts), np.zeros(len(at) - 1, np.int64)
+            raw = data.tobytes()
+            for i in range(len(at) - 1):
+                t = raw[at[i]:at[i + 1]]
+                gone = np.array(drops[lo + i].as_py() or (), np.int64)
+                if len(gone):
+                    depth = np.zeros(total[i] + 1, np.int64)
+                    np.add.at(depth, gone >> 16, 1)
+                    np.add.at(depth, (gone >> 16) + (gone & 0xFFFF), -1)
+                    keep = np.cumsum(depth[:-1]) == 0
+                    edge = np.append(offsets[texts[i]:texts[i + 1]] - at[i], len(t))
+                    t = t[:edge[0]] + b"".join([t[edge[k]:edge[k + 1]] for k in np.flatnonzero(keep)])
+                    removed[i] = len(keep) - keep.sum()
+                out.append(t.decode("utf-8", "replace") if valid[lo + i] else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(lo, len(out)), pa.array(out, pa.string()), pa.array(total.astype(np.int64)), pa.array(removed)],
+                ["doc_id", "text", "n_sentences", "n_removed"])
+
+
+def drop_repeated_spans(docs: DataFrame, *, run: int = 3, min_words: int = 20, doc_id: str = "doc_id",
+                        text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text without the sentences of non-first repeated runs,
     n_sentences, n_removed.
 
@@ -123,11 +117,10 @@ def drop_repeated_spans(docs: DataFrame, *, run: int = 3, min_words: int = 10, d
     all repeated becomes empty; an empty table gives no rows; other columns are not read."""
     workers(docs)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_t"))
-    spans = docs.mapInArrow(_emit(run, min_words), "h1 long, h2 long, doc_id long, pos int, again boolean")
+    spans = docs.mapInArrow(_emit(run, min_words), "h1 long, h2 long, doc_id long, at long, again boolean")
     whole = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = staged(whole.where("first < last").select("h1", "h2", "first"), "runs")
-    hit = spans.join(small_broadcast(repeated, max_broadcast_runs), ["h1", "h2"], "left").where("again or doc_id <> first")
-    drops = staged(hit.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set("pos")).alias("_at")), "drops")
-    cells = drops.agg(F.sum(F.size("_at"))).first()[0] or 0
-    marked = docs.join(F.broadcast(drops) if cells <= 2 * max_broadcast_runs else drops, F.col("doc_id") == F.col("_d"), "left")
-    return marked.select("doc_id", "_t", "_at").mapInArrow(_cut(run), "doc_id long, text string, n_sentences long, n_removed long")
+    hit = spans.join(repeated, ["h1", "h2"], "left").where("again or doc_id <> first")
+    drops = staged(hit.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("_at")), "drops")
+    marked = docs.join(drops, F.col("doc_id") == F.col("_d"), "left")
+    return marked.select("doc_id", "_t", "_at").mapInArrow(_cut, "doc_id long, text string, n_sentences long, n_removed long")
