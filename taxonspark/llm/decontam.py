@@ -127,6 +127,8 @@ def _count_shingles(index, grams):
 
 def _hits(ids: np.ndarray, ix: Windows, prefixes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Starts and window numbers of all exact occurrences."""
+    if not ix.windows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     lens = np.array([len(w) for w in ix.windows], np.int64)
     flat = np.concatenate([np.array(w, np.int64) for w in ix.windows])
     first = np.concatenate(([0], np.cumsum(lens)[:-1]))
