@@ -13,9 +13,10 @@ fingerprint) from the start.
 * The boundary is the one of least cost (listed subsets + scanned list entries) by the size
   histogram; sets near it go to both sides, so that each pair of sizes is met on one.
 
-Links are wanted as components, so lists aren't expanded into all pairs: first every set is tried
-with its neighbours in its lists (one verified partner each); then only pairs in *different*
-components so far are listed in full. No pair is lost: one left out is inside a component already.
+Links are wanted as components, so lists aren't expanded into all pairs. In a few rounds every set tries one
+neighbour in its lists that isn't in its component yet, so that groups of near-copies, however large, grow
+together; then only pairs in *different* components are listed in full. No pair is lost: one
+left out is inside a component already.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import components, shingle_sets, small_broadcast, staged, workers
 
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
 ORDERED_SHINGLES = 200_000
+#: rounds of trying neighbours before the rest of the pairs is listed (work, not results, depends on it)
+ROUNDS = 4
 #: the largest boundary between light and heavy sets that is tried
 MAX_BOUNDARY = 12
 
@@ -47,11 +50,6 @@ def prefix_len(n, threshold: int):
     return n - -(-threshold * n // 100) + 1
 
 
-def index_len(n, threshold: int):
-    """Prefix that is enough for the smaller set of a pair."""
-    return n - -(-2 * threshold * n // (100 + threshold)) + 1
-
-
 def partner_sizes(n: int, threshold: int, limit: int) -> range:
     return range(max(1, -(-threshold * n // 100)), min(limit, 100 * n // threshold) + 1)
 
@@ -61,17 +59,22 @@ def _fingerprint(s: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _repeated(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that ``x`` holds ``least`` times or more, and how often."""
+    x.sort()
+    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+    n = np.diff(edge)
+    often = n >= least
+    return x[edge[:-1][often]], n[often]
+
+
 def _profile(words: int):
     """mapInArrow (doc_id, text) -> kind 0: (doc_id, set size, fingerprint); kind 1: (shingle, documents
     of this batch that have it, null) for shingles frequent in the batch, which order the prefixes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for _, s in shingle_sets(b.column(1), words)]
-            every = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            least = max(2, b.num_rows // 1000)
-            bucket = every & 0xFFFFF  # a shingle is at most as frequent as its bucket
-            k, n = np.unique(every[np.bincount(bucket, minlength=1 << 20)[bucket] >= least], return_counts=True)
-            k, n = k[n >= least], n[n >= least]
+            k, n = _repeated(np.concatenate(sets) if sets else np.empty(0, np.int64), max(2, b.num_rows // 4000))
             ids = pa.concat_arrays([b.column(0), pa.array(k)])
             size = np.concatenate((np.array([len(s) for s in sets], np.int64), n))
             fp = [_fingerprint(s) if len(s) else None for s in sets] + [None] * len(k)
@@ -142,8 +145,8 @@ def _keys(words: int, threshold: int, boundary: int, hot):
 
 def _lists(threshold: int):
     """mapInArrow over a hash partition of keys: drops keys of one set; kind 0 keeps the entries
-    (token, fp, n, pos) of prefix shingles with several; kind 1: neighbours (fp, fp, n, n) in such a
-    list that pass the bounds; kind 2: links (fp, fp) by subsets, each to a least member of its key."""
+    (token, fp, n) of prefix shingles with several; kind 2: links (fp, fp) by subsets, each to a least
+    member of its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
@@ -164,16 +167,11 @@ def _lists(threshold: int):
             return
         heavy = pos >= 0
 
-        def rows(kind, a, b, c, d):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c), pa.array(d)],
-                ["kind", "token", "fp", "n", "pos"])
+        def rows(kind, a, b, c):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)],
+                                              ["kind", "token", "fp", "n"])
 
-        yield rows(0, token[heavy], fp[heavy], n[heavy], pos[heavy])
-        pair = (token[1:] == token[:-1]) & heavy[1:]
-        a, b = np.flatnonzero(pair), np.flatnonzero(pair) + 1
-        ok = _bounds(n[a].astype(np.int64), pos[a], n[b].astype(np.int64), pos[b], threshold)
-        yield rows(1, fp[a][ok], fp[b][ok], n[a][ok], n[b][ok])
+        yield rows(0, token[heavy], fp[heavy], n[heavy])
         start = np.ones(len(token), bool)
         start[1:] = token[1:] != token[:-1]
         head = np.flatnonzero(start)[np.cumsum(start) - 1]
@@ -182,15 +180,23 @@ def _lists(threshold: int):
         end = np.concatenate((np.flatnonzero(start)[1:], [len(token)]))[np.cumsum(start) - 1] - 1
         target = np.where((pos == -1) | (n != n[head]), head, np.where(n[end] != n, end, np.arange(len(token))))
         links = light & (target != np.arange(len(token)))
-        zeros = np.zeros(int(links.sum()), np.int32)
-        yield rows(2, fp[links], fp[target][links], zeros, zeros)
+        yield rows(2, fp[links], fp[target][links], n[links])
     return run
 
 
-def _bounds(n1, p1, n2, p2, threshold: int):
-    """Size, index-prefix and position bounds for a shared prefix shingle; (n1, p1) is the smaller set."""
-    return ((100 * n1 >= threshold * n2) & (p1 < index_len(n1, threshold))
-            & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need(n1, n2, threshold)))
+def _neighbours(threshold: int):
+    """mapInArrow over a hash partition of (token, fp, n, c): the pairs (a, b, n1, n2) next to each other
+    in a list ordered by size, of different components so far, whose sizes fit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        token, fp, n, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((fp, n, token))
+        token, fp, n, c = token[order], fp[order], n[order], c[order]
+        k = np.flatnonzero((token[1:] == token[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= threshold * n[1:].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[k], fp[k + 1], n[k], n[k + 1])], ["a", "b", "n1", "n2"])
+    return run
 
 
 def _shared_sql(threshold: int) -> str:
@@ -210,17 +216,46 @@ def _sets(words: int):
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The links among candidate ``pairs`` (a, b: fp), by the whole sets of their documents."""
-    fps = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = staged(nodes.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_i")).select("_i"), "ids")
-    some = docs.join(small_broadcast(ids, 500_000), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
-    # rows that repeat an id can give a set twice or one not asked for: both do no harm to the joins
-    sets = staged(some.select("_t").mapInArrow(_sets(words), "fp long, s array<long>"), "sets")
-    both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-            .withColumn("o", F.size(F.array_intersect("sa", "sb")).cast("long")))
-    return both.where(100 * F.col("o") >= threshold * (F.size("sa") + F.size("sb") - F.col("o"))).select("a", "b")
+class _Verifier:
+    """Verifies candidate pairs by whole sets, which are made once for each document that needs one."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, threshold: int):
+        self.docs, self.nodes, self.words, self.threshold = docs, nodes, words, threshold
+        self.sets: DataFrame | None = None
+
+    def prepare(self, pairs: DataFrame) -> DataFrame:
+        """The fingerprints in ``pairs`` (a, b), whose sets exist from now on."""
+        fps = staged(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "fps")
+        new = fps if self.sets is None else fps.join(self.sets.select("fp"), "fp", "left_anti")
+        ids = staged(self.nodes.join(new, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_i")).select("_i"), "ids")
+        if ids.limit(1).count():
+            some = self.docs.join(small_broadcast(ids, 500_000), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+            # rows that repeat an id can give a set twice or one not asked for: both do no harm to the joins
+            made = staged(some.select("_t").mapInArrow(_sets(self.words), "fp long, s array<long>"), "sets")
+            self.sets = made if self.sets is None else self.sets.unionByName(made)
+        return fps
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        fps = self.prepare(pairs)
+        if self.sets is None:
+            return pairs
+        sets = self.sets.join(small_broadcast(fps, 500_000), "fp", "left_semi")
+        both = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a")
+                .join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+                .withColumn("o", F.size(F.array_intersect("sa", "sb")).cast("long")))
+        linked = 100 * F.col("o") >= self.threshold * (F.size("sa") + F.size("sb") - F.col("o"))
+        return staged(both.where(linked).select("a", "b"), "links")
+
+
+def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The entries (token, fp, n, c) of lists that span several components (c) so far."""
+    if comp is None:
+        return entries.withColumn("c", F.col("fp"))
+    tagged = staged(entries.join(comp, entries.fp == comp.node, "left").select(
+        "token", "fp", "n", F.coalesce("component", "fp").alias("c")), "tagged")
+    several = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    return staged(tagged.join(several, "token", "left_semi"), "open")
 
 
 def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_id: str = "doc_id",
@@ -249,29 +284,34 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
 
     index = docs.select("_t").mapInArrow(_keys(words, threshold, boundary, shared), "token long, fp long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = staged(index.repartition(parts, "token").mapInArrow(
-        _lists(threshold), "kind int, token long, fp long, n int, pos int"), "lists")
-    entries = lists.where("kind = 0").select("token", "fp", "n", "pos")
-    sure = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
-    near = lists.where("kind = 1").groupBy(F.col("token").alias("a"), F.col("fp").alias("b"), F.col("n").alias("n1"), F.col("pos").alias("n2")).count()
-    # neighbours see only some of the shingles that they share: half as many will do for a try
-    near = near.where(f"2 * count >= {_shared_sql(threshold)}")
-    best = staged(near.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")), "best")
-    links = staged(_verified(docs, nodes, best, words, threshold).unionByName(sure), "links")
-    comp = components(links, "first")
-
-    tagged = entries.join(comp, entries.fp == comp.node, "left").select(
-        "token", "fp", "n", "pos", F.coalesce("component", "fp").alias("c"))
-    tagged = staged(tagged, "tagged")
-    open_tokens = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    left = staged(tagged.join(open_tokens, "token", "left_semi"), "open")
+    lists = staged(index.repartition(parts, "token").mapInArrow(_lists(threshold), "kind int, token long, fp long, n int"), "lists")
+    left = lists.where("kind = 0").select("token", "fp", "n")
+    links = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
+    verifier, comp = _Verifier(docs, nodes, words, threshold), None
+    for _ in range(ROUNDS):
+        # every set tries the neighbour with which it shares most of the open lists
+        left = _open_lists(left, comp)
+        near = left.repartition(parts, "token").mapInArrow(_neighbours(threshold), "a long, b long, n1 int, n2 int")
+        near = near.groupBy("a", "b", "n1", "n2").count().where(f"2 * count >= {_shared_sql(threshold)}")  # not all shared lists make neighbours
+        ends = staged(near.select("a", "b", "count"), "near")
+        ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
+        best = ends.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+        new = verifier.links(best)
+        links = links.unionByName(new)
+        comp = staged(components(links, "round"), "comp")
+        left = left.drop("c")
+        if not new.limit(1).count():
+            break
+    left = _open_lists(left, comp)
     one, two = (left.select("token", *(F.col(x).alias(f"{y}{i}") for x, y in (("fp", "f"), ("n", "n"), ("c", "c")))) for i in (1, 2))
     rest = (one.join(two, "token").where(f"c1 <> c2 and (n1 < n2 or n1 = n2 and f1 < f2) and 100 * n1 >= {threshold} * n2")
             .groupBy(F.col("f1").alias("a"), F.col("f2").alias("b"), "n1", "n2").count()
             .where(f"count >= {_shared_sql(threshold)}").select("a", "b"))
-    rest = staged(rest, "rest")
-    more = staged(_verified(docs, nodes, rest, words, threshold), "more")
-    comp = staged(components(links.unionByName(more), "all"), "comp")
+    more = verifier.links(staged(rest, "rest"))
+    if more.limit(1).count():
+        stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comp = staged(components(stars.unionByName(more), "all"), "comp")
 
     full = nodes.join(comp, nodes.fp == comp.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "fp").alias("_c"))
