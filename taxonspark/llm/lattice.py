@@ -72,13 +72,13 @@ def _encode(tables: int, probes: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vecs = [np.asarray(v, np.float64) for v in b.column(3).to_pylist()]
-            codes: list = [[] for _ in vecs]
+            codes: list = [() for _ in vecs]
             salt = b.column(1).to_numpy().view(np.uint64)
             for d in {len(v) for v in vecs} - {0}:
                 at = np.array([i for i, v in enumerate(vecs) if len(v) == d])
                 x = np.stack([vecs[i] for i in at])
                 for i, c in zip(at, cells(x / np.linalg.norm(x, axis=1, keepdims=True), salt[at], tables, probes, scale), strict=True):
-                    codes[i] = np.unique(c)
+                    codes[i] = c
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int64()))], [*b.schema.names, "cells"])
     return run
 
@@ -108,53 +108,69 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _compare(threshold: float):
-    """mapInArrow over rows sorted by (cell, i, j): (id, links found here, least id of the local component)."""
-    def group(rows: list[dict], key: int, i: int, j: int):
-        rows.sort(key=lambda r: r["id"])
-        x, width = [np.asarray(r["v"], np.float64) for r in rows], max(len(r["cells"]) for r in rows)
-        codes = np.array([r["cells"] + r["cells"][-1:] * (width - len(r["cells"])) for r in rows], np.int64)
-        dims, side = np.array([len(v) for v in x]), np.array([r["g"] for r in rows])
-        n, ids = np.array([r["n"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
-        found = []
-        for d in np.unique(dims):
-            a = np.flatnonzero((dims == d) & (side == i))
-            b = np.flatnonzero((dims == d) & (side == j))
-            if len(a) and len(b):
-                xa, xb = np.stack([x[k] for k in a]), np.stack([x[k] for k in b])
-                sim = (xa @ xb.T) / np.outer(np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1))
-                if i == j:
-                    sim[np.tril_indices(len(a))] = -2.0
+def _group(cols: dict, key: int, i: int, j: int, threshold: float):
+    """(ids, links that count here, least id of the local component) of the linked rows of one group."""
+    order = np.argsort(cols["id"], kind="stable")
+    ids, n, side = cols["id"][order], cols["n"][order], cols["g"][order]
+    starts, ends = cols["at"][:-1][order], cols["at"][1:][order]
+    codes, dims, found = cols["cells"][order], (ends - starts), []
+    for d in np.unique(dims):
+        a = np.flatnonzero((dims == d) & (side == i))
+        b = np.flatnonzero((dims == d) & (side == j)) if i != j else a
+        if len(a) and len(b) and (i != j or len(a) > 1):
+            xa = cols["v"][starts[a][:, None] + np.arange(d)]
+            xb = cols["v"][starts[b][:, None] + np.arange(d)] if i != j else xa
+            sim = (xa @ xb.T) / np.outer(np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1))
+            if i == j:
+                sim[np.tril_indices(len(a))] = -2.0
+            if sim.max() >= threshold:
                 found.append(_links(sim, codes, key, threshold, a, b))
-        p, q, own = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        if len(p):
-            own = own.astype(bool)
-            links = np.bincount(p[own], n[q[own]], len(rows)) + np.bincount(q[own], n[p[own]], len(rows))
-            root = ids[_roots(len(rows), p, q)]
-            linked = np.union1d(p, q)
-            return ids[linked], links[linked].astype(np.int64), root[linked]
+    if not found:
         return None
+    p, q, own = (np.concatenate(c) for c in zip(*found, strict=True))
+    links = np.bincount(p[own], n[q[own]], len(ids)) + np.bincount(q[own], n[p[own]], len(ids))
+    root, linked = ids[_roots(len(ids), p, q)], np.union1d(p, q)
+    return ids[linked], links[linked].astype(np.int64), root[linked]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows, key, out):
-            if len(rows) > 1 and (got := group(rows, *key)) is not None:
-                out.append(got)
 
-        held, key = [], None
-        for b in batches:
-            out: list = []
-            for r in b.to_pylist():
-                k = (r["cell"], r["i"], r["j"])
-                if k != key:
-                    flush(held, key, out)
-                    held, key = [], k
-                held.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "n", "root"])
+def _compare(threshold: float, width: int):
+    """mapInArrow over rows sorted by (cell, i, j): (id, links found here, least id of the local
+    component). Only the last, unfinished group of a batch is held over to the next."""
+    def columns(b: pa.RecordBatch) -> dict:
+        v, cells = b.column("v"), b.column("cells")
+        return {**{c: b.column(c).to_numpy() for c in ("cell", "i", "j", "id", "n", "g")},
+                "v": v.flatten().to_numpy(), "at": np.concatenate(([0], np.cumsum(v.value_lengths().to_numpy()))),
+                "cells": cells.flatten().to_numpy().reshape(-1, width)}
+
+    def rows(c: dict, lo: int, hi: int) -> dict:
+        at = c["at"][lo:hi + 1]
+        return {k: x[at[0]:at[-1]] if k == "v" else at - at[0] if k == "at" else x[lo:hi] for k, x in c.items()}
+
+    def join(a: dict, b: dict) -> dict:
+        return {k: np.concatenate((a[k], a[k][-1] + b[k][1:])) if k == "at" else np.concatenate((a[k], b[k])) for k in b}
+
+    def finished(c: dict, ends: np.ndarray) -> pa.RecordBatch | None:
         out = []
-        flush(held, key, out)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[0]], ["id", "n", "root"])
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            if hi - lo > 1:
+                got = _group(rows(c, lo, hi), c["cell"][lo], c["i"][lo], c["j"][lo], threshold)
+                if got is not None:
+                    out.append(got)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["id", "n", "root"]) if out else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = columns(b) if held is None else join(held, columns(b))
+            new = (c["cell"][1:] != c["cell"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+            if (got := finished(c, starts)) is not None:
+                yield got
+            held = rows(c, starts[-1], len(c["id"]))
+        if held is not None and (got := finished(held, np.array([0, len(held["id"])]))) is not None:
+            yield got
     return run
 
 
@@ -178,8 +194,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, vec_id: str
     classes = staged(usable.groupBy("l", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
     coded = staged(classes.select("id", F.xxhash64("l").alias("h"), "n", "v").mapInArrow(
         _encode(tables, probes, scale), "id long, h long, n long, v array<double>, cells array<long>"), "cells")
-    filed = coded.select("id", "n", "v", "cells", F.explode("cells").alias("cell"))
-    sizes = coded.select(F.explode("cells").alias("cell")).groupBy("cell").count().where("count > 1")
+    filed = coded.select("id", "n", "v", "cells", F.explode(F.array_distinct("cells")).alias("cell"))
+    sizes = coded.select(F.explode(F.array_distinct("cells")).alias("cell")).groupBy("cell").count().where("count > 1")
     sizes = staged(sizes.select("cell", F.ceil(F.col("count") / block).cast("int").alias("k")), "sizes")
     dealt = (filed.join(small_broadcast(sizes, 500_000), "cell")
              .withColumn("g", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
@@ -187,7 +203,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, vec_id: str
              .select("cell", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"), "id", "n", "v", "cells", "g"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = dealt.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    met = staged(met.mapInArrow(_compare(threshold), "id long, n long, root long"), "met")
+    met = staged(met.mapInArrow(_compare(threshold, tables * (1 + probes)), "id long, n long, root long"), "met")
     counts = met.groupBy("id").agg(F.sum("n").alias("links"))
     comp = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), "vectors")
     members = usable.join(classes.select("l", "v", "id", "n"), ["l", "v"])

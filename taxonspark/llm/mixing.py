@@ -32,7 +32,13 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    """White-space words, each cut where its letters end, so that punctuation is a feature of its own."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+|(?<=\p{L})(?=[^\p{L}\s])"), lambda w: w != "")
+
+
+def tokens_of(text: Column) -> Column:
+    """The number of white-space words."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, *, max_train: int, features: int) -> tuple[DataFrame, list[str]]:
@@ -45,25 +51,25 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, max_train: int, features
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     # one row per id: a document labelled twice counts by its least domain
     sample = staged(sample.groupBy(F.col("doc_id").alias("_l")).agg(F.min("domain").alias("domain")), "sample")
-    words = docs.select("doc_id", words_of(F.col("_t")).alias("w"))
+    words = docs.select("doc_id", tokens_of(F.col("_t")).alias("tokens"), words_of(F.col("_t")).alias("w"))
     if len(domains) < 2:  # nothing to tell apart
-        return words.select("doc_id", F.size("w").cast("long").alias("tokens"), F.array(F.lit(1.0)).alias("p")), domains or ["unknown"]
+        return words.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), domains or ["unknown"]
     index = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double") - 1
     picked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_l"))  # at most max_train ids, by the hash
     train = staged(picked.select(words_of(F.col("_t")).alias("w"), index.alias("y")), "train")
     if train.select("y").distinct().count() < 2:
-        return words.select("doc_id", F.size("w").cast("long").alias("tokens"),
+        return words.select("doc_id", "tokens",
                             F.array(*(F.lit(r["count"] / total) for r in sizes)).alias("p")), domains
     model = Pipeline(stages=[
         HashingTF(numFeatures=features, binary=True, inputCol="w", outputCol="tf"),
         Normalizer(inputCol="tf", outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=60,
+        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.003, elasticNetParam=1.0, maxIter=60,
                            probabilityCol="prob", rawPredictionCol="raw", predictionCol="pred"),
     ]).fit(train)
     p = vector_to_array("prob")
     # a domain without a row in the sample has no column in the model
     p = F.concat(F.slice(p, 1, len(domains)), F.array_repeat(F.lit(0.0), F.lit(len(domains)) - F.least(F.size(p), F.lit(len(domains)))))
-    return model.transform(words).select("doc_id", F.size("w").cast("long").alias("tokens"), p.alias("p")), domains
+    return model.transform(words).select("doc_id", "tokens", p.alias("p")), domains
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, *, max_steps: int = 40, tolerance: float = 1e-6, write_every: int = 8) -> DataFrame:

@@ -171,7 +171,9 @@ def assemble(records: DataFrame) -> DataFrame:
     r = records.where("record_id is not null and error is null and kind in ('request', 'response', 'revisit', 'metadata')")
     hop = r.where("concurrent_to is not null and kind <> 'metadata'").groupBy(F.col("record_id").alias("_id")).agg(
         F.min("concurrent_to").alias("_to"))
-    r = r.join(hop, r.concurrent_to == F.col("_id"), "left").withColumn("capture_id", F.coalesce("_to", "concurrent_to", "record_id"))
+    # a record that names no other looks up itself in vain, so that such records aren't dealt to one task
+    r = r.join(hop, F.coalesce("concurrent_to", "record_id") == F.col("_id"), "left").withColumn("_to", F.when(
+        F.col("concurrent_to").isNotNull(), F.col("_to"))).withColumn("capture_id", F.coalesce("_to", "concurrent_to", "record_id"))
     row = F.struct(*(c for c in records.columns if c not in ("concurrent_to", "error")))
     return r.groupBy("capture_id").agg(
         F.first(F.when(F.col("kind").isin("response", "revisit"), row), ignorenulls=True).alias("response"),
