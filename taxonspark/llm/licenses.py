@@ -6,8 +6,8 @@ corpus' own paragraphs and a few everyday sentences as the unknown class; a held
 probability that a paragraph is a licence at all. A predicted family is confirmed when the
 paragraph holds enough of the word pairs of one of its templates.
 
-Only n-grams of templates that are rare among ordinary paragraphs are features, and coefficients near
-zero are dropped, so a paragraph without any feature that speaks for some family is unknown; such
+Only n-grams of templates with a word that is rare among ordinary paragraphs are features, and
+coefficients near zero are dropped, so a paragraph without any feature that speaks for some family is unknown; such
 paragraphs are left out early by their words alone, which changes no result.
 """
 
@@ -47,6 +47,7 @@ TEMPLATES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0 Universal."),
     ("public-domain", "This is free and unencumbered software released into the public domain."),
+    ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission."),
 ]
 #: ordinary sentences with words of licences, for the unknown class
@@ -94,9 +95,11 @@ def training_rows(docs: DataFrame, max_sample: int) -> DataFrame:
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("_t", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, max_sample / max(1, n)) * (1 << 30))))
     one = F.element_at("ps", (F.pmod(F.xxhash64("_t"), F.size("ps")) + 1).cast("int"))
-    other = picked.withColumn("ps", _paragraphs(F.col("_t"))).where("size(ps) > 0").select(paragraph_words(one).alias("w")).where("size(w) > 0")
-    two = ngrams(F.col("w"), 2)
-    explained = F.greatest(*(F.size(F.array_intersect(two, F.array(*map(F.lit, p)))) / F.lit(float(len(p))) for p in pairs))
+    # staged between the steps, as a projection over another would compute its arrays once per use
+    other = staged(picked.select("_t", _paragraphs(F.col("_t")).alias("ps")).where("size(ps) > 0"), "sample")
+    other = staged(other.select(paragraph_words(one).alias("w")).where("size(w) > 0"), "sample")
+    other = staged(other.select("w", ngrams(F.col("w"), 2).alias("two")), "sample")
+    explained = F.greatest(*(F.size(F.array_intersect("two", F.array(*map(F.lit, p)))) / F.lit(float(len(p))) for p in pairs))
     other = other.where(explained < 0.5).select(F.lit(UNKNOWN).alias("family"), "w")
     plain = spark.createDataFrame([(UNKNOWN, t) for t in ORDINARY], "family string, t string").select("family", paragraph_words(F.col("t")).alias("w"))
     plain = plain.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(5))))
@@ -124,7 +127,7 @@ class Model:
 
 
 def fit(docs: DataFrame, *, text: str = "text", max_sample: int = 2000, max_share: float = 0.005, least: float = 0.05) -> Model:
-    """Train on the templates and a sample of ``docs``; ``max_share``: of the sampled paragraphs, those that may hold a feature."""
+    """Train on the templates and a sample of ``docs``; ``max_share``: of the sampled paragraphs, those that may hold a feature's rarest word."""
     docs = docs.select(F.col(text).alias("_t")).where("_t is not null")
     rows = staged(training_rows(docs, max_sample).withColumn("g", grams(F.col("w"))), "licenses")
     n_other = rows.where(F.col("family") == UNKNOWN).count()
@@ -132,12 +135,13 @@ def fit(docs: DataFrame, *, text: str = "text", max_sample: int = 2000, max_shar
     common = {r.g: r["count"] for r in common.join(F.broadcast(
         rows.where(F.col("family") != UNKNOWN).select(F.explode("g").alias("g")).distinct()), "g", "left_semi").collect()}
     own = {r.g for r in rows.where(F.col("family") != UNKNOWN).select(F.explode("g").alias("g")).distinct().collect()}
-    vocabulary = sorted(g for g in own if common.get(g, 0) <= max(2, max_share * n_other))
+    rarest = {g: min(g.split(" "), key=lambda w: (common.get(w, 0), w)) for g in own}
+    vocabulary = sorted(g for g in own if common.get(rarest[g], 0) <= max(2, max_share * n_other))
     families = sorted({f for f, _ in TEMPLATES})
     label = F.array_position(F.array(*map(F.lit, [UNKNOWN, *families])), F.col("family")).cast("double") - 1
     x = CountVectorizerModel.from_vocabulary(vocabulary, "g", "x").setBinary(True).transform(
         rows.withColumn("y", label))
-    lr = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=2e-4, elasticNetParam=0.9, maxIter=100, standardization=False)
+    lr = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=2e-4, elasticNetParam=0.9, maxIter=60, standardization=False)
     model = lr.fit(x.where("not held").coalesce(2))  # a few thousand rows at most
     coef, icept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     margins, bias = coef[1:] - coef[0], [float(b - icept[0]) for b in icept[1:]]
@@ -149,8 +153,7 @@ def fit(docs: DataFrame, *, text: str = "text", max_sample: int = 2000, max_shar
     if missing:
         scored = scored.unionByName(rows.sparkSession.range(missing).select(F.lit(0.0).alias("y"), F.lit(max(bias)).alias("best")))
     out.scale, out.offset = _calibrate(scored)
-    # the rarest word of each n-gram that speaks for some family
-    out.words = sorted({min(g.split(" "), key=lambda w: (common.get(w, 0), w)) for g, m in weights.items() if max(m) > 0})
+    out.words = sorted({rarest[g] for g, m in weights.items() if max(m) > 0})
     if out.scale * max(bias) + out.offset >= 0:
         raise RuntimeError("a paragraph without features would not be unknown; widen the sample")
     return out
