@@ -87,7 +87,7 @@ def _paragraphs(text: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, max_sample: int) -> DataFrame:
-    """(family, w, held): variants of the templates, ordinary sentences, and one paragraph each of about
+    """(family, w, held, corpus): variants of the templates, ordinary sentences, and one paragraph each of about
     ``max_sample`` hashed documents (at most, in expectation) that no template explains."""
     spark = docs.sparkSession
     known = spark.createDataFrame(TEMPLATES, "family string, t string").select("family", paragraph_words(F.col("t")).alias("w"))
@@ -108,8 +108,8 @@ def training_rows(docs: DataFrame, max_sample: int) -> DataFrame:
     # variant 0 is whole; 1 to 7 miss every eighth word; the others stand amid other words
     kept = F.filter("w", lambda w, i: (F.col("v") == 0) | (F.col("v") > 7) | (F.pmod(i + 1, F.lit(8)) != F.pmod(F.col("v"), F.lit(8))))
     some = some.withColumn("w", F.when(F.col("v") > 7, F.concat(F.slice(noise, F.lit(1), F.col("v") - 7), kept, noise)).otherwise(kept))
-    rows = some.unionByName(plain).select("family", "w", (F.col("v") % 3 == 2).alias("held"))
-    return rows.unionByName(other.select("family", "w", (F.pmod(F.xxhash64("w"), F.lit(3)) == 2).alias("held")))
+    rows = some.unionByName(plain).select("family", "w", (F.col("v") % 3 == 2).alias("held"), F.lit(False).alias("corpus"))
+    return rows.unionByName(other.select("family", "w", (F.pmod(F.xxhash64("w"), F.lit(3)) == 2).alias("held"), F.lit(True).alias("corpus")))
 
 
 class Model:
@@ -130,8 +130,8 @@ def fit(docs: DataFrame, *, text: str = "text", max_sample: int = 2000, max_shar
     """Train on the templates and a sample of ``docs``; ``max_share``: of the sampled paragraphs, those that may hold a feature's rarest word."""
     docs = docs.select(F.col(text).alias("_t")).where("_t is not null")
     rows = staged(training_rows(docs, max_sample).withColumn("g", grams(F.col("w"))), "licenses")
-    n_other = rows.where(F.col("family") == UNKNOWN).count()
-    common = rows.where(F.col("family") == UNKNOWN).select(F.explode("g").alias("g")).groupBy("g").count()
+    n_other = rows.where("corpus").count()
+    common = rows.where("corpus").select(F.explode("g").alias("g")).groupBy("g").count()
     common = {r.g: r["count"] for r in common.join(F.broadcast(
         rows.where(F.col("family") != UNKNOWN).select(F.explode("g").alias("g")).distinct()), "g", "left_semi").collect()}
     own = {r.g for r in rows.where(F.col("family") != UNKNOWN).select(F.explode("g").alias("g")).distinct().collect()}
