@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import components, shingle_sets, small_broadcast, staged, workers
 
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
-ORDERED_SHINGLES = 200_000
+ORDERED_SHINGLES = 100_000
 #: rounds of trying neighbours before the rest of the pairs is listed (work, not results, depends on it)
 ROUNDS = 4
 #: the largest boundary between light and heavy sets that is tried
@@ -271,11 +271,11 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
     profile = staged(docs.mapInArrow(_profile(words), "kind int, id long, n long, fp long"), "profile")
     nodes = profile.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "fp")
     hot = (profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "id").limit(ORDERED_SHINGLES).collect())
-    by_count = sorted((r.n, r.id) for r in hot)
-    keys = np.array([k for _, k in by_count], np.int64)
+           .orderBy(F.desc("n"), "id").limit(ORDERED_SHINGLES).toArrow())
+    keys = hot["id"].to_numpy()[np.lexsort((hot["id"].to_numpy(), hot["n"].to_numpy()))]  # by count
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], order))
+    del hot
     if boundary is None:
         small = nodes.where(F.col("n_shingles") > 0).groupBy(F.least("n_shingles", F.lit(MAX_BOUNDARY + 5)).alias("n")).count().collect()
         sizes = {r.n: r["count"] for r in small}
@@ -298,11 +298,11 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
         best = ends.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
         new = verifier.links(best)
-        links = links.unionByName(new)
-        comp = staged(components(links, "round"), "comp")
         left = left.drop("c")
-        if not new.limit(1).count():
+        if comp is not None and not new.limit(1).count():
             break
+        links = (links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(new)
+        comp = staged(components(links, "round"), "comp")
     left = _open_lists(left, comp)
     one, two = (left.select("token", *(F.col(x).alias(f"{y}{i}") for x, y in (("fp", "f"), ("n", "n"), ("c", "c")))) for i in (1, 2))
     rest = (one.join(two, "token").where(f"c1 <> c2 and (n1 < n2 or n1 = n2 and f1 < f2) and 100 * n1 >= {threshold} * n2")
