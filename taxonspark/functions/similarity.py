@@ -68,7 +68,7 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Arrow-batched Jaro-Winkler over two string columns."""
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(jaro_winkler_pairs(list(a), list(b)), dtype="float64")
 
 
 def weighted(cos01, jw, w: float) -> Column:
@@ -134,67 +134,104 @@ def encode_names(names: list[str]) -> tuple:
     return mat, lens
 
 
-SCALAR_BELOW = 16
+CELLS = 4_000_000  # names x width cells that one numpy step works on
 
 
-def jaro_winkler_many(a: str | None, mat, lens):
-    """E6 of one text against many names at once (numpy, exact same arithmetic as
-    ``jaro_winkler``): the greedy window matching runs over the text's characters with all
-    names as one vector, so cost is O(len(a) x names x width) elementwise, not per pair."""
+def jaro_winkler_pairs(a: list, b: list):
+    """E6 of many (text, text) pairs, a numpy block of pairs of similar length at a time."""
     import numpy as np
-    a = (a or "").strip(PY_WHITESPACE)
-    n = mat.shape[0]
-    out = np.zeros(n, dtype=np.float64)
-    la = len(a)
-    if la == 0 or n == 0:
-        return out
-    if n <= SCALAR_BELOW:  # few names: the scalar routine (identical arithmetic) is cheaper
-        for j in range(n):
-            nm = mat[j, :lens[j]].astype("<i4").tobytes().decode("utf-32-le")
-            out[j] = jaro_winkler(a, nm)
+    out = np.zeros(len(a), dtype=np.float64)
+    ma, la = encode_names(a) if max(map(len, (x or "" for x in a)), default=0) <= 4096 else (None, None)
+    if ma is None:  # a block would be as wide as its longest text: such texts go one by one
+        for i, (x, y) in enumerate(zip(a, b)):
+            out[i] = jaro_winkler_many(x, *encode_names([y]))[0]
         return out
-    av = np.frombuffer(a.encode("utf-32-le"), dtype=np.int32)
-    width = mat.shape[1]
-    window = np.maximum(np.maximum(la, lens) // 2 - 1, 0)
-    cols = np.arange(width)
-    used = np.zeros((n, width), dtype=bool)
-    a_hit = np.zeros((n, la), dtype=bool)
-    rows_all = np.arange(n)
-    present = np.isin(av, mat)
-    step = 32
-    for s0 in range(0, la, step):
-        idx = np.arange(s0, min(la, s0 + step))
-        idx = idx[present[idx]]
-        if len(idx) == 0:
-            continue
-        lo = np.maximum(idx[:, None] - window[None, :], 0)            # (k, n)
-        hi = np.minimum(lens[None, :], idx[:, None] + window[None, :] + 1)
-        eqwin = ((mat[None, :, :] == av[idx][:, None, None])
-                 & (cols[None, None, :] >= lo[:, :, None]) & (cols[None, None, :] < hi[:, :, None]))
-        for q, i in enumerate(idx):
-            cand = eqwin[q] & ~used
-            has = cand.any(axis=1)
-            if not has.any():
-                continue
-            r = rows_all[has]
-            used[r, cand[has].argmax(axis=1)] = True
-            a_hit[r, i] = True
-    m = a_hit.sum(axis=1)
-    k = min(la, width)
-    a_sorted = av[np.argsort(~a_hit, axis=1, kind="stable")][:, :k]
-    b_sorted = np.take_along_axis(mat, np.argsort(~used, axis=1, kind="stable"), axis=1)[:, :k]
-    valid = np.arange(k)[None, :] < m[:, None]
-    t = ((a_sorted != b_sorted) & valid).sum(axis=1) // 2
-    ok = (m > 0) & (lens > 0)
+    order = np.lexsort((la, np.array([len(y or "") for y in b])))
+    lo = 0
+    while lo < len(a):
+        hi = min(len(a), lo + 4096)
+        rows = order[lo:hi]
+        mb, lb = encode_names([b[i] for i in rows])
+        rows_per = max(1, CELLS // max(1, mb.shape[1]))
+        if len(rows) > rows_per:
+            hi, rows, mb, lb = lo + rows_per, rows[:rows_per], mb[:rows_per], lb[:rows_per]
+        out[rows] = _jaro_winkler_rows(ma[rows], la[rows], mb, lb)
+        lo = hi
+    return out
+
+
+def _jaro_winkler_rows(ma, la, mb, lb):
+    """Row-wise greedy window matching: step i matches character i of every left text at once."""
+    import numpy as np
+    n, width = mb.shape
+    window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    cols, used = np.arange(width), np.zeros((n, width), dtype=bool)
+    seq, m = np.full((n, width), -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    for i in range(int(la.max(initial=0))):
+        cand = ((mb == ma[:, i, None]) & ~used & (cols >= (i - window)[:, None]) & (cols <= (i + window)[:, None])
+                & (cols < lb[:, None]) & (i < la)[:, None])
+        r = np.flatnonzero(cand.any(axis=1))
+        used[r, cand[r].argmax(axis=1)] = True
+        seq[r, m[r]] = ma[r, i]
+        m[r] += 1
+    p = min(MAX_PREFIX, ma.shape[1], width)
+    return _winkler(la, lb, mb, used, seq, m, (ma[:, :p] == mb[:, :p]) & (ma[:, :p] >= 0))
+
+
+def _winkler(la, lens, mat, used, seq, m, same):
+    """The score from the matched characters: ``seq`` and ``m`` on the left, ``used`` on the right."""
+    import numpy as np
+    right = np.take_along_axis(mat, np.argsort(~used, axis=1, kind="stable"), axis=1)
+    valid = np.arange(mat.shape[1])[None, :] < m[:, None]
+    t = ((seq != right) & valid).sum(axis=1) // 2
     mf = m.astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = (mf / la + mf / lens + (mf - t) / mf) / 3.0
-    sim = np.where(ok, sim, 0.0)
+    sim = np.where((m > 0) & (lens > 0), sim, 0.0)
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    return np.where(sim > BOOST_GATE, sim + prefix * PREFIX_WEIGHT * (1.0 - sim), sim)
+
+
+def jaro_winkler_many(a: str | None, mat, lens):
+    """E6 of one text against many names at once (numpy, exact same arithmetic as ``jaro_winkler``).
+
+    Step i matches character i of the text in all names. A character that no name has any more, and
+    all beyond the last position that a window reaches, cost nothing, so a long text costs about as
+    much as its first hits. Names are taken ``CELLS`` cells at a time."""
+    import numpy as np
+    a = (a or "").strip(PY_WHITESPACE)
+    n, width = mat.shape
+    if not a or not n:
+        return np.zeros(n, dtype=np.float64)
+    if n > 1 and n * width > CELLS:
+        rows = max(1, CELLS // width)
+        return np.concatenate([jaro_winkler_many(a, mat[k:k + rows], lens[k:k + rows]) for k in range(0, n, rows)])
+    av, la = np.frombuffer(a.encode("utf-32-le"), dtype=np.int32), len(a)
+    window = np.maximum(np.maximum(la, lens) // 2 - 1, 0)
+    cols, used = np.arange(width), np.zeros((n, width), dtype=bool)
+    seq, m = np.full((n, width), -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    reach = min(la, int((lens + window).max(initial=0)))
+    everywhere = int(window.min())  # up to here each window covers its name from the start
+    alive = set(np.unique(mat).tolist())
+    inside = cols[None, :] < lens[:, None]
+    for i in np.flatnonzero(np.isin(av[:reach], mat)):
+        c = int(av[i])
+        if c not in alive:
+            continue
+        left = (mat == c) & ~used & inside
+        if not left.any():
+            alive.discard(c)
+            if not alive:
+                break
+            continue
+        cand = left if i <= everywhere and i + everywhere >= width else (
+            left & (cols >= (i - window)[:, None]) & (cols <= (i + window)[:, None]))
+        r = np.flatnonzero(cand.any(axis=1))
+        used[r, cand[r].argmax(axis=1)] = True
+        seq[r, m[r]] = c
+        m[r] += 1
     p = min(MAX_PREFIX, la, width)
-    same = (mat[:, :p] == av[None, :p]) if p > 0 else np.zeros((n, 0), dtype=bool)
-    prefix = np.cumprod(same, axis=1).sum(axis=1) if p > 0 else np.zeros(n, dtype=np.int64)
-    boosted = sim + prefix * PREFIX_WEIGHT * (1.0 - sim)
-    return np.where(sim > BOOST_GATE, boosted, sim)
+    return _winkler(la, lens, mat, used, seq, m, mat[:, :p] == av[None, :p])
 
 
 HIST_BUCKETS = 256

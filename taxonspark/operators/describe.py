@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ellipsize, strip
-from ..session import ship_package
+from ..session import materialized, ship_package
 
 
 def _clean(desc) -> F.Column:
@@ -45,29 +45,29 @@ def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None
         return out.select(*requests.columns, F.when(act, _clean(F.col("_desc"))).alias("description"))
     if provider is not None:
         ship_package(requests.sparkSession)
-        schema = T.StructType([*requests.schema.fields, T.StructField("_act", T.BooleanType(), True),
-                               T.StructField("description", T.StringType(), True)])
+        # the rows are read twice below (with and without a call): they, and after the calls the answers,
+        # are written once, so that each request is answered once whatever is read how often later
+        rows = materialized(requests.withColumn("_act", act))
+        schema = T.StructType([*requests.schema.fields, T.StructField("description", T.StringType(), True)])
 
         def call(batches):
             for pdf in batches:
                 out = []
-                for t, on in zip(pdf[text_col], pdf["_act"]):
-                    v = None
-                    if on:
-                        try:
-                            v = provider(t)
-                        except Exception:  # a failed call is "no description"
-                            v = None
+                for t in pdf[text_col]:
+                    try:
+                        v = provider(t)
+                    except Exception:  # a failed call is "no description"
+                        v = None
                     out.append(None if v is None else str(v))
                 pdf = pdf.copy()
                 pdf["description"] = pd.Series(out, dtype=object)
                 yield pdf
 
-        staged = requests.withColumn("_act", act)
+        asked = rows.where("_act").drop("_act")
         if provider_tasks > 0:  # bound the concurrent calls to a rate-limited service
-            staged = staged.repartition(provider_tasks)
-        described = staged.mapInPandas(call, schema).drop("_act")
-        return described.withColumn("description", _clean(F.col("description")))
+            asked = asked.repartition(provider_tasks)
+        answered = materialized(asked.mapInPandas(call, schema).withColumn("description", _clean(F.col("description"))))
+        return answered.unionByName(rows.where(~F.col("_act")).drop("_act").withColumn("description", F.lit(None).cast("string")))
     return requests.withColumn("description", F.lit(None).cast("string"))
 
 

@@ -5,26 +5,28 @@ A text matches when it is non-blank, contains no must-not word, contains one wor
 ``g5`` when ``g5`` is non-empty, contains every word of at least one non-empty group
 among ``g1..g4`` when there is one, and at least one of ``g1..g5`` is non-empty.
 
-Two physical plans, same result:
-
-* ``broadcast``: broadcast nested-loop join of texts with the (size-checked) rule
-  table on the Column predicate; cost texts x rules x keywords.
-* ``anchor``: one Aho-Corasick pass per text finds the set of rule keywords it
-  contains (``mapInPandas``; linear in text length, independent of the rule count),
-  an equi-join on one *anchor* keyword per rule alternative yields candidates, and
-  the predicate is re-checked as set algebra on the hit set, JVM-side.
+Physical plans, same result:
+
+* ``compiled``: rule tables of few keywords become one projection of ``contains`` tests, each
+  predicate computed once per text (no join, no shuffle).
+* ``broadcast``: broadcast nested-loop join with the (size-checked) rule table.
+* ``anchor``: one Aho-Corasick pass per text finds the ids of the rule keywords it contains
+  (linear in text length, independent of the rule count). Distinct hit sets are joined with the
+  rules on the rarest keyword of each rule alternative, and the predicate is re-checked as
+  set algebra on ids, JVM-side.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PY_WHITESPACE, join_nonblank
-from ..session import ship_package
+from ..session import materialized, ship_package
 from ..params import DEFAULT_PARAMS, JOIN_SEPARATOR, Params
 
 RULE_SCHEMA = T.StructType([
@@ -104,29 +106,30 @@ def _rule_count_checked(rules: DataFrame, limit: int) -> int:
     return n
 
 
-def match_rules(texts: DataFrame, rules: DataFrame, text_col: str, keys: list[str] | str,
+def match_rules(texts: DataFrame, rules, text_col: str, keys: list[str] | str,
                 params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Every (text, rule) pair that matches -> ``keys + rule_idx, level1, code, atomic``.
 
-    ``text_col`` must already be stripped (the cascade strips once per distinct text).
+    ``text_col`` must already be stripped (the cascade strips once per distinct text). ``rules`` may be
+    a ``RuleIndex`` or the rows of ``collect_rules``, prepared once for several runs.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    plan = params.rule_plan
-    if plan in ("auto", "literal"):
-        rows = collect_rules(rules, params)
-        if rows is not None:
-            m = compiled_matches(text_col, rows)
-            return (texts.select(*keys, F.explode(m).alias("_r"))
-                    .select(*keys, *[F.col("_r")[c].alias(c) for c in RULE_OUT]))
-        plan = "anchor"
-    if plan == "broadcast":
+    if params.rule_plan not in ("auto", "literal", "broadcast", "anchor"):
+        raise ValueError(f"unknown rule plan {params.rule_plan!r}")
+    if params.rule_plan == "broadcast":
         return _match_broadcast(texts, rules, text_col, keys, params)
-    if plan == "anchor":
+    rows = collect_rules(rules, params)
+    if rows is None:
         return _match_anchor(texts, rules, text_col, keys, params)
-    raise ValueError(f"unknown rule plan {plan!r}")
+    live = [r for r in rows if _is_live(r)]
+    fields = _rule_table(live)
+    return (texts.select(*keys, F.explode(matched_rules(text_col, live)).alias("_i"))
+            .select(*keys, *[F.element_at(fields[c], F.col("_i")).alias(c) for c in RULE_OUT]))
 
 
 def _match_broadcast(texts, rules, text_col, keys, params):
+    if not isinstance(rules, DataFrame):
+        raise ValueError("the broadcast plan takes the rule table itself")
     _rule_count_checked(rules, params.max_broadcast_rules)
     live = rules.where(rule_is_live())
     t = texts.select(*keys, F.col(text_col).alias("_t")).where(F.col("_t") != "")
@@ -139,147 +142,137 @@ def _match_broadcast(texts, rules, text_col, keys, params):
 _AUTOMATA: dict[str, object] = {}
 
 
-def _automaton(token: str, words: list[str]):
+def _automaton(token: str, words: list[tuple[str, int]]):
     a = _AUTOMATA.get(token)
     if a is None:
-        try:
-            import ahocorasick
-            a = ahocorasick.Automaton()
-            for i, w in enumerate(words):
-                a.add_word(w, i)
-            a.make_automaton()
-        except ImportError:  # plain substring scan as a fallback
-            a = list(words)
+        a = ahocorasick.Automaton()
+        for w, kid in words:
+            a.add_word(w, kid)
+        a.make_automaton()
         _AUTOMATA.clear()
         _AUTOMATA[token] = a
     return a
 
 
-def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], words: list[str]) -> DataFrame:
-    """Distinct keywords contained in each text: ``keys + hits array<string>``.
-
-    One linear Aho-Corasick pass per text, batched through Arrow; the automaton is
-    built once per Python worker from the (size-checked) keyword list.
-    """
-    ship_package(texts.sparkSession)
-    if not words:  # no rule keyword at all: every hit set is empty
-        return texts.select(*keys, F.array().cast("array<string>").alias("hits"))
-    token = hashlib.sha1("\x00".join(words).encode("utf-8")).hexdigest()
-    key_fields = [texts.schema[k] for k in keys]
-    out_schema = T.StructType([*key_fields, T.StructField("hits", T.ArrayType(T.StringType(), False), False)])
-    words_bc = texts.sparkSession.sparkContext.broadcast(words)  # shipped once per executor, not per task
-
-    def scan(batches):
-        import pandas as pd
-        words = words_bc.value
-        auto = _automaton(token, words)
-        for pdf in batches:
-            found = []
-            if isinstance(auto, list):
-                for s in pdf["_kh_text"]:
-                    found.append([w for w in auto if s and w in s])
-            else:
-                for s in pdf["_kh_text"]:
-                    if not s:
-                        found.append([])
-                        continue
-                    ids = {i for _, i in auto.iter(s)}
-                    found.append([words[i] for i in sorted(ids)])
-            out = pdf[keys].copy()
-            out["hits"] = pd.Series(found, index=pdf.index, dtype=object)
-            yield out
-
-    return (texts.select(*keys, F.col(text_col).alias("_kh_text"))
-            .mapInPandas(scan, out_schema))
-
-
-def rule_anchors(rules: DataFrame) -> DataFrame:
-    """One anchor keyword per alternative of each live rule: any g5 word when g5 is
-    non-empty (one of them must occur), else the first word of each non-empty g1..g4."""
-    first_words = F.transform(_groups_1_4(), lambda g: F.element_at(g, 1))
-    anchors = F.when(F.size("g5") > 0, F.array_distinct(F.col("g5"))).otherwise(F.array_distinct(first_words))
-    return (rules.where(rule_is_live())
-            .withColumn("anchors", anchors))
-
-
-def _keyword_frame(rules: DataFrame) -> DataFrame:
-    return (rules.select(F.explode(F.concat(*[F.col(g) for g in (*GROUPS_ALL_OF, "g5", "must_not")])).alias("kw"))
-            .distinct())
-
-
-def rule_keyword_hits(texts: DataFrame, rules: DataFrame, text_col: str, keys: list[str], params: Params) -> DataFrame:
-    """``keys + hits`` (sorted distinct rule keywords found in each text).
-
-    Up to ``max_broadcast_keywords`` keywords: one automaton, one pass. Beyond it the
-    dictionary is split by keyword hash into chunks under the bound, each chunk scanned with
-    its own automaton, and the hits merged per text (one small shuffle of keys and hit lists)."""
-    kw = _keyword_frame(rules)
-    bound = params.max_broadcast_keywords
-    rows = kw.limit(bound + 1).collect()
-    if len(rows) <= bound:
-        return keyword_hits(texts, text_col, keys, sorted(r.kw for r in rows))
-    n_total = kw.count()
-    n_chunks = -(-n_total // bound) + 1  # hash buckets are uneven; one spare chunk of headroom
-    chunked = kw.withColumn("_c", F.pmod(F.xxhash64("kw"), F.lit(n_chunks)))
-    parts = []
-    for c in range(n_chunks):  # bounded collects: each chunk holds about n_total / n_chunks words
-        words = sorted(r.kw for r in chunked.where(F.col("_c") == c).select("kw").collect())
-        if words:
-            parts.append(keyword_hits(texts, text_col, keys, words))
+def _hashed_with(seed: int):
+    return lambda c: F.xxhash64(c, F.lit(seed))
+
+
+class RuleIndex:
+    """A large rule table prepared once: rules with keyword ids (64-bit hashes, checked to be unique) and
+    the dictionary in broadcast chunks of at most ``max_broadcast_keywords`` words. Reusable across
+    queries and micro-batches."""
+
+    def __init__(self, rules: DataFrame, params: Params = DEFAULT_PARAMS):
+        self.spark = rules.sparkSession
+        groups = (*GROUPS_ALL_OF, "g5", "must_not")
+        ship_package(self.spark)
+        kw = materialized(rules.select(F.explode(F.concat(*groups)).alias("kw")).distinct())
+        for seed in range(8):
+            kid = _hashed_with(seed)
+            n = kw.agg(F.count("*").alias("n"), F.countDistinct(kid("kw")).alias("d")).first()
+            if n.n == n.d:
+                break
+        self.rules = materialized(rules.where(rule_is_live()).select(*RULE_OUT, *[F.transform(g, kid).alias(g) for g in groups]))
+        self.n_words = n.n
+        n_chunks = max(1, -(-n.n // params.max_broadcast_keywords))
+        if n_chunks > 1:
+            n_chunks += 1  # hash buckets are uneven; one spare chunk of headroom
+        listed = kw.select("kw", kid("kw").alias("kid"), F.pmod(kid("kw"), F.lit(n_chunks)).alias("c"))
+        self.chunks = []
+        for c in range(n_chunks):  # bounded collects: each chunk holds about n / n_chunks words
+            words = sorted((r.kw, r.kid) for r in listed.where(F.col("c") == c).select("kw", "kid").collect())
+            if words:
+                token = hashlib.sha1("\x00".join(f"{w}\x01{k}" for w, k in words).encode("utf-8")).hexdigest()
+                self.chunks.append((token, self.spark.sparkContext.broadcast(words)))
+        size = self.rules.agg(F.count("*").alias("n"), F.sum(sum((F.size(g) for g in groups), F.lit(0))).alias("k")).first()
+        self.small = (size.n or 0) <= params.max_broadcast_rules and (size.k or 0) <= 8 * params.max_broadcast_rules
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        """A table with at most some columns per rule keyword: broadcast only if the checked rule table is small."""
+        return F.broadcast(df) if self.small else df
+
+
+def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], index: RuleIndex) -> DataFrame:
+    """``keys + hits`` (sorted distinct ids of the rule keywords in each text). One linear pass per
+    dictionary chunk, batched through Arrow; the hits of several chunks are merged by the keys."""
+    out_schema = T.StructType([*[texts.schema[k] for k in keys], T.StructField("hits", T.ArrayType(T.LongType(), False), False)])
+    if not index.chunks:  # no rule keyword at all: every hit set is empty
+        return texts.select(*keys, F.array().cast("array<bigint>").alias("hits"))
+
+    def scanner(token, words):
+        def scan(batches):
+            import pandas as pd
+            auto = _automaton(token, words.value)
+            for pdf in batches:
+                found = [sorted({k for _, k in auto.iter(s)}) if s else [] for s in pdf["_kh_text"]]
+                out = pdf[keys].copy()
+                out["hits"] = pd.Series(found, index=pdf.index, dtype=object)
+                yield out
+        return scan
+
+    cols = texts.select(*keys, F.col(text_col).alias("_kh_text"))
+    parts = [cols.mapInPandas(scanner(*c), out_schema) for c in index.chunks]
+    if len(parts) == 1:
+        return parts[0]
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    return (merged.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits")))
+    return merged.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
 
 
-def signature_matches(hits: DataFrame, rules: DataFrame, params: Params) -> DataFrame:
-    """Rules matched by each distinct hit set: ``hits, rule_idx, level1, code, atomic``.
+def rule_anchors(index: RuleIndex, sets: DataFrame) -> DataFrame:
+    """``kid, rule_idx``: the keywords of which every match of a rule contains one. A rule with an any-of
+    group and all-of groups takes the cheaper of (all any-of words) and (the rarest word of
+    each all-of group), by how many of the hit ``sets`` contain them."""
+    often = sets.select(F.explode("hits").alias("kid")).groupBy("kid").agg(F.count(F.lit(1)).alias("n"))
+    parts = [index.rules.select("rule_idx", F.lit(i).alias("g"), F.explode(F.array_distinct(F.col(g))).alias("kid"))
+             for i, g in enumerate((*GROUPS_ALL_OF, "g5"), start=1)]
+    words = parts[0]
+    for p in parts[1:]:
+        words = words.unionByName(p)
+    words = words.join(often, "kid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = words.where("g < 5").groupBy("rule_idx", "g").agg(F.min_by("kid", F.struct("n", "kid")).alias("kid"), F.min("n").alias("n"))
+    both = rarest.select("rule_idx", F.lit(False).alias("any_of"), "kid", "n").unionByName(
+        words.where("g = 5").select("rule_idx", F.lit(True).alias("any_of"), "kid", "n"))
+    side = both.groupBy("rule_idx", "any_of").agg(F.sum("n").alias("cost"), F.collect_set("kid").alias("kids"))
+    best = side.groupBy("rule_idx").agg(F.min_by("kids", F.struct("cost", "any_of")).alias("kids"))
+    return best.select("rule_idx", F.explode("kids").alias("kid"))
 
-    J1 depends only on which rule keywords a text contains, so the rules are matched once
-    per distinct hit set (map-side deduplicated), not once per text: candidates come from an
-    equi-join on one anchor keyword per rule alternative, kept once per (set, rule) via the
-    first anchor present, then verified by set algebra."""
-    sigs = hits.select("hits").where(F.size("hits") > 0).distinct()
-    anchor_rows = rule_anchors(rules).select("*", F.explode("anchors").alias("kw"))
-    if rules.limit(params.max_broadcast_rules + 1).count() <= params.max_broadcast_rules:
-        anchor_rows = F.broadcast(anchor_rows)
-    cand = sigs.select("hits", F.explode("hits").alias("kw")).join(anchor_rows, "kw")
-    # array_intersect keeps the order of its first argument: its head is the first anchor present
-    first_present = F.element_at(F.array_intersect("anchors", "hits"), 1)
-    return (cand.where(F.col("kw") == first_present)
-            .where(hit_set_predicate("hits"))
-            .select("hits", *RULE_OUT))
 
+def signature_matches(sets: DataFrame, index: RuleIndex) -> DataFrame:
+    """Rules matched by each distinct hit set (``h1, h2, hits``): ``h1, h2, rule_idx, level1, code, atomic``.
 
-def _materialized(df: DataFrame) -> DataFrame:
-    """Write a DataFrame used twice to the shared checkpoint folder (a reliable checkpoint),
-    so the text scan behind it runs once and the lineage is cut there."""
-    from ..session import checkpoint_dir_or_local
-    checkpoint_dir_or_local(df.sparkSession)
-    return df.checkpoint(eager=True)
+    J1 depends only on which rule keywords a text contains, so the rules are matched once per distinct
+    hit set. Candidate pairs carry ids only; sets and rules are joined to them for the check."""
+    pairs = (sets.select("h1", "h2", F.explode("hits").alias("kid"))
+             .join(index.hint(rule_anchors(index, sets)), "kid").select("h1", "h2", "rule_idx").distinct())
+    full = pairs.join(index.hint(index.rules), "rule_idx").join(sets, ["h1", "h2"])
+    return full.where(hit_set_predicate("hits")).select("h1", "h2", *RULE_OUT)
 
 
-def _anchor_rules(rules: DataFrame) -> DataFrame:
-    """The rule table is read several times by the anchor plan (keywords, size check, anchors):
-    materialise it once (only the columns the plan needs)."""
-    return _materialized(rules.select(*RULE_OUT, *GROUPS_ALL_OF, "g5", "must_not"))
+def _hit_sets(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The hits with a 128-bit id of their set, and the distinct sets."""
+    h = materialized(hits.where(F.size("hits") > 0).withColumn("h1", F.xxhash64("hits")).withColumn("h2", F.xxhash64("hits", F.lit(1))))
+    return h.drop("hits"), materialized(h.groupBy("h1", "h2").agg(F.first("hits").alias("hits")))
 
 
 def _match_anchor(texts, rules, text_col, keys, params):
-    rules = _anchor_rules(rules)
-    hits = _materialized(rule_keyword_hits(texts.where(F.col(text_col) != ""), rules, text_col, keys, params))
-    sig = signature_matches(hits, rules, params)
+    index = rules if isinstance(rules, RuleIndex) else RuleIndex(rules, params)
+    hits, sets = _hit_sets(keyword_hits(texts.where(F.col(text_col) != ""), text_col, keys, index))
     # hot hit sets are fine here: AQE broadcasts the (small) per-set side or splits the skewed one
-    return hits.where(F.size("hits") > 0).join(sig, "hits").select(*keys, *RULE_OUT)
+    return hits.join(signature_matches(sets, index), ["h1", "h2"]).select(*keys, *RULE_OUT)
 
 
 def _left_anchor(texts, rules, text_col, keys, params, prefix):
-    """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches."""
-    rules = _anchor_rules(rules)
+    """J3 for large rule tables: distinct texts -> hit sets -> per-set collapsed matches. The texts are
+    read twice (hits and join), so they are materialised first: what made them runs once."""
+    index = rules if isinstance(rules, RuleIndex) else RuleIndex(rules, params)
+    texts = materialized(texts)
     distinct = texts.select(text_col).where(F.col(text_col).isNotNull() & (F.col(text_col) != "")).distinct()
-    hits = _materialized(rule_keyword_hits(distinct, rules, text_col, [text_col], params))
-    per_set = collapse_matches(signature_matches(hits, rules, params), ["hits"], prefix)
-    per_text = hits.join(per_set, "hits").drop("hits")
+    hits, sets = _hit_sets(keyword_hits(distinct, text_col, [text_col], index))
+    per_set = collapse_matches(signature_matches(sets, index), ["h1", "h2"], prefix)
+    per_text = hits.join(per_set, ["h1", "h2"]).drop("h1", "h2")
     out = texts.select(*keys).join(per_text, text_col, "left")
     return out.select(
         *keys,
@@ -318,79 +311,103 @@ def collapse_matches(hits: DataFrame, keys: list[str] | str, prefix: str = "") -
 
 
 def collect_rules(rules, params: Params = DEFAULT_PARAMS):
-    """Small rule tables as driver-side rows (one bounded job), else None (use the anchor plan).
+    """Rule tables of few keywords as driver-side rows (one bounded job), else None (use the anchor plan).
 
-    A list of rows passes through unchanged, so a cascade collects its rules only once."""
+    A list of rows passes through unchanged, so a cascade collects its rules only once. The plan is
+    chosen by the number of keywords, as the compiled plan tests each on every text."""
     if isinstance(rules, list):
         return rules
-    if params.rule_plan == "anchor":
+    if isinstance(rules, RuleIndex) or params.rule_plan == "anchor":
         return None
-    limit = params.anchor_min_rules if params.rule_plan == "auto" else params.max_broadcast_rules
+    forced = params.rule_plan in ("literal", "broadcast")
+    limit = params.max_broadcast_rules if forced else params.max_compiled_rules
     rows = rules.limit(limit + 1).collect()
     if len(rows) > limit:
-        if params.rule_plan in ("literal", "broadcast"):
+        if forced:
             raise ValueError(f"rule table has more than {limit} rows, above the literal-plan bound")
         return None
+    words = sum(len(r[g]) for r in rows for g in (*GROUPS_ALL_OF, "g5", "must_not"))
+    if not forced and words > params.max_compiled_keywords:
+        return None
     return sorted(rows, key=lambda r: r["rule_idx"])
 
 
-def _sql_str(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def prepare_rules(rules, params: Params = DEFAULT_PARAMS):
+    """What several runs can share: the rows of a small rule table, or a ``RuleIndex``."""
+    if isinstance(rules, RuleIndex):
+        return rules
+    rows = collect_rules(rules, params)
+    return RuleIndex(rules, params) if rows is None else rows
+
+
+def _is_live(rule) -> bool:
+    return any(rule[g] for g in (*GROUPS_ALL_OF, "g5"))
+
 
+def rule_column(text: str, rule) -> Column:
+    """J1 for one known rule as a Column over ``contains``. Empty groups are dropped when it is built, so it
+    has no higher-order functions and stays inside whole-stage codegen; keywords are literals, never
+    SQL text."""
+    t = F.col(text)
 
-def rule_sql(text: str, rule) -> str | None:
-    """J1 for one known rule as a SQL boolean over ``contains`` (None: the rule never matches).
+    def any_of(xs):
+        out = F.lit(False)
+        for x in xs:
+            out = out | x
+        return out
 
-    Empty groups are dropped at build time, so the expression has no higher-order
-    functions and stays inside whole-stage codegen."""
-    t = f"`{text}`"
+    def all_of(xs):
+        out = F.lit(True)
+        for x in xs:
+            out = out & x
+        return out
+
+    has = lambda k: F.contains(t, F.lit(k))
     groups = [rule[g] for g in GROUPS_ALL_OF if rule[g]]
-    g5, no = rule["g5"], rule["must_not"]
-    if not groups and not g5:
-        return None
-    has = lambda k: f"contains({t}, {_sql_str(k)})"
-    parts = [f"{t} <> ''"]
-    if no:
-        parts.append("NOT (" + " OR ".join(has(k) for k in no) + ")")
-    if g5:
-        parts.append("(" + " OR ".join(has(k) for k in g5) + ")")
+    parts = [t != ""]
+    if rule["must_not"]:
+        parts.append(~any_of([has(k) for k in rule["must_not"]]))
+    if rule["g5"]:
+        parts.append(any_of([has(k) for k in rule["g5"]]))
     if groups:
-        parts.append("(" + " OR ".join("(" + " AND ".join(has(k) for k in g) + ")" for g in groups) + ")")
-    return "(" + " AND ".join(parts) + ")"
+        parts.append(any_of([all_of([has(k) for k in g]) for g in groups]))
+    return all_of(parts) if _is_live(rule) else F.lit(False)
+
+
+def matched_rules(text: str, rows) -> Column:
+    """The 1-based positions in ``rows`` of the rules that a text matches, in order; every predicate is
+    computed once."""
+    hits = [F.when(rule_column(text, r), F.lit(i)) for i, r in enumerate(rows, start=1)]
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+
+
+def _rule_table(rows) -> dict[str, Column]:
+    """The output fields of ``rows`` as literal arrays."""
+    out = {"rule_idx": F.array(*[F.lit(int(r["rule_idx"])).cast("bigint") for r in rows])}
+    for c in RULE_OUT[1:]:
+        out[c] = F.array(*[F.lit(r[c] or "") for r in rows])
+    return out
 
 
-def compiled_rule_columns(text: str, rows, prefix: str = "") -> list[Column]:
-    """J3 + A1 as four projected columns: level1 / code / atomic joined by '；' in rule order
-    (blanks dropped per column, codes not stripped) and ``n_rules``."""
-    preds = [(r, rule_sql(text, r)) for r in rows]
-    preds = [(r, p) for r, p in preds if p is not None]
+def _picker(values: Column):
+    return lambda i: F.element_at(values, i)
 
-    def joined(field, keep):
-        cases = [f"CASE WHEN {p} THEN {_sql_str(keep(r[field]))} END" for r, p in preds if keep(r[field]) != ""]
-        if not cases:
-            return F.lit("")
-        return F.expr(f"concat_ws({_sql_str(JOIN_SEPARATOR)}, " + ", ".join(cases) + ")")
 
+def _compiled_left(texts: DataFrame, text: str, rows, prefix: str) -> DataFrame:
+    """J3 + A1: all columns plus level1 / code / atomic joined by '；' in rule order (blanks dropped per
+    column, codes not stripped) and ``n_rules``."""
+    live = [r for r in rows if _is_live(r)]
+    if not live:
+        return texts.select("*", *[F.lit("").alias(prefix + c) for c in RULE_OUT[1:]], F.lit(0).cast("bigint").alias(prefix + "n_rules"))
     strip_py = lambda v: (v or "").strip(PY_WHITESPACE)
-    n = (F.expr("CAST(" + " + ".join(f"(CASE WHEN {p} THEN 1 ELSE 0 END)" for _, p in preds) + " AS BIGINT)")
-         if preds else F.lit(0).cast("bigint"))
-    return [joined("level1", strip_py).alias(prefix + "level1"), joined("code", lambda v: v or "").alias(prefix + "code"),
-            joined("atomic", strip_py).alias(prefix + "atomic"), n.alias(prefix + "n_rules")]
-
-
-def compiled_matches(text: str, rows) -> Column:
-    """J2 for one text as a projection: ``array<struct<rule_idx, level1, code, atomic>>`` in rule order."""
-    items = []
-    for r in rows:
-        p = rule_sql(text, r)
-        if p is None:
-            continue
-        items.append(f"CASE WHEN {p} THEN named_struct('rule_idx', CAST({int(r['rule_idx'])} AS BIGINT), "
-                     f"'level1', {_sql_str(r['level1'])}, 'code', {_sql_str(r['code'])}, "
-                     f"'atomic', {_sql_str(r['atomic'])}) END")
-    if not items:
-        return F.expr("CAST(array() AS array<struct<rule_idx:bigint,level1:string,code:string,atomic:string>>)")
-    return F.expr("array_compact(array(" + ", ".join(items) + "))")
+    kept = {"level1": strip_py, "code": lambda v: v or "", "atomic": strip_py}
+    # a projection of its own, used several times below, so that it isn't computed again for each use
+    found = texts.withColumn("_rules", matched_rules(text, live))
+    joined = []
+    for c, keep in kept.items():
+        names = F.transform("_rules", _picker(F.array(*[F.lit(keep(r[c])) for r in live])))
+        joined.append(F.coalesce(F.array_join(F.array_remove(names, ""), JOIN_SEPARATOR), F.lit("")).alias(prefix + c))
+    return found.select(*texts.columns, *joined, F.coalesce(F.size("_rules"), F.lit(0)).cast("bigint").alias(prefix + "n_rules"))
 
 
 def rules_left(texts: DataFrame, rules, text_col: str, keys: list[str] | str | None = None,
@@ -403,6 +420,6 @@ def rules_left(texts: DataFrame, rules, text_col: str, keys: list[str] | str | N
     """
     rows = collect_rules(rules, params)
     if rows is not None:
-        return texts.select("*", *compiled_rule_columns(text_col, rows, prefix))
+        return _compiled_left(texts, text_col, rows, prefix)
     keys = list(texts.columns) if keys is None else ([keys] if isinstance(keys, str) else list(keys))
     return _left_anchor(texts, rules, text_col, keys, params, prefix)

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import char_histograms, encode_names, jaro_winkler_many, jaro_winkler_upper
+from ..functions.similarity import HIST_BUCKETS, char_histograms, encode_names, jaro_winkler_many, jaro_winkler_upper
 from ..functions.text import strip
-from ..session import ship_package
+from ..session import materialized, ship_package
 from ..params import DEFAULT_PARAMS, Params
 
 BRAND_SCHEMA = T.StructType([
@@ -147,9 +147,13 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
             qmat, qhas = _to_matrix(vecs, dim)
             ok_rows = active & np.array([e is None for e in err], dtype=bool)
             pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, ok_rows)
-        except Exception as exc:  # any other failure: the batch's scored rows become error rows
+        except Exception:  # any other failure: score the rows one by one, so only the bad ones become error rows
             pos, sc = [-1] * len(texts), [float("nan")] * len(texts)
-            err = [e or (f"{type(exc).__name__}: {exc}" if on else None) for e, on in zip(err, active)]
+            for i in np.flatnonzero(active & np.array([e is None for e in err], dtype=bool)):
+                try:
+                    (pos[i],), (sc[i],) = score_block([texts[i]], *_to_matrix([vecs[i]], dim), block, w, use_combined)
+                except Exception as exc:  # noqa: BLE001
+                    err[i] = f"{type(exc).__name__}: {exc}"
         for p, s_, e in zip(pos, sc, err):
             ok = p >= 0
             cols["brand_idx"].append(int(ids[p]) if ok else None)
@@ -192,7 +196,9 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
     no brand is eligible or ``active`` (a boolean Column) is false for the row.
 
     ``text_col`` must be stripped. ``vec_col`` may be null per row (cosine part 0.0).
-    The plan is ``broadcast`` when the brand block passes the size check, else ``grid``.
+    The plan is ``broadcast`` when the brand block passes the size check, else ``grid``; both give one
+    row per input row, repeated keys included. With ``active``, the rows are written once and only
+    the active ones are shuffled to the kernel.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     carry = list(carry) if carry is not None else list(keys)
@@ -204,6 +210,9 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
     tx = texts.select(*carry, F.col(text_col).alias("_kt"), F.col(vec_col).cast("array<float>").alias("_kv"),
                       act.alias("_ka"))
     schema = T.StructType([*[texts.schema[c] for c in carry], *_OUT_FIELDS])
+    def none(rows):
+        return rows.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
+
     index = brands if isinstance(brands, BrandIndex) else None
     if index is None and plan in ("auto", "broadcast"):
         index = prepare_brands(brands, params)
@@ -211,14 +220,18 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
             raise ValueError("brand table exceeds the broadcast bound; use the grid plan")
     if index is not None:
         if index.n == 0:
-            return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
-        return _top1_broadcast(tx, index, carry, w, use_combined, params, schema)
+            return none(tx)
+        if active is None:
+            return _top1_broadcast(tx, index, carry, w, use_combined, params, schema)
+        tx = materialized(tx)
+        return _top1_broadcast(tx.where("_ka"), index, carry, w, use_combined, params, schema).unionByName(none(tx.where(~F.col("_ka"))))
     live = _live_brands(brands)
     stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n_brands, dim = int(stats["n"]), max(int(stats["d"] or 0), 0)
     if n_brands == 0:
-        return tx.select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
-    return _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands)
+        return none(tx)
+    tx = materialized(tx.withColumn("_row", F.monotonically_increasing_id()))
+    return _top1_grid(tx.where("_ka"), live, carry, dim, w, use_combined, params, schema, n_brands).unionByName(none(tx.where(~F.col("_ka"))))
 
 
 class BrandIndex:
@@ -235,12 +248,16 @@ class BrandIndex:
 
 
 def prepare_brands(brands: DataFrame, params: Params = DEFAULT_PARAMS) -> "BrandIndex | None":
-    """One bounded job (``limit(max + 1)``): the size check and the payload together.
-    Returns None when the brand table is beyond the broadcast bounds (use the grid plan)."""
-    pdf = _live_brands(brands).limit(params.max_broadcast_brands + 1).toPandas()
-    dim = max([len(v) for v in pdf["embedding"] if v is not None], default=0)
-    if len(pdf) > params.max_broadcast_brands or len(pdf) * max(dim, 1) * 4 > params.max_broadcast_bytes:
+    """Sizes first (rows, longest vector and name), then one bounded collect. The bytes count all of the
+    index: vectors in both precisions, name matrix and histograms. Returns None when the brand
+    table is beyond the broadcast bounds (use the grid plan)."""
+    live = _live_brands(brands)
+    size = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"), F.max(F.length("brand_name")).alias("w")).first()
+    dim = max(int(size["d"] or 0), 0)
+    row_bytes = 12 * dim + 4 * (int(size["w"] or 0) + HIST_BUCKETS)
+    if size["n"] > params.max_broadcast_brands or size["n"] * row_bytes > params.max_broadcast_bytes:
         return None
+    pdf = live.toPandas()
     return BrandIndex(brands.sparkSession, pdf, dim)
 
 
@@ -258,7 +275,7 @@ def kernel_partitions(spark, params: Params) -> int:
 def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schema):
     bc, dim = index.bc, index.dim
     cells = params.kernel_batch_cells
-    tx = tx.repartition(kernel_partitions(tx.sparkSession, params), "_kt")
+    tx = tx.repartition(kernel_partitions(tx.sparkSession, params), "_kt", "_kv")
 
     def run(batches):
         blk = dict(bc.value)
@@ -269,43 +286,41 @@ def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schem
     return tx.mapInPandas(run, schema)
 
 
-def _top1_grid(tx, live, keys, carry, dim, w, use_combined, params, schema, n_brands):
-    on = tx.where(F.col("_ka"))
+def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
+    """``on``: materialised rows with a unique ``_row``. Cells are bounded in rows and, by the mean text,
+    in bytes; only the row id, text and vector travel to them, the carried columns are joined back."""
     n_blocks = params.grid_blocks or max(1, math.ceil(n_brands / params.brand_block_rows))
-    n_buckets = params.grid_buckets or max(1, math.ceil(on.count() / params.text_block_rows))
+    size = on.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b")).first()
+    n_buckets = params.grid_buckets or max(1, math.ceil(size["n"] / params.text_block_rows),
+                                           math.ceil((size["b"] or 0) / params.text_block_bytes))
     cells = params.kernel_batch_cells
     # both sides must carry the cell keys with the same type, or they hash to different partitions
-    t_rep = (on.withColumn("_tb", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int"))
+    t_rep = (on.select("_row", "_kt", "_kv", "_ka").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)).cast("int"))
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
     b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)).cast("int"))
              .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))))
-    names = schema.fieldNames()
+    cell_schema = T.StructType([T.StructField("_row", T.LongType(), False), *_OUT_FIELDS])
+    names = cell_schema.fieldNames()
 
     def cell(tpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if len(tpdf) == 0:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
-        return _score_frame(tpdf, carry, _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
+        return _score_frame(tpdf, ["_row"], _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
 
     partial = (t_rep.groupBy("_blk", "_tb")
                .cogroup(b_rep.groupBy("_blk", "_tb"))
-               .applyInPandas(cell, schema))
+               .applyInPandas(cell, cell_schema))
     # merge the blocks: highest score, then lowest brand_idx; an error in any block wins (C4)
     best = F.max(F.when(F.col("brand_idx").isNotNull(),
                         F.struct(F.col("score"), (-F.col("brand_idx")).alias("neg"), "brand_name",
                                  "brand_code", "brand_atomic", "score_text")))
-    merged = partial.groupBy(*carry).agg(best.alias("b"), F.max("error").alias("error"))
+    merged = partial.groupBy("_row").agg(best.alias("b"), F.max("error").alias("error"))
     ok = F.col("error").isNull()
-    scored = merged.select(
+    return on.select("_row", *carry).join(merged, "_row").select(
         *carry,
         F.when(ok, -F.col("b.neg")).alias("brand_idx"),
-        F.when(ok, F.col("b.brand_name")).alias("brand_name"),
-        F.when(ok, F.col("b.brand_code")).alias("brand_code"),
-        F.when(ok, F.col("b.brand_atomic")).alias("brand_atomic"),
-        F.when(ok, F.col("b.score")).alias("score"),
-        F.when(ok, F.col("b.score_text")).alias("score_text"),
+        *[F.when(ok, F.col(f"b.{c}")).alias(c) for c in ("brand_name", "brand_code", "brand_atomic", "score", "score_text")],
         "error")
-    off = tx.where(~F.col("_ka")).select(*carry, *[F.lit(None).cast(f.dataType).alias(f.name) for f in _OUT_FIELDS])
-    return scored.unionByName(off)
 
 
 def match_by_similarity(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,

@@ -6,7 +6,7 @@ explicitly to the operators; there is no global configuration object.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # These strings appear in the output and must stay exactly as is.
@@ -61,21 +61,22 @@ class Params:
     max_keyword_hint_chars: int = 120
     chunk_size: int = 0
     # Physical-plan knobs (not semantics).
-    rule_plan: str = "auto"                 # "auto" | "broadcast" | "anchor"
-    max_broadcast_rules: int = 20_000       # rule rows allowed in a broadcast nested-loop join
-    anchor_min_rules: int = 64              # from this many rules on, "auto" uses the anchor plan
-    max_broadcast_keywords: int = 2_000_000  # distinct keywords shipped to the automaton
+    rule_plan: str = "auto"                 # "auto" | "literal" | "broadcast" | "anchor"
+    max_broadcast_rules: int = 20_000       # rule rows (and 8 x as many keywords) allowed in a broadcast
+    max_compiled_rules: int = 256           # rule rows and keywords that "auto" compiles into a projection;
+    max_compiled_keywords: int = 512        # above either it uses the anchor plan (same result)
+    max_broadcast_keywords: int = 500_000   # distinct keywords in one automaton; more go in chunks
     max_broadcast_brands: int = 250_000     # brand rows allowed in the broadcast kernel
     max_broadcast_bytes: int = 256 * 1024 * 1024  # brand vector bytes (float32) in the broadcast
     brand_block_rows: int = 50_000          # brand rows per block in the grid plan
     text_block_rows: int = 20_000           # text rows per bucket in the grid plan
+    text_block_bytes: int = 64 * 1024 * 1024  # text and vector bytes per bucket in the grid plan
     grid_blocks: int = 0                    # fixed brand-block count for the grid (0: from brand_block_rows)
     grid_buckets: int = 0                   # fixed text-bucket count for the grid (0: from text_block_rows)
     kernel_batch_cells: int = 4_000_000     # text x brand score cells per numpy block
     kernel_partitions: int = 0              # tasks for the similarity kernel (0: 2 x defaultParallelism)
     provider_tasks: int = 0                 # at most this many tasks call a describer callable at once
                                             # (0: no cap; the reference runs 8 calls at a time)
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

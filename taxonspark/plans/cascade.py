@@ -1,15 +1,16 @@
 """The three-stage cascade (C1-C4, J7-J9): rules, then nearest brand, then description.
 
-Plan shape (one lazy DataFrame; the only actions are small size checks):
+Plan shape:
 
 1. ``names``: distinct ``(stripped text, vector)`` with partial aggregation, so a hot
    text collapses map-side before the shuffle (J9 dedupe).
-2. Rules: left broadcast nested-loop join + ``groupBy`` on the same keys (no new shuffle).
-3. Texts with no rule: top-1 brand kernel (broadcast or grid plan).
-4. Below the gate: description join, rules again over the description.
-5. The disjoint branches are unioned into one row per text, then re-attached to every
-   lead (duplicates included) with an equi-join on ``(text, vector hash)``; AQE splits a
-   hot text's partition (skew join) instead of sending it to one task.
+2. Rules: a compiled projection, or the anchor plan for large rule tables.
+3. The rows are written once; those without a rule go to the top-1 brand kernel (broadcast or
+   grid plan), the decided ones pass it by.
+4. Below the gate: description join or provider (each request once), rules again over the
+   description, and one ``select`` that decides.
+5. One row per text is re-attached to every lead (duplicates included) with an equi-join on
+   ``(text, vector hash)``; AQE splits a hot text's partition (skew join).
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.describe import describe
-from ..operators.encode import encode_missing, fill_embeddings
-from ..operators.rules import collect_rules, rules_left
+from ..operators.encode import encode_missing
+from ..operators.rules import prepare_rules, rules_left
 from ..operators.similarity import match_by_similarity
 from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_ERROR, METHOD_NONE, METHOD_NOT_FOUND,
                       METHOD_RULE, METHOD_SEARCH_MATCHED, METHOD_SEARCH_UNMATCHED, METHOD_SIMILARITY,
                       RESULT_COLUMNS, Params)
+from ..session import materialized
 
 KEYS = ["_t", "_vh"]
 
@@ -54,20 +56,17 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     through) -> description for rows below the gate (equi-join) -> rules over the
     description (projection) -> decision columns (one ``select`` of ``when`` chains).
     """
-    rule_rows = collect_rules(rules, params)
-    if rule_rows is not None:
-        rules = rule_rows
+    rules = prepare_rules(rules, params)
     stage1 = rules_left(names, rules, "_t", ["_t", "_vh", "_v"], params, prefix="r_")
     ruled = F.col("r_n_rules") > 0
     if brands is None:
         return stage1.select("_t", "_vh", *_decide(ruled, None, params))
     if encoder is not None:
-        # the reference encodes every text that reaches the similarity stage, and brand names
-        # when no brand carries a vector (then with the fixed default weight)
+        # every text that reaches the similarity stage and every brand gets a vector, as the reference
+        # does (brands when they are loaded); the configured weight applies
         stage1 = encode_missing(stage1, "_t", "_v", encoder, active=~ruled)
-        if isinstance(brands, DataFrame) and brands.where(F.col("embedding").isNotNull()).limit(1).count() == 0:
-            brands = fill_embeddings(brands, encoder)
-            params = params.with_(vector_weight=DEFAULT_PARAMS.vector_weight)
+        if isinstance(brands, DataFrame):
+            brands = materialized(encode_missing(brands, "brand_name", "embedding", encoder))
     carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules"]
     sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
                               active=~ruled, carry=carry)
@@ -172,7 +171,9 @@ def reattach(leads: DataFrame, per_text: DataFrame, name_col: str = "lead_name",
     keyed = (leads.withColumn("_t", strip(F.col(name_col))).withColumn("_vh", F.xxhash64(v))
              .withColumn("_orig", F.when(F.col(name_col) != F.col("_t"), F.col(name_col)))
              .drop(name_col))
-    return (keyed.join(per_text, KEYS, "inner")
+    # null-safe, so that a lead without a name keeps its (unmatched) row
+    right = per_text.withColumnsRenamed({"_t": "_rt", "_vh": "_rvh"})
+    return (keyed.join(right, F.col("_t").eqNullSafe(F.col("_rt")) & (F.col("_vh") == F.col("_rvh")), "inner").drop("_rt", "_rvh")
             .withColumn(name_col, F.coalesce(F.col("_orig"), F.col("_t"))).drop("_orig"))
 
 
@@ -183,8 +184,8 @@ def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
             encoder: Callable | None = None) -> DataFrame:
     """C1-C4 end to end: ``extra_cols`` + the 11 result columns + ``score`` (double) per lead.
 
-    ``encoder`` (texts -> vectors) fills the vectors of texts and, when no brand has one, of
-    brand names, as the reference does with its embedding model."""
+    ``encoder`` (texts -> vectors) fills the missing vectors of texts and of brands, as the
+    reference does with its embedding model."""
     names = distinct_texts(leads)
     per_text = per_text_results(names, rules, brands, descriptions, provider, params, encoder)
     joined = reattach(leads.select(*extra_cols, "lead_code", "lead_name",

@@ -107,7 +107,7 @@ def q_rule_predicate(spark, sf):
 
 def q_rule_join(spark, sf):
     leads = _leads_t(fx.part_leads(spark, sf))
-    return match_rules(leads, fx.rules(spark), "_t", ["lead_idx"], P.with_(rule_plan="broadcast"))
+    return match_rules(leads, fx.rules(spark), "_t", ["lead_idx"], P)
 
 
 def q_rule_join_anchor(spark, sf):
@@ -117,7 +117,7 @@ def q_rule_join_anchor(spark, sf):
 
 def q_rule_join_docs(spark, sf):
     docs = _leads_t(fx.document_leads(spark, sf))
-    return match_rules(docs, fx.rules(spark), "_t", ["lead_idx"], P.with_(rule_plan="broadcast"))
+    return match_rules(docs, fx.rules(spark), "_t", ["lead_idx"], P)
 
 
 def q_rule_unmatched(spark, sf):
@@ -271,7 +271,7 @@ def _top1_query(spark, sf, params, plan="auto"):
 
 
 def q_sim_top1(spark, sf):
-    return _top1_query(spark, sf, P, "broadcast")
+    return _top1_query(spark, sf, P)
 
 
 def q_sim_top1_grid(spark, sf):
@@ -279,7 +279,7 @@ def q_sim_top1_grid(spark, sf):
 
 
 def q_sim_top1_vector_only(spark, sf):
-    return _top1_query(spark, sf, P.with_(use_combined=False), "broadcast")
+    return _top1_query(spark, sf, P.with_(use_combined=False))
 
 
 def q_sim_top1_names(spark, sf):
@@ -411,7 +411,7 @@ def q_fallback_requests(spark, sf):
     rules = fx.rules(spark)
     names = distinct_texts(fx.vector_leads(spark, sf))
     rest = rules_left(names, rules, "_t", ["_t", "_vh", "_v"], P).where(F.col("n_rules") == 0)
-    best = match_by_similarity(rest, fx.brands(spark, sf), ["_t"], "_t", "_v", P)
+    best = match_by_similarity(rest, fx.brands(spark, sf), ["_t", "_vh"], "_t", "_v", P)
     below = best.where(F.col("brand_idx").isNotNull() & (F.col("score") < P.fallback_threshold))
     hint = keyword_hint_text(rules, P.max_keyword_examples, P.max_keyword_hint_chars)
     return fallback_requests(below, "_t", "score_text", hint, P.fallback_threshold)

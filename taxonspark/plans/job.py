@@ -15,10 +15,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import collect_rules
+from ..operators.rules import prepare_rules
 from ..operators.similarity import prepare_brands
 from ..params import DEFAULT_PARAMS, RESULT_COLUMNS, Params
-from ..session import checkpoint_dir
+from ..session import materialized
 from ..sources.tables import brands_from_table, header_table, leads_from_table, rules_from_table
 from ..sources.workbooks import read_workbooks
 from . import report
@@ -52,12 +52,12 @@ def run_job(spark: SparkSession, leads: DataFrame, rules: DataFrame, brands: Dat
             params: Params = DEFAULT_PARAMS, materialize: bool = True, fmt: str = "parquet",
             encoder: Callable | None = None) -> dict:
     """Run the cascade over ``leads`` and overwrite ``out_path``; returns the counts (A2)."""
-    rules = collect_rules(rules, params) or rules
+    rules = prepare_rules(rules, params)
     if brands is not None and encoder is None:
         brands = prepare_brands(brands, params) or brands
     per_text = per_text_results(distinct_texts(leads), rules, brands, descriptions, provider, params, encoder)
-    if materialize and checkpoint_dir(spark):
-        per_text = per_text.checkpoint(eager=True)
+    if materialize:
+        per_text = materialized(per_text)
     cols = ["lead_idx", "lead_code", "lead_name", *(["embedding"] if "embedding" in leads.columns else [])]
     joined = reattach(leads.select(*cols), per_text).withColumn("method", method_label(params))
     out = joined.select("lead_idx", *result_columns(params))

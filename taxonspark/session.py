@@ -12,6 +12,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,9 +37,23 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def checkpoint_dir_or_local(spark: SparkSession) -> str:
-    """``checkpoint_dir``; only when nothing is set (local runs, tests) a fresh local folder."""
-    import tempfile
-    return checkpoint_dir(spark) or use_checkpoint_dir(spark, tempfile.mkdtemp(prefix="taxonspark-ckpt-"))
+    """``checkpoint_dir``; when nothing is set, a fresh local folder on a local master (tests) and an
+    error on a cluster, whose executors share no local folder."""
+    d = checkpoint_dir(spark)
+    if d is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+        d = tempfile.mkdtemp(prefix="taxonspark-ckpt-")
+    return use_checkpoint_dir(spark, d)
+
+
+def materialized(df):
+    """``df`` computed once and kept in the shared checkpoint folder (a reliable checkpoint): what stands
+    behind it runs once and survives lost executors. Spark removes the files with the frame if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    checkpoint_dir_or_local(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:

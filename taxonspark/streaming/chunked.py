@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT_PARAMS, Params
-from ..operators.rules import collect_rules
+from ..operators.rules import prepare_rules
 from ..operators.similarity import BrandIndex, prepare_brands
 from ..plans.cascade import cascade
 from ..session import checkpoint_dir_or_local
@@ -30,7 +30,7 @@ def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_
     if schema is None:
         schema = spark.read.parquet(leads_path).schema
     # bounded inputs are prepared once for all micro-batches
-    rules = collect_rules(rules, params) or rules
+    rules = prepare_rules(rules, params)
     if brands is not None and not isinstance(brands, BrandIndex):
         brands = prepare_brands(brands, params) or brands
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_chunk)

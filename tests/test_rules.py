@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 from hypothesis import given, settings, strategies as st
 
-from taxonspark.operators.rules import RULE_SCHEMA, match_rules, rules_left
+from taxonspark.operators.rules import RULE_SCHEMA, RuleIndex, collect_rules, match_rules, rules_left
 from taxonspark.params import Params
+from taxonspark.plans import oracle
 
 
 def rule(idx, g1=(), g2=(), g3=(), g4=(), g5=(), no=(), atomic=None, level1=None, code=None):
@@ -11,19 +13,17 @@ def rule(idx, g1=(), g2=(), g3=(), g4=(), g5=(), no=(), atomic=None, level1=None
             atomic if atomic is not None else f"A{idx}", 0, list(g1), list(g2), list(g3), list(g4), list(g5), list(no))
 
 
-def py_match(text, r):
-    """Plain-Python J1 (the reference's predicate, restated)."""
-    t = text.strip()
-    if not t:
-        return False
-    if any(k in t for k in r[10]):
-        return False
-    if r[9] and not any(k in t for k in r[9]):
-        return False
-    groups = [g for g in r[5:9] if g]
-    if groups and not any(all(k in t for k in g) for g in groups):
-        return False
-    return bool(groups or r[9])
+def expected(texts, rules):
+    """The matches by the oracle's SQL in DuckDB: per text, the atomic names in rule order."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, t VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    con.execute("CREATE TABLE r(rule_idx BIGINT, atomic VARCHAR, g1 VARCHAR[], g2 VARCHAR[], g3 VARCHAR[], g4 VARCHAR[], g5 VARCHAR[], must_not VARCHAR[])")
+    con.executemany("INSERT INTO r VALUES (?, ?, ?, ?, ?, ?, ?, ?)", [(r[0], r[3], *r[5:11]) for r in rules])
+    out = [[] for _ in texts]
+    for i, atomic in con.execute(f"SELECT i, atomic FROM t JOIN r ON {oracle.pred(oracle.strip('t.t'), 'r.')} ORDER BY i, rule_idx").fetchall():
+        out[i].append(atomic)
+    return out
 
 
 def run(spark, texts, rules, plan):
@@ -56,13 +56,13 @@ def test_group5_and_must_not_only(spark):
 
 @settings(max_examples=15, deadline=None)
 @given(st.integers(min_value=0, max_value=10_000))
-def test_plans_agree_with_python(spark, seed):
+def test_plans_agree_with_sql(spark, seed):
     rnd = random.Random(seed)
     words = ["a", "b", "ab", "奶", "茶", "c"]
     pick = lambda k: [rnd.choice(words) for _ in range(rnd.randint(0, k))]
     rules = [rule(i, pick(2), pick(2), pick(1), pick(1), pick(3), pick(1)) for i in range(rnd.randint(1, 8))]
     texts = ["".join(rnd.choice(words + [" "]) for _ in range(rnd.randint(0, 6))) for _ in range(25)]
-    want = [[r[3] for r in rules if py_match(t, r)] for t in texts]
+    want = expected(texts, rules)
     for plan in PLANS:
         assert run(spark, texts, rules, plan) == want, plan
 
@@ -79,7 +79,7 @@ def test_collapse_keeps_order_duplicates_and_drops_blanks(spark):
 def test_special_characters_in_keywords(spark):
     rules = [rule(0, g1=["a'b", "c\\d"]), rule(1, g5=["x\ny", "%_"], no=["\\n"]), rule(2, g1=["$1", "``"])]
     texts = ["za'bc\\d", "x\ny", "100%_", "%_ \\n", "$1``", "a'b"]
-    want = [[r[3] for r in rules if py_match(t, r)] for t in texts]
+    want = expected(texts, rules)
     assert want == [["A0"], ["A1"], ["A1"], [], ["A2"], []]
     for plan in PLANS:
         assert run(spark, texts, rules, plan) == want, plan
@@ -88,7 +88,7 @@ def test_special_characters_in_keywords(spark):
 def test_anchor_plan_with_chunked_keyword_dictionary(spark):
     rules = [rule(0, g1=["a", "b"]), rule(1, g5=["c", "奶"], no=["x"]), rule(2, g2=["ab", "茶"]), rule(3, g1=["d"])]
     texts = ["ab", "cx", "奶茶ab", "d", "abc"]
-    want = [[r[3] for r in rules if py_match(t, r)] for t in texts]
+    want = expected(texts, rules)
     tdf = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
     rdf = spark.createDataFrame(rules, RULE_SCHEMA)
     rows = match_rules(tdf, rdf, "t", ["k"], Params(rule_plan="anchor", max_broadcast_keywords=2)).collect()
@@ -102,3 +102,34 @@ def test_rule_table_without_keywords(spark):
     rules = [rule(0, no=["x"]), rule(1)]
     for plan in PLANS:
         assert run(spark, ["x", "abc", ""], rules, plan) == [[], [], []]
+
+
+def test_keywords_are_never_expanded(spark):
+    """Keywords and categories that look like variables, quotes or escapes stay as they are on every plan."""
+    rules = [rule(0, g1=["${spark.app.name}"], level1="${env:HOME}", code="${system:user.dir}"), rule(1, g5=["${env:HOME}", "it's"], no=["\\"]),
+             rule(2, g2=["{{x}}", "a\"b"], atomic="'${sql:x}'"), rule(3, g1=["taxonspark"]), rule(4, g1=["/root"])]
+    texts = ["say ${spark.app.name}", "taxonspark", "/root", "${env:HOME}", "it's", "it's \\", "{{x}} a\"b"]
+    want = expected(texts, rules)
+    assert want == [["A0"], ["A3"], ["A4"], ["A1"], ["A1"], [], ["'${sql:x}'"]]
+    for plan in ("auto", *PLANS):
+        assert run(spark, texts, rules, plan) == want, plan
+    tdf = spark.createDataFrame([(0, texts[0])], "k long, t string")
+    for plan in ("auto", "anchor"):
+        r = rules_left(tdf, spark.createDataFrame(rules, RULE_SCHEMA), "t", ["k", "t"], Params(rule_plan=plan)).first()
+        assert (r["level1"], r["code"]) == ("${env:HOME}", "${system:user.dir}")
+
+
+def test_auto_plan_by_keyword_count(spark):
+    rules = [rule(i, g5=[f"w{i}x{k}" for k in range(40)]) for i in range(20)]
+    texts = [f"a w{i}x{k}" for i in (0, 7, 19) for k in (0, 39)] + ["w3x"]
+    assert collect_rules(spark.createDataFrame(rules, RULE_SCHEMA)) is None
+    assert run(spark, texts, rules, "auto") == run(spark, texts, rules, "broadcast") == expected(texts, rules)
+
+
+def test_rule_index_serves_several_runs(spark):
+    rules = spark.createDataFrame([rule(0, g1=["a", "b"]), rule(1, g5=["c"], no=["x"])], RULE_SCHEMA)
+    index = RuleIndex(rules)
+    for texts in (["ab", "cx"], ["c", "b"]):
+        tdf = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
+        got = {(r["k"], r["rule_idx"]) for r in match_rules(tdf, index, "t", "k").collect()}
+        assert got == ({(0, 0)} if texts[0] == "ab" else {(0, 1)})
