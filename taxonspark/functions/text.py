@@ -7,6 +7,7 @@ and higher-order functions without leaving whole-stage codegen.
 from __future__ import annotations
 
 import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,11 +53,19 @@ def split_keywords(c) -> Column:
     return F.array_remove(F.split(strip(tight), seps), "")
 
 
+# Every decimal digit of Unicode and its ASCII form, as Python's ``float()`` reads them (by rule, from
+# the character data).
+_DIGITS = [(ch, str(unicodedata.decimal(ch))) for ch in map(chr, range(128, sys.maxunicode + 1)) if ch.isdecimal()]
+_DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_int0(c) -> Column:
-    """E5: null/unparsable -> 0; else int(float(text)) truncating toward zero."""
-    d = strip(_c(c).cast("string")).try_cast("double")
-    d = F.when(F.isnan(d), None).otherwise(d)
-    return F.coalesce(d.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """E5: null/unparsable -> 0; else int(float(text)) truncating toward zero. Digits of any script and
+    underscores between digits count, as in Python; suffixes and hexadecimal forms don't."""
+    t = F.translate(strip(_c(c).cast("string")), "".join(d for d, _ in _DIGITS), "".join(a for _, a in _DIGITS))
+    t = F.regexp_replace(t, "(?<=[0-9])_(?=[0-9])", "")
+    number = F.when(t.rlike(_DECIMAL), t).try_cast("double")
+    return F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def ellipsize(c, n: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..functions.text import (cell_text, clean_list, ellipsize, mask_secret, split_keywords, strip, summary,
+from ..functions.text import (cell_text, clean_list, ellipsize, l2_normalize, mask_secret, split_keywords, strip, summary,
                               to_int0, url_origin)
 from ..operators.describe import describe, fallback_requests
 from ..operators.keywords import keyword_hint, keyword_hint_text, keyword_top_n
@@ -18,7 +18,7 @@ from ..operators.rules import literal_rule, match_rules, rule_predicate, rules_l
 from ..operators.similarity import match_by_similarity, top1
 from ..params import DEFAULT_PARAMS
 from ..sources import fixtures as fx
-from ..sources.tables import brands_from_table, leads_from_table, rule_meta, rules_from_table
+from ..sources.tables import brands_from_table, dense_position, leads_from_table, rule_meta, rules_from_table
 from . import report
 from .cascade import cascade, distinct_texts, per_text_results
 
@@ -92,7 +92,13 @@ def q_cell_values(spark, sf):
                      to_int0(F.lit(None).cast("string")).alias("null_int"),
                      to_int0(F.concat(F.lit("-"), F.col("l_discount").cast("string"))).alias("neg_int"),
                      F.array_join(clean_list(lst), "|").alias("flags"),
-                     cell_text(F.col("l_tax")).alias("tax_text"))
+                     cell_text(F.col("l_tax")).alias("tax_text"),
+                     # as in Python: a type suffix or a hexadecimal form is no number, underscores between
+                     # digits and digits of other scripts are
+                     to_int0(F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_quantity") > 25, "d").otherwise("f"))).alias("suffix_int"),
+                     to_int0(F.concat(F.lit("1_00"), F.col("l_linenumber").cast("string"))).alias("under_int"),
+                     to_int0(F.translate(F.col("l_linenumber").cast("string"), "0123456789", "０１２３４５６７８９")).alias("wide_int"),
+                     to_int0(F.concat(F.lit("0x"), F.col("l_linenumber").cast("string"), F.lit("p0"))).alias("hex_int"))
 
 
 # --------------------------------------------------------------------------- rules
@@ -166,7 +172,10 @@ def raw_rule_sheet(spark, sf):
         F.when(F.col("p_retailprice") > 1500, F.lit("old,x")).otherwise(F.lit("")),
     )
     data = p.select((F.col("p_partkey") + 2).alias("row_idx"),
-                    F.slice(cells, 1, F.lit(3) + F.col("p_size") % 8).alias("cells"))
+                    F.concat(F.slice(cells, 1, F.lit(3) + F.col("p_size") % 8),
+                             # trailing notes beyond the header, as many as the data say
+                             F.when(F.col("p_size") % 8 == 7, F.expr("array_repeat(p_type, cast(p_partkey % 7 as int))"))
+                             .otherwise(F.array().cast("array<string>"))).alias("cells"))
     head = spark.createDataFrame([(i, list(r)) for i, r in enumerate(RULE_SHEET_HEADER)], "row_idx long, cells array<string>")
     return head.unionByName(data)
 
@@ -236,10 +245,10 @@ def q_category_nodes(spark, sf):
 # --------------------------------------------------------------------------- similarity
 
 def vector_pairs(spark, sf):
-    """Equi-joined (text, brand) pairs: each even text with the next (odd) brand."""
+    """Equi-joined (text, brand) pairs: each text with the brand of its own (odd) id or the next."""
     t = fx.vector_leads(spark, sf)
     b = fx.brands(spark, sf)
-    return t.join(b, b.brand_idx == t.lead_idx + 1).select(
+    return t.join(b, b.brand_idx == t.lead_idx + 1 - F.pmod(t.lead_idx, F.lit(2))).select(
         "lead_idx", "brand_idx", "lead_name", "brand_name",
         t.embedding.alias("lv"), b.embedding.alias("bv"))
 
@@ -357,16 +366,21 @@ def q_table_counts(spark, sf):
 
 
 def q_workbook_roundtrip(spark, sf):
-    """Part leads written as 4 .xlsx workbooks to the shared folder, read back in parallel."""
+    """Part leads written as 4 .xlsx workbooks to the shared folder, one with its columns
+    swapped and one with a repeated header, read back in parallel, each by its own header."""
     import uuid
     from ..session import checkpoint_dir_or_local
-    from ..sources.tables import header_table
+    from ..sources.tables import leads_from_workbooks
     from ..sources.workbooks import read_workbooks, write_workbooks
-    folder = f"{checkpoint_dir_or_local(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
-    leads = fx.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("code"), "p_name")
-    write_workbooks(leads, folder, ["线索编码", "线索名称"], 4).collect()  # returns 4 paths, not data
-    raw = read_workbooks(spark, f"{folder}/*.xlsx")
-    return leads_from_table(header_table(raw)).select("lead_code", "lead_name")
+    base = f"{checkpoint_dir_or_local(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
+    parts = fx.table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("code"), "p_name")
+    for k, header in enumerate((["线索编码", "线索名称"], [" 线索名称 ", "线索编码"], ["线索编码", "线索名称", "线索名称"], ["线索编码", "线索名称"])):
+        rows = parts.where(F.pmod("p_partkey", F.lit(4)) == k).orderBy("p_partkey")
+        cols = ["p_name", "code"] if header[0].strip() == "线索名称" else ["code", "p_name"]
+        cells = [F.col(c) for c in cols] + [F.lit("other").alias("c3")] * (len(header) - 2)
+        write_workbooks(rows.select(*cells), f"{base}/leads-{k}", header, 1).collect()  # returns the path, not data
+    leads = leads_from_workbooks(read_workbooks(spark, f"{base}/*/*.xlsx"))
+    return leads.select(F.regexp_extract("path", "(leads-[0-9])/[^/]*$", 1).alias("file"), "lead_idx", "lead_code", "lead_name")
 
 
 def q_results_sink(spark, sf):
@@ -424,7 +438,51 @@ def q_match_counts(spark, sf):
 
 
 def q_chunk_progress(spark, sf):
-    return report.chunk_progress(_cascade_part(spark, sf), 500)
+    """A3 over parsed leads: blank rows leave gaps in the row numbers, so chunks go by dense position."""
+    leads = leads_from_table(raw_lead_sheet(spark, sf))
+    out = cascade(leads, fx.rules(spark), fx.brands(spark, sf), descriptions=fx.part_descriptions(spark, sf))
+    return report.chunk_progress(dense_position(out.select("lead_idx", "method"), ["lead_idx"], "pos"), 500, "pos")
+
+
+def q_append_sink(spark, sf):
+    """The results appended chunk by chunk (the last one empty) and read back."""
+    import uuid
+    from ..params import RESULT_COLUMNS
+    from ..session import checkpoint_dir_or_local, materialized
+    path = f"{checkpoint_dir_or_local(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    out = materialized(_cascade_part(spark, sf).select("lead_idx", *RESULT_COLUMNS))
+    for part in (F.pmod("lead_idx", F.lit(2)) == 0, F.pmod("lead_idx", F.lit(2)) == 1, F.lit(False)):
+        report.append_results(out.where(part), path)
+    return spark.read.parquet(path)
+
+
+def q_compact_records(spark, sf):
+    """C7 and its inverse: records from the compact rows, read out again."""
+    rec = report.from_compact_rows(report.compact_rows(_cascade_vectors(spark, sf)))
+    return rec.select("lead_idx", "record.*")
+
+
+def q_l2_normalize(spark, sf):
+    return fx.table(spark, sf, "embeddings").select(
+        "vec_id", F.transform(l2_normalize("embedding"), lambda x: F.round(x, 6)).alias("v"))
+
+
+def q_rule_join_literal(spark, sf):
+    return match_rules(_leads_t(fx.literal_leads(spark, sf)), fx.literal_rules(spark), "_t", ["lead_idx"], P)
+
+
+def q_cascade_sheet(spark, sf):
+    """The full cascade with the parsed sheet's rules (anchor plan, also over the descriptions)."""
+    out = cascade(fx.part_leads(spark, sf), rules_from_table(raw_rule_sheet(spark, sf)), fx.brands(spark, sf),
+                  descriptions=fx.part_descriptions(spark, sf))
+    return _with_score6(out)
+
+
+def q_cascade_documents(spark, sf):
+    """Whole documents against all brands: the kernel on long texts."""
+    out = cascade(fx.ascii_document_leads(spark, sf), fx.rules(spark), fx.brands(spark, sf),
+                  descriptions=fx.part_descriptions(spark, sf))
+    return _with_score6(out).select("lead_idx", "atomic", "method", "sim_brand", "score")
 
 
 def q_nested_view(spark, sf):
@@ -499,6 +557,12 @@ QUERIES = {
     "nested_view": q_nested_view,
     "flag_failed": q_flag_failed,
     "compact_rows": q_compact_rows,
+    "append_sink": q_append_sink,
+    "compact_records": q_compact_records,
+    "l2_normalize": q_l2_normalize,
+    "rule_join_literal": q_rule_join_literal,
+    "cascade_sheet": q_cascade_sheet,
+    "cascade_documents": q_cascade_documents,
 }
 
 

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ..operators.rules import prepare_rules
 from ..operators.similarity import prepare_brands
-from ..params import DEFAULT_PARAMS, RESULT_COLUMNS, Params
+from ..params import DEFAULT_INPUT_STEM_IGNORE, DEFAULT_PARAMS, RESULT_COLUMNS, SUCCESS_METHODS, Params
 from ..session import materialized
-from ..sources.tables import brands_from_table, header_table, leads_from_table, rules_from_table
+from ..sources.tables import brands_from_workbooks, leads_from_workbooks, rules_from_table, workbook_errors
 from ..sources.workbooks import read_workbooks
 from . import report
-from .cascade import distinct_texts, per_text_results, reattach, method_label, result_columns
+from .cascade import cascade, distinct_texts, per_text_results, reattach, method_label, result_columns
 
 
 def _load(spark: SparkSession, path: str) -> DataFrame:
@@ -34,14 +34,19 @@ def _load(spark: SparkSession, path: str) -> DataFrame:
 def load_inputs(spark: SparkSession, leads_path: str, rules_path: str, brands_path: str | None):
     """Leads and brands from header sheets, rules from a positional sheet (or typed tables)."""
     raw_leads = _load(spark, leads_path)
-    leads = leads_from_table(header_table(raw_leads)) if "cells" in raw_leads.columns else raw_leads
+    leads = raw_leads
+    if "cells" in raw_leads.columns:
+        bad = workbook_errors(raw_leads).limit(100).collect()
+        if bad and len(bad) >= raw_leads.select("path").distinct().limit(101).count():  # no file is usable
+            raise ValueError(f"{bad[0].path}: {bad[0].error}")
+        leads = leads_from_workbooks(raw_leads)
     raw_rules = _load(spark, rules_path)
     rules = rules_from_table(raw_rules) if "cells" in raw_rules.columns else raw_rules
     brands = None
     if brands_path:
         try:
             raw_brands = _load(spark, brands_path)
-            brands = brands_from_table(header_table(raw_brands)) if "cells" in raw_brands.columns else raw_brands
+            brands = brands_from_workbooks(raw_brands) if "cells" in raw_brands.columns else raw_brands
         except AnalysisException:  # a missing brand file means no verified brands (S3)
             brands = None
     return leads, rules, brands
@@ -67,6 +72,22 @@ def run_job(spark: SparkSession, leads: DataFrame, rules: DataFrame, brands: Dat
     return {"success": c["n_success"], "failed": c["n_failed"], "total": c["n_total"]}
 
 
+def run_files(spark: SparkSession, leads: DataFrame, rules: DataFrame, brands: DataFrame | None, out_root: str, stamp: str,
+              ignore: str | None = DEFAULT_INPUT_STEM_IGNORE, **kw) -> DataFrame:
+    """The cascade over the leads of several input files (``leads_from_workbooks``) in one run, a text in
+    many files being decided once; one output folder per input file below ``out_root``, named by S11
+    (``output=<name>``). Returns per file: path, output, rows, successes."""
+    stem = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)
+    named = leads.withColumn("output", report.output_name_col(stem, stamp, ignore))
+    out = cascade(named, rules, brands, extra_cols=("lead_idx", "path", "output"), **kw)
+    out = out.select("output", "path", "lead_idx", *RESULT_COLUMNS)
+    (out.repartitionByRange("output", "lead_idx").sortWithinPartitions("output", "lead_idx")
+     .write.mode("overwrite").partitionBy("output").parquet(out_root))
+    ok = F.col("method").isin(*SUCCESS_METHODS)
+    return spark.read.parquet(out_root).groupBy("path", "output").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_success"))
+
+
 def result_view(spark: SparkSession, out_path: str, fmt: str = "parquet") -> DataFrame:
     """The written results with the display header (S9) and the failure flag."""
     df = spark.read.format(fmt).option("header", "true").load(out_path).select("lead_idx", *RESULT_COLUMNS)

@@ -73,15 +73,16 @@ def alias_list() -> str:
 # --------------------------------------------------------------------------- common CTEs
 
 RULES = f"rules AS ({fx.rules_sql()})"
-PART_LEADS = ("pleads AS (SELECT p_partkey AS lead_idx, CAST(p_partkey AS VARCHAR) AS lead_code, p_name AS lead_name, "
+GROWN = "CASE WHEN p_partkey % 4 = 0 THEN p_name || ' ' || CAST(p_partkey AS VARCHAR) ELSE p_name END"
+PART_LEADS = (f"pleads AS (SELECT p_partkey AS lead_idx, CAST(p_partkey AS VARCHAR) AS lead_code, {GROWN} AS lead_name, "
               "NULL::FLOAT[] AS embedding FROM part)")
 DOC_LEADS = "dleads AS (SELECT doc_id AS lead_idx, text AS lead_name FROM documents)"
-NAMED = ("nv AS (SELECT e.vec_id, e.label, e.embedding, p.p_name, p.p_name || ' ' || CAST(e.vec_id AS VARCHAR) AS name "
-         f"FROM embeddings e JOIN part p ON p.p_partkey = e.vec_id % {fx.BRAND_PARTS})")
+NAMED = ("nv AS (SELECT e.vec_id, e.label, e.embedding, coalesce(p.p_name, 'item') AS p_name, "
+         "coalesce(p.p_name, 'item') || ' ' || CAST(e.vec_id AS VARCHAR) AS name FROM embeddings e LEFT JOIN part p ON p.p_partkey = e.vec_id)")
 BRANDS = ("brands AS (SELECT vec_id AS brand_idx, CAST(vec_id AS VARCHAR) AS brand_code, name AS brand_name, "
           "'' AS brand_keywords, 'cat_' || CAST(label AS VARCHAR) AS atomic, embedding FROM nv WHERE vec_id % 2 = 1)")
 VLEADS = ("vleads AS (SELECT vec_id AS lead_idx, CAST(vec_id AS VARCHAR) AS lead_code, name AS lead_name, embedding, p_name, label "
-          "FROM nv WHERE vec_id % 2 = 0 OR vec_id % 10 = 1)")
+          "FROM nv)")
 PDESC = (f"pdesc AS (SELECT DISTINCT p_name AS text, {fx.description_case_sql('p_name')} AS description FROM part "
          f"WHERE p_name IN {fx.description_names_sql()})")
 VDESC = (f"vdesc AS (SELECT lead_name AS text, {fx.description_case_sql('p_name')} AS description FROM vleads "
@@ -131,7 +132,8 @@ SQL["cell_values"] = (
     f"{to_int0_sql('l_returnflag')} AS flag_int, 0::BIGINT AS null_int, "
     f"{to_int0_sql(chr(39) + '-' + chr(39) + ' || CAST(l_discount AS VARCHAR)')} AS neg_int, "
     f"array_to_string(list_filter(list_transform([l_returnflag, ' ', l_linestatus, NULL::VARCHAR], lambda k: coalesce({strip('k')}, '')), lambda k: k <> ''), '|') AS flags, "
-    f"{cell('CAST(l_tax AS VARCHAR)')} AS tax_text FROM lineitem")
+    f"{cell('CAST(l_tax AS VARCHAR)')} AS tax_text, 0::BIGINT AS suffix_int, (1000 + l_linenumber)::BIGINT AS under_int, "
+    f"l_linenumber::BIGINT AS wide_int, 0::BIGINT AS hex_int FROM lineitem")
 
 SQL["mask_secret"] = (
     f"SELECT c_custkey, {mask_sql('c_name')} AS m_name, {mask_sql(chr(39) + 'sk-' + chr(39) + ' || CAST(c_custkey AS VARCHAR)')} AS m_short, "
@@ -184,7 +186,8 @@ def _raw_sheet() -> str:
              f"CAST(p_size AS VARCHAR) || '.9', {w1} || '，' || {w2}, {w2}, NULL::VARCHAR, ' ', p_brand || '、' || {w1}, "
              f"CASE WHEN p_retailprice > 1500 THEN 'old,x' ELSE '' END]")
     return (f"raw AS (SELECT * FROM (VALUES {head}) h(row_idx, cells) UNION ALL "
-            f"SELECT p_partkey + 2 AS row_idx, list_slice({cells}, 1, 3 + p_size % 8) AS cells FROM part)")
+            f"SELECT p_partkey + 2 AS row_idx, list_slice({cells}, 1, 3 + p_size % 8) || CASE WHEN p_size % 8 = 7 "
+            f"THEN [p_type FOR x IN range(p_partkey % 7)] ELSE []::VARCHAR[] END AS cells FROM part)")
 
 
 RAW = _raw_sheet()
@@ -241,7 +244,7 @@ SQL["category_nodes"] = (
 # --------------------------------------------------------------------------- similarity
 
 PAIRS = ("pairs AS (SELECT l.lead_idx, b.brand_idx, l.lead_name, b.brand_name, l.embedding AS lv, b.embedding AS bv "
-         "FROM vleads l JOIN brands b ON b.brand_idx = l.lead_idx + 1)")
+         "FROM vleads l JOIN brands b ON b.brand_idx = l.lead_idx + 1 - l.lead_idx % 2)")
 _SIM = with_(NAMED, BRANDS, VLEADS, PAIRS)
 SQL["jaro_winkler_pairs"] = (_SIM + f"SELECT lead_idx, brand_idx, round(jaro_winkler_similarity({strip('lead_name')}, {strip('brand_name')}), 6) AS jw, "
                              f"round(jaro_winkler_similarity({strip('lower(lead_name)')}, {strip('reverse(brand_name)')}), 6) AS jw_other FROM pairs")
@@ -264,7 +267,7 @@ SQL["sim_top1"] = _V_TOP + "SELECT lead_idx, brand_idx, round(score, 6) AS score
 SQL["sim_top1_grid"] = SQL["sim_top1"]
 SQL["sim_top1_vector_only"] = (with_(NAMED, BRANDS, VLEADS, _top1("vleads l", "l.lead_idx", "l.embedding", "l.lead_name", False))
                                + "SELECT lead_idx, brand_idx, round(score, 6) AS score, printf('%.4f', score) AS score_text FROM best")
-SQL["sim_top1_names"] = (with_(NAMED, BRANDS, f"names AS (SELECT DISTINCT {strip('p_name')} AS text, NULL::FLOAT[] AS v FROM part)",
+SQL["sim_top1_names"] = (with_(NAMED, BRANDS, PART_LEADS, f"names AS (SELECT DISTINCT {strip('lead_name')} AS text, NULL::FLOAT[] AS v FROM pleads)",
                                _top1("names n", "n.text", "n.v", "n.text"))
                          + "SELECT text, brand_idx, round(score, 6) AS score, printf('%.4f', score) AS score_text FROM best")
 SQL["sim_match"] = (_V_TOP + "SELECT lead_idx, CASE WHEN score >= 0.75 THEN brand_idx END AS brand_idx, "
@@ -378,10 +381,13 @@ _SUCC = ", ".join(s(m) for m in SUCCESS_METHODS)
 SQL["match_counts"] = (f"SELECT count(*) FILTER (WHERE method IN ({_SUCC}))::BIGINT AS n_success, "
                        f"count(*) FILTER (WHERE method NOT IN ({_SUCC}))::BIGINT AS n_failed, count(*)::BIGINT AS n_total "
                        f"FROM ({SQL['cascade_full']})")
+_SHEET_LEADS = f"pleads AS (SELECT lead_idx, lead_code, lead_name, NULL::FLOAT[] AS embedding FROM ({SQL['leads_parse']}))"
 SQL["chunk_progress"] = (f"SELECT chunk, n_rows, n_success, sum(n_rows) OVER (ORDER BY chunk)::BIGINT AS processed, "
                          f"sum(n_rows) OVER ()::BIGINT AS total, round(100.0 * sum(n_rows) OVER (ORDER BY chunk) / sum(n_rows) OVER (), 1) AS percent "
-                         f"FROM (SELECT floor(lead_idx / 500)::BIGINT AS chunk, count(*)::BIGINT AS n_rows, "
-                         f"count(*) FILTER (WHERE method IN ({_SUCC}))::BIGINT AS n_success FROM ({SQL['cascade_full']}) GROUP BY 1)")
+                         f"FROM (SELECT floor(pos / 500)::BIGINT AS chunk, count(*)::BIGINT AS n_rows, "
+                         f"count(*) FILTER (WHERE method IN ({_SUCC}))::BIGINT AS n_success FROM "
+                         f"(SELECT *, row_number() OVER (ORDER BY lead_idx) - 1 AS pos FROM ("
+                         + with_(RULES, NAMED, BRANDS, _SHEET_LEADS, PDESC, *cascade_ctes("pleads", "pdesc")) + result_select("pleads") + ")) GROUP BY 1)")
 SQL["nested_view"] = (f"SELECT lead_idx, lead_code AS \"线索编码\", lead_name AS \"输入品类\", level1 AS \"一级原子品类\", code AS \"品类编码\", "
                       f"atomic AS \"原子品类\", method AS \"匹配方式\", sim_brand AS \"相似度匹配结果/品牌\", sim_code AS \"相似度匹配结果/编码\", "
                       f"sim_atomic AS \"相似度匹配结果/原子品类\", sim_score AS \"相似度匹配结果/相似度\", llm_desc AS \"大模型描述\" "
@@ -409,8 +415,8 @@ SQL["table_counts"] = (
     "SELECT 'rules' AS \"table\", count(*)::BIGINT AS n FROM (" + with_(RAW, PARSED) + "SELECT * FROM parsed) UNION ALL "
     "SELECT 'brands', count(*)::BIGINT FROM (" + SQL["brands_parse"] + ") UNION ALL "
     "SELECT 'leads', count(*)::BIGINT FROM (" + SQL["leads_parse"] + ")")
-SQL["workbook_roundtrip"] = (f"SELECT {cell('CAST(p_partkey AS VARCHAR)')} AS lead_code, {cell('p_name')} AS lead_name "
-                             f"FROM part WHERE {cell('p_name')} <> ''")
+SQL["workbook_roundtrip"] = (f"SELECT 'leads-' || (p_partkey % 4) AS file, row_number() OVER (ORDER BY p_partkey % 4, p_partkey) - 1 AS lead_idx, "
+                             f"CAST(p_partkey AS VARCHAR) AS lead_code, {cell('p_name')} AS lead_name FROM part WHERE {cell('p_name')} <> ''")
 SQL["results_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
 SQL["encode_join"] = ("SELECT p_partkey AS lead_idx, 64::BIGINT AS dim, "
                       "CASE WHEN p_name = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM part")
@@ -418,3 +424,20 @@ SQL["rule_collapse_sheet"] = (with_(RAW, PARSED, DOC_LEADS,
                                    f"hits AS (SELECT l.lead_idx, r.rule_idx, r.level1, r.code, r.atomic FROM dleads l "
                                    f"JOIN parsed r ON {pred(strip('l.lead_name'), 'r.')})")
                              + collapse("hits", "lead_idx"))
+
+_LIT_RULES = ", ".join(f"({i}::BIGINT, {s(l1)}, {s(code)}, {s(atomic)}, {_lit_arr(g1)}, {_lit_arr([])}, {_lit_arr([])}, {_lit_arr([])}, {_lit_arr(g5)}, {_lit_arr(no)})"
+                       for i, (l1, code, atomic, g1, g5, no) in enumerate(fx.LITERAL_RULES))
+_TAILS = "[" + ", ".join(s(t) for t in fx.LITERAL_TAILS) + "]"
+SQL["rule_join_literal"] = (with_(f"rules AS (SELECT * FROM (VALUES {_LIT_RULES}) r(rule_idx, level1, code, atomic, g1, g2, g3, g4, g5, must_not))",
+                                  f"pleads AS (SELECT p_partkey AS lead_idx, p_name || {_TAILS}[p_partkey % {len(fx.LITERAL_TAILS)} + 1] AS lead_name FROM part)")
+                            + _RULE_JOIN.format(leads="pleads"))
+_SHEET_RULES = "rules AS (SELECT * FROM parsed)"
+SQL["cascade_sheet"] = with_(RAW, PARSED, _SHEET_RULES, NAMED, BRANDS, PART_LEADS, PDESC, *cascade_ctes("pleads", "pdesc")) + result_select("pleads")
+ASCII_LEADS = ("aleads AS (SELECT doc_id AS lead_idx, CAST(doc_id AS VARCHAR) AS lead_code, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS lead_name, "
+               "NULL::FLOAT[] AS embedding FROM documents)")
+SQL["cascade_documents"] = (f"SELECT lead_idx, atomic, method, sim_brand, score FROM ("
+                            + with_(RULES, NAMED, BRANDS, ASCII_LEADS, PDESC, *cascade_ctes("aleads", "pdesc")) + result_select("aleads") + ")")
+SQL["append_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
+SQL["compact_records"] = SQL["compact_rows"]
+SQL["l2_normalize"] = ("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS v "
+                       "FROM embeddings")

@@ -28,8 +28,6 @@ DESCRIPTION_FIXTURE = (
     ("new widget", None),
 )
 
-BRAND_PARTS = 200  # brand and text names use p_name of p_partkey = vec_id % 200
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,11 +50,17 @@ def rules_sql() -> str:
             "g1, g2, g3, g4, g5, must_not)")
 
 
+def _grown_name():
+    """Part names, of which there are 64 at every scale; every fourth carries its key, so that
+    distinct names grow with the table."""
+    return F.when(F.pmod("p_partkey", F.lit(4)) == 0, F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+
+
 def part_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads from ``part``: many duplicate names (64 distinct at every scale)."""
+    """Leads from ``part``: many duplicate names, a quarter of them distinct."""
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("lead_idx"), F.col("p_partkey").cast("string").alias("lead_code"),
-        F.col("p_name").alias("lead_name"), F.lit(None).cast("array<float>").alias("embedding"))
+        _grown_name().alias("lead_name"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
 def document_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,16 +70,17 @@ def document_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("lead_name"))
 
 
+def ascii_document_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without their non-ASCII characters (the SQL oracle compares bytes)."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("lead_idx"), F.col("doc_id").cast("string").alias("lead_code"),
+        F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("lead_name"), F.lit(None).cast("array<float>").alias("embedding"))
+
+
 def _named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` with a unique name p_name(vec_id % 200) + ' ' + vec_id.
-
-    Only parts 0..199 can match the join key, so that side has a proven size bound and
-    is broadcast; the embeddings side is never shuffled for this join.
-    """
-    emb = table(spark, sf_dir, "embeddings")
-    parts = (table(spark, sf_dir, "part").where(F.col("p_partkey").between(0, BRAND_PARTS - 1))
-             .select("p_partkey", "p_name"))
-    return (emb.join(F.broadcast(parts), F.pmod(emb.vec_id, F.lit(BRAND_PARTS)) == parts.p_partkey)
+    """``embeddings`` with a unique name: the part's name of that key (``item`` if there is none) and the id."""
+    emb, parts = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return (emb.join(parts, emb.vec_id == parts.p_partkey, "left").withColumn("p_name", F.coalesce("p_name", F.lit("item")))
             .select("vec_id", "label", "embedding", "p_name",
                     F.concat_ws(" ", "p_name", F.col("vec_id").cast("string")).alias("name")))
 
@@ -90,11 +95,10 @@ def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity texts: even vec_id, plus vec_id % 10 = 1 (exact brand hits)."""
-    nv = _named_vectors(spark, sf_dir)
-    return (nv.where((F.pmod("vec_id", F.lit(2)) == 0) | (F.pmod("vec_id", F.lit(10)) == 1))
-            .select(F.col("vec_id").alias("lead_idx"), F.col("vec_id").cast("string").alias("lead_code"),
-                    F.col("name").alias("lead_name"), F.col("embedding"), F.col("p_name"), F.col("label")))
+    """Similarity texts: every vector (odd ids are exact brand hits)."""
+    return _named_vectors(spark, sf_dir).select(
+        F.col("vec_id").alias("lead_idx"), F.col("vec_id").cast("string").alias("lead_code"),
+        F.col("name").alias("lead_name"), F.col("embedding"), F.col("p_name"), F.col("label"))
 
 
 def _description_case(name_col):
@@ -139,6 +143,29 @@ def vector_leads_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding", F.when(F.col("label") == 9, cut).otherwise(F.col("embedding")))
 
 
+def literal_rules(spark: SparkSession) -> DataFrame:
+    """Rules whose keywords and categories look like variables, quotes and escapes."""
+    rows = [(i, l1, code, atomic, i + 1, list(g1), [], [], [], list(g5), list(no)) for i, (l1, code, atomic, g1, g5, no) in enumerate(LITERAL_RULES)]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
+
+#: level1, code, atomic, all-of group, any-of group, must-not group.
+LITERAL_RULES = (
+    ("${env:HOME}", "${system:user.dir}", "a'b", ("${spark.app.name}",), (), ()),
+    ("back\\slash", "1", "q\"q", (), ("${env:HOME}", "it's"), ("\\n",)),
+    ("plain", "2", "%_", ("red", "$1"), (), ()),
+    ("plain", "3", "taxonspark", ("taxonspark",), (), ()),
+    ("plain", "4", "/root", (), ("/root", "small"), ("it's",)),
+)
+#: what part names are followed by, by key
+LITERAL_TAILS = (" ${spark.app.name}", " it's", " it's \\n", " $1", " ${env:HOME}", "", " taxonspark")
+
+
+def literal_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.element_at(F.array(*map(F.lit, LITERAL_TAILS)), (F.pmod("p_partkey", F.lit(len(LITERAL_TAILS))) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lead_idx"), F.concat("p_name", tail).alias("lead_name"))
+
+
 HOT_NAME = "red rod"  # every first line item carries this name: one key holds about a quarter of all rows
 
 

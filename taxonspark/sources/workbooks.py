@@ -27,6 +27,7 @@ ROW_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("row_idx", T.LongType(), False),
     T.StructField("cells", T.ArrayType(T.StringType(), True), False),
+    T.StructField("error", T.StringType(), True),
 ])
 _CELL_REF = re.compile(r"([A-Z]+)(\d+)")
 
@@ -49,7 +50,15 @@ def _number_text(v: str) -> str:
 
 
 def _text_of(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{{{NS['m']}}}t"))
+    """The text runs of a string item, without its phonetic reading hints."""
+    out, todo = [], list(node)[::-1]
+    while todo:
+        n = todo.pop()
+        if n.tag == f"{{{NS['m']}}}t":
+            out.append(n.text or "")
+        elif n.tag not in (f"{{{NS['m']}}}rPh", f"{{{NS['m']}}}phoneticPr"):
+            todo += list(n)[::-1]
+    return "".join(out)
 
 
 def parse_xlsx(data: bytes) -> list[list[str | None]]:
@@ -72,7 +81,7 @@ def parse_xlsx(data: bytes) -> list[list[str | None]]:
         sheet = ET.fromstring(z.read(path))
     rows: dict[int, dict[int, str | None]] = {}
     for row in sheet.findall("m:sheetData/m:row", NS):
-        r_idx = int(row.get("r")) - 1
+        r_idx = int(row.get("r")) - 1 if row.get("r") else max(rows, default=-1) + 1
         cells = rows.setdefault(r_idx, {})
         for pos, c in enumerate(row.findall("m:c", NS)):
             ref = c.get("r")
@@ -100,19 +109,23 @@ def parse_xlsx(data: bytes) -> list[list[str | None]]:
 
 
 def read_workbooks(spark: SparkSession, path_glob: str) -> DataFrame:
-    """All workbooks matching ``path_glob`` -> ``(path, row_idx, cells)`` (row_idx 0-based)."""
+    """All workbooks matching ``path_glob`` -> ``(path, row_idx, cells, error)`` (row_idx 0-based). A file
+    that can't be read is one row with ``error``, row_idx -1 and no cells; the others are read."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
 
     def parse(batches):
         for pdf in batches:
-            out_p, out_r, out_c = [], [], []
             for path, content in zip(pdf["path"], pdf["content"]):
-                for i, cells in enumerate(parse_xlsx(bytes(content))):
-                    out_p.append(path)
-                    out_r.append(i)
-                    out_c.append(cells)
-            yield pd.DataFrame({"path": out_p, "row_idx": out_r, "cells": out_c})
+                try:
+                    rows, error = parse_xlsx(bytes(content)), None
+                except Exception as exc:  # noqa: BLE001 - any damage of the zip or its XML
+                    rows, error = [[]], f"{type(exc).__name__}: {exc}"
+                first = 0 if error is None else -1
+                for lo in range(0, len(rows), 10_000):
+                    part = rows[lo:lo + 10_000]
+                    yield pd.DataFrame({"path": path, "row_idx": [first + lo + i for i in range(len(part))], "cells": part,
+                                        "error": pd.Series([error] * len(part), dtype=object)})
 
     return files.mapInPandas(parse, ROW_SCHEMA)
 
@@ -175,6 +188,10 @@ def write_workbooks(df: DataFrame, folder: str, header: list[str], n_files: int)
 
     ship_package(df.sparkSession)
     cols = list(df.columns)
+    scheme = folder.partition("://")[0] if "://" in folder else "file"
+    if scheme != "file":
+        raise ValueError(f"workbooks are written to a POSIX path that all executors share, not to {scheme}://")
+    folder = folder.replace("file://", "file:") if folder.startswith("file://") else folder
     local = folder[len("file:"):] if folder.startswith("file:") else folder
 
     def write(batches):

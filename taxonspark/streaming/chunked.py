@@ -1,8 +1,9 @@
 """Chunked, restartable matching with Structured Streaming.
 
-Leads arrive as parquet files; each micro-batch (``maxFilesPerTrigger`` files = one chunk)
-runs the batch cascade and writes its rows under ``out/batch_id=<n>`` with overwrite, so a
-replayed batch after a failure rewrites the same folder (idempotent). Finished chunks
+Leads are staged as one file per chunk of ``params.chunk_size`` rows, by their position in the input;
+each micro-batch (``files_per_chunk`` files) runs the batch cascade and writes its rows under
+``out/batch_id=<n>`` and its counts under ``out_progress/batch_id=<n>`` with overwrite, so a
+replayed batch after a failure rewrites the same folders (idempotent). Finished chunks
 survive a later failure; the checkpoint records progress. Everything lives under the
 shared folder named by ``spark.checkpoint.dir``.
 """
@@ -18,20 +19,25 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT_PARAMS, Params
 from ..operators.rules import prepare_rules
 from ..operators.similarity import BrandIndex, prepare_brands
+from ..operators.encode import encode_missing
 from ..plans.cascade import cascade
-from ..session import checkpoint_dir_or_local
+from ..plans.report import match_counts
+from ..session import checkpoint_dir_or_local, materialized
+from ..sources.tables import dense_position
 
 
 def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_path: str,
                 rules: DataFrame, brands: DataFrame | None, descriptions: DataFrame | None = None,
                 provider: Callable[[str], str | None] | None = None, params: Params = DEFAULT_PARAMS,
-                files_per_chunk: int = 1, schema=None) -> None:
+                files_per_chunk: int = 1, schema=None, encoder: Callable | None = None) -> None:
     """Process every file under ``leads_path`` chunk by chunk; returns when all are done."""
     if schema is None:
         schema = spark.read.parquet(leads_path).schema
     # bounded inputs are prepared once for all micro-batches
     rules = prepare_rules(rules, params)
     if brands is not None and not isinstance(brands, BrandIndex):
+        if encoder is not None:
+            brands = materialized(encode_missing(brands, "brand_name", "embedding", encoder))
         brands = prepare_brands(brands, params) or brands
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_chunk)
               .parquet(leads_path))
@@ -41,9 +47,11 @@ def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_
         # (distinct texts and re-attachment) instead of reading its files twice
         batch.persist()
         try:
-            out = cascade(batch, rules, brands, descriptions=descriptions, provider=provider, params=params)
-            (out.sortWithinPartitions("lead_idx").write.mode("overwrite")
-             .parquet(f"{out_path}/batch_id={batch_id}"))
+            out = cascade(batch, rules, brands, descriptions=descriptions, provider=provider, params=params, encoder=encoder)
+            folder = f"{out_path}/batch_id={batch_id}"
+            out.sortWithinPartitions("lead_idx").write.mode("overwrite").parquet(folder)
+            counts = match_counts(spark.read.parquet(folder))
+            counts.write.mode("overwrite").parquet(f"{out_path}_progress/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
@@ -54,19 +62,28 @@ def run_chunked(spark: SparkSession, leads_path: str, out_path: str, checkpoint_
     q.awaitTermination()
 
 
-def stage_leads(leads: DataFrame, path: str, n_chunks: int) -> None:
-    """Write leads as ``n_chunks`` files by ``lead_idx`` range (one file = one chunk)."""
-    leads.repartitionByRange(n_chunks, "lead_idx").write.mode("overwrite").parquet(path)
+def progress(spark: SparkSession, out_path: str) -> DataFrame:
+    """The counts of every finished chunk: ``batch_id, n_success, n_failed, n_total``."""
+    return spark.read.parquet(f"{out_path}_progress")
+
+
+def stage_leads(leads: DataFrame, path: str, chunk_size: int) -> None:
+    """Write leads as one file per chunk of ``chunk_size`` rows (all in one if 0), in input order."""
+    placed = dense_position(leads, ["lead_idx"], "_pos")
+    size = chunk_size if chunk_size > 0 else 1 << 62
+    chunked = placed.withColumn("chunk", F.floor(F.col("_pos") / F.lit(size)).cast("bigint")).drop("_pos")
+    chunked.repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(path)
 
 
 def q_stream_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part-lead cascade run as a stream of 4 chunks; equals the batch result."""
+    """The part-lead cascade run as a stream of chunks (a quarter of the input each); equals the batch result."""
     from ..sources import fixtures as fx
 
     base = checkpoint_dir_or_local(spark)
     run_dir = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stage_leads(fx.part_leads(spark, sf_dir), f"{run_dir}/in", 4)
+    leads = fx.part_leads(spark, sf_dir)
+    stage_leads(leads, f"{run_dir}/in", -(-leads.count() // 4))
     run_chunked(spark, f"{run_dir}/in", f"{run_dir}/out", f"{run_dir}/chk", fx.rules(spark),
                 fx.brands(spark, sf_dir), descriptions=fx.part_descriptions(spark, sf_dir))
-    out = spark.read.parquet(f"{run_dir}/out").drop("batch_id")
+    out = spark.read.parquet(f"{run_dir}/out").drop("batch_id", "chunk")
     return out.withColumn("score", F.round("score", 6))
