@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from taxonspark.session import checkpoint_dir, ship_package, use_checkpoint_dir
@@ -154,16 +154,45 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]
                 yield lo + i, _hash_runs(words[a:z], z - a) if z > a else np.empty(0, np.int64)
 
 
-def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over links (a, b): the components within the partition as links to their least node."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    node, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j, root = where[:len(a)], where[len(a):], np.arange(len(node))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    k = np.flatnonzero(root != np.arange(len(node)))
+    yield pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(node[root[k]])], ["a", "b"])
+
+
+def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long, any order) as (node, component = smallest node).
 
-    Alternating large-star and small-star rounds, each two joins with an aggregated side, so a node
-    with very many links is summed map-side and its join partition can be split; every round is
-    staged in the shared folder. Self-links and repeated links are harmless."""
+    Every round contracts the links within each partition, then makes a large-star and a small-star
+    step between them: joins with an aggregated side, so a node with very many links is summed map-side and
+    its join partition can be split. A round is staged in the shared folder; a partition holds
+    links (two longs each), never a component as a whole. Self-links and repeated links are harmless."""
+    def stage(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        seen_all = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        got = staged(df.observe(seen, *seen_all), tag)
+        return got, (seen.get["n"], seen.get["h"])
+
+    workers(edges)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = staged(e, tag)
-    last = None
+    e, last = stage(e.mapInArrow(_contract, "a long, b long"))
     for _ in range(max_rounds):
+        if not last[0]:
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         big = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -171,8 +200,8 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 40) -> DataFrame:
         big = big.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), tag)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        e, now = stage(small.mapInArrow(_contract, "a long, b long"))
         if now == last:
             break
         last = now

@@ -63,7 +63,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, max_train: int, features
     model = Pipeline(stages=[
         HashingTF(numFeatures=features, binary=True, inputCol="w", outputCol="tf"),
         Normalizer(inputCol="tf", outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.003, elasticNetParam=1.0, maxIter=60,
+        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.003, elasticNetParam=1.0, maxIter=40,
                            probabilityCol="prob", rawPredictionCol="raw", predictionCol="pred"),
     ]).fit(train)
     p = vector_to_array("prob")
@@ -103,7 +103,7 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, *, max_steps: int = 40, tole
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, doc_id: str = "doc_id",
-        text: str = "text", max_train: int = 6000, features: int = 1 << 16) -> DataFrame:
+        text: str = "text", max_train: int = 6000, features: int = 1 << 15) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, domain (likeliest), posterior (map by domain), rate
     (expected copies, >= 0), copies (rate rounded up or down by a hash of the id, so that its mean is the rate).
 
