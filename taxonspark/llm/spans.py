@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences: after a word that ends in . ! or ?, at line ends, and, so that endless sentences
-have pieces too, after words chosen by their hash (one in ``PIECES``). The runs that are hashed
+A text is cut into sentences: after a word that ends in . ! or ? and at line ends. So that long sentences (of
+``LONG`` words or more) have pieces too, they are cut after words chosen by their hash (one in
+``PIECES``), which is the same in every copy of a passage. The runs that are hashed
 (128 bits over lower-cased words) are, from every sentence forward and from every sentence's end backward, the shortest of
 at least ``run`` sentences and ``min_words`` words: any repeated passage that is a little longer is
 covered by such runs from its first whole sentence to its last. A run that occurs more than once
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, range_hashes, staged, text_chunks, word_hashes, workers
 
-PIECES = 16
+LONG = 12
+PIECES = 6
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
 
@@ -37,9 +39,11 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lines = np.zeros(len(data) + 1, np.int32)
     np.cumsum(data == 10, out=lines[1:])
     new = np.ones(len(words), bool)  # whether a sentence begins with this word
-    new[1:] = _STOP[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]]) | (words[:-1] % np.uint64(PIECES) == 0)
+    new[1:] = _STOP[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]])
     texts = np.searchsorted(start, at[:-1])
     new[texts[texts < len(words)]] = True
+    length = np.diff(np.append(np.flatnonzero(new), len(words)))
+    new[1:] |= (np.repeat(length, length) >= LONG)[1:] & (words[:-1] % np.uint64(PIECES) == 0)
     first = np.flatnonzero(new)
     return words, np.append(first, len(words)), start[first], np.searchsorted(first, np.append(texts, len(words)))
 
