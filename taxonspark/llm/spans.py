@@ -2,7 +2,7 @@
 
 A text is cut into sentences: after a word that ends in . ! or ? and at line ends. So that long sentences (of
 ``LONG`` words or more) have pieces too, they are cut after words chosen by their hash (one in
-``PIECES``), which is the same in every copy of a passage. The runs that are hashed
+``PIECES``), which is the same in every copy of a passage, and ``LONG`` words after the last cut. The runs that are hashed
 (128 bits over lower-cased words) are, from every sentence forward and from every sentence's end backward, the shortest of
 at least ``run`` sentences and ``min_words`` words: any repeated passage that is a little longer is
 covered by such runs from its first whole sentence to its last. A run that occurs more than once
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import mix64, range_hashes, staged, text_chunks, word_hashes, workers
 
 LONG = 12
-PIECES = 6
+PIECES = 8
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True  # ! . ?
 
@@ -45,6 +45,9 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     length = np.diff(np.append(np.flatnonzero(new), len(words)))
     new[1:] |= (np.repeat(length, length) >= LONG)[1:] & (words[:-1] % np.uint64(PIECES) == 0)
     first = np.flatnonzero(new)
+    place = np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words))))
+    new |= (place > 0) & (place % LONG == 0)
+    first = np.flatnonzero(new)
     return words, np.append(first, len(words)), start[first], np.searchsorted(first, np.append(texts, len(words)))
 
 
