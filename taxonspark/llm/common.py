@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from taxonspark.session import checkpoint_dir, ship_package, use_checkpoint_dir
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a fresh local one only on a local master (tests)."""
     d = checkpoint_dir(spark)
@@ -38,9 +41,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def workers(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with this package importable in the Python workers."""
-    ship_package(df.sparkSession)
-    return df.sparkSession
+    """The session of ``df``, with this package importable in the Python workers, and with Arrow batches of
+    fewer rows than Spark's default (a setting of the user's own stays): texts can be long."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
+    return spark
 
 
 def small_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -13,9 +13,9 @@ fingerprint) from the start.
 * The boundary is the one of least cost (listed subsets + scanned list entries) by the size
   histogram; sets near it go to both sides, so that each pair of sizes is met on one.
 
-Links are wanted as components, so lists aren't expanded into all pairs. In a few rounds every set tries one
-neighbour in its lists that isn't in its component yet, so that groups of near-copies, however large, grow
-together; then only pairs in *different* components are listed in full. No pair is lost: one
+Links are wanted as components, so lists aren't expanded into all pairs. In a few rounds every set tries two
+others in its lists that aren't in its component yet (a neighbour in an order that changes by round, and the
+list's hub), so that groups of near-copies, however large, grow together; then only pairs in *different* components are listed in full. No pair is lost: one
 left out is inside a component already.
 """
 
@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, shingle_sets, small_broadcast, staged, workers
+from .common import components, mix64, shingle_sets, small_broadcast, staged, workers
 
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
 ORDERED_SHINGLES = 100_000
 #: rounds of trying neighbours before the rest of the pairs is listed (work, not results, depends on it)
-ROUNDS = 4
+ROUNDS = 3
+#: members of a list that are handed on together
+LIST_BLOCK = 2048
 #: the largest boundary between light and heavy sets that is tried
 MAX_BOUNDARY = 12
 
@@ -184,18 +186,39 @@ def _lists(threshold: int):
     return run
 
 
-def _neighbours(threshold: int):
-    """mapInArrow over a hash partition of (token, fp, n, c): the pairs (a, b, n1, n2) next to each other
-    in a list ordered by size, of different components so far, whose sizes fit."""
+def _neighbours(threshold: int, turn: int):
+    """mapInArrow over a hash partition of (token, fp, n, k, c): pairs (a, b, n1, n2) of different components
+    so far, by list: every set with the next one, ordered by size and, among equal sizes, by a hash that is
+    another one in every ``turn``; and with the hub, the set that stands in most lists (k) and is
+    likely closest to what the others were copied from (or with the best one of another component)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        token, fp, n, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((fp, n, token))
-        token, fp, n, c = token[order], fp[order], n[order], c[order]
-        k = np.flatnonzero((token[1:] == token[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= threshold * n[1:].astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[k], fp[k + 1], n[k], n[k + 1])], ["a", "b", "n1", "n2"])
+        token, fp, n, k, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shuffled = mix64(fp.view(np.uint64) + np.uint64(turn))
+
+        def pairs(x, y):
+            small = (n[x] < n[y]) | ((n[x] == n[y]) & (fp[x] < fp[y]))
+            x, y = np.where(small, x, y), np.where(small, y, x)
+            ok = (c[x] != c[y]) & (100 * n[x].astype(np.int64) >= threshold * n[y].astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (fp[x], fp[y], n[x], n[y])], ["a", "b", "n1", "n2"])
+
+        order = np.lexsort((shuffled, n, token))
+        same = token[order][1:] == token[order][:-1]
+        yield pairs(order[:-1][same], order[1:][same])
+        order = np.lexsort((shuffled, -k, token))
+        start = np.ones(len(order), bool)
+        start[1:] = token[order][1:] != token[order][:-1]
+        place = np.cumsum(start) - 1
+        hub = order[start][place]
+        yield pairs(order, hub)
+        other = c[order] != c[hub]
+        second = np.full(place[-1] + 1, -1)
+        at = np.flatnonzero(other)[::-1]
+        second[place[at]] = order[at]  # the first of its list wins, being written last
+        mine = ~other & (second[place] >= 0)
+        yield pairs(order[mine], second[place[mine]])
     return run
 
 
@@ -211,8 +234,10 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for _, s in shingle_sets(b.column(0), words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in sets], pa.int64()),
-                                              pa.array(sets, pa.list_(pa.int64()))], ["fp", "s"])
+            for lo in range(0, len(sets), 500):
+                part = sets[lo:lo + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in part], pa.int64()),
+                                                  pa.array(part, pa.list_(pa.int64()))], ["fp", "s"])
     return run
 
 
@@ -249,15 +274,63 @@ class _Verifier:
 
 
 def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The entries (token, fp, n, c) of lists that span several components (c) so far."""
+    """The entries (token, fp, n, k, c) of lists that span several components (c) so far."""
     if comp is None:
         return entries.withColumn("c", F.col("fp"))
     tagged = staged(entries.join(comp, entries.fp == comp.node, "left").select(
-        "token", "fp", "n", F.coalesce("component", "fp").alias("c")), "tagged")
+        "token", "fp", "n", "k", F.coalesce("component", "fp").alias("c")), "tagged")
     several = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     return staged(tagged.join(several, "token", "left_semi"), "open")
 
 
+def _count_partners(threshold: int):
+    """mapInArrow over rows (x, n, fps, ns) sorted by x, the members of one list block each: the pairs (a, b)
+    that share enough lists. Counts are merged row by row, so a set holds one count per partner."""
+    def done(x, n, fps, ns):
+        fp, at, count = np.unique(np.concatenate(fps), return_index=True, return_counts=True)
+        size = np.concatenate(ns)[at].astype(np.int64)
+        behind = np.maximum(n - prefix_len(n, threshold), size - prefix_len(size, threshold))
+        fp = fp[count >= need(n, size, threshold) - behind]
+        return np.full(len(fp), x), fp
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, ns = None, [], []
+        for b in batches:
+            x, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ends = np.concatenate(([0], np.cumsum(b.column(2).value_lengths().to_numpy())))
+            f, s = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)])) if len(x) else np.zeros(1, int)
+            out = []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if now is not None and now[0] != x[lo]:
+                    out.append(done(*now, fps, ns))
+                    fps, ns = [], []
+                now = (x[lo], int(n[lo]))
+                fps.append(f[ends[lo]:ends[hi]])
+                ns.append(s[ends[lo]:ends[hi]])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in done(*now, fps, ns)], ["a", "b"])
+    return run
+
+
+def _cross_pairs(entries: DataFrame, threshold: int, parts: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components whose sizes fit and that share enough of the
+    lists ``entries``. Lists are cut into blocks of about ``LIST_BLOCK`` members; each set gathers the blocks of its lists
+    as arrays of the members after it (by size and fingerprint) and counts them: no row per pair and list."""
+    sizes = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks"))
+    member = F.struct("fp", "n", "c")
+    blocks = (entries.join(sizes, "token").groupBy("token", F.pmod(F.xxhash64("fp", "token"), F.col("blocks")).alias("block"))
+              .agg(F.collect_list(member).alias("members")))
+    x = entries.select("token", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
+    later = F.filter("members", lambda m: (m["c"] != F.col("xc")) & (100 * F.col("xn") >= threshold * m["n"]) & (
+        (m["n"] > F.col("xn")) | ((m["n"] == F.col("xn")) & (m["fp"] > F.col("x")))))
+    met = x.join(blocks, "token").select("x", "xn", later.alias("m")).where("size(m) > 0").select(
+        "x", "xn", F.col("m.fp").alias("fps"), F.col("m.n").alias("ns"))
+    return met.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_count_partners(threshold), "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_id: str = "doc_id",
                    text: str = "text", boundary: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles (set size), component_id (smallest doc_id that
@@ -286,16 +359,19 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = staged(index.repartition(parts, "token").mapInArrow(_lists(threshold), "kind int, token long, fp long, n int"), "lists")
     left = lists.where("kind = 0").select("token", "fp", "n")
+    left = staged(left.join(left.groupBy("fp").agg(F.count(F.lit(1)).alias("k")), "fp").select("token", "fp", "n", "k"), "entries")
     links = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
     verifier, comp = _Verifier(docs, nodes, words, threshold), None
-    for _ in range(ROUNDS):
-        # every set tries the neighbour with which it shares most of the open lists
+    for turn in range(ROUNDS):
+        # every set tries the two candidates with which it shares most of the open lists
         left = _open_lists(left, comp)
-        near = left.repartition(parts, "token").mapInArrow(_neighbours(threshold), "a long, b long, n1 int, n2 int")
+        near = left.repartition(parts, "token").mapInArrow(_neighbours(threshold, turn), "a long, b long, n1 int, n2 int")
         near = near.groupBy("a", "b", "n1", "n2").count().where(f"2 * count >= {_shared_sql(threshold)}")  # not all shared lists make neighbours
         ends = staged(near.select("a", "b", "count"), "near")
         ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
-        best = ends.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        first = ends.groupBy("a").agg(F.max(F.struct("count", "b")).alias("x"))
+        second = ends.join(first, "a").where("struct(count, b) < x").groupBy("a").agg(F.max(F.struct("count", "b")).alias("x"))
+        best = first.unionByName(second).select("a", F.col("x.b").alias("b"))
         best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
         new = verifier.links(best)
         left = left.drop("c")
@@ -303,11 +379,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
             break
         links = (links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(new)
         comp = staged(components(links, "round"), "comp")
-    left = _open_lists(left, comp)
-    one, two = (left.select("token", *(F.col(x).alias(f"{y}{i}") for x, y in (("fp", "f"), ("n", "n"), ("c", "c")))) for i in (1, 2))
-    rest = (one.join(two, "token").where(f"c1 <> c2 and (n1 < n2 or n1 = n2 and f1 < f2) and 100 * n1 >= {threshold} * n2")
-            .groupBy(F.col("f1").alias("a"), F.col("f2").alias("b"), "n1", "n2").count()
-            .where(f"count >= {_shared_sql(threshold)}").select("a", "b"))
+    rest = _cross_pairs(_open_lists(left, comp), threshold, parts)
     more = verifier.links(staged(rest, "rest"))
     if more.limit(1).count():
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
