@@ -36,7 +36,7 @@ from .common import components, mix64, shingle_sets, small_broadcast, staged, wo
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
 ORDERED_SHINGLES = 100_000
 #: rounds of trying neighbours before the rest of the pairs is listed (work, not results, depends on it)
-ROUNDS = 3
+ROUNDS = 2
 #: members of a list that are handed on together
 LIST_BLOCK = 2048
 #: the largest boundary between light and heavy sets that is tried
