@@ -471,6 +471,24 @@ def q_rule_join_literal(spark, sf):
     return match_rules(_leads_t(fx.literal_leads(spark, sf)), fx.literal_rules(spark), "_t", ["lead_idx"], P)
 
 
+def benchmark_rules(spark, sf):
+    """One rule per benchmark item: its first two words all, any of the others. Its hundreds of common
+    keywords give nearly every document a hit set of its own."""
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]+", " "), " "), lambda w: w != "")
+    none = F.array().cast("array<string>")
+    rows = fx.table(spark, sf, "benchmark").select("item_id", words.alias("w")).select(
+        F.col("item_id").alias("rule_idx"), F.lit("bench").alias("level1"), F.col("item_id").cast("string").alias("code"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("atomic"), F.lit(0).cast("bigint").alias("sequence_no"),
+        F.slice("w", 1, 2).alias("g1"), *[none.alias(g) for g in ("g2", "g3", "g4")],
+        F.array_distinct(F.slice("w", 3, 1000)).alias("g5"), none.alias("must_not"))
+    return rows
+
+
+def q_rule_join_words(spark, sf):
+    docs = _leads_t(fx.document_leads(spark, sf))
+    return match_rules(docs, benchmark_rules(spark, sf), "_t", ["lead_idx"], P).select("lead_idx", "rule_idx", "atomic")
+
+
 def q_cascade_sheet(spark, sf):
     """The full cascade with the parsed sheet's rules (anchor plan, also over the descriptions)."""
     out = cascade(fx.part_leads(spark, sf), rules_from_table(raw_rule_sheet(spark, sf)), fx.brands(spark, sf),
@@ -561,6 +579,7 @@ QUERIES = {
     "compact_records": q_compact_records,
     "l2_normalize": q_l2_normalize,
     "rule_join_literal": q_rule_join_literal,
+    "rule_join_words": q_rule_join_words,
     "cascade_sheet": q_cascade_sheet,
     "cascade_documents": q_cascade_documents,
 }

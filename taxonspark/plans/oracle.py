@@ -431,6 +431,11 @@ _TAILS = "[" + ", ".join(s(t) for t in fx.LITERAL_TAILS) + "]"
 SQL["rule_join_literal"] = (with_(f"rules AS (SELECT * FROM (VALUES {_LIT_RULES}) r(rule_idx, level1, code, atomic, g1, g2, g3, g4, g5, must_not))",
                                   f"pleads AS (SELECT p_partkey AS lead_idx, p_name || {_TAILS}[p_partkey % {len(fx.LITERAL_TAILS)} + 1] AS lead_name FROM part)")
                             + _RULE_JOIN.format(leads="pleads"))
+_WORDS = "list_filter(string_split(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' '), lambda w: w <> '')"
+SQL["rule_join_words"] = (with_(f"bw AS (SELECT item_id, {_WORDS} AS w FROM benchmark)",
+                                "rules AS (SELECT item_id AS rule_idx, 'item ' || CAST(item_id AS VARCHAR) AS atomic, list_slice(w, 1, 2) AS g1, "
+                                + ", ".join(f"[]::VARCHAR[] AS {g}" for g in ("g2", "g3", "g4", "must_not")) + ", list_slice(w, 3, 1002) AS g5 FROM bw)", DOC_LEADS)
+                          + f"SELECT l.lead_idx, r.rule_idx, r.atomic FROM dleads l JOIN rules r ON {pred(strip('l.lead_name'), 'r.')}")
 _SHEET_RULES = "rules AS (SELECT * FROM parsed)"
 SQL["cascade_sheet"] = with_(RAW, PARSED, _SHEET_RULES, NAMED, BRANDS, PART_LEADS, PDESC, *cascade_ctes("pleads", "pdesc")) + result_select("pleads")
 ASCII_LEADS = ("aleads AS (SELECT doc_id AS lead_idx, CAST(doc_id AS VARCHAR) AS lead_code, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS lead_name, "
