@@ -36,7 +36,11 @@ FAMILIES = {
 _FAMILY = {code: f for f, codes in FAMILIES.items() for code in codes}
 #: ASCII letters lowered, UTF-8 continuation and lead bytes kept, all else made spaces
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def family(lang: str) -> str:
@@ -180,7 +184,7 @@ def _predict(model):
         for b in batches:
             langs, scores = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                if not t or not m.tree or not _LETTER.search(t[:4096].decode("utf-8", "ignore")) and not _LETTER.search(t.decode("utf-8", "replace")):
+                if not t or not m.tree or not has_letter(t):
                     lang, p = "und", 0.0
                 else:
                     lang, p = m.predict(features(t))

@@ -38,6 +38,11 @@ def test_language_odd_rows(spark):
     assert len({(r.lang_pred, r.score) for r in langid.predict(asked, model).collect()}) == 1
 
 
+def test_letters():
+    yes, no = ("a", "1É", "ß", "中", "Ω1"), ("", "1", "²½", "_-", "€ 5", "١٢", "🙂")
+    assert all(langid.has_letter(t.encode()) for t in yes) and not any(langid.has_letter(t.encode()) for t in no)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None, "s", "", ""), (2, None, None, "s", "", "")], DOCS)
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}
