@@ -56,6 +56,12 @@ def small_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """``df``, which holds far less than the documents (ids, links, pairs), in a sixteenth of the shuffle partitions:
+    fewer tasks and files, and larger pieces for ``components`` to contract."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -196,7 +202,7 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
 
     workers(edges)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, last = stage(e.mapInArrow(_contract, "a long, b long"))
+    e, last = stage(fewer(e).mapInArrow(_contract, "a long, b long"))
     for _ in range(max_rounds):
         if not last[0]:
             break
@@ -208,7 +214,7 @@ def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e, now = stage(small.mapInArrow(_contract, "a long, b long"))
+        e, now = stage(fewer(small).mapInArrow(_contract, "a long, b long"))
         if now == last:
             break
         last = now

@@ -13,9 +13,9 @@ fingerprint) from the start.
 * The boundary is the one of least cost (listed subsets + scanned list entries) by the size
   histogram; sets near it go to both sides, so that each pair of sizes is met on one.
 
-Links are wanted as components, so lists aren't expanded into all pairs. In a few rounds every set tries two
-others in its lists that aren't in its component yet (a neighbour in an order that changes by round, and the
-list's hub), so that groups of near-copies, however large, grow together; then only pairs in *different* components are listed in full. No pair is lost: one
+Links are wanted as components, so lists aren't expanded into all pairs. In a few rounds every set tries the
+likeliest of its neighbours and hubs in its lists that isn't in its component yet, so that groups of
+near-copies, however large, grow together; then only pairs in *different* components are listed in full. No pair is lost: one
 left out is inside a component already.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, shingle_sets, small_broadcast, staged, workers
+from .common import components, fewer, mix64, shingle_sets, small_broadcast, staged, workers
 
 #: the most frequent shingles that the prefix order knows by their count (a bound on the broadcast)
 ORDERED_SHINGLES = 100_000
@@ -212,7 +212,8 @@ def _neighbours(threshold: int, turn: int):
         start[1:] = token[order][1:] != token[order][:-1]
         place = np.cumsum(start) - 1
         hub = order[start][place]
-        yield pairs(order, hub)
+        for _ in range(2):  # a hub counts twice: it is the likelier link
+            yield pairs(order, hub)
         other = c[order] != c[hub]
         second = np.full(place[-1] + 1, -1)
         at = np.flatnonzero(other)[::-1]
@@ -250,9 +251,9 @@ class _Verifier:
 
     def prepare(self, pairs: DataFrame) -> DataFrame:
         """The fingerprints in ``pairs`` (a, b), whose sets exist from now on."""
-        fps = staged(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "fps")
+        fps = staged(fewer(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()), "fps")
         new = fps if self.sets is None else fps.join(self.sets.select("fp"), "fp", "left_anti")
-        ids = staged(self.nodes.join(new, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_i")).select("_i"), "ids")
+        ids = staged(fewer(self.nodes.join(new, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_i")).select("_i")), "ids")
         if ids.limit(1).count():
             some = self.docs.join(small_broadcast(ids, 500_000), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
             # rows that repeat an id can give a set twice or one not asked for: both do no harm to the joins
@@ -363,27 +364,25 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
     links = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
     verifier, comp = _Verifier(docs, nodes, words, threshold), None
     for turn in range(ROUNDS):
-        # every set tries the two candidates with which it shares most of the open lists
+        # every set tries the candidate with which it shares most of the open lists
         left = _open_lists(left, comp)
         near = left.repartition(parts, "token").mapInArrow(_neighbours(threshold, turn), "a long, b long, n1 int, n2 int")
         near = near.groupBy("a", "b", "n1", "n2").count().where(f"2 * count >= {_shared_sql(threshold)}")  # not all shared lists make neighbours
-        ends = staged(near.select("a", "b", "count"), "near")
+        ends = staged(fewer(near.select("a", "b", "count")), "near")
         ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "count"))
-        first = ends.groupBy("a").agg(F.max(F.struct("count", "b")).alias("x"))
-        second = ends.join(first, "a").where("struct(count, b) < x").groupBy("a").agg(F.max(F.struct("count", "b")).alias("x"))
-        best = first.unionByName(second).select("a", F.col("x.b").alias("b"))
-        best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+        best = ends.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+        best = staged(fewer(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "best")
         new = verifier.links(best)
         left = left.drop("c")
         if comp is not None and not new.limit(1).count():
             break
         links = (links if comp is None else comp.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(new)
-        comp = staged(components(links, "round"), "comp")
+        comp = components(links, "round")
     rest = _cross_pairs(_open_lists(left, comp), threshold, parts)
     more = verifier.links(staged(rest, "rest"))
     if more.limit(1).count():
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = staged(components(stars.unionByName(more), "all"), "comp")
+        comp = components(stars.unionByName(more), "all")
 
     full = nodes.join(comp, nodes.fp == comp.node, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "fp").alias("_c"))
