@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read back
 as the next one's input. All but the last return the columns of ``documents``; the last returns the mixed
-documents' rates. A stage decides over all that its predecessor kept, by the operator it calls.
+documents' rates. A stage decides over all that its predecessor kept, by the operator it calls;
+every row stands or falls by its own text, whatever its id is.
 """
 
 from __future__ import annotations
@@ -14,16 +15,22 @@ from taxonspark.llm import decontam, jaccard, langid, linededup, mixing
 from taxonspark.llm.common import staged
 
 
-def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """``docs`` semi- or anti-joined with the ids of ``decisions``; a null id is an id like others."""
-    ids = staged(decisions.select(F.col("doc_id").alias("_decided")).distinct(), "decided")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_decided")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row`` each, written once: ids can be null or repeated, so rows are decided by it."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose ``_row`` is the doc_id of ``rows``, and without its key."""
+    gone = staged(rows.select(F.col("doc_id").alias("_gone")), "decided")
+    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text or no letter) go."""
-    found = langid.identify(docs)
-    return _decided(docs, found.where(F.col("lang_pred") == "und"), "left_anti")
+    keyed = _keyed(docs)
+    model = langid.fit(keyed.where(~langid.held_out(F.col("doc_id"))))
+    return _without(keyed, langid.predict(keyed, model, doc_id="_row").where(F.col("lang_pred") == "und"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +40,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document of the smallest id stays."""
-    groups = staged(jaccard.jaccard_groups(docs), "groups")
-    # ids seen twice: only one row of each stays
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return _decided(docs, groups.where("doc_id <> component_id"), "left_anti")
+    """Of every group of near-duplicates the row of the smallest id stays (a null id comes last; of one id, the
+    smallest hash of the whole row); rows without words are no one's duplicates."""
+    keyed = _keyed(docs)
+    groups = jaccard.jaccard_groups(keyed.select("_row", "text"), doc_id="_row")
+    links = staged(groups.where("doc_id <> component_id").select("doc_id", "component_id"), "groups")
+    members = links.unionByName(links.select(F.col("component_id").alias("doc_id"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64(*docs.columns).alias("c"), F.col("_row").alias("d"))
+    members = members.join(keyed.select(F.col("_row").alias("_r"), order.alias("_o")), F.col("doc_id") == F.col("_r"))
+    members = staged(members.select("doc_id", "component_id", "_o"), "members")
+    first = members.groupBy(F.col("component_id").alias("_c")).agg(F.min("_o")["d"].alias("_first"))
+    return _without(keyed, members.join(first, F.col("component_id") == F.col("_c")).where("doc_id <> _first"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a window of a benchmark item go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _decided(docs, decontam.decontaminate(docs, items).where("contaminated"), "left_anti")
+    items, keyed = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _keyed(docs)
+    return _without(keyed, decontam.decontaminate(keyed, items, doc_id="_row").where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,20 @@ def test_odd_documents(spark, sf):
         assert docs.count() == 0
 
 
+def test_rows_without_own_id_stand_by_their_texts(spark, sf):
+    """Null and repeated ids: a rejected row takes no other one along, and near copies without ids go."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text), key=lambda t: len(t.split()))
+    copy = " ".join(f"near{i}" for i in range(60))
+    texts = [(None, f"first {item} last"), (None, "12 34"), (None, "a clean text without an id of its own"), (None, "another clean text that has no number"),
+             (7, f"again {item} here"), (7, "5 6"), (7, "one clean text of the repeated id seven"), (7, "a second and different text of id seven"),
+             (None, copy), (None, copy + " tail"), (9, copy + " end")]
+    docs = spark.createDataFrame([(d, t, "en", None, len(t)) for d, t in texts], schema).repartition(3)
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf), "ids")
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([texts[k] for k in (2, 3, 6, 7, 10)], key=str)
+
+
 def test_entry_works_without_the_folder(tmp_path):
     code = """
 import builtins, json, sys
