@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,7 +35,8 @@ IMPLIED = {
 }
 ENDS_P = BLOCK - frozenset("li dt dd option optgroup tr td th tbody thead tfoot caption html body legend summary".split())
 SCOPE = frozenset("table td th caption button html".split())
-MAX_DEPTH = 150  # deeper elements become siblings, as browsers do at a depth of their own
+#: bounds of the layout alone (all text stays): columns of indentation, tables in one another with aligned cells
+MAX_INDENT, MAX_TABLES = 300, 50
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
@@ -46,21 +48,29 @@ class Node:
 
 
 class TreeBuilder(HTMLParser):
+    """Builds the tree to any depth; the places of open elements are kept by tag, so none is searched for."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}
+
+    def _last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
 
     def _end(self, names, stop) -> None:
         """Close the outermost open element of ``names`` above the innermost one of ``stop``."""
-        found = 0
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                break
-            if self.open[i].tag in names:
-                found = i
-        if found:
-            del self.open[found:]
+        low, found = self._last(stop), len(self.open)
+        for name in names:
+            places = self.at.get(name)
+            if places and places[-1] > low:
+                found = min(found, places[bisect_right(places, low)])
+        self._close(found)
 
     def handle_starttag(self, tag, attrs):
         if tag in IMPLIED:
@@ -68,10 +78,11 @@ class TreeBuilder(HTMLParser):
         elif tag in ENDS_P:
             self._end({"p"}, SCOPE)
             if tag[0] == "h" and tag[1:].isdigit() and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:].isdigit():
-                self.open.pop()
+                self._close(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].kids.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -80,13 +91,10 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             return self.handle_starttag("br", [])
-        stop = {"table", "#root"} if tag != "table" else {"#root"}
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stop or (self.open[i].tag in ("td", "th") and tag not in ("tr", "tbody", "thead", "tfoot", "table")):
-                return
+        place = self._last((tag,))
+        stop = () if tag == "table" else ("table",) if tag in ("tr", "tbody", "thead", "tfoot") else ("table", "td", "th")
+        if place and place >= self._last(stop):
+            self._close(place)
 
     def handle_data(self, data):
         self.open[-1].kids.append(data)
@@ -155,7 +163,22 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def render(node: Node, out: Lines, pre: bool = False) -> None:
+def unwound(call: Generator):
+    """The result of ``call``, a generator that yields the calls it waits for: they are kept in a list, so
+    that no depth of a page meets Python's bound of recursion."""
+    calls, value = [call], None
+    while calls:
+        try:
+            calls.append(calls[-1].send(value))
+            value = None
+        except StopIteration as done:
+            calls.pop()
+            value = done.value
+    return value
+
+
+def render(node: Node, out: Lines, pre: bool = False, tables: int = 0) -> Generator:
+    """``tables``: those that ``node`` stands in."""
     number = 0
     if node.tag == "ol":
         start = node.attrs.get("start") or ""
@@ -173,9 +196,9 @@ def render(node: Node, out: Lines, pre: bool = False) -> None:
             out.line(force=True)
         elif tag == "hr":
             out.space()
-        elif tag == "table":
+        elif tag == "table" and tables < MAX_TABLES:
             out.space()
-            for row in table(kid):
+            for row in (yield table(kid, tables + 1)):
                 out.now = row
                 out.line(force=True)
             out.space()
@@ -184,30 +207,30 @@ def render(node: Node, out: Lines, pre: bool = False) -> None:
             out.line()
             mark = f"{number}. " if node.tag == "ol" else "- "
             old, was = out.prefix, out.marker
-            out.prefix, out.marker = old + " " * len(mark), mark
-            render(kid, out, pre)
+            out.prefix, out.marker = old + " " * len(mark) if len(old) < MAX_INDENT else old, mark
+            yield render(kid, out, pre, tables)
             out.line()
             out.prefix, out.marker = old, was if out.marker is not None else None
         elif tag in BLOCK:
             nested = tag in ("ul", "ol") and node.tag == "li"  # no blank line around a list within an item
             (out.space if tag in MARGIN and not nested else out.line)()
             old = out.prefix
-            if tag in ("blockquote", "dd"):
+            if tag in ("blockquote", "dd") and len(old) < MAX_INDENT:
                 out.prefix += "  "
-            render(kid, out, pre or tag == "pre")
+            yield render(kid, out, pre or tag == "pre", tables)
             (out.space if tag in MARGIN and not nested else out.line)()
             out.prefix = old
         else:
-            render(kid, out, pre)
+            yield render(kid, out, pre, tables)
 
 
-def table(node: Node) -> list[str]:
+def table(node: Node, tables: int) -> Generator:
     """The caption's lines, then the rows: cells padded to their columns, several lines where a cell has them."""
     lines: list[str] = []
     rows: list[list[list[str]]] = []
     wide: set[tuple[int, int]] = set()  # cells over several columns, which set no column's width
 
-    def visit(part: Node) -> None:
+    def visit(part: Node) -> Generator:
         for kid in part.kids:
             if isinstance(kid, str):
                 if kid.strip():
@@ -220,17 +243,17 @@ def table(node: Node) -> list[str]:
                             if cell.strip():
                                 lines.append(" ".join(cell.split()))
                         elif not hidden(cell):
-                            row.append(block_lines(cell))
+                            row.append((yield block_lines(cell, tables)))
                             span = cell.attrs.get("colspan") or "1"
                             if span.isdigit() and len(span) < 5 and int(span) > 1:
                                 wide.add((len(rows), len(row) - 1))
                                 row += [[] for _ in range(min(int(span), 100) - 1)]
                     rows.append(row)
                 elif kid.tag in ("thead", "tbody", "tfoot", "colgroup", "form"):
-                    visit(kid)
+                    yield visit(kid)
                 else:
-                    lines.extend(block_lines(kid))
-    visit(node)
+                    lines.extend((yield block_lines(kid, tables)))
+    yield visit(node)
     widths: dict[int, int] = {}
     for i, row in enumerate(rows):
         for k, cell in enumerate(row):
@@ -242,16 +265,16 @@ def table(node: Node) -> list[str]:
     return lines
 
 
-def block_lines(node: Node) -> list[str]:
+def block_lines(node: Node, tables: int = 0) -> Generator:
     out = Lines()
-    render(node, out, node.tag == "pre")
+    yield render(node, out, node.tag == "pre", tables)
     out.line()
     return out.done
 
 
 def extract(html: str | None) -> str | None:
     """All visible text of a page; null for null, empty for a page without any."""
-    return None if html is None else "\n".join(block_lines(tree(html))).strip("\n")
+    return None if html is None else "\n".join(unwound(block_lines(tree(html)))).strip("\n")
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

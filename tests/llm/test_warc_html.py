@@ -111,6 +111,15 @@ def test_rendering_of_large_and_deep_pages():
     assert rows == ["a  b"] * 5000
 
 
+def test_deep_elements_are_elements():
+    for deep in ("<div>" * 400, "<font>" * 30_000, "<div><b>" * 5000):
+        page = deep + "<table><tr><td hidden><div>no</div><script>no</script>no<td>a<td>bb<tr><td>ccc<td>d</table><div style='display:none'>no<div>no</div>no</div><style>no</style>z"
+        assert htmltext.extract(page) == "a    bb\nccc  d\n\nz", deep[:8]
+    assert htmltext.extract("<div>" * 200 + "<ul><li>a<li>b</ul>") == "- a\n- b"
+    assert htmltext.extract("<table><tr><td>x" * 500).split() == ["x"] * 500
+    assert htmltext.extract("<ul><li>x" * 3000).split() == ["-", "x"] * 3000
+
+
 def test_pages_keep_every_visible_word(spark, sf):
     import re
     for r in htmltext.visible_text(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet"), "page_id").collect():
