@@ -27,9 +27,12 @@ def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go."""
+    """Documents without text or without a letter go, no others: the languages and scores that the machines tell
+    reject nothing. Where no language was learned the same documents go."""
     keyed = _keyed(docs)
     model = langid.fit(keyed.where(~langid.held_out(F.col("doc_id"))))
+    if not model.tree:  # all would be told as und
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return _without(keyed, langid.predict(keyed, model, doc_id="_row").where(F.col("lang_pred") == "und"))
 
 

@@ -97,6 +97,12 @@ def test_rows_without_own_id_stand_by_their_texts(spark, sf):
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([texts[k] for k in (2, 3, 6, 7, 10)], key=str)
 
 
+def test_language_stage_without_labels(spark, sf):
+    rows = [(1, "some text", None, "s", 9), (2, None, None, "s", None), (3, "12 !", None, "s", 4), (None, "Ωμέγα", None, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipeline.language_id(spark, docs, sf).collect()} == {1, None}
+
+
 def test_entry_works_without_the_folder(tmp_path):
     code = """
 import builtins, json, sys
