@@ -5,8 +5,8 @@ spaces) hashed to ``DIM`` counts, taken as square roots of shares, so every text
 whatever its length. Prediction goes down a two-level tree: one-versus-one machines vote for the
 language family, then those of the languages inside it.
 
-The machines learn from a bounded, hashed sample of labelled rows (``per_language`` rows of each
-language at most, in expectation); each machine is one group of ``applyInPandas``. Prediction runs over the
+The machines learn from a bounded, hashed sample of labelled rows (``per_language`` distinct texts of each
+language at most; no language is left out); each machine is one group of ``applyInPandas``. Prediction runs over the
 whole text of all rows, batch by batch, with the bounded model broadcast.
 """
 
@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, staged, workers
@@ -34,6 +34,8 @@ FAMILIES = {
     "turkic": ("az", "kk", "ky", "tr", "uz"),
 }
 _FAMILY = {code: f for f, codes in FAMILIES.items() for code in codes}
+#: more languages than this outside the listed families are put into families of ``GROUP``, by code
+MANY, GROUP = 48, 16
 #: ASCII letters lowered, UTF-8 continuation and lead bytes kept, all else made spaces
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -68,12 +70,22 @@ def features(text: bytes) -> np.ndarray:
     return np.sqrt(c / max(1, c.sum()))
 
 
-def sample_rows(labelled: DataFrame, per_language: int, max_languages: int) -> DataFrame:
-    """(lang, _t): a sample hashed from the text, ``per_language`` rows of a language in expectation."""
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    share = F.least(F.lit(1.0), per_language / F.col("count"))
-    hashed = F.pmod(F.xxhash64("_t", F.lit(17)), F.lit(1 << 30)) / F.lit(1 << 30)
-    return labelled.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").where(hashed < F.col("share")).select("lang", "_t")
+def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
+    """(lang, _t): of every language the ``per_language`` distinct texts of the smallest hashes, at most.
+
+    Copies count once, and before the ranking only texts under a share of hashes (three times what is needed, in
+    expectation) are kept where a language has many, so no window holds a language as a whole."""
+    hashed = F.xxhash64(F.lit(17), "_t")
+    texts = labelled.select("lang", hashed.alias("_h"), F.xxhash64("_t", F.lit(29)).alias("_g"), "_t")
+    kinds = texts.groupBy("lang", "_h", "_g").count().drop("count")
+    kinds = staged(kinds, "kinds")
+    sizes = kinds.groupBy("lang").agg(F.least(F.lit(1.0), 3 * per_language / F.count(F.lit(1))).alias("share"))
+    low = (F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(1 << 30)) < F.col("share")
+    near = kinds.join(sizes.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l")).where(low)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 30)), "_h", "_g"))
+    picked = staged(near.select("lang", "_h", "_g", rank.alias("_k")).where(F.col("_k") <= per_language).drop("_k"), "picked")
+    rows = texts.join(picked, ["lang", "_h", "_g"], "left_semi")
+    return rows.groupBy("lang", "_h", "_g").agg(F.min("_t").alias("_t")).select("lang", "_t")
 
 
 def _examples(machines: list[tuple[str, tuple, tuple]]):
@@ -129,8 +141,11 @@ class Model:
 
     def __init__(self, langs: list[str]):
         self.tree: dict[str, list[str]] = {}
+        alone = [x for x in sorted(langs) if family(x) == f"={x}"]
+        # very many languages of no listed family: in groups, so that machines don't grow with the square
+        many = {x: f"+{i // GROUP}" for i, x in enumerate(alone)} if len(alone) > MANY else {}
         for x in sorted(langs):
-            self.tree.setdefault(family(x), []).append(x)
+            self.tree.setdefault(many.get(x) or family(x), []).append(x)
         groups = [sorted(self.tree)] + [v for _, v in sorted(self.tree.items())]
         self.machines = []  # name, positive languages, negative languages
         for level, names in enumerate(groups):
@@ -163,17 +178,17 @@ class Model:
         return lang, float(min(1.0, max(0.0, p * q)))
 
 
-def fit(labelled: DataFrame, *, lang: str = "lang", text: str = "text", per_language: int = 600,
-        max_languages: int = 64) -> Model:
-    """Learn from rows with a language and a text; rows without either are left out."""
+def fit(labelled: DataFrame, *, lang: str = "lang", text: str = "text", per_language: int = 600) -> Model:
+    """Learn from rows with a language and a text; rows without either are left out. All languages are
+    learned: a row of weights (``DIM`` numbers) for every pair of families and of languages in one family."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("_t")).where("lang is not null and _t is not null")
     workers(labelled)
-    sample = staged(sample_rows(rows, per_language, max_languages), "langid")
+    sample = staged(sample_rows(rows, per_language), "langid")
     model = Model([r.lang for r in sample.select("lang").distinct().collect()])
     if model.machines:
         examples = sample.mapInArrow(_examples(model.machines), "machine string, y int, at array<int>, x array<double>")
-        trained = examples.groupBy("machine").applyInPandas(_train, "machine string, w array<double>, bias double")
-        for r in trained.collect():  # one row per machine
+        trained = staged(examples.groupBy("machine").applyInPandas(_train, "machine string, w array<double>, bias double"), "machines")
+        for r in trained.toLocalIterator():  # one row per machine
             model.w[model.names[r.machine]], model.bias[model.names[r.machine]] = r.w, r.bias
     return model
 

@@ -38,6 +38,22 @@ def test_language_odd_rows(spark):
     assert len({(r.lang_pred, r.score) for r in langid.predict(asked, model).collect()}) == 1
 
 
+def test_language_of_many(spark):
+    """All labelled languages are learned, however many there are."""
+    codes = [f"q{a}{b}" for a in "abcdefgh" for b in "abcdefghi"]
+    words = {c: ["".join(chr(97 + zlib.crc32(f"{c}{w}{i}".encode()) % 26) for i in range(6)) for w in range(6)] for c in codes}
+    rows = [(100 * k + i, " ".join(words[c][(i + j) % 6] for j in range(5)), c, "s", "", "") for k, c in enumerate(codes) for i in range(3)]
+    got = langid.predict(spark.createDataFrame(rows, DOCS), langid.fit(spark.createDataFrame(rows, DOCS))).collect()
+    assert len(codes) > 64 and {r.doc_id: r.lang_pred for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_language_sample_is_bounded(spark):
+    texts = [("en", "the copy that a third of the rows hold")] * 300 + [("en", f"text {i}") for i in range(300)] + [("de", f"Wort {i}") for i in range(5)]
+    rows = spark.createDataFrame(texts, "lang string, t string").select("lang", F.col("t").cast("binary").alias("_t"))
+    got = [(r.lang, bytes(r._t)) for r in langid.sample_rows(rows, 50).collect()]
+    assert len(set(got)) == len(got) == 55 and sum(x == "en" for x, _ in got) == 50
+
+
 def test_letters():
     yes, no = ("a", "1É", "ß", "中", "Ω1"), ("", "1", "²½", "_-", "€ 5", "١٢", "🙂")
     assert all(langid.has_letter(t.encode()) for t in yes) and not any(langid.has_letter(t.encode()) for t in no)
