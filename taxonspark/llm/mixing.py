@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership.
 
 1. A logistic regression over hashed words learns the domains of a bounded sample of the labelled
-   rows and gives every document its domain posteriors p.
+   documents, drawn by domain so that rare ones are learned too, and gives every document its domain
+   posteriors p, with the domains' shares as they are among all labelled documents.
 2. Nonnegative document rates r are fitted so that the expected domain token totals
    sum(r * tokens * p_k) match the targets, by least squares from r = 1: every step is one distributed
    sum of the K residuals and the K x K Gram matrix of the documents in play, whose inverse scales the
@@ -41,16 +42,33 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
+def shares(sizes: dict[str, int], max_train: int) -> dict[str, float]:
+    """The share of each domain's rows that trains: small domains whole, the room left dealt evenly to the others."""
+    out, room = {}, float(max_train)
+    for k, (d, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        take = min(float(n), room / (len(sizes) - k))
+        out[d] = take / n if n else 1.0
+        room -= take
+    return out
+
+
 def posteriors(docs: DataFrame, labelled: DataFrame, *, max_train: int, features: int) -> tuple[DataFrame, list[str]]:
     """``docs`` (doc_id, _t) with tokens (long) and p (array<double>, by the returned domains);
-    ``labelled`` (doc_id, domain): a hashed sample of ``max_train`` rows (in expectation) trains."""
-    labelled = labelled.where("domain is not null and doc_id is not null")
-    sizes = labelled.groupBy("domain").count().orderBy("domain").collect()
-    domains, total = [r.domain for r in sizes], sum(r["count"] for r in sizes)
-    share = min(1.0, max_train / max(1, total))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    ``labelled`` (doc_id, domain): of the labelled documents a hashed sample by domain (``shares``; ``max_train`` ids in
+    expectation) trains; what a domain is sampled above or below others is undone in p. A domain without any
+    labelled document in ``docs`` has posterior 0."""
     # one row per id: a document labelled twice counts by its least domain
-    sample = staged(sample.groupBy(F.col("doc_id").alias("_l")).agg(F.min("domain").alias("domain")), "sample")
+    labelled = labelled.where("domain is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_l")).agg(F.min("domain").alias("domain"))
+    ids = docs.select(F.col("doc_id").alias("_i")).where("_i is not null")
+    here = labelled.join(ids.distinct().withColumn("_in", F.lit(1)), F.col("_l") == F.col("_i"), "left")
+    here = staged(here.select("_l", "domain", "_in"), "labels")
+    sizes = here.groupBy("domain").agg(F.count("_in").alias("count")).orderBy("domain").collect()
+    domains, total = [r.domain for r in sizes], max(1, sum(r["count"] for r in sizes))
+    share = shares({r.domain: r["count"] for r in sizes}, max_train)
+    least = F.element_at(F.array(*(F.lit(int(share[d] * (1 << 30))) for d in domains)), F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")) \
+        if domains else F.lit(0)
+    sample = here.where(F.col("_in").isNotNull() & (F.pmod(F.xxhash64("_l", F.lit(11)), F.lit(1 << 30)) < least)).select("_l", "domain")
+    sample = staged(sample, "sample")
     words = docs.select("doc_id", tokens_of(F.col("_t")).alias("tokens"), words_of(F.col("_t")).alias("w"))
     if len(domains) < 2:  # nothing to tell apart
         return words.select("doc_id", "tokens", F.array(F.lit(1.0)).alias("p")), domains or ["unknown"]
@@ -63,13 +81,18 @@ def posteriors(docs: DataFrame, labelled: DataFrame, *, max_train: int, features
     model = Pipeline(stages=[
         HashingTF(numFeatures=features, binary=True, inputCol="w", outputCol="tf"),
         Normalizer(inputCol="tf", outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.003, elasticNetParam=1.0, maxIter=40,
+        LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=0.003, elasticNetParam=1.0, maxIter=60,
                            probabilityCol="prob", rawPredictionCol="raw", predictionCol="pred"),
     ]).fit(train)
     p = vector_to_array("prob")
     # a domain without a row in the sample has no column in the model
     p = F.concat(F.slice(p, 1, len(domains)), F.array_repeat(F.lit(0.0), F.lit(len(domains)) - F.least(F.size(p), F.lit(len(domains)))))
-    return model.transform(words).select("doc_id", "tokens", p.alias("p")), domains
+    rows = model.transform(words).select("doc_id", "tokens", p.alias("p"))
+    if min(share.values()) < max(share.values()):
+        odds = F.zip_with("p", F.array(*(F.lit(share[d]) for d in domains)), lambda x, y: x / y)
+        rows = rows.select("doc_id", "tokens", odds.alias("p"))
+        rows = rows.select("doc_id", "tokens", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return rows, domains
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, *, max_steps: int = 40, tolerance: float = 1e-6, write_every: int = 8) -> DataFrame:

@@ -134,6 +134,17 @@ def test_mixing_of_labelled_documents(spark):
         assert abs(sum(r.rate * r.n_tokens * r.posterior[d] for r in rows.values()) / total - share) < 1e-3
 
 
+def test_mixing_learns_rare_domains(spark):
+    """A domain of 6 in 3,006 labelled documents is learned from a sample of 60, and stays rare in the posteriors."""
+    rows = [(i, f"ordinary words of number {i % 17} stand here") for i in range(3000)] + [(5000 + i, f"vile words of number {i} stand here") for i in range(6)]
+    labels = [(i, 1, 0) for i in range(3000)] + [(5000 + i, 0, 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mixing.mix(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_train=60).collect()
+    toxic = {r.doc_id: r.posterior["toxic"] for r in got}
+    assert min(toxic[5000 + i] for i in range(6)) > 10 * max(toxic[i] for i in range(3000))
+    assert 0 < sum(toxic.values()) < 60
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, "good text", "a"), (2, None, "a"), (3, "", "a"), (None, "bad text", "a"), (1, "good text", "a"), (4, "w " * 200_000, "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
