@@ -146,9 +146,9 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], tag: str) -> tuple[DataFrame, int]:
     """``rows`` (with a non-null ``tree``), each with its position ``pos`` in its tree by ``order`` and the tree's size
-    ``n``: sorted by ranges, so a large tree takes many tasks, whose starts are then summed."""
+    ``n``, and the largest size: sorted by ranges, so a large tree takes many tasks, whose starts are then summed."""
     ranged = rows.repartitionByRange(_parts(rows), "tree", *order).sortWithinPartitions("tree", *order)
     at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     ranged = staged(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", at), tag)
@@ -156,8 +156,9 @@ def numbered(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
     by_tree = Window.partitionBy("tree")  # a row per range that the tree spans
     pieces = pieces.select("tree", "_p", (F.sum("_rows").over(by_tree.orderBy("_p")) - F.col("_rows") - F.col("_first")).alias("_off"),
                            F.sum("_rows").over(by_tree).alias("n"))
-    pieces = small_broadcast(staged(pieces, f"{tag}-starts"), 500_000)
-    return ranged.join(pieces, ["tree", "_p"]).withColumn("pos", F.col("_i") + F.col("_off")).drop("_p", "_i", "_off")
+    pieces = staged(pieces, f"{tag}-starts")
+    largest = pieces.agg(F.max("n")).first()[0] or 0
+    return ranged.join(small_broadcast(pieces, 500_000), ["tree", "_p"]).withColumn("pos", F.col("_i") + F.col("_off")).drop("_p", "_i", "_off"), largest
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -209,18 +210,17 @@ def manifest(docs: DataFrame, *, key: str = "doc_id", group: str = "lang", field
                        F.struct(F.col(key).alias("key"), *(c.alias(name) for name, c in carry.items())).alias("carried"))
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "leaves")
     groups = rows.select("group").distinct().select(F.lit(0).cast("long").alias("tree"), "group")
-    groups = staged(numbered(groups, ["group"], "groups").select("group", "pos", "n"), "group-trees")
-    count = groups.first()
-    if count is None:
+    groups, count = numbered(groups, ["group"], "groups")
+    if not count:
         return rows.select("carried.*", F.col("digest").alias("leaf"), F.lit(None).cast(WITNESS).alias("witness"),
                            F.lit("").alias("subroot"), F.lit("").alias("root")).withColumnRenamed("key", key)
     named = small_broadcast(groups.select(F.col("group").alias("_g"), F.col("pos").alias("tree")), 100_000)
     leaves = rows.join(named, F.col("group").eqNullSafe(F.col("_g"))).select("tree", "key", "digest", "_row", "carried")
-    leaves = staged(numbered(leaves, ["key", "digest", "_row"], "ranged").select("tree", "pos", "n", "digest", "carried"), "numbered")
-    levels = climb(leaves, leaves.agg(F.max("n")).first()[0])
-    tops = staged(levels[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(count["n"]).alias("n"), "digest",
+    leaves, largest = numbered(leaves, ["key", "digest", "_row"], "leaves")
+    levels = climb(leaves.select("tree", "pos", "n", "digest", "carried"), largest)
+    tops = staged(levels[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(count).cast("long").alias("n"), "digest",
                                     F.lit(None).cast("string").alias("carried")), "subroots")
-    above = climb(tops, count["n"])
+    above = climb(tops, count)
     root = above[-1].select("digest").first()[0]
     start = above[-1].select("tree", "pos", F.array().cast(WITNESS).alias("witness"), F.lit(None).cast("string").alias("subroot"))
     upper = descend(above, start).select(F.col("pos").alias("tree"), F.lit(0).cast("long").alias("pos"), "witness", F.col("digest").alias("subroot"))
