@@ -11,7 +11,8 @@ Physical plans, same result:
   predicate computed once per text (no join, no shuffle).
 * ``broadcast``: broadcast nested-loop join with the (size-checked) rule table.
 * ``anchor``: one Aho-Corasick pass per text finds the ids of the rule keywords it contains
-  (linear in text length, independent of the rule count). Distinct hit sets are joined with the
+  (linear in text length, independent of the rule count); dictionaries too large for one automaton are
+  partitioned by q-grams instead (``operators/grams``). Distinct hit sets are joined with the
   rules on the rarest keyword of each rule alternative, and the predicate is re-checked as
   set algebra on ids, JVM-side.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.text import PY_WHITESPACE, join_nonblank
 from ..session import materialized, ship_package
 from ..params import DEFAULT_PARAMS, JOIN_SEPARATOR, Params
+from .grams import KeywordGrams
 
 RULE_SCHEMA = T.StructType([
     T.StructField("rule_idx", T.LongType(), False),
@@ -159,9 +161,9 @@ def _hashed_with(seed: int):
 
 
 class RuleIndex:
-    """A large rule table prepared once: rules with keyword ids (64-bit hashes, checked to be unique) and
-    the dictionary in broadcast chunks of at most ``max_broadcast_keywords`` words. Reusable across
-    queries and micro-batches."""
+    """A large rule table prepared once: rules with keyword ids (64-bit hashes, checked to be unique) and the dictionary:
+    broadcast if it has at most ``max_broadcast_keywords`` words, else partitioned by q-grams. Reusable across queries and
+    micro-batches."""
 
     def __init__(self, rules: DataFrame, params: Params = DEFAULT_PARAMS):
         self.spark = rules.sparkSession
@@ -175,16 +177,13 @@ class RuleIndex:
                 break
         self.rules = materialized(rules.where(rule_is_live()).select(*RULE_OUT, *[F.transform(g, kid).alias(g) for g in groups]))
         self.n_words = n.n
-        n_chunks = max(1, -(-n.n // params.max_broadcast_keywords))
-        if n_chunks > 1:
-            n_chunks += 1  # hash buckets are uneven; one spare chunk of headroom
-        listed = kw.select("kw", kid("kw").alias("kid"), F.pmod(kid("kw"), F.lit(n_chunks)).alias("c"))
-        self.chunks = []
-        for c in range(n_chunks):  # bounded collects: each chunk holds about n / n_chunks words
-            words = sorted((r.kw, r.kid) for r in listed.where(F.col("c") == c).select("kw", "kid").collect())
-            if words:
-                token = hashlib.sha1("\x00".join(f"{w}\x01{k}" for w, k in words).encode("utf-8")).hexdigest()
-                self.chunks.append((token, self.spark.sparkContext.broadcast(words)))
+        self.token = self.words = self.grams = None
+        if self.n_words > params.max_broadcast_keywords:
+            self.grams = KeywordGrams(kw.select(kid("kw").alias("kid"), "kw"))
+        elif self.n_words:
+            words = sorted((r.kw, r.kid) for r in kw.select("kw", kid("kw").alias("kid")).collect())
+            self.token = hashlib.sha1("\x00".join(f"{w}\x01{k}" for w, k in words).encode("utf-8")).hexdigest()
+            self.words = self.spark.sparkContext.broadcast(words)
         size = self.rules.agg(F.count("*").alias("n"), F.sum(sum((F.size(g) for g in groups), F.lit(0))).alias("k")).first()
         self.small = (size.n or 0) <= params.max_broadcast_rules and (size.k or 0) <= 8 * params.max_broadcast_rules
 
@@ -194,31 +193,27 @@ class RuleIndex:
 
 
 def keyword_hits(texts: DataFrame, text_col: str, keys: list[str], index: RuleIndex) -> DataFrame:
-    """``keys + hits`` (sorted distinct ids of the rule keywords in each text). One linear pass per
-    dictionary chunk, batched through Arrow; the hits of several chunks are merged by the keys."""
+    """``keys + hits`` (sorted distinct ids of the rule keywords in each text), a row per row of ``texts``, repeated keys
+    included. One linear pass over the texts."""
+    none = F.array().cast("array<bigint>")
+    if not index.n_words:  # no rule keyword at all: every hit set is empty
+        return texts.select(*keys, none.alias("hits"))
+    if index.grams is not None:
+        rows = materialized(texts.select(F.struct(*keys).alias("keys"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id()))
+        sets = index.grams.hits(rows.select("row", "text")).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set("kid")).alias("hits"))
+        return rows.join(sets, F.col("row") == F.col("_row"), "left").select("keys.*", F.coalesce("hits", none).alias("hits"))
     out_schema = T.StructType([*[texts.schema[k] for k in keys], T.StructField("hits", T.ArrayType(T.LongType(), False), False)])
-    if not index.chunks:  # no rule keyword at all: every hit set is empty
-        return texts.select(*keys, F.array().cast("array<bigint>").alias("hits"))
-
-    def scanner(token, words):
-        def scan(batches):
-            import pandas as pd
-            auto = _automaton(token, words.value)
-            for pdf in batches:
-                found = [sorted({k for _, k in auto.iter(s)}) if s else [] for s in pdf["_kh_text"]]
-                out = pdf[keys].copy()
-                out["hits"] = pd.Series(found, index=pdf.index, dtype=object)
-                yield out
-        return scan
-
-    cols = texts.select(*keys, F.col(text_col).alias("_kh_text"))
-    parts = [cols.mapInPandas(scanner(*c), out_schema) for c in index.chunks]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return merged.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+
+    def scan(batches, token=index.token, words=index.words):
+        import pandas as pd
+        auto = _automaton(token, words.value)
+        for pdf in batches:
+            found = [sorted({k for _, k in auto.iter(s)}) if s else [] for s in pdf["_kh_text"]]
+            out = pdf[keys].copy()
+            out["hits"] = pd.Series(found, index=pdf.index, dtype=object)
+            yield out
+
+    return texts.select(*keys, F.col(text_col).alias("_kh_text")).mapInPandas(scan, out_schema)
 
 
 def rule_anchors(index: RuleIndex, sets: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ class Params:
     max_broadcast_rules: int = 20_000       # rule rows (and 8 x as many keywords) allowed in a broadcast
     max_compiled_rules: int = 256           # rule rows and keywords that "auto" compiles into a projection;
     max_compiled_keywords: int = 512        # above either it uses the anchor plan (same result)
-    max_broadcast_keywords: int = 500_000   # distinct keywords in one automaton; more go in chunks
+    max_broadcast_keywords: int = 500_000   # distinct keywords in one automaton; more are partitioned by q-grams
     max_broadcast_brands: int = 250_000     # brand rows allowed in the broadcast kernel
     max_broadcast_bytes: int = 256 * 1024 * 1024  # brand vector bytes (float32) in the broadcast
     brand_block_rows: int = 50_000          # brand rows per block in the grid plan

@@ -489,6 +489,13 @@ def q_rule_join_words(spark, sf):
     return match_rules(docs, benchmark_rules(spark, sf), "_t", ["lead_idx"], P).select("lead_idx", "rule_idx", "atomic")
 
 
+def q_rule_join_grams(spark, sf):
+    """The rules of common words over whole documents, each twice, with a dictionary partitioned by q-grams."""
+    docs = _leads_t(fx.document_leads(spark, sf))
+    rules = benchmark_rules(spark, sf)
+    return match_rules(docs.unionByName(docs), rules, "_t", ["lead_idx"], P.with_(max_broadcast_keywords=50)).select("lead_idx", "rule_idx", "atomic")
+
+
 def q_cascade_sheet(spark, sf):
     """The full cascade with the parsed sheet's rules (anchor plan, also over the descriptions)."""
     out = cascade(fx.part_leads(spark, sf), rules_from_table(raw_rule_sheet(spark, sf)), fx.brands(spark, sf),
@@ -580,6 +587,7 @@ QUERIES = {
     "l2_normalize": q_l2_normalize,
     "rule_join_literal": q_rule_join_literal,
     "rule_join_words": q_rule_join_words,
+    "rule_join_grams": q_rule_join_grams,
     "cascade_sheet": q_cascade_sheet,
     "cascade_documents": q_cascade_documents,
 }

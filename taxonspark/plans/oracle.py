@@ -436,6 +436,7 @@ SQL["rule_join_words"] = (with_(f"bw AS (SELECT item_id, {_WORDS} AS w FROM benc
                                 "rules AS (SELECT item_id AS rule_idx, 'item ' || CAST(item_id AS VARCHAR) AS atomic, list_slice(w, 1, 2) AS g1, "
                                 + ", ".join(f"[]::VARCHAR[] AS {g}" for g in ("g2", "g3", "g4", "must_not")) + ", list_slice(w, 3, 1002) AS g5 FROM bw)", DOC_LEADS)
                           + f"SELECT l.lead_idx, r.rule_idx, r.atomic FROM dleads l JOIN rules r ON {pred(strip('l.lead_name'), 'r.')}")
+SQL["rule_join_grams"] = SQL["rule_join_words"].replace("FROM dleads l", "FROM (FROM dleads UNION ALL FROM dleads) l")
 _SHEET_RULES = "rules AS (SELECT * FROM parsed)"
 SQL["cascade_sheet"] = with_(RAW, PARSED, _SHEET_RULES, NAMED, BRANDS, PART_LEADS, PDESC, *cascade_ctes("pleads", "pdesc")) + result_select("pleads")
 ASCII_LEADS = ("aleads AS (SELECT doc_id AS lead_idx, CAST(doc_id AS VARCHAR) AS lead_code, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS lead_name, "

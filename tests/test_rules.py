@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from taxonspark.operators.rules import RULE_SCHEMA, RuleIndex, collect_rules, match_rules, rules_left
@@ -85,17 +86,42 @@ def test_special_characters_in_keywords(spark):
         assert run(spark, texts, rules, plan) == want, plan
 
 
-def test_anchor_plan_with_chunked_keyword_dictionary(spark):
-    rules = [rule(0, g1=["a", "b"]), rule(1, g5=["c", "奶"], no=["x"]), rule(2, g2=["ab", "茶"]), rule(3, g1=["d"])]
-    texts = ["ab", "cx", "奶茶ab", "d", "abc"]
-    want = expected(texts, rules)
-    tdf = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string")
-    rdf = spark.createDataFrame(rules, RULE_SCHEMA)
-    rows = match_rules(tdf, rdf, "t", ["k"], Params(rule_plan="anchor", max_broadcast_keywords=2)).collect()
-    got = {i: [] for i in range(len(texts))}
-    for r in sorted(rows, key=lambda r: (r["k"], r["rule_idx"])):
-        got[r["k"]].append(r["atomic"])
-    assert [got[i] for i in range(len(texts))] == want
+GRAMS = Params(rule_plan="anchor", max_broadcast_keywords=0)
+
+
+def by_plan(spark, tdf, rules, params):
+    rows = match_rules(tdf, spark.createDataFrame(rules, RULE_SCHEMA), "t", ["k"], params).collect()
+    return sorted((r["k"], r["rule_idx"]) for r in rows)
+
+
+def test_partitioned_dictionary_keeps_repeated_keys_apart(spark):
+    """No match that only two texts of one key have together, and repeated rows as often as they come."""
+    rules = [rule(0, g1=["red", "blue"]), rule(1, g1=["green"])]
+    tdf = spark.createDataFrame([(1, "red x"), (1, "blue y"), (2, "green"), (2, "green")], "k long, t string")
+    for params in (GRAMS, Params(rule_plan="anchor"), Params(rule_plan="literal")):
+        assert by_plan(spark, tdf, rules, params) == [(2, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_partitioned_dictionary_agrees(spark, seed):
+    rnd = random.Random(seed)
+    letters = "abc奶茶\U0001f375 é"
+    pick = lambda k, n: ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, n))) for _ in range(rnd.randint(0, k))]
+    rules = [rule(i, pick(2, 7), pick(2, 3), pick(1, 5), [], pick(3, 6), pick(1, 2)) for i in range(40)]
+    tdf = spark.createDataFrame([(i % 30, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60)))) for i in range(80)] + [(5, None), (6, "")], "k long, t string")
+    want = by_plan(spark, tdf, rules, Params(rule_plan="anchor"))
+    assert by_plan(spark, tdf, rules, GRAMS) == want and want
+    left = [sorted(map(str, rules_left(tdf, spark.createDataFrame(rules, RULE_SCHEMA), "t", ["k", "t"], p).collect())) for p in (GRAMS, Params(rule_plan="literal"))]
+    assert left[0] == left[1]
+
+
+def test_partitioned_dictionary_with_long_keywords(spark):
+    long = "".join(f"{i} " for i in range(200))
+    rules = [rule(0, g1=[long]), rule(1, g1=[long[:-2] + "!"]), rule(2, g5=[long[100:400], "zz" * 100]), rule(3, g1=["7"])]
+    texts = [("x" * 500 + long * 2), long[:-3], long[90:410], "zz" * 99, "zz" * 150, "y" * 3000 + "7"]
+    tdf = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = by_plan(spark, tdf, rules, Params(rule_plan="literal"))
+    assert by_plan(spark, tdf, rules, GRAMS) == want == [(0, 0), (0, 2), (0, 3), (1, 2), (1, 3), (2, 2), (2, 3), (4, 2), (5, 3)]
 
 
 def test_rule_table_without_keywords(spark):
