@@ -11,10 +11,11 @@ Plans (same result, chosen by a checked size):
   batch of texts is scored with one numpy matmul, then brands are visited by falling
   cosine and Jaro-Winkler is evaluated only while ``w * cos01 + (1 - w)`` can still reach
   the running best (exact pruning).
-* grid: brands are hashed into B blocks and texts into T buckets; each (block, bucket)
-  cell is one ``cogroup`` task of bounded size that emits a partial top-1 per text, and
-  a partial/final ``max(struct(score, -brand_idx))`` aggregation merges the blocks.
-  No pair is ever materialised and nothing passes through the driver.
+* grid: brands are dealt into blocks of similar vectors (``operators/balls``). A first round scores every text against the
+  block of its highest bound, a second one against only those blocks whose bound reaches that score. A cell of a block and a
+  bucket of texts is one ``cogroup`` task of bounded size that emits a partial top-1 per text, and a partial/final
+  ``max(struct(score, -brand_idx))`` aggregation merges the blocks. No pair is ever materialised.
+  Where the blocks' summaries are too large to broadcast, or brand vectors differ in length, every text meets every block.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from ..functions.similarity import HIST_BUCKETS, char_histograms, encode_names,
 from ..functions.text import strip
 from ..session import materialized, ship_package
 from ..params import DEFAULT_PARAMS, Params
+from .balls import Balls
 
 BRAND_SCHEMA = T.StructType([
     T.StructField("brand_idx", T.LongType(), False),
@@ -226,12 +228,15 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
         tx = materialized(tx)
         return _top1_broadcast(tx.where("_ka"), index, carry, w, use_combined, params, schema).unionByName(none(tx.where(~F.col("_ka"))))
     live = _live_brands(brands)
-    stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
+                     F.min(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("least")).first()
     n_brands, dim = int(stats["n"]), max(int(stats["d"] or 0), 0)
     if n_brands == 0:
         return none(tx)
     tx = materialized(tx.withColumn("_row", F.monotonically_increasing_id()))
-    return _top1_grid(tx.where("_ka"), live, carry, dim, w, use_combined, params, schema, n_brands).unionByName(none(tx.where(~F.col("_ka"))))
+    one_length = stats["least"] is None or stats["least"] == stats["d"]
+    grid = _top1_pruned if one_length and Balls.fits(n_brands, dim, params) else _top1_grid
+    return grid(tx.where("_ka"), live, carry, dim, w, use_combined, params, schema, n_brands).unionByName(none(tx.where(~F.col("_ka"))))
 
 
 class BrandIndex:
@@ -286,19 +291,9 @@ def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schem
     return tx.mapInPandas(run, schema)
 
 
-def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
-    """``on``: materialised rows with a unique ``_row``. Cells are bounded in rows and, by the mean text,
-    in bytes; only the row id, text and vector travel to them, the carried columns are joined back."""
-    n_blocks = params.grid_blocks or max(1, math.ceil(n_brands / params.brand_block_rows))
-    size = on.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b")).first()
-    n_buckets = params.grid_buckets or max(1, math.ceil(size["n"] / params.text_block_rows),
-                                           math.ceil((size["b"] or 0) / params.text_block_bytes))
+def _cell_scores(texts: DataFrame, brands: DataFrame, dim, w, use_combined, params) -> DataFrame:
+    """(_row, brand fields) of the best brand in each cell: rows of ``texts`` and ``brands`` that share ``_blk`` and ``_tb``."""
     cells = params.kernel_batch_cells
-    # both sides must carry the cell keys with the same type, or they hash to different partitions
-    t_rep = (on.select("_row", "_kt", "_kv", "_ka").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)).cast("int"))
-             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)).cast("int"))
-             .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))))
     cell_schema = T.StructType([T.StructField("_row", T.LongType(), False), *_OUT_FIELDS])
     names = cell_schema.fieldNames()
 
@@ -307,10 +302,11 @@ def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
         return _score_frame(tpdf, ["_row"], _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
 
-    partial = (t_rep.groupBy("_blk", "_tb")
-               .cogroup(b_rep.groupBy("_blk", "_tb"))
-               .applyInPandas(cell, cell_schema))
-    # merge the blocks: highest score, then lowest brand_idx; an error in any block wins (C4)
+    return texts.groupBy("_blk", "_tb").cogroup(brands.groupBy("_blk", "_tb")).applyInPandas(cell, cell_schema)
+
+
+def _merged(on: DataFrame, partial: DataFrame, carry) -> DataFrame:
+    """The blocks merged: highest score, then lowest brand_idx; an error in any block wins (C4)."""
     best = F.max(F.when(F.col("brand_idx").isNotNull(),
                         F.struct(F.col("score"), (-F.col("brand_idx")).alias("neg"), "brand_name",
                                  "brand_code", "brand_atomic", "score_text")))
@@ -323,6 +319,43 @@ def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
         "error")
 
 
+def _top1_pruned(on, live, carry, dim, w, use_combined, params, schema, n_brands):
+    """``on``: materialised rows with a unique ``_row``; only the row id, text and vector travel to the cells."""
+    balls = Balls(live, dim, n_brands, params)
+    rows = on.select("_row", "_kt", "_kv", "_ka")
+
+    def scored(assigned: DataFrame) -> DataFrame:
+        met = materialized(assigned).join(rows, "_row")
+        size = met.groupBy("_blk").agg(F.count("*").alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b"))
+        buckets = F.lit(params.grid_buckets) if params.grid_buckets else F.greatest(
+            F.ceil(F.col("n") / params.text_block_rows), F.ceil(F.col("b") / params.text_block_bytes))
+        size = F.broadcast(materialized(size.select("_blk", buckets.cast("int").alias("_k"))))  # a row per block
+        met = met.join(size, "_blk").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.col("_k")).cast("int")).drop("_k")
+        dealt = balls.brands.join(size, "_blk").withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+        return _cell_scores(met, dealt, dim, w, use_combined, params)
+
+    first = materialized(balls.first(rows, params))
+    seeds = materialized(scored(first))
+    known = seeds.where("error is null").select("_row", F.col("score").alias("_seed"))
+    asked = rows.join(known, "_row").join(first.withColumnRenamed("_blk", "_first"), "_row")
+    return _merged(on, seeds.unionByName(scored(balls.reached(asked, params))), carry)
+
+
+def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
+    """``on``: materialised rows with a unique ``_row``. Every text meets every block. Cells are bounded in rows and, by the mean
+    text, in bytes; only the row id, text and vector travel to them, the carried columns are joined back."""
+    n_blocks = params.grid_blocks or max(1, math.ceil(n_brands / params.brand_block_rows))
+    size = on.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b")).first()
+    n_buckets = params.grid_buckets or max(1, math.ceil(size["n"] / params.text_block_rows),
+                                           math.ceil((size["b"] or 0) / params.text_block_bytes))
+    # both sides must carry the cell keys with the same type, or they hash to different partitions
+    t_rep = (on.select("_row", "_kt", "_kv", "_ka").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)).cast("int"))
+             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
+    b_rep = (live.withColumn("_blk", F.pmod(F.xxhash64("brand_idx"), F.lit(n_blocks)).cast("int"))
+             .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1)))))
+    return _merged(on, _cell_scores(t_rep, b_rep, dim, w, use_combined, params), carry)
+
+
 def match_by_similarity(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
                         params: Params = DEFAULT_PARAMS, plan: str = "auto", active=None, carry=None) -> DataFrame:
     """``top1`` with brands below ``similarity_threshold`` cleared (brand columns null)."""

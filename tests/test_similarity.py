@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from taxonspark.functions.similarity import (encode_names, jaro_winkler, jaro_winkler_many, jaro_winkler_udf,
                                              weighted)
 from taxonspark.operators import similarity as S
+from taxonspark.operators.balls import Balls, upper_bounds
 from taxonspark.params import Params
 
 
@@ -89,6 +90,68 @@ def test_top1_equals_brute_force(spark, plan, combined):
         assert got[k][1] == pytest.approx(want[k][1], abs=1e-12)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_left_out_cannot_hold_the_best(spark, seed):
+    """Clustered vectors, names of many lengths, NaN and absent vectors, ties: the pruned grid equals brute force."""
+    rnd, rng = random.Random(seed), np.random.default_rng(seed)
+    centres = rng.standard_normal((6, 12))
+
+    def vec():
+        v = centres[rnd.randrange(6)] + 0.2 * rng.standard_normal(12)
+        return [float(x) for x in np.float32(v / np.linalg.norm(v))]
+
+    def name():
+        return "".join(rnd.choice("abcdé奶茶 ") for _ in range(rnd.randint(1, 9)))
+
+    brands = [(i, name(), str(i), "a", None if i % 11 == 0 else vec()) for i in range(300)]
+    brands += [(300 + i, brands[i][1], "tie", "a", brands[i][4]) for i in range(20)] + [(400, "nan", "", "a", [float("nan")] * 12)]
+    texts = [(i, name(), None if i % 7 == 0 else vec()) for i in range(80)] + [(90, brands[3][1], brands[3][4]), (91, "a", [float("nan")] * 12)]
+    tdf = spark.createDataFrame(texts, "k long, t string, v array<float>")
+    bdf = spark.createDataFrame(brands, "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<float>")
+    for combined in (True, False):
+        params = Params(use_combined=combined, brand_block_rows=15, text_block_rows=10)
+        got = {r["k"]: (r["brand_idx"], r["score"]) for r in S.top1(tdf, bdf, ["k"], "t", "v", params, "grid").collect()}
+        want = {r["k"]: (r["brand_idx"], r["score"]) for r in S.top1(tdf, bdf, ["k"], "t", "v", params, "broadcast").collect()}
+        assert {k: b for k, (b, _) in got.items()} == {k: b for k, (b, _) in want.items()}
+        assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want if want[k][1] is not None)
+
+
+def test_bounds_hold_and_leave_blocks_out(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((20, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    point = lambda: (centres[rng.integers(20)] + 0.03 * rng.standard_normal(16)).tolist()
+    brands = [(i, f"brand {i % 50}", str(i), "a", point()) for i in range(1000)]
+    bdf = spark.createDataFrame(brands, "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<double>")
+    params = Params(brand_block_rows=25)
+    balls = Balls(bdf.select("brand_idx", "brand_name", "brand_code", "atomic", "embedding"), 16, 1000, params)
+    blocks = {r["_blk"]: [] for r in balls.brands.select("_blk").distinct().collect()}
+    for r in balls.brands.collect():
+        blocks[r["_blk"]].append(r["brand_idx"])
+    assert sorted(i for b in blocks.values() for i in b) == list(range(1000)) and len(blocks) >= 20
+    s = balls.summary.value
+    left = 0
+    for _ in range(30):
+        t, q = f"brand {rng.integers(50)}", point()
+        ub = upper_bounds([t], [q], s, 16, 0.5, True)[0]
+        best = {}
+        for j, blk in enumerate(s["blk"].tolist()):
+            real = [0.5 * (np.dot(q, brands[i][4]) + 1) / 2 + 0.5 * jaro_winkler(t, brands[i][1]) for i in blocks[blk]]
+            assert max(real) <= ub[j]
+            best[j] = max(real)
+        left += sum(u < max(best.values()) for u in ub)
+    assert left / 30 / len(blocks) > 0.7
+
+
+def test_brand_vectors_of_several_lengths_are_errors_on_both_plans(spark):
+    texts = [(1, "abc", [1.0, 0.0]), (2, "x", None)]
+    brands = [(0, "xyz", "c", "a", [1.0, 0.0]), (1, "abc", "c", "a", [1.0])]
+    tdf = spark.createDataFrame(texts, "k long, t string, v array<float>")
+    bdf = spark.createDataFrame(brands, "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<float>")
+    got = [sorted(map(str, S.top1(tdf, bdf, "k", "t", "v", Params(), plan).collect())) for plan in ("grid", "broadcast")]
+    assert got[0] == got[1] and "ValueError" in got[0][0]
+
+
 def test_threshold_equality_passes(spark):
     texts = [(1, "abc", [1.0, 0.0])]
     brands = [(0, "xyz", "c", "a", [1.0, 0.0])]
