@@ -67,14 +67,33 @@ def fill_embeddings(brands: DataFrame, encoder: Callable | None = None) -> DataF
     return brands.drop("embedding").join(vec, "brand_name").withColumnRenamed("_vec", "embedding")
 
 
+def encoded_apart(enc: Callable, texts: list[str]) -> tuple[list, list[str | None]]:
+    """A vector for every text, and an error for those that the encoder rejects: a batch that fails is halved until the texts
+    that fail stand alone, so the others are encoded."""
+    if not texts:
+        return [], []
+    try:
+        mat = l2_rows(np.asarray(enc(texts), dtype=np.float64).reshape(len(texts), -1))
+        return [row.astype(np.float32) for row in mat], [None] * len(texts)
+    except Exception as exc:  # noqa: BLE001
+        if len(texts) == 1:
+            return [None], [f"{type(exc).__name__}: {exc}"]
+    half = len(texts) // 2
+    left, right = encoded_apart(enc, texts[:half]), encoded_apart(enc, texts[half:])
+    return left[0] + right[0], left[1] + right[1]
+
+
 def encode_missing(df: DataFrame, text_col: str, vec_col: str, encoder: Callable | None = None,
-                   active=None) -> DataFrame:
+                   active=None, error_col: str | None = None) -> DataFrame:
     """Fill ``vec_col`` for rows where it is null (and ``active`` holds) with the encoder's
-    L2-normalised vector; other rows pass through unchanged. One encoder call per Arrow batch."""
+    L2-normalised vector; other rows pass through unchanged. One encoder call per Arrow batch. With ``error_col``, a text that the encoder
+    rejects keeps a null vector and its error there; without, the error ends the job."""
     ship_package(df.sparkSession)
     enc = encoder or hashed_ngrams()
     on = F.col(vec_col).isNull() if active is None else (F.coalesce(active, F.lit(False)) & F.col(vec_col).isNull())
     staged = df.withColumn("_enc_on", on)
+    if error_col:
+        staged = staged.withColumn(error_col, F.lit(None).cast("string"))
     schema = staged.schema
 
     def run(batches):
@@ -82,11 +101,17 @@ def encode_missing(df: DataFrame, text_col: str, vec_col: str, encoder: Callable
             mask = pdf["_enc_on"].to_numpy(dtype=bool)
             if mask.any():
                 texts = ["" if t is None else str(t) for t in pdf.loc[mask, text_col]]
-                mat = l2_rows(np.asarray(enc(texts), dtype=np.float64))
-                vals = list(pdf[vec_col])
-                for i, row in zip(np.nonzero(mask)[0], mat):
-                    vals[i] = row.astype(np.float32)
                 pdf = pdf.copy()
+                if error_col:
+                    vectors, errors = encoded_apart(enc, texts)
+                    all_errors = np.full(len(pdf), None, dtype=object)
+                    all_errors[mask] = errors
+                    pdf[error_col] = all_errors
+                else:
+                    vectors = [row.astype(np.float32) for row in l2_rows(np.asarray(enc(texts), dtype=np.float64))]
+                vals = list(pdf[vec_col])
+                for i, row in zip(np.nonzero(mask)[0], vectors):
+                    vals[i] = row
                 pdf[vec_col] = vals
             yield pdf
 

@@ -19,6 +19,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators.describe import describe
@@ -64,12 +65,16 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     if encoder is not None:
         # every text that reaches the similarity stage and every brand gets a vector, as the reference
         # does (brands when they are loaded); the configured weight applies
-        stage1 = encode_missing(stage1, "_t", "_v", encoder, active=~ruled)
+        stage1 = encode_missing(stage1, "_t", "_v", encoder, active=~ruled, error_col="_v_error")
         if isinstance(brands, DataFrame):
             brands = materialized(encode_missing(brands, "brand_name", "embedding", encoder))
-    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules"]
+    else:
+        stage1 = stage1.withColumn("_v_error", _null("string"))
+    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules", "_v_error"]
+    # a text that the encoder rejects is an error row of its own; the others go on (C4)
     sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
-                              active=~ruled, carry=carry)
+                              active=~ruled & F.col("_v_error").isNull(), carry=carry)
+    sim = sim.withColumn("error", F.coalesce("error", "_v_error")).drop("_v_error")
     low = (F.col("error").isNull() & F.col("brand_idx").isNotNull()
            & (F.col("score") < F.lit(float(params.fallback_threshold))))
     described = describe(sim, "_t", descriptions, provider, active=low, provider_tasks=params.provider_tasks)
@@ -188,6 +193,11 @@ def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
     reference does with its embedding model."""
     names = distinct_texts(leads)
     per_text = per_text_results(names, rules, brands, descriptions, provider, params, encoder)
+    return attach_results(leads, per_text, params, extra_cols)
+
+
+def attach_results(leads: DataFrame, per_text: DataFrame, params: Params = DEFAULT_PARAMS, extra_cols: tuple[str, ...] = ("lead_idx",)) -> DataFrame:
+    """Every lead with the result row of its text."""
     joined = reattach(leads.select(*extra_cols, "lead_code", "lead_name",
                                    *(["embedding"] if "embedding" in leads.columns else [])), per_text)
     labelled = joined.withColumn("method", method_label(params))
@@ -195,6 +205,11 @@ def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
                            F.when(F.col("from_sim") & (F.col("m_n") > 0), F.col("score")).alias("score"))
 
 
+#: ``attach_results`` with its default columns
+RESULT_SCHEMA = T.StructType([T.StructField("lead_idx", T.LongType()), *[T.StructField(c, T.StringType()) for c in RESULT_COLUMNS],
+                              T.StructField("score", T.DoubleType())])
+
+
 def results(leads: DataFrame, rules: DataFrame, brands: DataFrame | None, **kw) -> DataFrame:
     """Only the 11 reference columns (plus ``lead_idx`` for ordering)."""
     return cascade(leads, rules, brands, **kw).select("lead_idx", *RESULT_COLUMNS)

@@ -456,6 +456,21 @@ def q_append_sink(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_committed_append(spark, sf):
+    """S8 with repeated and broken chunks: a chunk appended twice counts once, one that was never published not at all."""
+    import uuid
+    from ..params import RESULT_COLUMNS
+    from ..session import checkpoint_dir_or_local, materialized
+    from .committed import CommittedSink, success_counts
+    sink = CommittedSink(spark, f"{checkpoint_dir_or_local(spark).rstrip('/')}/committed-{uuid.uuid4().hex}")
+    out = materialized(_cascade_part(spark, sf).select("lead_idx", *RESULT_COLUMNS))
+    chunk = F.pmod(F.xxhash64("lead_idx"), F.lit(3))
+    out.where(chunk == 1).write.parquet(f"{sink.path}/rows/chunk=1/attempt=broken")
+    for n in (0, 1, 1, 2, 0):
+        sink.append(out.where(chunk == n), n, success_counts(), order="lead_idx")
+    return sink.read(out.schema).drop("chunk")
+
+
 def q_compact_records(spark, sf):
     """C7 and its inverse: records from the compact rows, read out again."""
     rec = report.from_compact_rows(report.compact_rows(_cascade_vectors(spark, sf)))
@@ -583,6 +598,7 @@ QUERIES = {
     "flag_failed": q_flag_failed,
     "compact_rows": q_compact_rows,
     "append_sink": q_append_sink,
+    "committed_append": q_committed_append,
     "compact_records": q_compact_records,
     "l2_normalize": q_l2_normalize,
     "rule_join_literal": q_rule_join_literal,

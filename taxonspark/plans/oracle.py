@@ -444,6 +444,7 @@ ASCII_LEADS = ("aleads AS (SELECT doc_id AS lead_idx, CAST(doc_id AS VARCHAR) AS
 SQL["cascade_documents"] = (f"SELECT lead_idx, atomic, method, sim_brand, score FROM ("
                             + with_(RULES, NAMED, BRANDS, ASCII_LEADS, PDESC, *cascade_ctes("aleads", "pdesc")) + result_select("aleads") + ")")
 SQL["append_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
+SQL["committed_append"] = SQL["append_sink"]
 SQL["compact_records"] = SQL["compact_rows"]
 SQL["l2_normalize"] = ("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS v "
                        "FROM embeddings")

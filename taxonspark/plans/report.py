@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell_text
@@ -12,13 +12,20 @@ from ..params import (LLM_DESC_TITLE, OUTPUT_NAME_TAG, RESULT_COLUMNS, RESULT_HE
 SIMILARITY_FIELDS = ("sim_brand", "sim_code", "sim_atomic", "sim_score")
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite sink, rows in input order (range-partitioned sort on ``lead_idx``)."""
-    df.orderBy("lead_idx").write.mode("overwrite").format(fmt).option("header", "true").save(path)
+def write_results(df: DataFrame, path: str, fmt: str = "parquet", counts: dict | None = None) -> dict:
+    """Overwrite sink, rows in input order (range-partitioned sort on ``lead_idx``). ``counts`` are aggregates observed on
+    the rows as they are written (A2 without a second reading), returned by name."""
+    seen = Observation()
+    rows = df.orderBy("lead_idx")
+    if counts:
+        rows = rows.observe(seen, *[c.alias(n) for n, c in counts.items()])
+    rows.write.mode("overwrite").format(fmt).option("header", "true").save(path)
+    return seen.get if counts else {}
 
 
 def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append one chunk; appending an empty chunk leaves no files behind."""
+    """Append one chunk as it comes; appending an empty chunk leaves no files behind. For chunks that may be repeated or broken
+    off see ``plans/committed``."""
     df.sortWithinPartitions("lead_idx").write.mode("append").format(fmt).option("header", "true").save(path)
 
 

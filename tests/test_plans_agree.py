@@ -10,10 +10,12 @@ from taxonspark.functions.similarity import encode_names, jaro_winkler, jaro_win
 from taxonspark.operators.rules import RULE_SCHEMA
 from taxonspark.operators.similarity import prepare_brands, top1
 from taxonspark.params import Params
-from taxonspark.plans.cascade import cascade
+from taxonspark.plans.cascade import RESULT_SCHEMA, cascade
+from taxonspark.plans.committed import CommittedSink, success_counts
 from taxonspark.plans.job import run_files
 from taxonspark.sources.tables import brands_from_workbooks, dense_position, leads_from_workbooks, workbook_errors
 from taxonspark.sources.workbooks import read_workbooks, write_workbooks, write_xlsx
+from taxonspark.streaming.chunked import progress, results_so_far, run_chunked, stage_leads
 
 from test_cascade import BRAND_COLS, E1, E2, LEAD_COLS, rows
 from test_rules import rule
@@ -189,11 +191,97 @@ def test_phonetic_hints_and_rows_without_number():
 
 
 def test_chunked_run_by_rows(spark):
-    from taxonspark.streaming.chunked import progress, run_chunked, stage_leads
     d = tempfile.mkdtemp(prefix="chunks-", dir="/tmp")
     rules = spark.createDataFrame([rule(0, g1=["a"])], RULE_SCHEMA)
     leads = spark.createDataFrame([(i * 3 + 5, f"c{i}", "a" if i % 5 else "zz", None) for i in range(23)], LEAD_COLS).repartition(4)
-    stage_leads(leads, f"{d}/in", 10)
+    assert stage_leads(leads, f"{d}/in", 10) == 3
     run_chunked(spark, f"{d}/in", f"{d}/out", f"{d}/chk", rules, None)
-    assert sorted((r.n_total, r.n_success) for r in progress(spark, f"{d}/out").collect()) == [(3, 2), (10, 8), (10, 8)]
-    assert spark.read.parquet(f"{d}/out").count() == 23
+    assert [tuple(r) for r in progress(spark, f"{d}/out").orderBy("batch_id").collect()] == [(0, 8, 2, 10, 10), (1, 8, 2, 10, 20), (2, 2, 1, 3, 23)]
+    out = results_so_far(spark, f"{d}/out", RESULT_SCHEMA)
+    assert sorted((r.chunk, r.lead_idx) for r in out.collect()) == [(str(i // 10), i * 3 + 5) for i in range(23)]
+
+
+def test_one_chunk_takes_several_tasks(spark):
+    d = tempfile.mkdtemp(prefix="chunks-", dir="/tmp")
+    leads = spark.range(40_000).selectExpr("id as lead_idx", "string(id) as lead_code", "'n' as lead_name").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert stage_leads(leads, f"{d}/in", 0) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in os.listdir(f"{d}/in/rows/chunk=0") if f.endswith(".parquet")]) > 1
+
+
+def test_texts_are_decided_once_over_all_chunks(spark, calls):
+    """A name in every chunk is encoded and described once, also when the run broke between decisions and results."""
+    folder, d = tempfile.mkdtemp(dir=calls), tempfile.mkdtemp(prefix="chunks-", dir="/tmp")
+    counted = counter(folder)
+
+    def encoder(texts):
+        for t in texts:
+            counted("e:" + t)
+        return np.array([[len(t), 1.0] for t in texts])
+
+    def provider(text):
+        counted("p:" + text)
+        return "described"
+
+    rules = spark.createDataFrame([rule(0, g1=["decided"]), rule(1, g1=["described"], atomic="D")], RULE_SCHEMA)
+    brands = spark.createDataFrame([(1, "B1", "brand", "", "x", E1)], BRAND_COLS)
+    leads = spark.createDataFrame([(i, f"c{i}", f"text {i % 7}" if i % 2 else "decided", None) for i in range(60)], LEAD_COLS)
+    stage_leads(leads, f"{d}/in", 20)
+    args = dict(provider=provider, encoder=encoder)
+    append, broken = CommittedSink.append, []
+
+    def failing(self, df, chunk, counts=None, order=None):
+        if not self.path.endswith("_decisions") and str(chunk) == "1" and not broken:
+            broken.append(chunk)
+            raise OSError("lost")
+        return append(self, df, chunk, counts, order)
+
+    CommittedSink.append = failing
+    try:
+        with pytest.raises(Exception):
+            run_chunked(spark, f"{d}/in", f"{d}/out", f"{d}/chk", rules, brands, **args)
+    finally:
+        CommittedSink.append = append
+    assert broken and progress(spark, f"{d}/out").count() == 1
+    run_chunked(spark, f"{d}/in", f"{d}/out", f"{d}/chk", rules, brands, **args)
+    asked = sorted(open(os.path.join(folder, f)).read() for f in os.listdir(folder))
+    assert asked == sorted(f"{k}:text {i}" for i in range(7) for k in "ep")
+    got = {r.lead_idx: (r.method, r.atomic) for r in results_so_far(spark, f"{d}/out", RESULT_SCHEMA).collect()}
+    assert len(got) == 60 and {got[i] for i in range(60) if i % 2} == {("搜索后匹配", "D")} and got[0][0] == "规则"
+
+
+def test_committed_sink(spark):
+    d = tempfile.mkdtemp(prefix="sink-", dir="/tmp")
+    sink, df = CommittedSink(spark, d), spark.range(10).selectExpr("id as lead_idx", "if(id < 4, '规则', '未匹配') as method")
+    assert sink.read(df.schema).count() == 0 and sink.manifests().count() == 0
+    first = sink.append(df, 0, success_counts())
+    assert (first["n_rows"], first["n_success"], first["n_failed"]) == (10, 4, 6)
+    assert sink.append(df, 0) == first  # repeated
+    df.write.parquet(f"{d}/rows/chunk=1/attempt=half")  # broken half-way: written, never published
+    assert sink.read(df.schema).count() == 10 and sink.published(1) is None
+    sink.append(df.limit(0), 2)
+    sink._publish({"chunk": "0", "attempt": "late", "n_rows": 99})  # a second attempt that ends later
+    assert sink.published(0) == first and sink.read(df.schema).count() == 10
+    with pytest.raises(ValueError):
+        sink.append(df, "../x")
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_a_text_the_encoder_rejects_is_one_error_row(spark, grid):
+    def encoder(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("no " + next(t for t in texts if "bad" in t))
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rules = spark.createDataFrame([rule(0, g1=["decided"])], RULE_SCHEMA)
+    brands = spark.createDataFrame([(1, "B1", "brand", "", "x", None), (2, "B2", "text 3", "", "y", E1)], BRAND_COLS)
+    names = [f"text {i}" for i in range(12)] + ["bad 1", "decided bad", "bad 2", "bad 1"]
+    leads = spark.createDataFrame([(i, f"c{i}", n, None) for i, n in enumerate(names)], LEAD_COLS)
+    params = Params(max_broadcast_brands=0, grid_blocks=2, grid_buckets=3) if grid else Params()
+    out = rows(cascade(leads, rules, brands, params=params, encoder=encoder))
+    clean = rows(cascade(leads.where("lead_name not like 'bad%'"), rules, brands, params=params, encoder=encoder))
+    assert {i: r["method"] for i, r in out.items() if i >= 12} == {12: "程序异常", 13: "规则", 14: "程序异常", 15: "程序异常"}
+    assert all(out[i] == clean[i] for i in clean)
