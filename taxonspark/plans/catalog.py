@@ -383,6 +383,18 @@ def q_workbook_roundtrip(spark, sf):
     return leads.select(F.regexp_extract("path", "(leads-[0-9])/[^/]*$", 1).alias("file"), "lead_idx", "lead_code", "lead_name")
 
 
+def q_workbook_dates(spark, sf):
+    """Order dates written as date cells of .xlsx workbooks (a file per partition) and read back as text."""
+    import uuid
+    from ..session import checkpoint_dir_or_local
+    from ..sources.workbooks import read_workbooks, write_workbooks
+    base = f"{checkpoint_dir_or_local(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    write_workbooks(orders, base, ["key", "date"], spark.sparkContext.defaultParallelism).collect()  # the paths, not data
+    rows = read_workbooks(spark, f"{base}/*.xlsx").where("row_idx > 0")
+    return rows.select(F.col("cells")[0].cast("long").alias("o_orderkey"), F.col("cells")[1].alias("shown"))
+
+
 def q_results_sink(spark, sf):
     """S7 + the batch job: per-text stage checkpointed, results written in input order, read back."""
     import uuid
@@ -585,6 +597,7 @@ QUERIES = {
     "result_rows": q_result_rows,
     "results_sink": q_results_sink,
     "workbook_roundtrip": q_workbook_roundtrip,
+    "workbook_dates": q_workbook_dates,
     "output_names": q_output_names,
     "table_counts": q_table_counts,
     "cascade_lineitem": q_cascade_lineitem,

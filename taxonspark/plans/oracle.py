@@ -417,6 +417,7 @@ SQL["table_counts"] = (
     "SELECT 'leads', count(*)::BIGINT FROM (" + SQL["leads_parse"] + ")")
 SQL["workbook_roundtrip"] = (f"SELECT 'leads-' || (p_partkey % 4) AS file, row_number() OVER (ORDER BY p_partkey % 4, p_partkey) - 1 AS lead_idx, "
                              f"CAST(p_partkey AS VARCHAR) AS lead_code, {cell('p_name')} AS lead_name FROM part WHERE {cell('p_name')} <> ''")
+SQL["workbook_dates"] = "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d 00:00:00') AS shown FROM orders"
 SQL["results_sink"] = f"SELECT {_RESULT} FROM ({SQL['cascade_full']})"
 SQL["encode_join"] = ("SELECT p_partkey AS lead_idx, 64::BIGINT AS dim, "
                       "CASE WHEN p_name = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS norm FROM part")

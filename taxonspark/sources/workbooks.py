@@ -3,16 +3,19 @@
 ``spark.read.format("binaryFile")`` lists and reads the workbooks (one row per file, so
 many workbooks are parsed in parallel); each file is decoded inside ``mapInPandas`` with
 the standard library (an .xlsx file is a zip of XML parts). The active sheet is read, as
-cached values (formulas are not evaluated), every row from the first to the last, each
-padded to the sheet's widest row — the shape a positional rule sheet expects.
+cached values (formulas are not evaluated), every row from the first to the last. The sheet is
+parsed as a stream: a row is handed on when its element ends, padded to the width of the two header rows; a
+longer row keeps its own length. Cells with a date or duration format print as dates, times and durations.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,11 @@ ROW_SCHEMA = T.StructType([
     T.StructField("error", T.StringType(), True),
 ])
 _CELL_REF = re.compile(r"([A-Z]+)(\d+)")
+# The number formats of the file format that show dates, times and durations, and the two epochs.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 47)
+DURATION_FORMATS = (46,)
+EPOCH_1900, EPOCH_1904 = dt.datetime(1899, 12, 30), dt.datetime(1904, 1, 1)
+HEADER_ROWS, BATCH_ROWS = 2, 10_000
 
 
 def _col_index(letters: str) -> int:
@@ -61,14 +69,88 @@ def _text_of(node) -> str:
     return "".join(out)
 
 
-def parse_xlsx(data: bytes) -> list[list[str | None]]:
-    """Rows of the active sheet as lists of cell texts (None = empty cell)."""
+def _format_kind(code: str) -> str | None:
+    """What a format code shows: a date or time, a duration, or something else (None). Quoted and escaped characters, colours,
+    locales and conditions don't count."""
+    code = re.sub(r'"[^"]*"|\\.|_.|\*.', "", code.split(";")[0])
+    if re.search(r"\[(h+|m+|s+)\]", code, re.IGNORECASE):
+        return "duration"
+    return "date" if re.search(r"[dmhys]", re.sub(r"\[[^\]]*\]", "", code), re.IGNORECASE) else None
+
+
+def _style_kinds(z: zipfile.ZipFile) -> list[str | None]:
+    """Per cell style: "date", "duration" or None."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): _format_kind(f.get("formatCode", "")) for f in root.findall("m:numFmts/m:numFmt", NS)}
+    kinds = dict.fromkeys(DATE_FORMATS, "date") | dict.fromkeys(DURATION_FORMATS, "duration") | own
+    return [kinds.get(int(xf.get("numFmtId", "0"))) for xf in root.findall("m:cellXfs/m:xf", NS)]
+
+
+def serial_text(v: str, kind: str, epoch: dt.datetime) -> str:
+    """A serial number as the date, time of day (below 1) or duration that it stands for; #VALUE! outside the calendar. The 1900
+    calendar has a 29 February that wasn't, so its first days are one later."""
+    try:
+        serial = float(v)
+        if kind == "duration":
+            return str(dt.timedelta(milliseconds=round(serial * 86_400_000)))
+        day, part = divmod(serial, 1)
+        part = dt.timedelta(milliseconds=round(part * 86_400_000))
+        if 0 <= serial < 1 and not part.days:
+            return str((dt.datetime.min + part).time())
+        return str(epoch + dt.timedelta(days=day + (1 <= serial < 60 and epoch == EPOCH_1900)) + part)
+    except (OverflowError, ValueError):
+        return "#VALUE!"
+
+
+def _iso_text(v: str) -> str:
+    try:
+        return str(dt.datetime.fromisoformat(v.rstrip("Z")))
+    except ValueError:
+        return v
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    out: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, node in ET.iterparse(f):
+                if node.tag == f"{{{NS['m']}}}si":
+                    out.append(_text_of(node))
+                    node.clear()
+    return out
+
+
+def _sheet_rows(z: zipfile.ZipFile, path: str, text) -> Iterator[tuple[int, dict[int, str | None]]]:
+    """(row index, its cells by column) as the rows' elements end; what was read is dropped."""
+    row_tag, data_tag, last = f"{{{NS['m']}}}row", f"{{{NS['m']}}}sheetData", -1
+    with z.open(path) as f:
+        data = None
+        for event, node in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                if node.tag == data_tag:
+                    data = node
+                continue
+            if node.tag != row_tag:
+                continue
+            at = int(node.get("r")) - 1 if node.get("r") else last + 1
+            if at <= last:
+                raise ValueError(f"row {at + 1} after row {last + 1}")
+            last, cells = at, {}
+            for pos, c in enumerate(node.findall("m:c", NS)):
+                ref = c.get("r")
+                value = text(c)
+                if value is not None:
+                    cells[_col_index(_CELL_REF.match(ref).group(1)) if ref else pos] = value
+            yield at, cells
+            data.clear()
+
+
+def iter_xlsx(data: bytes) -> Iterator[list[str | None]]:
+    """Rows of the active sheet as lists of cell texts (None = empty cell), one after the other; rows that the sheet leaves out are
+    empty ones."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = [_text_of(si) for si in root.findall("m:si", NS)]
         wb = ET.fromstring(z.read("xl/workbook.xml"))
         view = wb.find("m:bookViews/m:workbookView", NS)
         active = int(view.get("activeTab", "0")) if view is not None else 0
@@ -77,35 +159,52 @@ def parse_xlsx(data: bytes) -> list[list[str | None]]:
         rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         target = next(r.get("Target") for r in rels.findall("rel:Relationship", NS) if r.get("Id") == rid)
         target = target.lstrip("/")
-        path = target if target.startswith("xl/") else "xl/" + target
-        sheet = ET.fromstring(z.read(path))
-    rows: dict[int, dict[int, str | None]] = {}
-    for row in sheet.findall("m:sheetData/m:row", NS):
-        r_idx = int(row.get("r")) - 1 if row.get("r") else max(rows, default=-1) + 1
-        cells = rows.setdefault(r_idx, {})
-        for pos, c in enumerate(row.findall("m:c", NS)):
-            ref = c.get("r")
-            col = _col_index(_CELL_REF.match(ref).group(1)) if ref else pos
-            kind = c.get("t", "n")
-            v = c.find("m:v", NS)
+        props = wb.find("m:workbookPr", NS)
+        epoch = EPOCH_1904 if props is not None and props.get("date1904") in ("1", "true") else EPOCH_1900
+        shared, styles = _shared_strings(z), _style_kinds(z)
+
+        def text(c) -> str | None:
+            kind, v = c.get("t", "n"), c.find("m:v", NS)
             if kind == "inlineStr":
                 is_ = c.find("m:is", NS)
-                val = _text_of(is_) if is_ is not None else None
-            elif v is None or v.text is None:
-                val = None
-            elif kind == "s":
-                val = shared[int(v.text)]
-            elif kind == "b":
-                val = "True" if v.text.strip() == "1" else "False"
-            elif kind in ("str", "e"):
-                val = v.text
-            else:
-                val = _number_text(v.text)
-            cells[col] = val
-    if not rows:
-        return []
-    width = max((max(c) + 1 for c in rows.values() if c), default=0)
-    return [[rows.get(r, {}).get(c) for c in range(width)] for r in range(max(rows) + 1)]
+                return _text_of(is_) if is_ is not None else None
+            if v is None or v.text is None:
+                return None
+            if kind == "s":
+                return shared[int(v.text)]
+            if kind == "b":
+                return "True" if v.text.strip() == "1" else "False"
+            if kind == "d":
+                return _iso_text(v.text)
+            if kind in ("str", "e"):
+                return v.text
+            style = int(c.get("s", "0"))
+            shown = styles[style] if style < len(styles) else None
+            return serial_text(v.text, shown, epoch) if shown else _number_text(v.text)
+
+        width, held, n = 0, [], 0
+
+        def padded(cells: dict[int, str | None]) -> list[str | None]:
+            return [cells.get(c) for c in range(max(width, max(cells, default=-1) + 1))]
+
+        for at, cells in _sheet_rows(z, target if target.startswith("xl/") else "xl/" + target, text):
+            while n <= at:
+                row = cells if n == at else {}
+                n += 1
+                if n <= HEADER_ROWS:  # the header rows give the width
+                    width = max(width, max(row, default=-1) + 1)
+                    held.append(row)
+                    continue
+                for h in held:
+                    yield padded(h)
+                held = []
+                yield padded(row)
+        for h in held:
+            yield padded(h)
+
+
+def parse_xlsx(data: bytes) -> list[list[str | None]]:
+    return list(iter_xlsx(data))
 
 
 def read_workbooks(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -114,24 +213,42 @@ def read_workbooks(spark: SparkSession, path_glob: str) -> DataFrame:
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
 
+    def frame(path: str, first: int, rows: list, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"path": path, "row_idx": range(first, first + len(rows)), "cells": pd.Series(rows, dtype=object),
+                             "error": pd.Series([error] * len(rows), dtype=object)})
+
+    def readable(content: bytes) -> str | None:
+        """The error that ends the file, found before any of its rows is given."""
+        try:
+            for _ in iter_xlsx(content):
+                pass
+        except Exception as exc:  # noqa: BLE001 - any damage of the zip or its XML
+            return f"{type(exc).__name__}: {exc}"
+        return None
+
     def parse(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    rows, error = parse_xlsx(bytes(content)), None
-                except Exception as exc:  # noqa: BLE001 - any damage of the zip or its XML
-                    rows, error = [[]], f"{type(exc).__name__}: {exc}"
-                first = 0 if error is None else -1
-                for lo in range(0, len(rows), 10_000):
-                    part = rows[lo:lo + 10_000]
-                    yield pd.DataFrame({"path": path, "row_idx": [first + lo + i for i in range(len(part))], "cells": part,
-                                        "error": pd.Series([error] * len(part), dtype=object)})
+                content = bytes(content)
+                error = readable(content)
+                if error:
+                    yield frame(path, -1, [[]], error)
+                    continue
+                part, first, cells = [], 0, 0
+                for row in iter_xlsx(content):
+                    part.append(row)
+                    cells += len(row) + 1
+                    if cells >= 16 * BATCH_ROWS:
+                        yield frame(path, first, part, None)
+                        part, first, cells = [], first + len(part), 0
+                if part:
+                    yield frame(path, first, part, None)
 
     return files.mapInPandas(parse, ROW_SCHEMA)
 
 
 def write_xlsx(rows: list[list], path: str, sheet: str = "Sheet1") -> None:
-    """Minimal .xlsx writer (inline strings and numbers) for fixtures and small exports."""
+    """Minimal .xlsx writer (inline strings, numbers, dates) for fixtures and small exports."""
     def col_name(i: int) -> str:
         s = ""
         i += 1
@@ -154,6 +271,9 @@ def write_xlsx(rows: list[list], path: str, sheet: str = "Sheet1") -> None:
                 cells.append(f'<c r="{ref}" t="b"><v>{int(v)}</v></c>')
             elif isinstance(v, (int, float)):
                 cells.append(f'<c r="{ref}"><v>{v}</v></c>')
+            elif isinstance(v, dt.date):  # and date-times: a serial number with a date format
+                at = v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
+                cells.append(f'<c r="{ref}" s="1"><v>{(at.replace(tzinfo=None) - EPOCH_1900) / dt.timedelta(days=1)!r}</v></c>')
             else:
                 cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{esc(str(v))}</t></is></c>')
         body.append(f'<row r="{r}">{"".join(cells)}</row>')
@@ -164,6 +284,7 @@ def write_xlsx(rows: list[list], path: str, sheet: str = "Sheet1") -> None:
                                 '<Default Extension="xml" ContentType="application/xml"/>'
                                 '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
                                 '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+                                '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
                                 '</Types>'),
         "_rels/.rels": ('<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                         '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/>'
@@ -172,7 +293,11 @@ def write_xlsx(rows: list[list], path: str, sheet: str = "Sheet1") -> None:
                             f'<sheets><sheet name="{esc(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>'),
         "xl/_rels/workbook.xml.rels": ('<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                                        '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
+                                       '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'
                                        '</Relationships>'),
+        "xl/styles.xml": (f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{m}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills>'
+                          '<borders count="1"><border/></borders><cellStyleXfs count="1"><xf numFmtId="0"/></cellStyleXfs>'
+                          '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>'),
         "xl/worksheets/sheet1.xml": f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{m}"><sheetData>{"".join(body)}</sheetData></worksheet>',
     }
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:

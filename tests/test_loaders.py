@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taxonspark.plans import report
 from taxonspark.sources.tables import brands_from_table, leads_from_table, rule_meta, rules_from_table
-from taxonspark.sources.workbooks import read_workbooks, write_xlsx
+from taxonspark.sources.workbooks import iter_xlsx, parse_xlsx, read_workbooks, write_xlsx
 
 HEAD = [["logic", None, "x"], ["f1", "f2", "f3", "f4"]]
 
@@ -102,3 +102,53 @@ def test_append_results_chunks(spark):
     report.append_results(df.where("lead_idx > 100"), d)  # an empty chunk adds no rows
     back = spark.read.parquet(d)
     assert back.count() == 10 and sorted(r["lead_idx"] for r in back.collect()) == list(range(10))
+
+
+def _sheet(body: str, styles: str | None = None, props: str = "") -> bytes:
+    """A workbook with the given sheet data, and styles if any."""
+    import io
+    import zipfile
+    path = tempfile.mkdtemp(prefix="xlsx-", dir="/tmp") + "/a.xlsx"
+    write_xlsx([["x"]], path)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(path) as src, zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as out:
+        for name in src.namelist():
+            data = src.read(name).decode()
+            if name.endswith("sheet1.xml"):
+                data = data[:data.index("<sheetData>")] + f"<sheetData>{body}</sheetData></worksheet>"
+            if name.endswith("styles.xml") and styles is not None:
+                data = styles
+            out.writestr(name, data.replace("<sheets>", props + "<sheets>") if name == "xl/workbook.xml" else data)
+    return buf.getvalue()
+
+
+def test_stray_far_cell_takes_little_memory(spark):
+    import tracemalloc
+    data = _sheet('<row r="1"><c r="A1"><v>1</v></c><c r="C1"><v>2</v></c></row><row r="1048576"><c r="XFD1048576"><v>7</v></c></row>')
+    tracemalloc.start()
+    n = 0
+    for n, row in enumerate(iter_xlsx(data), 1):  # noqa: B007
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1048576 and len(row) == 16384 and row[-1] == "7" and set(row[:-1]) == {None} and peak < 20e6
+    d = tempfile.mkdtemp(prefix="xlsx-", dir="/tmp")
+    with open(f"{d}/far.xlsx", "wb") as f:
+        f.write(data)
+    got = read_workbooks(spark, f"{d}/*.xlsx").selectExpr("count(*) n", "max(row_idx) r", "max(size(cells)) w", "count(error) e").first()
+    assert tuple(got) == (1048576, 1048575, 16384, 0)
+
+
+def test_dates_times_and_durations():
+    fmts = ['yyyy"年"m"月"', "[Red]0.00", "[h]:mm", "@", '"day" 0', "\\d0", "[$-409]mmm d"]
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    esc = lambda x: x.replace('"', "&quot;")
+    styles = (f'<styleSheet xmlns="{m}"><numFmts>' + "".join(f'<numFmt numFmtId="{164 + i}" formatCode="{esc(f)}"/>' for i, f in enumerate(fmts))
+              + '</numFmts><cellXfs>' + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 22, 46, *range(164, 164 + len(fmts)))) + "</cellXfs></styleSheet>")
+    cells = [(1, 43831), (2, 43831.75), (1, 0.5), (3, 1.25), (4, 43831), (5, 43831), (6, 0.0625), (7, 5), (8, 6), (9, 7), (10, 60), (1, 59), (1, 1e9), (0, 43831.5)]
+    body = "<row>" + "".join(f'<c s="{s}"><v>{v}</v></c>' for s, v in cells) + '<c t="d"><v>2020-01-01T06:00:00</v></c><c s="1" t="str"><v>5</v></c></row>'
+    want = ["2020-01-01 00:00:00", "2020-01-01 18:00:00", "12:00:00", "1 day, 6:00:00", "2020-01-01 00:00:00", "43831", "1:30:00", "5", "6", "7",
+            "1900-02-28 00:00:00", "1900-02-28 00:00:00", "#VALUE!", "43831.5", "2020-01-01 06:00:00", "5"]
+    assert parse_xlsx(_sheet(body, styles)) == [want]
+    later = parse_xlsx(_sheet(body, styles, '<workbookPr date1904="1"/>'))[0]
+    assert later[:2] == ["2024-01-02 00:00:00", "2024-01-02 18:00:00"] and later[10] == "1904-03-01 00:00:00"
