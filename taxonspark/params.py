@@ -77,6 +77,11 @@ class Params:
     kernel_partitions: int = 0              # tasks for the similarity kernel (0: 2 x defaultParallelism)
     provider_tasks: int = 0                 # at most this many tasks call a describer callable at once
                                             # (0: no cap; the reference runs 8 calls at a time)
+    provider_batch: int = 10_000            # texts whose answers are committed together
+    provider_retries: int = 0               # more tries of a call that raises, after waiting provider_wait seconds,
+    provider_wait: float = 0.5              # doubled each time up to provider_max_wait
+    provider_max_wait: float = 30.0
+    answer_journal: str = ""                # folder of the answers; a run that names an earlier one's goes on from it
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

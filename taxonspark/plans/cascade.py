@@ -77,7 +77,7 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     sim = sim.withColumn("error", F.coalesce("error", "_v_error")).drop("_v_error")
     low = (F.col("error").isNull() & F.col("brand_idx").isNotNull()
            & (F.col("score") < F.lit(float(params.fallback_threshold))))
-    described = describe(sim, "_t", descriptions, provider, active=low, provider_tasks=params.provider_tasks)
+    described = describe(sim, "_t", descriptions, provider, active=low, params=params)
     d = rules_left(described, rules, "description", None, params, prefix="d_")
     return d.select("_t", "_vh", *_decide(ruled, low, params))
 

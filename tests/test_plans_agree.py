@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from taxonspark.functions.similarity import encode_names, jaro_winkler, jaro_winkler_many, jaro_winkler_pairs
+from taxonspark.operators.describe import ANSWER, describe
 from taxonspark.operators.rules import RULE_SCHEMA
 from taxonspark.operators.similarity import prepare_brands, top1
 from taxonspark.params import Params
@@ -285,3 +286,60 @@ def test_a_text_the_encoder_rejects_is_one_error_row(spark, grid):
     clean = rows(cascade(leads.where("lead_name not like 'bad%'"), rules, brands, params=params, encoder=encoder))
     assert {i: r["method"] for i, r in out.items() if i >= 12} == {12: "程序异常", 13: "规则", 14: "程序异常", 15: "程序异常"}
     assert all(out[i] == clean[i] for i in clean)
+
+
+def test_answers_survive_a_broken_run(spark, calls):
+    """A run that ends between two batches of answers: the next one asks only the texts that were not answered."""
+    folder, d = tempfile.mkdtemp(dir=calls), tempfile.mkdtemp(prefix="journal-", dir="/tmp")
+    counted = counter(folder)
+
+    def provider(text):
+        counted(text)
+        return None if text.endswith("7") else f"described {text}"
+
+    rules = spark.createDataFrame([rule(0, g1=["described"], atomic="D")], RULE_SCHEMA)
+    brands = spark.createDataFrame([(1, "B", "brand", "", "x", None)], BRAND_COLS)
+    leads = spark.createDataFrame([(i, f"c{i}", f"text {i % 30}", E1 if i % 2 else None) for i in range(90)], LEAD_COLS)
+    params = Params(provider_batch=7, answer_journal=d)
+    append, done = CommittedSink.append, []
+
+    def failing(self, *a, **k):
+        if len(done) == 2:
+            raise OSError("lost")
+        done.append(append(self, *a, **k))
+        return done[-1]
+
+    CommittedSink.append = failing
+    try:
+        with pytest.raises(OSError):
+            cascade(leads, rules, brands, provider=provider, params=params)
+    finally:
+        CommittedSink.append = append
+    before = len(os.listdir(folder))
+    assert before == sum(m["n_rows"] for m in done) and 0 < before < 30
+    out = rows(cascade(leads, rules, brands, provider=provider, params=params))
+    asked = sorted(open(os.path.join(folder, f)).read() for f in os.listdir(folder))
+    assert asked == sorted(f"text {k}" for k in range(30))
+    assert {r["method"] for i, r in out.items() if i % 30 % 10 != 7} == {"搜索后匹配"} and len(out) == 90
+    assert {r["method"] for i, r in out.items() if i % 30 % 10 == 7} == {"搜索后未匹配"}
+
+
+def test_failed_calls_are_tried_again_and_not_journaled(spark, calls):
+    folder, d = tempfile.mkdtemp(dir=calls), tempfile.mkdtemp(prefix="journal-", dir="/tmp")
+    counted = counter(folder)
+
+    def provider(text):
+        counted(text)
+        if "flaky" in text and sum(open(os.path.join(folder, f)).read() == text for f in os.listdir(folder)) < 3:
+            raise TimeoutError
+        if "never" in text:
+            raise TimeoutError
+        return "fine"
+
+    texts = spark.createDataFrame([("flaky",), ("never",), ("good",), ("good",)], "t string")
+    params = Params(provider_retries=2, provider_wait=0.01, answer_journal=d)
+    got = {r.t: r.description for r in describe(texts, "t", provider=provider, params=params).collect()}
+    assert got == {"flaky": "fine", "never": None, "good": "fine"}
+    asked = sorted(open(os.path.join(folder, f)).read() for f in os.listdir(folder))
+    assert asked == ["flaky"] * 3 + ["good"] + ["never"] * 3
+    assert sorted(r.text for r in CommittedSink(spark, d).read(ANSWER).collect()) == ["flaky", "good"]
