@@ -1,9 +1,11 @@
 """Language ID, licences, mixing and the lattice: accuracy, brute force and odd rows."""
 
 import math
+import re
 import zlib
 
 import numpy as np
+import regex
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,16 +89,51 @@ def test_licenses(spark, license_model):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), model=license_model).count() == 0
 
 
+def brute_paragraphs(text):
+    """Lines joined to the next one unless they end a sentence or either is blank."""
+    out = []
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if out and line.strip() and out[-1].strip() and not re.search(r"[.:;!?]\s*$", out[-1]):
+            out[-1] += " " + line
+        else:
+            out.append(line)
+    return out
+
+
+WRAPPED = {
+    "bsd": "// Redistribution and use in source and\n// binary forms, with or without\n// modification, are permitted provided\n// that the following conditions are met:\n",
+    "gpl": " * This program is free software: you can\r\n * redistribute it and/or modify it\r\n * under the terms of the GNU General\r\n * Public License as published\r\n",
+    "mit": "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software and associated\ndocumentation files (the \"Software\"),\nto deal",
+}
+
+
+def test_wrapped_notices_are_one_paragraph(spark, license_model):
+    rows = [(i, f"Some words here.\n\n{t}\n\nAnd more words.", f) for i, (f, t) in enumerate(WRAPPED.items())]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, f string"), model=license_model).where("confirmed").collect()}
+    assert {i: r.family for i, r in got.items()} == dict(enumerate(WRAPPED)) and all(r.paragraph == 2 for r in got.values())
+
+
+def test_words_of_other_scripts_and_numbers_are_no_licences(spark, license_model):
+    rows = [(0, "Версия 2 и 0 или 3."), (1, "2 0 2 0"), (2, "version 2 0"), (3, "The software of the house."), (4, "of the under the to the")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=license_model).collect()
+    assert not [r for r in got if r.family != "unknown" or r.doc_id in (0, 1, 3)]
+
+
+def test_document_frequencies_are_whole(spark):
+    docs = spark.createDataFrame([("all rights reserved. all rights",), ("all rights\nreserved",), ("rights all",), ("",)], "_t string")
+    assert licenses.document_frequencies(docs, ["all rights", "rights reserved"]) == {"all rights": 2, "rights reserved": 2}
+
+
 def test_license_margins_by_hand(spark, license_model):
     """Left-out paragraphs and grouped sums give what the model says of every single paragraph."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {(r.doc_id, r.paragraph): (r.family, r.probability) for r in licenses.scan(docs, model=license_model).collect()}
-    import re
     m, found = license_model, 0
     for d in docs.collect():
-        for k, line in enumerate((d.text or "").split("\n")):
-            w = [x for x in re.split("[^a-z0-9]+", line.lower()) if x]
-            grams = {" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        for k, line in enumerate(brute_paragraphs(d.text or "")):
+            w = [x for x in regex.split(r"[^\p{L}\p{M}\p{N}]+", line.lower()) if x]
+            grams = {" ".join(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
+            assert ((d.doc_id, k) in got) == bool(grams & set(m.telling))
             margin = np.array(m.bias) + sum((m.weights[g] for g in grams if g in m.weights), np.zeros(len(m.families)))
             p = 1 / (1 + math.exp(-(m.scale * margin.max() + m.offset)))
             if p >= 0.5:
