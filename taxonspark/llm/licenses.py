@@ -107,11 +107,12 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame, pairs: list[str]) -> dict[str, int]:
-    """In how many of ``docs`` (_t) each of the word pairs stands, over the whole corpus (summed in the tasks first)."""
-    listed = F.array(*map(F.lit, pairs))
-    words = F.array(*map(F.lit, sorted({w for p in pairs for w in p.split(" ")})))
-    some = docs.select(paragraph_words(F.col("_t")).alias("w")).where(F.size(F.array_intersect("w", words)) > 1)
-    found = some.select(F.explode(F.array_intersect(ngrams(F.col("w"), 2), listed)).alias("g"))
+    """In how many of ``docs`` (_t) each of the word pairs and each of their words stands, over the whole corpus (summed in the
+    tasks first)."""
+    words = sorted({w for p in pairs for w in p.split(" ")})
+    held = F.array_intersect(paragraph_words(F.col("_t")), F.array(*map(F.lit, words)))
+    both = F.array_intersect(ngrams(paragraph_words(F.col("_t")), 2), F.array(*map(F.lit, pairs)))
+    found = docs.select(F.explode(F.concat(held, F.when(F.size(held) > 0, both).otherwise(F.array().cast("array<string>")))).alias("g"))
     return {r.g: r["count"] for r in found.groupBy("g").count().collect()}
 
 
@@ -144,11 +145,13 @@ def training_rows(docs: DataFrame, max_sample: int) -> DataFrame:
 class Model:
     """Margins of the families against unknown by n-gram, and the calibration of the best margin."""
 
-    def __init__(self, families, bias, weights, scale, offset):
+    def __init__(self, families, bias, weights, scale, offset, often):
         self.families, self.bias, self.weights = families, bias, weights
         self.scale, self.offset = scale, offset
         #: n-grams that speak for some family; numbers alone, such as "2 0", don't
         self.telling = sorted(g for g, m in weights.items() if max(m) > 0 and re.search("[a-z]", g))
+        #: the rarest word of each: a paragraph without any of them holds none
+        self.keys = sorted({min(g.split(" "), key=lambda w: (often.get(w, 0), w)) for g in self.telling})
 
     def table(self, spark: SparkSession) -> DataFrame:
         return _table(spark, [(g, [float(x) for x in m]) for g, m in sorted(self.weights.items())], "gram string, m array<double>")
@@ -179,7 +182,7 @@ def fit(docs: DataFrame, *, text: str = "text", max_sample: int = 2000, least: f
     coef, icept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     margins, bias = coef[1:] - coef[0], [float(b - icept[0]) for b in icept[1:]]
     weights = {g: margins[:, k] * weight(g) for k, g in enumerate(own) if abs(margins[:, k]).max() > least}
-    out = Model(families, bias, weights, 1.0, 0.0)
+    out = Model(families, bias, weights, 1.0, 0.0, often)
     held = rows.where("held").withColumn("_row", F.monotonically_increasing_id()).select("_row", "g", (F.col("family") != UNKNOWN).cast("double").alias("y"))
     scored = _margins(held.select("_row", "y", "g"), out, ["_row", "y"]).select("y", F.array_max("m").alias("best"))
     missing = held.count() - scored.count()  # rows without features: their margin is the bias
@@ -223,10 +226,10 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model:
     model = model or fit(docs, text=text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_t")).where("_t is not null")
     telling = F.array(*map(F.lit, model.telling)).cast("array<string>")
-    words = F.array(*map(F.lit, sorted({w for g in model.telling for w in g.split(" ")}))).cast("array<string>")
-    texts = rows.where(F.size(F.array_intersect(paragraph_words(F.col("_t")), words)) > 1)
+    keys = F.array(*map(F.lit, model.keys)).cast("array<string>")
+    texts = rows.where(F.arrays_overlap(paragraph_words(F.col("_t")), keys))
     some = texts.select("doc_id", F.posexplode(paragraphs(F.col("_t"))).alias("paragraph", "line"))
-    some = some.select("doc_id", "paragraph", paragraph_words(F.col("line")).alias("w")).where(F.size(F.array_intersect("w", words)) > 1)
+    some = some.select("doc_id", "paragraph", paragraph_words(F.col("line")).alias("w")).where(F.arrays_overlap("w", keys))
     some = some.where(F.arrays_overlap(grams(F.col("w")), telling))
     some = staged(some.withColumn("_row", F.monotonically_increasing_id()), "paragraphs")
     scored = _margins(some.select("_row", grams(F.col("w")).alias("g")), model, ["_row"])

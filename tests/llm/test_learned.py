@@ -121,7 +121,7 @@ def test_words_of_other_scripts_and_numbers_are_no_licences(spark, license_model
 
 def test_document_frequencies_are_whole(spark):
     docs = spark.createDataFrame([("all rights reserved. all rights",), ("all rights\nreserved",), ("rights all",), ("",)], "_t string")
-    assert licenses.document_frequencies(docs, ["all rights", "rights reserved"]) == {"all rights": 2, "rights reserved": 2}
+    assert licenses.document_frequencies(docs, ["all rights", "rights reserved"]) == {"all rights": 2, "rights reserved": 2, "all": 3, "rights": 3, "reserved": 2}
 
 
 def test_license_margins_by_hand(spark, license_model):
@@ -250,10 +250,26 @@ def test_lattice_points_are_nearest():
 
 
 def test_lattice_recall(spark):
-    path = "/root/testdata/check_s/embeddings.parquet"
-    pdf = spark.read.parquet(path).where("label % 7 = 1").toPandas()
-    x = np.stack([np.asarray(v, float) for v in pdf.embedding])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = sum(int(np.triu(x[i] @ x[i].T >= 0.98, 1).sum()) for i in (np.flatnonzero(pdf.label == c) for c in pdf.label.unique()))
-    got = lattice.near_duplicates(spark.read.parquet(path).where("label % 7 = 1")).agg(F.sum("n_links")).first()[0] / 2
-    assert want > 1000 and 0.9 * want <= got <= want
+    """Pairs at cosines just above the threshold, by band, and around hubs: at least nine in ten are linked, none below."""
+    rng = np.random.default_rng(11)
+    for dims in (16, 64):
+        vectors, bands = [], {}
+        for cosine in (0.9801, 0.985, 0.99, 0.999):
+            for _ in range(250):
+                a, b = rng.standard_normal((2, dims))
+                a /= np.linalg.norm(a)
+                b -= a * (a @ b)
+                bands[len(vectors)] = cosine
+                vectors += [a, cosine * a + math.sqrt(1 - cosine ** 2) * b / np.linalg.norm(b)]
+        for _ in range(12):
+            hub = rng.standard_normal(dims)
+            vectors += [hub / np.linalg.norm(hub) + 0.09 / math.sqrt(dims) * rng.standard_normal(dims) for _ in range(40)]
+        x = np.array(vectors)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want = ((x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)).sum(axis=1)
+        rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+        got = {r.vec_id: r.n_links for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        assert all(got[i] <= n for i, n in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum()
+        for cosine in set(bands.values()):
+            mine = [i for i, c in bands.items() if c == cosine]
+            assert sum(got[i] > 0 for i in mine) >= 0.9 * len(mine), (dims, cosine)
