@@ -11,6 +11,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Generator, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,7 +22,8 @@ from .common import workers
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist dialog math rp".split())
+HIDDEN = frozenset("""head title script style template noscript iframe object canvas audio video datalist dialog rp
+    desc metadata defs symbol clippath mask marker annotation annotation-xml""".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCK = MARGIN | frozenset("""html body address article aside center dd details dir div dt figcaption footer form header
     hgroup legend li main menu nav optgroup option search section summary tr caption tbody thead tfoot td th""".split())
@@ -35,16 +37,20 @@ IMPLIED = {
 }
 ENDS_P = BLOCK - frozenset("li dt dd option optgroup tr td th tbody thead tfoot caption html body legend summary".split())
 SCOPE = frozenset("table td th caption button html".split())
-#: bounds of the layout alone (all text stays): columns of indentation, tables in one another with aligned cells
-MAX_INDENT, MAX_TABLES = 300, 50
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: bounds of the layout alone (all text stays): columns of indentation, tables in one another with aligned cells, the widest cell that
+#: sets its column's width, and the blanks that aligning may add to a page, as a multiple of its length
+MAX_INDENT, MAX_TABLES, MAX_CELL, MAX_BLANKS = 40, 50, 60, 2
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|inherit)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "shown")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: dict, shown: bool = True):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        stated = _VISIBILITY.findall(attrs.get("style") or "")
+        self.shown = stated[-1].lower() == "visible" if stated and stated[-1].lower() != "inherit" else shown
 
 
 class TreeBuilder(HTMLParser):
@@ -79,14 +85,18 @@ class TreeBuilder(HTMLParser):
             self._end({"p"}, SCOPE)
             if tag[0] == "h" and tag[1:].isdigit() and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:].isdigit():
                 self._close(len(self.open) - 1)
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(attrs), self.open[-1].shown)
         self.open[-1].kids.append(node)
+        if tag == "textarea":  # its content is text, whatever it looks like
+            self.set_cdata_mode(tag)
         if tag not in VOID:
             self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and (self.at.get("svg") or self.at.get("math")) and self.open[-1].tag == tag:
+            self._close(len(self.open) - 1)  # in HTML itself a slash closes nothing
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -97,7 +107,8 @@ class TreeBuilder(HTMLParser):
             self._close(place)
 
     def handle_data(self, data):
-        self.open[-1].kids.append(data)
+        if self.open[-1].shown:  # visibility is inherited, and can be given back within a hidden element
+            self.open[-1].kids.append(unescape(data) if self.cdata_elem == "textarea" else data)
 
     def unknown_decl(self, data):  # <![CDATA[ ... is a comment in HTML
         pass
@@ -177,8 +188,8 @@ def unwound(call: Generator):
     return value
 
 
-def render(node: Node, out: Lines, pre: bool = False, tables: int = 0) -> Generator:
-    """``tables``: those that ``node`` stands in."""
+def render(node: Node, out: Lines, pre: bool, tables: int, blanks: list[int]) -> Generator:
+    """``tables``: those that ``node`` stands in; ``blanks``: what aligning may still add to the page."""
     number = 0
     if node.tag == "ol":
         start = node.attrs.get("start") or ""
@@ -198,7 +209,7 @@ def render(node: Node, out: Lines, pre: bool = False, tables: int = 0) -> Genera
             out.space()
         elif tag == "table" and tables < MAX_TABLES:
             out.space()
-            for row in (yield table(kid, tables + 1)):
+            for row in (yield table(kid, tables + 1, blanks)):
                 out.now = row
                 out.line(force=True)
             out.space()
@@ -208,7 +219,7 @@ def render(node: Node, out: Lines, pre: bool = False, tables: int = 0) -> Genera
             mark = f"{number}. " if node.tag == "ol" else "- "
             old, was = out.prefix, out.marker
             out.prefix, out.marker = old + " " * len(mark) if len(old) < MAX_INDENT else old, mark
-            yield render(kid, out, pre, tables)
+            yield render(kid, out, pre, tables, blanks)
             out.line()
             out.prefix, out.marker = old, was if out.marker is not None else None
         elif tag in BLOCK:
@@ -217,15 +228,16 @@ def render(node: Node, out: Lines, pre: bool = False, tables: int = 0) -> Genera
             old = out.prefix
             if tag in ("blockquote", "dd") and len(old) < MAX_INDENT:
                 out.prefix += "  "
-            yield render(kid, out, pre or tag == "pre", tables)
+            yield render(kid, out, pre or tag == "pre", tables, blanks)
             (out.space if tag in MARGIN and not nested else out.line)()
             out.prefix = old
         else:
-            yield render(kid, out, pre, tables)
+            yield render(kid, out, pre, tables, blanks)
 
 
-def table(node: Node, tables: int) -> Generator:
-    """The caption's lines, then the rows: cells padded to their columns, several lines where a cell has them."""
+def table(node: Node, tables: int, blanks: list[int]) -> Generator:
+    """The caption's lines, then the rows: cells padded to their columns, several lines where a cell has them. A text wider than
+    ``MAX_CELL`` sets no column's width, and once the page's blanks are used up the cells of a row follow each other unaligned."""
     lines: list[str] = []
     rows: list[list[list[str]]] = []
     wide: set[tuple[int, int]] = set()  # cells over several columns, which set no column's width
@@ -243,7 +255,7 @@ def table(node: Node, tables: int) -> Generator:
                             if cell.strip():
                                 lines.append(" ".join(cell.split()))
                         elif not hidden(cell):
-                            row.append((yield block_lines(cell, tables)))
+                            row.append((yield block_lines(cell, tables, blanks)))
                             span = cell.attrs.get("colspan") or "1"
                             if span.isdigit() and len(span) < 5 and int(span) > 1:
                                 wide.add((len(rows), len(row) - 1))
@@ -252,29 +264,37 @@ def table(node: Node, tables: int) -> Generator:
                 elif kid.tag in ("thead", "tbody", "tfoot", "colgroup", "form"):
                     yield visit(kid)
                 else:
-                    lines.extend((yield block_lines(kid, tables)))
+                    lines.extend((yield block_lines(kid, tables, blanks)))
     yield visit(node)
     widths: dict[int, int] = {}
     for i, row in enumerate(rows):
         for k, cell in enumerate(row):
-            widths[k] = max([widths.get(k, 0), *(map(width, cell) if (i, k) not in wide else ())])
+            widths[k] = max([widths.get(k, 0), *(w for w in map(width, cell) if w <= MAX_CELL and (i, k) not in wide)])
     for row in rows:
         for i in range(max(map(len, row), default=0)):
             texts = [cell[i] if i < len(cell) else "" for cell in row]
-            lines.append("  ".join(t + " " * (widths[k] - width(t)) for k, t in enumerate(texts)).rstrip())
+            while texts and not texts[-1]:
+                texts.pop()
+            gaps = [max(0, widths[k] - width(t)) + 2 for k, t in enumerate(texts[:-1])]
+            if sum(gaps) > blanks[0]:
+                texts = [t for t in texts if t]
+                gaps = [1] * (len(texts) - 1)
+            else:
+                blanks[0] -= sum(gaps)
+            lines.append("".join(t + " " * n for t, n in zip(texts, [*gaps, 0], strict=False)).rstrip())
     return lines
 
 
-def block_lines(node: Node, tables: int = 0) -> Generator:
+def block_lines(node: Node, tables: int, blanks: list[int]) -> Generator:
     out = Lines()
-    yield render(node, out, node.tag == "pre", tables)
+    yield render(node, out, node.tag == "pre", tables, blanks)
     out.line()
     return out.done
 
 
 def extract(html: str | None) -> str | None:
     """All visible text of a page; null for null, empty for a page without any."""
-    return None if html is None else "\n".join(unwound(block_lines(tree(html)))).strip("\n")
+    return None if html is None else "\n".join(unwound(block_lines(tree(html), 0, [MAX_BLANKS * len(html)]))).strip("\n")
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

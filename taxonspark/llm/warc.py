@@ -9,9 +9,9 @@ file. ``pages_per_file`` bounds a file, as a file is read whole by one task.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,17 +108,38 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def _unpacked(data: bytes) -> tuple[bytes, str | None]:
+    """The content of an archive, plain or of gzip members, as far as it can be read, and what ended it early."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        for lo in range(0, len(data), 1 << 16):
+            try:
+                out.append(member.decompress(data[lo:lo + (1 << 16)]))
+            except zlib.error as e:
+                return b"".join(out), f"damaged gzip: {e}"
+            if member.eof:
+                data = member.unused_data + data[lo + (1 << 16):]
+                break
+        if not member.eof:
+            return b"".join(out), "gzip ends early"
+    return (b"".join(out), "bytes after gzip" if data.strip(b"\0") else None) if out else (data, None)
+
+
+def _broken(why: str, record_id: str | None = None) -> tuple:
+    return record_id, None, None, None, None, None, None, None, [], None, why
+
+
 def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
     """The records of one archive (plain or gzip); what can't be read ends it with an error row."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    data, ended = _unpacked(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
         head = dict(reversed(_fields(data[at:end]))) if end >= 0 else {}
         length = head.get("content-length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
-            yield (head.get("warc-record-id"), None, None, None, None, None, None, None, [], None, f"broken record at byte {at}")
+        if not (length.isascii() and length.isdigit()) or end + 4 + int(length) > len(data):
+            yield _broken(f"broken record at byte {at}" + (f" ({ended})" if ended else ""), head.get("warc-record-id"))
             return
         block = memoryview(data)[end + 4:end + 4 + int(length)]
         kind = head.get("warc-type")
@@ -132,12 +153,15 @@ def parse(data: bytes, with_payload: bool) -> Iterator[tuple]:
                 body = bytes(block[top - end - 4:])
                 size, found, payload = len(body), digest32(body), body if with_payload else None
             else:  # a revisit states what it left out
-                size, found = int(dict(fields).get("content-length") or 0), stated
+                left = dict(fields).get("content-length") or "0"
+                size, found = int(left) if left.isascii() and left.isdigit() and len(left) < 19 else None, stated
         elif head.get("content-type") == "application/warc-fields":
             fields = list(dict(_fields(bytes(block))).items())
         yield (head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-target-uri"), head.get("warc-date"),
                size, found, stated, fields, payload, None)
         at = end + 4 + int(length)
+    if ended:
+        yield _broken(ended)
 
 
 def read_records(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:

@@ -3,6 +3,9 @@
 import base64
 import gzip
 import hashlib
+import random
+
+import pytest
 
 from taxonspark.llm import htmltext, warc
 from taxonspark.llm.common import new_folder
@@ -127,3 +130,42 @@ def test_pages_keep_every_visible_word(spark, sf):
         import html as h
         want = h.unescape(re.sub(r"<[^>]*>", " ", body)).split()
         assert [w for w in r.text.split() if w != "-"] == [w for w in want if w != "-"]
+
+
+def test_wide_cells_and_spans_add_few_blanks():
+    long = "<table><tr><td>" + "x" * 20_000 + "<td>b</tr>" + "<tr><td>a<td>b</tr>" * 1000 + "</table>"
+    spans = "<table><tr>" + "<td>" + "<td>".join(["w" * 60] * 100) + "</tr>" + "<tr><td colspan=99>x<td>y</tr>" * 1000 + "</table>"
+    nested = "<table><tr><td>a<td>" * 60 + "x" * 50 + "</table>" * 60
+    for page in (long, spans, nested, (long + spans) * 3):
+        text = htmltext.extract(page)
+        assert len(text) <= 4 * len(page) and text.count("x") == page.count("x")
+    assert htmltext.extract(long).split("\n")[1] == "a  b"
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='x'/><text>yes</text></svg> end", "yes end"),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>z", "yes\n\nz"),
+    ("<textarea><b>kept</b> &amp; so</textarea>", "<b>kept</b> & so"),
+    ("<div style='visibility:visible'><i style='visibility:hidden'>no</i>yes</div>", "yes")])
+def test_what_browsers_show(html, text):
+    assert htmltext.extract(html) == text
+
+
+def test_damaged_archives_end_with_an_error_row():
+    def record(kind, length, body):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}>\r\nContent-Length: {length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    head = b"HTTP/1.1 200 OK\r\nContent-Length: 12, 12\r\n\r\n"
+    one, two = record("revisit", len(head), head), record("response", 5, b"a\r\n\r\n"[:5])
+    assert [(r[1], r[5], r[-1]) for r in warc.parse(one, True)] == [("revisit", None, None)]
+    packed = gzip.compress(one) + gzip.compress(two)
+    whole = [r[1] for r in warc.parse(packed, True)]
+    assert whole == ["revisit", "response"]
+    noise = gzip.compress(random.Random(1).randbytes(200_000))
+    for data, first in ((packed[:-9], "revisit"), (packed[:40], None), (gzip.compress(one) + noise[:1000], "revisit"), (packed + b"junk", "revisit"),
+                        (gzip.compress(one) + packed[:10] + b"\xff" * 50, "revisit")):
+        got = list(warc.parse(data, True))
+        assert got[-1][-1] and (got[0][1] == first)
+    for bad in ("x", "", "9" * 30, "²"):
+        assert list(warc.parse(record("response", bad, b""), True))[-1][-1].startswith("broken record")
