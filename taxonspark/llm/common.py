@@ -47,7 +47,7 @@ def workers(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     ship_package(spark)
     if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, "2000")
+        spark.conf.set(_BATCH, "500")
     return spark
 
 

@@ -358,7 +358,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, threshold: int = 75, doc_
 
     index = docs.select("_t").mapInArrow(_keys(words, threshold, boundary, shared), "token long, fp long, n int, pos int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = staged(index.repartition(parts, "token").mapInArrow(_lists(threshold), "kind int, token long, fp long, n int"), "lists")
+    lists = staged(index.repartition(2 * parts, "token").mapInArrow(_lists(threshold), "kind int, token long, fp long, n int"), "lists")
     left = lists.where("kind = 0").select("token", "fp", "n")
     left = staged(left.join(left.groupBy("fp").agg(F.count(F.lit(1)).alias("k")), "fp").select("token", "fp", "n", "k"), "entries")
     links = lists.where("kind = 2").select(F.col("token").alias("a"), F.col("fp").alias("b"))
