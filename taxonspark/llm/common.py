@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,37 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at the end, also after an error. Gives ``keep(df, tag)``, which stages a table that stays: what is used
+    afterwards must stand on kept tables alone."""
+    made: list[str] = []
+    _scratch.append(made)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = staged(df, tag)
+        made.pop()  # the last one made
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage, is
     computed exactly once and survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
+    if _scratch:
+        _scratch[-1].append(path)
     # the job's commit is what counts: no marker file, which the driver would create and set permissions on each time
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
