@@ -66,7 +66,7 @@ def use_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str
     return d
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -76,7 +76,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
