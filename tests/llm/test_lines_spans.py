@@ -1,7 +1,9 @@
 """Line deduplication and sentence spans against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -46,9 +48,16 @@ def test_lines_equal_brute_force(spark):
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
 
 
-def sentence_starts(raw):
+def pieces(raw):
+    """Byte offsets of the pieces of one text; of those, the ones that begin a sentence."""
     data = np.frombuffer(raw, np.uint8)
-    return spans.sentences(data, np.array([0, len(raw)]))[2].tolist()
+    _, bounds, start, _, whole = spans.sentences(data, np.array([0, len(raw)]))
+    first = start[bounds[:-1]]
+    return first.tolist(), first[whole].tolist()
+
+
+def sentence_starts(raw):
+    return pieces(raw)[0]
 
 
 def test_sentences():
@@ -59,33 +68,48 @@ def test_sentences():
     assert sentence_starts(b"") == [] and sentence_starts(b" \n ") == [] and sentence_starts(b"x") == [0]
 
 
-def spans_by_hand(docs, run, min_words):
-    """docs: (id, text), ids distinct; occurrences in order of (id, place)."""
-    seen, out = defaultdict(list), []
-    cut = {}
+def spans_by_hand(docs, run, min_words, long_words):
+    """docs: (id, text), ids distinct; occurrences in order of (id, place). (id, text kept, pieces, pieces removed)."""
+    seen, cut = defaultdict(list), {}
     for d, text in sorted(docs):
         raw = text.encode()
-        starts = sentence_starts(raw)
-        units = [tuple(raw[a:z].lower().split()) for a, z in zip(starts, [*starts, len(raw)][1:], strict=True)]
-        cut[d] = (raw, starts)
+        starts, whole = pieces(raw)
+        whole = set(whole)
+        units = [raw[a:z].lower().split() for a, z in zip(starts, [*starts, len(raw)][1:], strict=True)]
+        at = [0, *accumulate(map(len, units))]
+        cut[d] = (raw, units, at, list(chain(*units)))
         for a in range(len(units)):
-            for z in range(a + run, len(units) + 1):
-                if sum(map(len, units[a:z])) >= min_words:
-                    seen[sum(units[a:z], ())].append((d, a, z))
-                    break
-        for z in range(len(units), 0, -1):
-            for a in range(z - run, -1, -1):
-                if sum(map(len, units[a:z])) >= min_words:
-                    seen[sum(units[a:z], ())].append((d, a, z))
+            for z in range(a + 1, len(units) + 1):
+                words = sum(units[a:z], [])
+                ended = z == len(units) or starts[z] in whole
+                sentences = sum(starts[k] in whole for k in range(a, z)) if starts[a] in whole and ended else 0
+                if z - a >= run and len(words) >= long_words or sentences >= run and len(words) >= min_words:
+                    seen[tuple(words)].append((d, a, z))
                     break
-    drop = defaultdict(set)
+    gone = defaultdict(list)
     for places in seen.values():
-        for d, a, z in sorted(set(places))[1:]:
-            drop[d].update(range(a, z))
-    for d, (raw, starts) in cut.items():
+        first, *others = sorted(places)
+        for d, a, z in others:
+            gone[d].append((a, z, first))
+    out = []
+    for d, (raw, units, at, words) in cut.items():
+        covered = {k for a, z, _ in gone[d] for k in range(a, z)}
+        away = {w for k in covered for w in range(at[k], at[k + 1])}
+        for k in sorted(covered):
+            if k - 1 not in covered:  # the one run that starts here, then the last of those that end where the stretch ends
+                end = next(e for e in range(k, len(units) + 1) if e not in covered)
+                for side, (a, z, (fd, fa, fz)) in ((-1, next(g for g in gone[d] if g[0] == k)), (1, max(g for g in gone[d] if g[1] == end))):
+                    _, _, places, theirs = cut[fd]
+                    own, other = (at[a], places[fa]) if side < 0 else (at[z], places[fz])
+                    for n in range(spans.CONTEXT):
+                        i, j = (own - 1 - n, other - 1 - n) if side < 0 else (own + n, other + n)
+                        if min(i, j) < 0 or i >= len(words) or j >= len(theirs) or words[i] != theirs[j]:
+                            break
+                        away.add(i)
+        starts = [m.start() for m in re.finditer(rb"[^ \t-\r]+", raw)]
         bounds = [*starts, len(raw)]
-        kept = raw[:bounds[0]] + b"".join(raw[bounds[k]:bounds[k + 1]] for k in range(len(starts)) if k not in drop[d])
-        out.append((d, kept.decode(), len(starts), len(drop[d])))
+        kept = raw[:bounds[0]] + b"".join(raw[bounds[k]:bounds[k + 1]] for k in range(len(starts)) if k not in away)
+        out.append((d, kept.decode(), len(units), len(covered)))
     return sorted(out)
 
 
@@ -105,7 +129,7 @@ def test_spans_equal_brute_force(spark):
         docs.append((i, rng.choice((" ", "\n", "\n\n ")).join(parts)))
     docs += [(200, docs[40][1]), (201, docs[40][1].upper()), (300, " ".join(rng.choice(vocab) + "." for _ in range(20_000)))]
     df = spark.createDataFrame([(d, t, "s", "h", 1, "l") for d, t in docs], SCHEMA).repartition(4)
-    want = spans_by_hand(docs, 3, 20)
+    want = spans_by_hand(docs, 3, 12, 20)
     assert sum(r[3] for r in want) > 50
     assert sorted(tuple(r) for r in spans.drop_repeated_spans(df).collect()) == want
 
@@ -120,13 +144,39 @@ def test_spans_nulls_and_repeated_rows(spark):
     assert spans.drop_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_long_passage_inside_other_text_goes(spark):
+def words_in(rng, letter, n):
+    return " ".join(f"{letter}{rng.randrange(10 ** 6)}" for _ in range(n))
+
+
+def test_passages_inside_other_text_go_to_their_own_ends(spark):
+    """Passages of 51 words and more without a sentence end, wherever the text around them is cut."""
     rng = random.Random(9)
-    passage = " ".join(f"p{rng.randrange(10 ** 6)}" for _ in range(60))  # one endless sentence
-    docs = [(i, " ".join(f"o{rng.randrange(10 ** 6)}" for _ in range(40)) + " " + passage + " " + " ".join(f"e{rng.randrange(10 ** 6)}" for _ in range(40)))
-            for i in range(4)]
+    passages = [words_in(rng, "p", 51 + k % 10) for k in range(60)]
+    docs = [(i * 100 + k, f"{words_in(rng, 'o', rng.randrange(40))} {p} {words_in(rng, 'e', rng.randrange(40))}".strip())
+            for k, p in enumerate(passages) for i in range(3)]
+    got = {r.doc_id: r.text for r in spans.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, text in docs:
+        want = text if d < 100 else " ".join(w for w in text.split() if w[0] != "p")
+        assert got[d].split() == want.split()
+
+
+def test_three_short_sentences_go_a_common_line_stays(spark):
+    rng = random.Random(3)
+    short = "One two three four. Five six seven eight. Nine ten eleven twelve."
+    line = "this single line of some fifteen words is common and no passage of several sentences."
+    docs = [(i, f"{words_in(rng, 'a', 5)}.\n{line}\n{words_in(rng, 'b', 6)}. {short} {words_in(rng, 'c', 7)}.") for i in range(4)]
     got = {r.doc_id: r.text for r in spans.drop_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[0] == docs[0][1]
-    for i in (1, 2, 3):
-        left = sum(w in got[i].split() for w in passage.split())
-        assert left <= 24 and all(w in got[i].split() for w in docs[i][1].split() if w[0] != "p")
+    assert all(got[i] == docs[i][1].replace(short + " ", "") for i in (1, 2, 3))
+
+
+def test_texts_of_one_id_and_of_one_word(spark):
+    """Another text under the id of a copy has places of its own; a word over and over repeats within its text."""
+    rng = random.Random(8)
+    long = " ".join(words_in(rng, "l", 9) + "." for _ in range(30))
+    got = spans.drop_repeated_spans(spark.createDataFrame([(1, long), (2, long), (2, "Short."), (3, "a " * 3000), (4, "a " * 10)], "doc_id long, text string")).collect()
+    text = defaultdict(list)
+    for r in got:
+        text[r.doc_id].append(r.text)
+    assert text[1] == [long] and sorted(text[2]) == ["", "Short."] and text[4] == ["a " * 10]
+    assert 0 < len(text[3][0].split()) <= 32
