@@ -146,7 +146,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             for i in range(len(at) - 1):
                 t = raw[at[i]:at[i + 1]]
-                gone = np.array(drops[lo + i].as_py() or (), np.int64)
+                gone = drops[lo + i].values.to_numpy() if drops[lo + i].is_valid else np.zeros(0, np.int64)
                 gone = gone[(gone >> 16) + (gone & 0xFFFF) <= total[i]]  # another text of the same id has others
                 if len(gone):
                     here = bounds[texts[i]:texts[i + 1] + 1]
