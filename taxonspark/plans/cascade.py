@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.text import strip
 from ..operators.describe import describe
 from ..operators.encode import encode_missing
-from ..operators.rules import prepare_rules, rules_left
+from ..operators.rules import RuleIndex, prepare_rules, rules_left, rules_met, with_set_matches
 from ..operators.similarity import match_by_similarity
 from ..params import (DEFAULT_PARAMS, EMPTY_DESCRIPTION, METHOD_ERROR, METHOD_NONE, METHOD_NOT_FOUND,
                       METHOD_RULE, METHOD_SEARCH_MATCHED, METHOD_SEARCH_UNMATCHED, METHOD_SIMILARITY,
@@ -57,11 +57,27 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     through) -> description for rows below the gate (equi-join) -> rules over the
     description (projection) -> decision columns (one ``select`` of ``when`` chains).
     """
+    return _with_categories(*_decided(names, rules, brands, descriptions, provider, params, encoder))
+
+
+def _decided(names, rules, brands, descriptions, provider, params, encoder) -> tuple[DataFrame, list[DataFrame]]:
+    """``per_text_results``, but a text matched by a large rule table has the id ``m_set`` of its matches instead of their categories;
+    and these matches (none for a compiled table). Thousands of matching rules make categories of a megabyte a text: they are
+    made once per set and joined by ``_with_categories`` as the last step."""
     rules = prepare_rules(rules, params)
-    stage1 = rules_left(names, rules, "_t", ["_t", "_vh", "_v"], params, prefix="r_")
+    late, matches = isinstance(rules, RuleIndex), []
+
+    def matched(texts, text_col, keys, prefix):
+        if not late:
+            return rules_left(texts, rules, text_col, keys, params, prefix=prefix)
+        out, found = rules_met(texts, rules, text_col, keys or texts.columns, prefix)
+        matches.append(found)
+        return out.withColumns({prefix + c: F.lit("") for c in CATEGORIES})
+
+    stage1 = matched(names, "_t", ["_t", "_vh", "_v"], "r_")
     ruled = F.col("r_n_rules") > 0
     if brands is None:
-        return stage1.select("_t", "_vh", *_decide(ruled, None, params))
+        return stage1.select("_t", "_vh", *_decide(ruled, None, params, late)), matches
     if encoder is not None:
         # every text that reaches the similarity stage and every brand gets a vector, as the reference
         # does (brands when they are loaded); the configured weight applies
@@ -70,7 +86,7 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
             brands = materialized(encode_missing(brands, "brand_name", "embedding", encoder))
     else:
         stage1 = stage1.withColumn("_v_error", _null("string"))
-    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules", "_v_error"]
+    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules", *(["r_set"] if late else []), "_v_error"]
     # a text that the encoder rejects is an error row of its own; the others go on (C4)
     sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
                               active=~ruled & F.col("_v_error").isNull(), carry=carry)
@@ -78,12 +94,24 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     low = (F.col("error").isNull() & F.col("brand_idx").isNotNull()
            & (F.col("score") < F.lit(float(params.fallback_threshold))))
     described = describe(sim, "_t", descriptions, provider, active=low, params=params)
-    d = rules_left(described, rules, "description", None, params, prefix="d_")
-    return d.select("_t", "_vh", *_decide(ruled, low, params))
+    d = matched(described, "description", None, "d_")
+    return d.select("_t", "_vh", *_decide(ruled, low, params, late)), matches
+
+
+CATEGORIES = ("level1", "code", "atomic")
+
+
+def _with_categories(rows: DataFrame, matches: list[DataFrame]) -> DataFrame:
+    """``rows`` with the categories of the sets of matches that ``m_set`` names."""
+    if not matches:
+        return rows
+    columns = [c for c in rows.columns if c != "m_set"]
+    out = with_set_matches(rows, "m_set", matches, "_m_")
+    return out.select(*[F.coalesce("_" + c, c).alias(c) if c in ("m_level1", "m_code", "m_atomic") else c for c in columns])
 
 
-def _decide(ruled: Column, low: Column | None, params: Params) -> list[Column]:
-    """The cascade decision table as per-text columns (first applicable row wins)."""
+def _decide(ruled: Column, low: Column | None, params: Params, late: bool = False) -> list[Column]:
+    """The cascade decision table as per-text columns (first applicable row wins); ``late``: with ``m_set``."""
     def pick(*cases, default):
         e = None
         for cond, val in cases:
@@ -96,7 +124,7 @@ def _decide(ruled: Column, low: Column | None, params: Params) -> list[Column]:
                 F.lit(False).alias("from_sim"), _null("bigint").alias("ref_idx"), _null("string").alias("ref_name"),
                 _null("string").alias("ref_code"), _null("string").alias("ref_atomic"),
                 _null("double").alias("score"), _null("string").alias("score_text"),
-                _null("string").alias("llm_desc"), _null("string").alias("error")]
+                _null("string").alias("llm_desc"), _null("string").alias("error"), *([F.col("r_set").alias("m_set")] if late else [])]
     err = ~ruled & F.col("error").isNotNull()
     hit = ~ruled & ~err & F.col("brand_idx").isNotNull()
     desc = F.col("description")
@@ -121,7 +149,8 @@ def _decide(ruled: Column, low: Column | None, params: Params) -> list[Column]:
             from_sim.alias("from_sim"), ref("brand_idx").alias("ref_idx"), ref("brand_name").alias("ref_name"),
             ref("brand_code").alias("ref_code"), ref("brand_atomic").alias("ref_atomic"),
             ref("score").alias("score"), ref("score_text").alias("score_text"), llm_desc.alias("llm_desc"),
-            F.when(err, F.col("error")).alias("error")]
+            F.when(err, F.col("error")).alias("error"),
+            *([pick((ruled, F.col("r_set")), (rematch, F.col("d_set")), default=_null("string")).alias("m_set")] if late else [])]
 
 
 def method_label(params: Params = DEFAULT_PARAMS) -> Column:
@@ -192,14 +221,17 @@ def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
     ``encoder`` (texts -> vectors) fills the missing vectors of texts and of brands, as the
     reference does with its embedding model."""
     names = distinct_texts(leads)
-    per_text = per_text_results(names, rules, brands, descriptions, provider, params, encoder)
-    return attach_results(leads, per_text, params, extra_cols)
+    per_text, matches = _decided(names, rules, brands, descriptions, provider, params, encoder)
+    return attach_results(leads, per_text, params, extra_cols, matches)
 
 
-def attach_results(leads: DataFrame, per_text: DataFrame, params: Params = DEFAULT_PARAMS, extra_cols: tuple[str, ...] = ("lead_idx",)) -> DataFrame:
-    """Every lead with the result row of its text."""
+def attach_results(leads: DataFrame, per_text: DataFrame, params: Params = DEFAULT_PARAMS, extra_cols: tuple[str, ...] = ("lead_idx",),
+                   matches: list[DataFrame] = ()) -> DataFrame:
+    """Every lead with the result row of its text. ``matches``: of ``_decided``, if ``per_text`` is."""
     joined = reattach(leads.select(*extra_cols, "lead_code", "lead_name",
                                    *(["embedding"] if "embedding" in leads.columns else [])), per_text)
+    if matches:
+        joined = _with_categories(joined.drop("embedding", "_vh", "_t"), matches)
     labelled = joined.withColumn("method", method_label(params))
     return labelled.select(*extra_cols, *result_columns(params),
                            F.when(F.col("from_sim") & (F.col("m_n") > 0), F.col("score")).alias("score"))
