@@ -8,9 +8,9 @@ name are skipped; NaN scores never win; a best score below the threshold means n
 Plans (same result, chosen by a checked size):
 
 * broadcast: brand ids, names and vectors (size-checked) are broadcast once; each Arrow
-  batch of texts is scored with one numpy matmul, then brands are visited by falling
-  cosine and Jaro-Winkler is evaluated only while ``w * cos01 + (1 - w)`` can still reach
-  the running best (exact pruning).
+  batch of texts is scored with one numpy matmul, and Jaro-Winkler is evaluated only for brands
+  whose bound, first of a group of similar names and then of the name itself, can still reach
+  the running best (exact pruning, ``functions/names``).
 * grid: brands are dealt into blocks of similar vectors (``operators/balls``). A first round scores every text against the
   block of its highest bound, a second one against only those blocks whose bound reaches that score. A cell of a block and a
   bucket of texts is one ``cogroup`` task of bounded size that emits a partial top-1 per text, and a partial/final
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.similarity import HIST_BUCKETS, char_histograms, encode_names, jaro_winkler_many, jaro_winkler_upper
+from ..functions.names import NameIndex, best_of
+from ..functions.similarity import HIST_BUCKETS
 from ..functions.text import strip
 from ..session import materialized, ship_package
 from ..params import DEFAULT_PARAMS, Params
@@ -43,9 +44,6 @@ BRAND_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType()), True),
 ])
 
-_TOPK_FIRST = 8
-
-
 def _fmt4(x: float) -> str:
     return f"{x:.4f}"
 
@@ -66,52 +64,27 @@ def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dic
                 w: float, use_combined: bool, active=None):
     """Best brand per text within one brand block: (positions, scores); position -1 = none.
 
-    Brands in ``block`` are in ascending ``brand_idx`` order, so the first maximum is the
-    lowest index. Combined scores: Jaro-Winkler is computed (vectorised over names) for the
-    top cosine candidates first, then only for brands whose bound ``w * cos01 + (1 - w)``
-    still reaches that best. Exact: a skipped brand cannot reach the maximum.
+    Ties go to the brand of the lowest ``rank`` (order of ``brand_idx``). Combined scores: ``functions/names`` bounds Jaro-Winkler for
+    groups of names, then for the names of the groups that can still win, and computes it for what is left. Exact: a brand
+    that is skipped cannot reach the maximum.
     """
-    m = len(block["ids"])
-    n = len(texts)
-    if m == 0:
-        return [-1] * n, [float("nan")] * n
-    cos = (qmat @ block["mat"].T + 1.0) / 2.0
-    cos[:, ~block["has"]] = 0.0
-    cos[~qhas, :] = 0.0
-    names, lens = block["name_mat"], block["name_lens"]
-    out_pos, out_score = [], []
-    for i, text in enumerate(texts):
-        if active is not None and not active[i]:
-            out_pos.append(-1)
-            out_score.append(float("nan"))
-            continue
-        c = cos[i]
-        if not use_combined:
-            sc = np.clip(c, 0.0, 1.0)
-        else:
-            sc = np.full(m, -np.inf)
-            # exact upper bound per brand: cosine part + Jaro-Winkler bound from shared characters
-            ub = w * c + (1.0 - w) * jaro_winkler_upper(text, names, lens, block["name_hist"])
-            k = min(m, _TOPK_FIRST)
-            first = np.argpartition(-ub, k - 1)[:k] if k < m else np.arange(m)
-            jw = jaro_winkler_many(text, names[first], lens[first])
-            sc[first] = np.clip(w * c[first] + (1.0 - w) * jw, 0.0, 1.0)
-            top = np.nanmax(sc[first]) if np.any(~np.isnan(sc[first])) else -1.0
-            need = ub >= top
-            need[first] = False
-            rest = np.nonzero(need)[0]
-            if len(rest):
-                jw = jaro_winkler_many(text, names[rest], lens[rest])
-                sc[rest] = np.clip(w * c[rest] + (1.0 - w) * jw, 0.0, 1.0)
-        sc = np.where(np.isnan(sc), -np.inf, sc)
-        j = int(np.argmax(sc))
-        if np.isfinite(sc[j]):
-            out_pos.append(j)
-            out_score.append(float(sc[j]))
-        else:
-            out_pos.append(-1)
-            out_score.append(float("nan"))
-    return out_pos, out_score
+    m, n = len(block["ids"]), len(texts)
+    pos, score = [-1] * n, [float("nan")] * n
+    on = [i for i in range(n) if active is None or active[i]]
+    if m == 0 or not on:
+        return pos, score
+    cos = None
+    if qhas.any() and block["has"].any():
+        cos = (qmat @ block["mat"].T + 1.0) / 2.0
+        cos[:, ~block["has"]] = 0.0
+        cos[~qhas, :] = 0.0
+    if use_combined:
+        found = block["index"].best([texts[i] for i in on], None if cos is None else cos[on], w, qhas[on])
+    else:
+        found = [best_of(np.zeros(m) if cos is None else np.clip(cos[i], 0.0, 1.0), block["index"].rank) for i in on]
+    for i, (p, s) in zip(on, found, strict=True):
+        pos[i], score[i] = p, s
+    return pos, score
 
 
 _OUT_FIELDS = [
@@ -124,6 +97,8 @@ _OUT_FIELDS = [
     T.StructField("error", T.StringType(), True),
 ]
 _OUT = tuple(f.name for f in _OUT_FIELDS)
+#: texts without vectors that are compared with a block's names together
+TEXTS_AT_ONCE = 512
 
 
 def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w: float,
@@ -132,7 +107,7 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
     (brand columns null when none qualifies or the row is inactive). Each matmul is bounded
     by ``cells`` text x brand scores."""
     ids = block["ids"]
-    rows_per = max(1, cells // max(1, len(ids)))
+    rows_per = max(1, cells // max(1, len(ids))) if pdf["_kv"].notna().any() else TEXTS_AT_ONCE
     cols = {k: [] for k in _OUT}
     for start in range(0, len(pdf), rows_per):
         part = pdf.iloc[start:start + rows_per]
@@ -173,17 +148,15 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
 
 def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     bpdf = bpdf.sort_values("brand_idx", kind="stable")
+    index = NameIndex([str(x) for x in bpdf["brand_name"]])
+    bpdf = bpdf.iloc[index.rank]  # in the index's order; its rank is the place by brand_idx
     vecs = list(bpdf["embedding"])
     mat, has = _to_matrix(vecs, dim)
-    names = [str(x) for x in bpdf["brand_name"]]
-    name_mat, name_lens = encode_names(names)
-    name_hist = char_histograms(name_mat, name_lens)
     bad = sorted({len(v) for v in vecs if v is not None and len(v) != dim})
     dim_error = f"ValueError: brand vectors have {bad[0]} and {dim} values" if bad else None
-    return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": names,
+    return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": [str(x) for x in bpdf["brand_name"]],
             "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has, "name_mat": name_mat, "name_lens": name_lens, "name_hist": name_hist,
-            "dim_error": dim_error}
+            "mat": mat, "has": has, "index": index, "dim_error": dim_error}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:
