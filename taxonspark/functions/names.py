@@ -110,9 +110,10 @@ class NameIndex:
         self._seen: set[bytes] = set()
         self._kept = 0
 
-    def best(self, texts: list[str], cos: np.ndarray | None, w: float, has=None) -> list[tuple[int, float]]:
+    def best(self, texts: list[str], cos: np.ndarray | None, w: float, has=None, floor=None) -> list[tuple[int, float]]:
         """(position, score) of the best name for each text by ``w * cos + (1 - w) * Jaro-Winkler``, clipped to [0, 1]. ``cos`` (texts x
-        names, in the index's order) or None: 0 everywhere; it is 0 in the rows of texts without ``has``."""
+        names, in the index's order) or None: 0 everywhere; it is 0 in the rows of texts without ``has``. ``floor``: a score that each text
+        has elsewhere (NaN: none); where no name reaches it, there may be no best one."""
         out: list = [None] * len(texts)
         short = []
         for i, text in enumerate(texts):
@@ -125,7 +126,8 @@ class NameIndex:
             else:
                 short.append((i, a, c))
         if short:
-            for (i, _, _), got in zip(short, self._best_grouped([x[1] for x in short], [x[2] for x in short], w), strict=True):
+            top = np.full(len(short), -1.0) if floor is None else np.fmax(-1.0, np.asarray(floor, dtype=np.float64)[[x[0] for x in short]])
+            for (i, _, _), got in zip(short, self._best_grouped([x[1] for x in short], [x[2] for x in short], w, top), strict=True):
                 out[i] = got
         return out
 
@@ -208,9 +210,10 @@ class NameIndex:
 
     # ------------------------------------------------------------------ short texts, or windows that matter
 
-    def _best_grouped(self, texts: list[str], cos: list, w: float) -> list[tuple[int, float]]:
+    def _best_grouped(self, texts: list[str], cos: list, w: float, top: np.ndarray) -> list[tuple[int, float]]:
+        """``top``: the score that a name must reach; raised to the best found."""
         n = len(texts)
-        top, best = np.full(n, -1.0), np.full(n, -1, dtype=np.int64)
+        best = np.full(n, -1, dtype=np.int64)
         bounds, counts, prefixes = [], [], []
         for a, c in zip(texts, cos, strict=True):
             count = self._counted(a)
@@ -224,9 +227,9 @@ class NameIndex:
         for i, a in enumerate(texts):
             b = bounds[i]
             some = np.argpartition(-b, FIRST_GROUPS - 1)[:FIRST_GROUPS] if len(b) > FIRST_GROUPS else np.arange(len(b))
-            rows, ub = self._bounds(a, counts[i], prefixes[i], some, cos[i], w)
-            rows = rows[np.isfinite(ub)]
-            ub = ub[np.isfinite(ub)]
+            rows, ub = self._bounds(a, counts[i], prefixes[i], some[b[some] >= top[i]], cos[i], w)
+            ok = np.isfinite(ub) & (ub >= top[i])
+            rows, ub = rows[ok], ub[ok]
             seen[i] = rows[np.argpartition(-ub, FIRST - 1)[:FIRST]] if len(rows) > FIRST else rows
             pairs.append(seen[i])
         self._compare(texts, pairs, cos, w, top, best)
@@ -300,7 +303,7 @@ class NameIndex:
             rows = pairs[i]
             s = (1.0 - w) * jw[i] if cos[i] is None else w * cos[i][rows] + (1.0 - w) * jw[i]
             p, s = best_of(np.clip(s, 0.0, 1.0), self.rank[rows])
-            if p >= 0 and (s > top[i] or (s == top[i] and self.rank[rows[p]] < self.rank[best[i]])):
+            if p >= 0 and (s > top[i] or (s == top[i] and (best[i] < 0 or self.rank[rows[p]] < self.rank[best[i]]))):
                 top[i], best[i] = s, rows[p]
 
 

@@ -61,8 +61,8 @@ def _to_matrix(vectors, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dict,
-                w: float, use_combined: bool, active=None):
-    """Best brand per text within one brand block: (positions, scores); position -1 = none.
+                w: float, use_combined: bool, active=None, floor=None):
+    """Best brand per text within one brand block: (positions, scores); position -1 = none, or maybe none that reaches the ``floor``.
 
     Ties go to the brand of the lowest ``rank`` (order of ``brand_idx``). Combined scores: ``functions/names`` bounds Jaro-Winkler for
     groups of names, then for the names of the groups that can still win, and computes it for what is left. Exact: a brand
@@ -75,13 +75,18 @@ def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dic
         return pos, score
     cos = None
     if qhas.any() and block["has"].any():
-        cos = (qmat @ block["mat"].T + 1.0) / 2.0
-        cos[:, ~block["has"]] = 0.0
-        cos[~qhas, :] = 0.0
+        cos = qmat @ block["mat"].T
+        cos += 1.0  # in place: these are the largest arrays of the kernel
+        cos /= 2.0
+        if not block["has"].all():
+            cos[:, ~block["has"]] = 0.0
+        if not qhas.all():
+            cos[~qhas, :] = 0.0
+        cos = cos if len(on) == n else cos[on]
     if use_combined:
-        found = block["index"].best([texts[i] for i in on], None if cos is None else cos[on], w, qhas[on])
+        found = block["index"].best([texts[i] for i in on], cos, w, qhas[on], None if floor is None else floor[on])
     else:
-        found = [best_of(np.zeros(m) if cos is None else np.clip(cos[i], 0.0, 1.0), block["index"].rank) for i in on]
+        found = [best_of(np.zeros(m) if cos is None else np.clip(cos[k], 0.0, 1.0), block["index"].rank) for k in range(len(on))]
     for i, (p, s) in zip(on, found, strict=True):
         pos[i], score[i] = p, s
     return pos, score
@@ -113,6 +118,7 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
         part = pdf.iloc[start:start + rows_per]
         texts = ["" if t is None else t for t in part["_kt"]]
         vecs = list(part["_kv"])
+        floor = part["_seed"].to_numpy(dtype=float) if "_seed" in part else None
         active = part["_ka"].to_numpy(dtype=bool)
         # C4: a vector whose length differs from the brands' cannot be scored (the dot product
         # raises in the reference); that row becomes an error row and the others go on
@@ -123,7 +129,7 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
         try:
             qmat, qhas = _to_matrix(vecs, dim)
             ok_rows = active & np.array([e is None for e in err], dtype=bool)
-            pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, ok_rows)
+            pos, sc = score_block(texts, qmat, qhas, block, w, use_combined, ok_rows, floor)
         except Exception:  # any other failure: score the rows one by one, so only the bad ones become error rows
             pos, sc = [-1] * len(texts), [float("nan")] * len(texts)
             for i in np.flatnonzero(active & np.array([e is None for e in err], dtype=bool)):
@@ -132,14 +138,14 @@ def _score_frame(pdf: pd.DataFrame, carry: list[str], block: dict, dim: int, w:
                 except Exception as exc:  # noqa: BLE001
                     err[i] = f"{type(exc).__name__}: {exc}"
         for p, s_, e in zip(pos, sc, err):
-            ok = p >= 0
-            cols["brand_idx"].append(int(ids[p]) if ok else None)
-            cols["brand_name"].append(block["names"][p] if ok else None)
-            cols["brand_code"].append(block["codes"][p] if ok else None)
-            cols["brand_atomic"].append(block["atomics"][p] if ok else None)
-            cols["score"].append(float(s_) if ok else None)
-            cols["score_text"].append(_fmt4(s_) if ok else None)
-            cols["error"].append(e)
+            brand = None
+            if p >= 0:
+                try:
+                    brand = int(ids[p]), block["names"][p], block["codes"][p], block["atomics"][p]
+                except Exception as exc:  # noqa: BLE001
+                    e = f"{type(exc).__name__}: {exc}"
+            for k, v in zip(_OUT, (*(brand or (None,) * 4), float(s_) if brand else None, _fmt4(s_) if brand else None, e), strict=True):
+                cols[k].append(v)
     out = pdf[carry].reset_index(drop=True).copy()
     for k in _OUT:
         out[k] = pd.Series(cols[k], dtype=object)
@@ -156,7 +162,7 @@ def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     dim_error = f"ValueError: brand vectors have {bad[0]} and {dim} values" if bad else None
     return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": [str(x) for x in bpdf["brand_name"]],
             "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has, "index": index, "dim_error": dim_error}
+            "mat": mat, "has": has, "index": index, "name_mat": index.mat, "dim_error": dim_error}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:
@@ -266,7 +272,7 @@ def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schem
 
 def _cell_scores(texts: DataFrame, brands: DataFrame, dim, w, use_combined, params) -> DataFrame:
     """(_row, brand fields) of the best brand in each cell: rows of ``texts`` and ``brands`` that share ``_blk`` and ``_tb``."""
-    cells = params.kernel_batch_cells
+    cells, parts = params.kernel_batch_cells, kernel_partitions(texts.sparkSession, params)
     cell_schema = T.StructType([T.StructField("_row", T.LongType(), False), *_OUT_FIELDS])
     names = cell_schema.fieldNames()
 
@@ -275,6 +281,8 @@ def _cell_scores(texts: DataFrame, brands: DataFrame, dim, w, use_combined, para
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
         return _score_frame(tpdf, ["_row"], _block_from_pandas(bpdf, dim), dim, w, use_combined, cells)[names]
 
+    # a fixed number of tasks: cells are few bytes and much work, AQE would join them into a few
+    texts, brands = (x.repartition(parts, "_blk", "_tb") for x in (texts, brands))
     return texts.groupBy("_blk", "_tb").cogroup(brands.groupBy("_blk", "_tb")).applyInPandas(cell, cell_schema)
 
 
@@ -298,10 +306,10 @@ def _top1_pruned(on, live, carry, dim, w, use_combined, params, schema, n_brands
     rows = on.select("_row", "_kt", "_kv", "_ka")
 
     def scored(assigned: DataFrame) -> DataFrame:
-        met = materialized(assigned).join(rows, "_row")
+        met = assigned.join(rows, "_row")
         size = met.groupBy("_blk").agg(F.count("*").alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b"))
-        buckets = F.lit(params.grid_buckets) if params.grid_buckets else F.greatest(
-            F.ceil(F.col("n") / params.text_block_rows), F.ceil(F.col("b") / params.text_block_bytes))
+        buckets = F.greatest(F.lit(params.grid_buckets).cast("bigint"), F.ceil(F.col("n") / params.text_block_rows),
+                             F.ceil(F.col("b") / params.text_block_bytes))
         size = F.broadcast(materialized(size.select("_blk", buckets.cast("int").alias("_k"))))  # a row per block
         met = met.join(size, "_blk").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.col("_k")).cast("int")).drop("_k")
         dealt = balls.brands.join(size, "_blk").withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
@@ -311,7 +319,9 @@ def _top1_pruned(on, live, carry, dim, w, use_combined, params, schema, n_brands
     seeds = materialized(scored(first))
     known = seeds.where("error is null").select("_row", F.col("score").alias("_seed"))
     asked = rows.join(known, "_row").join(first.withColumnRenamed("_blk", "_first"), "_row")
-    return _merged(on, seeds.unionByName(scored(balls.reached(asked, params))), carry)
+    # the first round's score travels along: only names that can reach it are looked at
+    reached = materialized(balls.reached(asked, params)).join(known, "_row")
+    return _merged(on, seeds.unionByName(scored(reached)), carry)
 
 
 def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
@@ -319,8 +329,8 @@ def _top1_grid(on, live, carry, dim, w, use_combined, params, schema, n_brands):
     text, in bytes; only the row id, text and vector travel to them, the carried columns are joined back."""
     n_blocks = params.grid_blocks or max(1, math.ceil(n_brands / params.brand_block_rows))
     size = on.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b")).first()
-    n_buckets = params.grid_buckets or max(1, math.ceil(size["n"] / params.text_block_rows),
-                                           math.ceil((size["b"] or 0) / params.text_block_bytes))
+    n_buckets = max(1, params.grid_buckets, math.ceil(size["n"] / params.text_block_rows),
+                    math.ceil((size["b"] or 0) / params.text_block_bytes))
     # both sides must carry the cell keys with the same type, or they hash to different partitions
     t_rep = (on.select("_row", "_kt", "_kv", "_ka").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.lit(n_buckets)).cast("int"))
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))

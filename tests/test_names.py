@@ -54,3 +54,18 @@ def test_few_names_are_compared(monkeypatch):
     monkeypatch.setattr(N.NameIndex, "_matched", lambda *x: built.append(1))
     assert index.best([long + "s"], None, 0.5)[0][0] >= 0
     assert not compared and not built
+
+
+def test_names_below_a_score_known_elsewhere_are_not_looked_at(monkeypatch):
+    names = [f"{a} {b} {2 * k + 1}" for k in range(400) for a in ("blue", "large", "hot") for b in ("anvil", "ring", "widget")]
+    index = N.NameIndex(names)
+    texts = ["large widget 700", "hot ring 1", "none like it"]
+    free = index.best(texts, None, 0.5)
+    scores = [s for _, s in free]
+    assert index.best(texts, None, 0.5, floor=scores) == free  # an equal score is found, as its name may come first
+    assert index.best(texts, None, 0.5, floor=[float("nan")] * 3) == free
+    looked = []
+    bounds = N.NameIndex._bounds
+    monkeypatch.setattr(N.NameIndex, "_bounds", lambda self, *x: looked.append(len((got := bounds(self, *x))[0])) or got)
+    assert [p for p, _ in index.best(texts, None, 0.5, floor=[0.6, 0.6, 0.6])] == [-1, -1, -1]
+    assert not sum(looked)

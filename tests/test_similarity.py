@@ -116,6 +116,20 @@ def test_blocks_left_out_cannot_hold_the_best(spark, seed):
         assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want if want[k][1] is not None)
 
 
+@pytest.mark.parametrize("lengths", [1, 2])
+def test_cells_stay_bounded_with_a_number_of_buckets_given(spark, monkeypatch, lengths):
+    """A given number of buckets is the least one: more rows make more cells, not larger ones."""
+    rows = []
+    cells = S._cell_scores
+    monkeypatch.setattr(S, "_cell_scores", lambda texts, *x: rows.append(texts.groupBy("_blk", "_tb").count().agg(F.max("count")).first()[0]) or cells(texts, *x))
+    tdf = spark.createDataFrame([(i, f"red {i}", [1.0, float(i)]) for i in range(600)], "k long, t string, v array<float>")
+    bdf = spark.createDataFrame([(i, f"red {i}", str(i), "a", [1.0, float(i)] + [0.0] * (i % lengths)) for i in range(40)],
+                                "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<float>")
+    params = Params(grid_blocks=2, grid_buckets=2, text_block_rows=50)
+    assert S.top1(tdf, bdf, ["k"], "t", "v", params, "grid").count() == 600
+    assert rows and max(r for r in rows if r) <= 100
+
+
 def test_bounds_hold_and_leave_blocks_out(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 16))
