@@ -165,6 +165,10 @@ def _jaro_winkler_rows(ma, la, mb, lb):
     import numpy as np
     n, width = mb.shape
     window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    p = min(MAX_PREFIX, ma.shape[1], width)
+    if width < 64:
+        m, t = _matched_bits(ma, la, mb, window)
+        return _jaro_winkler(la, lb, m, t, (ma[:, :p] == mb[:, :p]) & (ma[:, :p] >= 0))
     cols, used = np.arange(width), np.zeros((n, width), dtype=bool)
     seq, m = np.full((n, width), -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
     for i in range(int(la.max(initial=0))):
@@ -174,16 +178,46 @@ def _jaro_winkler_rows(ma, la, mb, lb):
         used[r, cand[r].argmax(axis=1)] = True
         seq[r, m[r]] = ma[r, i]
         m[r] += 1
-    p = min(MAX_PREFIX, ma.shape[1], width)
     return _winkler(la, lb, mb, used, seq, m, (ma[:, :p] == mb[:, :p]) & (ma[:, :p] >= 0))
 
 
+def _matched_bits(ma, la, mb, window):
+    """Matches and half transpositions of each row; the places of a name (fewer than 64) are the bits of a number."""
+    import numpy as np
+    n, width = mb.shape
+    steps, one = int(la.max(initial=0)), np.uint64(1)
+    used, matched = np.zeros(n, dtype=np.uint64), np.zeros((steps, n), dtype=bool)
+    ma = np.where(ma < 0, -2, ma)  # the padding of a text is not that of a name
+    per = max(1, CELLS // (64 * max(1, n)))
+    for lo in range(0, steps, per):
+        hi = min(steps, lo + per)
+        same = np.zeros((hi - lo, n, 64), dtype=bool)
+        same[:, :, :width] = ma[:, lo:hi].T[:, :, None] == mb[None, :, :]
+        same = np.packbits(same, axis=2, bitorder="little").view("<u8")[:, :, 0]
+        for i in range(lo, hi):
+            found = same[i - lo] & ~used
+            found &= (one << np.minimum(i + window + 1, 63).astype(np.uint64)) - one
+            found &= ~((one << np.clip(i - window, 0, 63).astype(np.uint64)) - one)
+            found &= ~found + one  # the first of them
+            used |= found
+            matched[i] = found != 0
+    # row by row as many characters on both sides, in their orders
+    row, at = np.nonzero(matched.T)
+    right = mb[np.unpackbits(used.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :width].astype(bool)]
+    return matched.sum(axis=0), np.bincount(row[ma[row, at] != right], minlength=n) // 2
+
+
 def _winkler(la, lens, mat, used, seq, m, same):
     """The score from the matched characters: ``seq`` and ``m`` on the left, ``used`` on the right."""
     import numpy as np
     right = np.take_along_axis(mat, np.argsort(~used, axis=1, kind="stable"), axis=1)
     valid = np.arange(mat.shape[1])[None, :] < m[:, None]
-    t = ((seq != right) & valid).sum(axis=1) // 2
+    return _jaro_winkler(la, lens, m, ((seq != right) & valid).sum(axis=1) // 2, same)
+
+
+def _jaro_winkler(la, lens, m, t, same):
+    """The score from matches, half transpositions, lengths and equal beginnings."""
+    import numpy as np
     mf = m.astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = (mf / la + mf / lens + (mf - t) / mf) / 3.0

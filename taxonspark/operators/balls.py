@@ -6,17 +6,22 @@ summary is small: centroid and radius, shortest and longest name, the largest co
 names, and their first characters. For a text ``q . b <= q . centroid + |q| * radius`` bounds the cosine part and the shared
 characters bound Jaro-Winkler, so a block whose balls all stay below a score the text has already can't hold its best
 brand. Brands without a vector have balls of their own.
+
+For texts without a vector only names count: there a ball is a range of names by their ``likeness``, cut at those of a sample.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import likeness
 from ..functions.similarity import BOOST_GATE, HIST_BUCKETS, MAX_PREFIX, PREFIX_WEIGHT, char_histograms, encode_names
-from ..functions.text import PY_WHITESPACE
+from ..functions.text import PY_WHITESPACE, strip
 from ..params import Params
 from ..session import materialized, ship_package
 
@@ -24,6 +29,8 @@ from ..session import materialized, ship_package
 SLACK = 1e-9
 #: balls a block on average, balls in all, and sampled vectors a pivot
 PER_BLOCK, MAX_BALLS, SAMPLE = 32, 4096, 4
+#: characters of a name that tell its range; (text, ball) bounds made together
+KEY, CELLS = 256, 500_000
 _SUMMARY = "_blk long, centroid array<double>, radius double, shortest int, longest int, hist array<int>, firsts array<int>"
 
 
@@ -81,34 +88,18 @@ def _balls(blocks: int) -> int:
 
 
 class Balls:
-    """``brands`` with their block ``_blk``, and the balls' summaries as one broadcast."""
+    """``brands`` with their block ``_blk``, and the balls' summaries as one broadcast. ``dim`` 0: by names, vectors are left out."""
 
     def __init__(self, live: DataFrame, dim: int, n: int, params: Params):
         spark = live.sparkSession
         ship_package(spark)
+        live = live if dim else live.withColumn("embedding", F.lit(None).cast("array<float>"))
         want = params.grid_blocks or max(1, -(-n // params.brand_block_rows))
         rows = max(1, -(-n // params.grid_blocks) if params.grid_blocks else params.brand_block_rows)
-        usable = live.where(F.col("embedding").isNotNull())
-        picked = usable.orderBy(F.xxhash64("brand_idx"), "brand_idx").select("embedding").limit(SAMPLE * _balls(want)).collect()  # see ``fits``
-        picked = _rows([r.embedding for r in picked], dim)
-        pivots = _farthest_first(picked[np.isfinite(picked).all(axis=1)], _balls(want))
-        shared = spark.sparkContext.broadcast(pivots)
-
-        def nearest(batches):
-            p = shared.value
-            half = (p ** 2).sum(axis=1) / 2
-            for pdf in batches:
-                has = pdf["embedding"].notna().to_numpy()
-                ball = np.full(len(pdf), -1, np.int64)
-                if has.any():
-                    ball[has] = 0
-                    if len(p):
-                        gap = _rows(list(pdf["embedding"][has]), dim) @ p.T - half
-                        ball[has] = np.where(np.isnan(gap), -np.inf, gap).argmax(axis=1)
-                yield pdf.assign(_ball=ball)
+        deal, pivots = self._by_names(live, want) if dim == 0 else self._by_vectors(live, dim, want)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in live.schema) + ", _ball long"
-        dealt = materialized(live.mapInPandas(nearest, schema))
+        dealt = materialized(live.mapInPandas(deal, schema))
         counts = {r["_ball"]: r["count"] for r in dealt.groupBy("_ball").count().collect()}  # a row per pivot
         place = [(ball, *at) for ball, at in _packed(pivots, counts, want, rows).items()]
         place = F.broadcast(spark.createDataFrame(place, "_ball long, _first long, _parts long"))
@@ -129,6 +120,42 @@ class Balls:
             "shortest": found["shortest"].to_numpy(float), "longest": found["longest"].to_numpy(float),
             "hist": np.stack([np.asarray(h, np.int64) for h in found["hist"]]), "firsts": firsts})
 
+    @staticmethod
+    def _by_vectors(live: DataFrame, dim: int, want: int):
+        """What adds ``_ball`` to batches of brands, and the pivots."""
+        usable = live.where(F.col("embedding").isNotNull())
+        picked = usable.orderBy(F.xxhash64("brand_idx"), "brand_idx").select("embedding").limit(SAMPLE * _balls(want)).collect()  # see ``fits``
+        picked = _rows([r.embedding for r in picked], dim)
+        pivots = _farthest_first(picked[np.isfinite(picked).all(axis=1)], _balls(want))
+        shared = live.sparkSession.sparkContext.broadcast(pivots)
+
+        def nearest(batches):
+            p = shared.value
+            half = (p ** 2).sum(axis=1) / 2
+            for pdf in batches:
+                has = pdf["embedding"].notna().to_numpy()
+                ball = np.full(len(pdf), -1, np.int64)
+                if has.any():
+                    ball[has] = 0
+                    if len(p):
+                        gap = _rows(list(pdf["embedding"][has]), dim) @ p.T - half
+                        ball[has] = np.where(np.isnan(gap), -np.inf, gap).argmax(axis=1)
+                yield pdf.assign(_ball=ball)
+
+        return nearest, pivots
+
+    @staticmethod
+    def _by_names(live: DataFrame, want: int):
+        picked = live.orderBy(F.xxhash64("brand_idx"), "brand_idx").select(F.substring(strip("brand_name"), 1, KEY).alias("n")).limit(SAMPLE * _balls(want))
+        cuts = sorted(likeness(r.n) for r in picked.collect())[SAMPLE::SAMPLE]
+        shared = live.sparkSession.sparkContext.broadcast(cuts)
+
+        def ranged(batches):
+            for pdf in batches:
+                yield pdf.assign(_ball=np.array([bisect_right(shared.value, likeness(str(x).strip(PY_WHITESPACE)[:KEY])) for x in pdf["brand_name"]], np.int64))
+
+        return ranged, np.empty((0, 0))
+
     @staticmethod
     def fits(n: int, dim: int, params: Params) -> bool:
         """Whether the pivots' sample and the summaries stay within the broadcast bound."""
@@ -157,7 +184,7 @@ class Balls:
 
         def run(batches):
             s = blocks.value
-            step = max(1, cells // max(1, len(s["has"])))
+            step = max(1, min(cells, CELLS) // max(1, len(s["has"])))
             for whole in batches:
                 for lo in range(0, len(whole), step):
                     pdf = whole.iloc[lo:lo + step]
@@ -179,21 +206,25 @@ def upper_bounds(texts: list, vectors: list, s: dict, dim: int, w: float, use_co
     if not use_combined:
         out = cos
     else:
-        out = w * cos + (1.0 - w) * np.stack([_name_bound(t, s) for t in texts]) if len(texts) else cos
+        out = w * cos + (1.0 - w) * _name_bounds(texts, s)
     return np.maximum.reduceat(np.where(np.isnan(out), np.inf, out), s["starts"], axis=1) + SLACK
 
 
-def _name_bound(text, s: dict) -> np.ndarray:
-    """An upper bound of Jaro-Winkler between ``text`` and any name of each ball."""
-    a = (text or "").strip(PY_WHITESPACE)
-    if not a:
-        return np.zeros(len(s["has"]))
-    av = np.frombuffer(a.encode("utf-32-le"), np.int32)
-    buckets, counts = np.unique(av % HIST_BUCKETS, return_counts=True)
-    shared = np.minimum(s["hist"][:, buckets], counts).sum(axis=1).astype(float)
+def _name_bounds(texts: list, s: dict) -> np.ndarray:
+    """An upper bound of Jaro-Winkler between each text (rows) and any name of each ball."""
+    counts, lens, first = np.zeros((len(texts), HIST_BUCKETS), np.float32), np.zeros((len(texts), 1)), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        av = np.frombuffer((text or "").strip(PY_WHITESPACE).encode("utf-32-le"), np.int32)
+        if len(av):
+            counts[i] = np.bincount(av % HIST_BUCKETS, minlength=HIST_BUCKETS)
+            lens[i], first[i] = len(av), av[0] % HIST_BUCKETS
+    # min(a, b) of two counts is the number of levels that both reach
+    shared = np.zeros((len(texts), len(s["has"])))
+    for level in range(1, int(min(counts.max(initial=0), s["hist"].max(initial=0))) + 1):
+        shared += (counts >= level).astype(np.float32) @ (s["hist"] >= level).astype(np.float32).T
     length = np.clip(shared, s["shortest"], s["longest"])  # where m / |a| + m / |b| is largest for m = min(shared, |b|)
     m = np.minimum(shared, length)
     with np.errstate(divide="ignore", invalid="ignore"):
-        sim = np.where((m > 0) & (length > 0), (m / len(a) + m / length + 1.0) / 3.0, 0.0)
-    prefix = np.where(s["firsts"][:, av[0] % HIST_BUCKETS], np.minimum(MAX_PREFIX, np.minimum(len(a), s["longest"])), 0)
+        sim = np.where((m > 0) & (length > 0), (m / lens + m / length + 1.0) / 3.0, 0.0)
+    prefix = np.where(s["firsts"][:, first].T, np.minimum(MAX_PREFIX, np.minimum(lens, s["longest"])), 0)
     return np.where(sim > BOOST_GATE, sim + prefix * PREFIX_WEIGHT * (1.0 - sim), sim)

@@ -14,7 +14,8 @@ Plans (same result, chosen by a checked size):
 * grid: brands are dealt into blocks of similar vectors (``operators/balls``). A first round scores every text against the
   block of its highest bound, a second one against only those blocks whose bound reaches that score. A cell of a block and a
   bucket of texts is one ``cogroup`` task of bounded size that emits a partial top-1 per text, and a partial/final
-  ``max(struct(score, -brand_idx))`` aggregation merges the blocks. No pair is ever materialised.
+  ``max(struct(score, -brand_idx))`` aggregation merges the blocks. No pair is ever materialised. Texts without a vector have blocks
+  of brands whose names are alike.
   Where the blocks' summaries are too large to broadcast, or brand vectors differ in length, every text meets every block.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import NameIndex, best_of
+from ..functions.names import Cosines, Dots, NameIndex, best_of
 from ..functions.similarity import HIST_BUCKETS
 from ..functions.text import strip
 from ..session import materialized, ship_package
@@ -73,25 +74,40 @@ def score_block(texts: list[str], qmat: np.ndarray, qhas: np.ndarray, block: dic
     on = [i for i in range(n) if active is None or active[i]]
     if m == 0 or not on:
         return pos, score
-    cos = None
-    if qhas.any() and block["has"].any():
-        cos = qmat @ block["mat"].T
-        cos += 1.0  # in place: these are the largest arrays of the kernel
-        cos /= 2.0
-        if not block["has"].all():
-            cos[:, ~block["has"]] = 0.0
-        if not qhas.all():
-            cos[~qhas, :] = 0.0
-        cos = cos if len(on) == n else cos[on]
+    index, vectors = block["index"], qhas.any() and block["has"].any()
     if use_combined:
-        found = block["index"].best([texts[i] for i in on], cos, w, qhas[on], None if floor is None else floor[on])
-    else:
-        found = [best_of(np.zeros(m) if cos is None else np.clip(cos[k], 0.0, 1.0), block["index"].rank) for k in range(len(on))]
-    for i, (p, s) in zip(on, found, strict=True):
-        pos[i], score[i] = p, s
+        # the product with every name in double precision: for texts that are compared with all of them, or vectors that float32 can't bound
+        whole = np.array([index.is_long(texts[i]) for i in on]) | (vectors and not Dots.fits(qmat[on], block["norm"]))
+        for rows, all_names in ((np.array(on)[~whole], False), (np.array(on)[whole], True)):
+            if not len(rows):
+                continue
+            cos = None
+            if vectors:
+                cos = (Cosines(_cos01(qmat[rows], qhas[rows], block)) if all_names
+                       else Dots(qmat[rows], qhas[rows], block["mat"], block["has"], block["norm"]))
+            found = index.best([texts[i] for i in rows], cos, w, qhas[rows], None if floor is None else floor[rows])
+            for i, (p, s) in zip(rows.tolist(), found, strict=True):
+                pos[i], score[i] = p, s
+        return pos, score
+    cos = _cos01(qmat[on], qhas[on], block) if vectors else np.zeros((len(on), m))
+    for k, i in enumerate(on):
+        pos[i], score[i] = best_of(np.clip(cos[k], 0.0, 1.0), index.rank)
     return pos, score
 
 
+def _cos01(qmat: np.ndarray, qhas: np.ndarray, block: dict) -> np.ndarray:
+    if "wide" not in block:
+        block["wide"] = block["mat"].astype(np.float64)
+    cos = qmat @ block["wide"].T
+    cos += 1.0  # in place: these are the largest arrays of the kernel
+    cos /= 2.0
+    if not block["has"].all():
+        cos[:, ~block["has"]] = 0.0
+    if not qhas.all():
+        cos[~qhas, :] = 0.0
+    return cos
+
+
 _OUT_FIELDS = [
     T.StructField("brand_idx", T.LongType(), True),
     T.StructField("brand_name", T.StringType(), True),
@@ -158,11 +174,14 @@ def _block_from_pandas(bpdf: pd.DataFrame, dim: int) -> dict:
     bpdf = bpdf.iloc[index.rank]  # in the index's order; its rank is the place by brand_idx
     vecs = list(bpdf["embedding"])
     mat, has = _to_matrix(vecs, dim)
+    narrow = mat.astype(np.float32)  # as the vectors of a brand table are
+    mat = narrow if np.array_equal(narrow, mat, equal_nan=True) else mat
     bad = sorted({len(v) for v in vecs if v is not None and len(v) != dim})
     dim_error = f"ValueError: brand vectors have {bad[0]} and {dim} values" if bad else None
     return {"ids": bpdf["brand_idx"].to_numpy(dtype=np.int64), "names": [str(x) for x in bpdf["brand_name"]],
             "codes": [str(x) for x in bpdf["brand_code"]], "atomics": [str(x) for x in bpdf["atomic"]],
-            "mat": mat, "has": has, "index": index, "name_mat": index.mat, "dim_error": dim_error}
+            "mat": mat, "has": has, "norm": float(np.sqrt((mat.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0)),
+            "index": index, "name_mat": index.mat, "dim_error": dim_error}
 
 
 def _live_brands(brands: DataFrame) -> DataFrame:
@@ -214,8 +233,18 @@ def top1(texts: DataFrame, brands: DataFrame, keys, text_col: str, vec_col: str,
         return none(tx)
     tx = materialized(tx.withColumn("_row", F.monotonically_increasing_id()))
     one_length = stats["least"] is None or stats["least"] == stats["d"]
+    on, out = tx.where("_ka"), none(tx.where(~F.col("_ka")))
+    if use_combined and one_length and dim and Balls.fits(n_brands, 0, params):
+        # to texts without a vector only names count: they have blocks of brands with names alike, the others blocks of near vectors
+        plain = F.col("_kv").isNull()
+        kinds = on.agg(F.count_if(plain).alias("plain"), F.count_if(~plain).alias("others")).first()
+        if kinds["plain"]:
+            out = _top1_pruned(on.where(plain), live, carry, 0, w, use_combined, params, schema, n_brands).unionByName(out)
+            if not kinds["others"]:
+                return out
+        on = on.where(~plain)
     grid = _top1_pruned if one_length and Balls.fits(n_brands, dim, params) else _top1_grid
-    return grid(tx.where("_ka"), live, carry, dim, w, use_combined, params, schema, n_brands).unionByName(none(tx.where(~F.col("_ka"))))
+    return grid(on, live, carry, dim, w, use_combined, params, schema, n_brands).unionByName(out)
 
 
 class BrandIndex:
@@ -263,16 +292,17 @@ def _top1_broadcast(tx, index: BrandIndex, carry, w, use_combined, params, schem
 
     def run(batches):
         blk = dict(bc.value)
-        blk["mat"] = blk["mat"].astype(np.float64)
         for pdf_ in batches:
             yield _score_frame(pdf_, carry, blk, dim, w, use_combined, cells)
 
     return tx.mapInPandas(run, schema)
 
 
-def _cell_scores(texts: DataFrame, brands: DataFrame, dim, w, use_combined, params) -> DataFrame:
-    """(_row, brand fields) of the best brand in each cell: rows of ``texts`` and ``brands`` that share ``_blk`` and ``_tb``."""
+def _cell_scores(texts: DataFrame, brands: DataFrame, dim, w, use_combined, params, n_cells: int = 0) -> DataFrame:
+    """(_row, brand fields) of the best brand in each cell: rows of ``texts`` and ``brands`` that share ``_blk`` and ``_tb``. ``n_cells``:
+    their number, if known; many are dealt over more tasks, so that none has several while others have none."""
     cells, parts = params.kernel_batch_cells, kernel_partitions(texts.sparkSession, params)
+    parts = max(parts, min(2 * n_cells, 4 * parts))
     cell_schema = T.StructType([T.StructField("_row", T.LongType(), False), *_OUT_FIELDS])
     names = cell_schema.fieldNames()
 
@@ -310,10 +340,12 @@ def _top1_pruned(on, live, carry, dim, w, use_combined, params, schema, n_brands
         size = met.groupBy("_blk").agg(F.count("*").alias("n"), F.sum(F.length("_kt") * 4 + 4 * dim).alias("b"))
         buckets = F.greatest(F.lit(params.grid_buckets).cast("bigint"), F.ceil(F.col("n") / params.text_block_rows),
                              F.ceil(F.col("b") / params.text_block_bytes))
-        size = F.broadcast(materialized(size.select("_blk", buckets.cast("int").alias("_k"))))  # a row per block
+        size = materialized(size.select("_blk", buckets.cast("int").alias("_k")))  # a row per block
+        n_cells = int(size.agg(F.sum("_k")).first()[0] or 0)
+        size = F.broadcast(size)
         met = met.join(size, "_blk").withColumn("_tb", F.pmod(F.xxhash64("_row"), F.col("_k")).cast("int")).drop("_k")
         dealt = balls.brands.join(size, "_blk").withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
-        return _cell_scores(met, dealt, dim, w, use_combined, params)
+        return _cell_scores(met, dealt, dim, w, use_combined, params, n_cells)
 
     first = materialized(balls.first(rows, params))
     seeds = materialized(scored(first))

@@ -69,3 +69,51 @@ def test_names_below_a_score_known_elsewhere_are_not_looked_at(monkeypatch):
     monkeypatch.setattr(N.NameIndex, "_bounds", lambda self, *x: looked.append(len((got := bounds(self, *x))[0])) or got)
     assert [p for p, _ in index.best(texts, None, 0.5, floor=[0.6, 0.6, 0.6])] == [-1, -1, -1]
     assert not sum(looked)
+
+
+def test_texts_are_bounded_together(monkeypatch):
+    """The numpy steps of a batch of texts don't grow with its rows."""
+    names = [f"{a} {b} {2 * k + 1}" for k in range(400) for a in ("blue", "large", "hot") for b in ("anvil", "ring", "widget")]
+    index = N.NameIndex(names)
+    calls = []
+    bounds = N.NameIndex._bounds
+    monkeypatch.setattr(N.NameIndex, "_bounds", lambda self, *x: calls.append(1) or bounds(self, *x))
+    texts = [f"large widget {k}" for k in range(200)]
+    got = index.best(texts, None, 0.5)
+    assert len(calls) < 20
+    for text, (p, s) in list(zip(texts, got, strict=True))[::40]:
+        want = _expected(text, names, None, 0.5)
+        assert (int(index.rank[p]), s) == want
+
+
+def test_many_kinds_of_characters_share_bits():
+    rng = random.Random(5)
+    names = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(rng.randint(1, 6))) for _ in range(700)]
+    index = N.NameIndex(names)
+    assert len(index.kinds) > 64 * len(index.bits)
+    texts = [n[:-1] + chr(0x4E00 + rng.randrange(900)) for n in names[::9]]
+    for text, (p, s) in zip(texts, index.best(texts, None, 0.5), strict=True):
+        want = _expected(text, names, None, 0.5)
+        assert (int(index.rank[p]), s) == want, text
+
+
+def test_float32_products_bound_the_cosines():
+    rng = np.random.default_rng(3)
+    names = [f"{'ab'[k % 2]}{k}" for k in range(500)]
+    index = N.NameIndex(names)
+    mat = rng.standard_normal((500, 24)).astype(np.float32) * 30
+    q = rng.standard_normal((40, 24)).astype(np.float32).astype(np.float64) * 30
+    has, mhas = np.arange(40) % 5 > 0, np.arange(500) % 7 > 0
+    mat[~mhas], q[~has] = 0, 0
+    longest = float(np.sqrt((mat.astype(float) ** 2).sum(axis=1)).max())
+    assert N.Dots.fits(q, longest) and not N.Dots.fits(q * np.nan, longest) and not N.Dots.fits(q * 1e9, longest)
+    dots = N.Dots(q, has, mat, mhas, longest)
+    exact = np.where(has[:, None] & mhas[None, :], (q @ mat.T.astype(float) + 1) / 2, 0.0)
+    text, rows = (x.reshape(-1) for x in np.indices(exact.shape))
+    assert np.allclose(dots.exact(text, rows).reshape(exact.shape), exact, rtol=1e-12, atol=1e-9)
+    assert (dots.at(text, rows).reshape(exact.shape) >= np.where(mhas[None, :], exact, 0) - 1e-12).all()
+    assert (dots.groups(index.starts) >= np.maximum.reduceat(exact, index.starts, axis=1) - 1e-12).all()
+    texts = [f"a{k}" for k in range(40)]
+    for i, (p, s) in enumerate(index.best(texts, dots, 0.5)):
+        all_scores = np.clip(0.5 * exact[i] + 0.5 * np.array([jaro_winkler(texts[i], names[r]) for r in index.rank]), 0, 1)
+        assert abs(s - all_scores.max()) < 1e-9 and abs(all_scores[p] - s) < 1e-9

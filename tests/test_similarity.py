@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from taxonspark.functions.similarity import (encode_names, jaro_winkler, jaro_winkler_many, jaro_winkler_udf,
+from taxonspark.functions.similarity import (encode_names, jaro_winkler, jaro_winkler_many, jaro_winkler_pairs, jaro_winkler_udf,
                                              weighted)
 from taxonspark.operators import similarity as S
 from taxonspark.operators.balls import Balls, upper_bounds
@@ -130,6 +130,32 @@ def test_cells_stay_bounded_with_a_number_of_buckets_given(spark, monkeypatch, l
     assert rows and max(r for r in rows if r) <= 100
 
 
+def test_texts_without_vectors_meet_blocks_of_names_alike(spark, monkeypatch):
+    """Only names count for them, so near vectors must not deal the brands; texts with a vector keep their own blocks."""
+    rng = np.random.default_rng(4)
+    kinds = ["anvil", "bolt", "gear", "plate", "ring", "widget"]
+    vec = lambda: [float(x) for x in np.float32(rng.standard_normal(8))]
+    brands = [(i, f"{kinds[i % 6]} {1000 + i}", str(i), "a", vec() if i % 5 else None) for i in range(240)]
+    texts = [(i, f"{kinds[i % 6]} {1500 + i}", None) for i in range(60)] + [(100 + i, f"{kinds[i % 6]} {i}", vec()) for i in range(12)]
+    tdf = spark.createDataFrame(texts, "k long, t string, v array<float>")
+    bdf = spark.createDataFrame(brands, "brand_idx long, brand_name string, brand_code string, atomic string, embedding array<float>")
+    met = []
+    cells = S._cell_scores
+    monkeypatch.setattr(S, "_cell_scores", lambda texts, brands, dim, *x: met.append((dim, texts.count())) or cells(texts, brands, dim, *x))
+    params = Params(brand_block_rows=20)
+    got, want = ({r["k"]: (r["brand_idx"], r["score"]) for r in S.top1(tdf, bdf, ["k"], "t", "v", params, plan).collect()} for plan in ("grid", "broadcast"))
+    assert {k: b for k, (b, _) in got.items()} == {k: b for k, (b, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)
+    assert sum(n for dim, n in met if dim == 0) < 60 * 12 / 3 and sum(n for dim, n in met if dim) >= 12
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab奶 1", max_size=70), st.text(alphabet="ab奶 1", max_size=63)), min_size=1, max_size=12))
+def test_pairs_by_bits_equal_scalar(pairs):
+    got = jaro_winkler_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    assert list(got) == [jaro_winkler(a, b) for a, b in pairs]
+
+
 def test_bounds_hold_and_leave_blocks_out(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 16))
