@@ -128,9 +128,7 @@ def encode_names(names: list[str]) -> tuple:
     lens = np.array([len(x) for x in stripped], dtype=np.int64)
     width = int(lens.max()) if len(stripped) else 0
     mat = np.full((len(stripped), max(width, 1)), -1, dtype=np.int32)
-    for i, x in enumerate(stripped):
-        if x:
-            mat[i, :len(x)] = np.frombuffer(x.encode("utf-32-le"), dtype=np.int32)
+    mat[np.arange(mat.shape[1])[None, :] < lens[:, None]] = np.frombuffer("".join(stripped).encode("utf-32-le"), dtype=np.int32)
     return mat, lens
 
 

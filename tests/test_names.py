@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from taxonspark.functions import names as N
-from taxonspark.functions.similarity import jaro_winkler
+from taxonspark.functions.similarity import encode_names, jaro_winkler, jaro_winkler_many
 
 
 def _expected(text, names, cos, w):
@@ -117,3 +118,81 @@ def test_float32_products_bound_the_cosines():
     for i, (p, s) in enumerate(index.best(texts, dots, 0.5)):
         all_scores = np.clip(0.5 * exact[i] + 0.5 * np.array([jaro_winkler(texts[i], names[r]) for r in index.rank]), 0, 1)
         assert abs(s - all_scores.max()) < 1e-9 and abs(all_scores[p] - s) < 1e-9
+
+
+def _work(monkeypatch, n, dots=False):
+    """(bounds made, texts with products of all names) for 40 texts among ``n`` names."""
+    made, products = [0], [0]
+    upper, all_products = N._upper, N.Dots._products
+
+    def counted(m, *a):
+        made[0] += m.size
+        return upper(m, *a)
+
+    def counted_products(self):
+        products[0] += len(self.q)
+        return all_products(self)
+
+    monkeypatch.setattr(N, "_upper", counted)
+    monkeypatch.setattr(N.Dots, "_products", counted_products)
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    words = ["red", "blue", "large", "rod", "gear", "widget", "plate", "hinge"]
+    names = [f"{rnd.choice(words)} {rnd.choice(words)} {rnd.randrange(10 ** 6)}" for _ in range(n)]
+    index = N.NameIndex(names)
+    if not dots:
+        texts = [f"{rnd.choice(words)} {rnd.choice(words)} {rnd.randrange(10 ** 6)}" for _ in range(40)]
+        got = index.best(texts, None, 0.5)
+        for text, (p, s) in list(zip(texts, got))[:5]:
+            jw = 0.5 * jaro_winkler_many(text, *encode_names(names))
+            assert s == pytest.approx(jw.max(), abs=1e-12) and index.rank[p] == int(jw.argmax())
+    else:
+        mat = rng.standard_normal((n, 16)).astype(np.float32)
+        mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+        own = np.arange(0, n, n // 40)[:40]
+        place = np.argsort(index.rank)
+        q = mat[place[own]].astype(float)
+        has = np.ones(40, bool)
+        got = index.best([names[i] for i in own], N.Dots(q, has, mat, np.ones(n, bool), float(np.linalg.norm(mat, axis=1).max())), 0.5, has)
+        for k, (p, s) in list(enumerate(got))[:5]:
+            jw = jaro_winkler_many(names[own[k]], *encode_names([names[i] for i in index.rank]))
+            want = np.clip(0.5 * (mat.astype(float) @ q[k] + 1) / 2 + 0.5 * jw, 0, 1)
+            assert s == pytest.approx(want.max(), abs=1e-12) and want[p] == pytest.approx(want.max(), abs=1e-12)
+    return made[0], products[0]
+
+
+def test_bounds_grow_slower_than_the_names(monkeypatch):
+    few, many = _work(monkeypatch, 4000)[0], _work(monkeypatch, 32000)[0]
+    assert many < 4 * few  # all groups bounded for every text: 8 times
+
+
+def test_a_text_with_a_name_and_vector_of_its_own_needs_no_product_with_all(monkeypatch):
+    assert _work(monkeypatch, 32000, dots=True)[1] < 20  # all texts: 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_left_out_cannot_hold_the_best(seed):
+    """Few characters, equal names, absent vectors, floors: the best name and its rank equal brute force."""
+    rnd, rng = random.Random(seed), np.random.default_rng(seed)
+    names = ["".join(rnd.choice("ab c奶1") for _ in range(rnd.randint(1, 12))).strip() or "a" for _ in range(3000)]
+    names += names[:200]
+    texts = ["".join(rnd.choice("ab c奶1") for _ in range(rnd.randint(1, 12))).strip() or "b" for _ in range(60)] + names[:20]
+    index = N.NameIndex(names)
+    mat = rng.standard_normal((len(names), 6)).astype(np.float32)
+    mhas, has = rng.random(len(names)) < 0.9, rng.random(len(texts)) < 0.8
+    q = rng.standard_normal((len(texts), 6)) * has[:, None]
+    q[60:70], has[60:70] = mat[np.argsort(index.rank)[:10]] * 3, True
+    mat[~mhas] = 0
+    cos = (q @ mat.T.astype(float) + 1) / 2
+    cos[~has] = 0
+    cos[:, ~mhas] = 0
+    jw = np.stack([jaro_winkler_many(t, *encode_names([names[i] for i in index.rank])) for t in texts])
+    for dots in (None, N.Dots(q, has, mat, mhas, float(np.sqrt((mat.astype(float) ** 2).sum(axis=1)).max()))):
+        want = np.clip(0.5 * (0 if dots is None else cos) + 0.5 * jw, 0, 1)
+        top = want.max(axis=1)
+        for floor in (None, np.where(np.arange(len(texts)) % 3 == 0, np.nan, top)):
+            for k, (p, s) in enumerate(index.best(texts, dots, 0.5, has, floor)):
+                if floor is None or np.isnan(floor[k]) or p >= 0:
+                    assert s == pytest.approx(top[k], abs=1e-12)
+                    assert want[k, p] >= top[k] - 1e-12
+                    if dots is None:
+                        assert index.rank[p] == index.rank[np.flatnonzero(want[k] == top[k])].min()
