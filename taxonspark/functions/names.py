@@ -10,6 +10,10 @@ raised by what rounding can hide. Only pairs that are compared get their cosine
 A long text matches each name's characters in the order in which it first shows them, whatever the name: the r-th occurrence of a
 character in the text takes the r-th one in the name. Matches and transpositions of a name then depend on those of its
 characters that the text has, so names that agree in them are compared once (``_Cells``, kept for texts that lack the same characters).
+
+Names that differ only in characters that a text lacks are alike to it, whatever its length: if they are many, it meets one of each kind
+(an index of its own, kept for all texts that lack these characters). Among many names of other kinds, a long text compares those first
+that could have the best score if they had no transpositions, then only those that could still reach it.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ ROWS = 4096
 SLACK, ROUNDING = 1e-5, 2.0 ** -23
 #: (text, name) pairs compared in one step; cells of a name table that are kept, and kinds of texts
 PAIRS, KEPT_CELLS, SEEN = 4_096, 4_000_000, 100_000
+#: names of which some are left out for texts that can't tell them apart, if at most one of ``FEWER`` is left; names that are kept for such texts
+MANY, FEWER, KEPT_NAMES = 1024, 8, 1_000_000
 
 
 def best_of(score: np.ndarray, rank: np.ndarray) -> tuple[int, float]:
@@ -46,11 +52,16 @@ def best_of(score: np.ndarray, rank: np.ndarray) -> tuple[int, float]:
 
 
 def _jw(m, t, la, lens, prefix):
-    """Jaro-Winkler from matches, half transpositions, lengths and common prefix: the arithmetic of ``functions/similarity``."""
+    """Jaro-Winkler from matches, half transpositions, lengths and common prefix (a function of rows, if that is to be found where it
+    matters only): the arithmetic of ``functions/similarity``."""
     mf = np.asarray(m, dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         sim = (mf / la + mf / lens + (mf - t) / mf) / 3.0
     sim = np.where((mf > 0) & (lens > 0), sim, 0.0)
+    if callable(prefix):
+        at = np.flatnonzero(sim > BOOST_GATE)
+        sim[at] += prefix(at) * PREFIX_WEIGHT * (1.0 - sim[at])
+        return sim
     return np.where(sim > BOOST_GATE, sim + prefix * PREFIX_WEIGHT * (1.0 - sim), sim)
 
 
@@ -73,6 +84,25 @@ def _half_transpositions(place: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return (shown != char).sum(axis=1) // 2
 
 
+def _half_moved(order: np.ndarray, by_order: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The same from small numbers: the ``order`` of the characters in the text (the last of ``by_order`` for those not matched: -1), and
+    the matched ``chars`` in the order of the name, then -1."""
+    return _count(by_order[np.sort(order, axis=1)] != chars) // 2
+
+
+def _count(x: np.ndarray) -> np.ndarray:
+    """How many of each row are true."""
+    return (x.astype(np.float32) @ np.ones(x.shape[1], np.float32)).astype(np.int64)
+
+
+def _ordered(where: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in the text of items at the places ``where`` (-1: none), one more for the padding, and the ``chars`` in that order, then -1."""
+    at = np.argsort(where, kind="stable")[np.count_nonzero(where < 0):]
+    order = np.full(len(where) + 1, len(at), np.uint16 if len(at) < 1 << 16 else np.int64)
+    order[at] = np.arange(len(at))
+    return order, np.append(chars[at], -1)
+
+
 def likeness(name: str) -> tuple[str, str, str]:
     """Sorts names of one beginning by their characters, whatever their order: neighbours share most of them."""
     return name[:MAX_PREFIX], "".join(sorted(name, reverse=True)), name
@@ -81,6 +111,9 @@ def likeness(name: str) -> tuple[str, str, str]:
 class NameIndex:
     """Names in the order of their ``likeness`` (``rank``: the place of each in the list given)."""
 
+    #: of an index of some names of another one: where they stand there
+    among: np.ndarray | None = None
+
     def __init__(self, names: list[str]):
         stripped = [(x or "").strip(PY_WHITESPACE) for x in names]
         order = [likeness(x) for x in stripped]
@@ -89,6 +122,7 @@ class NameIndex:
         n, self.width = self.mat.shape
         self.spelled = np.array(sorted(range(n), key=lambda i: stripped[self.rank[i]]), dtype=np.int64)
         self.spellings = [stripped[self.rank[i]] for i in self.spelled]
+        self.names = [stripped[i] for i in self.rank]
         chars = np.unique(self.mat)
         self.chars = chars[chars >= 0]
         self.column = {chr(int(c)): k for k, c in enumerate(self.chars)}
@@ -135,6 +169,10 @@ class NameIndex:
         self._cells: dict[bytes, _Cells] = {}
         self._seen: set[bytes] = set()
         self._kept = 0
+        self._fewer: list[tuple[int, NameIndex]] = []
+        self._told: dict[int, NameIndex | None] = {}
+        self._vain: list[int] = []
+        self._by_rank: tuple | None = None
 
     def best(self, texts: list[str], cos: np.ndarray | Cosines | None, w: float, has=None, floor=None) -> list[tuple[int, float]]:
         """(position, score) of the best name for each text by ``w * cos + (1 - w) * Jaro-Winkler``, clipped to [0, 1]. ``cos`` (texts x
@@ -142,14 +180,23 @@ class NameIndex:
         has elsewhere (NaN: none); where no name reaches it, there may be no best one."""
         cos = Cosines(cos) if isinstance(cos, np.ndarray) else cos
         out: list = [None] * len(texts)
-        short = []
-        for i, text in enumerate(texts):
-            a = (text or "").strip(PY_WHITESPACE)
+        stripped = [(text or "").strip(PY_WHITESPACE) for text in texts]
+        short, few = [], {}
+        for i in sorted(range(len(texts)), key=lambda i: not self.is_long(stripped[i])):  # long texts first: short ones use what was made for them
+            a = stripped[i]
+            plain = cos is None or (has is not None and not has[i])
+            if a and plain and (fewer := self._without(a)) is not None:
+                few.setdefault(id(fewer), (fewer, []))[1].append(i)
+                continue
             if a and not self.is_long(a):
                 short.append((i, a))
                 continue
-            c = None if cos is None or (has is not None and not has[i]) else cos.row(i)
+            c = None if plain else cos.row(i)
             out[i] = self._best_cell(a, c, w) if a else best_of(np.clip(np.zeros(len(self.rank)) if c is None else w * c, 0.0, 1.0), self.rank)
+        for fewer, on in few.values():
+            found = fewer.best([stripped[i] for i in on], None, w, None, None if floor is None else np.asarray(floor, dtype=np.float64)[on])
+            for i, (p, s) in zip(on, found, strict=True):
+                out[i] = (int(fewer.among[p]), s) if p >= 0 else (p, s)
         if short and len(self.rank):
             on = np.array([i for i, _ in short])
             top = np.full(len(short), -1.0) if floor is None else np.fmax(-1.0, np.asarray(floor, dtype=np.float64)[on])
@@ -161,10 +208,74 @@ class NameIndex:
         """Whether the windows of every name reach its beginning."""
         return len(text) // 2 - 1 >= self.width
 
+    # ------------------------------------------------------------------ names that a text can't tell apart
+
+    def _without(self, a: str) -> NameIndex | None:
+        """The index of one name of each kind that ``a`` can tell apart, if these are much fewer than the names. Short texts only
+        use what was made for long ones, which it saves more than it costs."""
+        if self.among is not None or len(self.rank) < MANY or not (self._fewer or self.is_long(a)):
+            return None
+        if len(self.column) > 256:
+            has = set(self.column).intersection(a)
+            lacks = sum(1 << k for ch, k in self.column.items() if ch not in has)
+        else:
+            lacks = sum(1 << k for ch, k in self.column.items() if ch not in a)
+        if lacks in self._told:
+            return self._told[lacks]
+        got = next((fewer for chars, fewer in self._fewer if not chars & ~lacks), None)
+        if got is None:
+            if not self.is_long(a):
+                return None
+            if all(lacks & ~vain for vain in self._vain):
+                got = self._reduced(lacks)
+        if len(self._told) > SEEN:
+            self._told.clear()
+        self._told[lacks] = got
+        return got
+
+    def _reduced(self, lacks: int) -> NameIndex | None:
+        """The index for texts without the characters ``lacks`` (bits), or without some of them: those that others lack too do almost as well."""
+        kinds = self._kinds_without(lacks, len(self.rank) // FEWER)
+        if kinds is None:
+            self._vain = [v for v in self._vain if v & ~lacks][-SEEN:] + [lacks]
+            return None
+        for chars, _ in self._fewer[-16:]:
+            some = self._kinds_without(lacks & chars, 2 * len(kinds)) if lacks & chars not in (0, lacks) else None
+            if some is not None:
+                lacks, kinds = lacks & chars, some
+                break
+        fewer = NameIndex([self.names[i] for i in kinds])
+        fewer.among = kinds[fewer.rank]
+        self._fewer.append((lacks, fewer))
+        while len(self._fewer) > 1 and sum(len(f.rank) for _, f in self._fewer) > KEPT_NAMES:
+            self._fewer.pop(0)
+            self._told.clear()
+        return fewer
+
+    def _kinds_without(self, lacks: int, most: int) -> np.ndarray | None:
+        """The first (by rank) of the names that differ only in the characters ``lacks``, in the order of their rank; None if they are over ``most``."""
+        if self._by_rank is None:
+            by_rank = np.argsort(self.rank)
+            at = np.where(self.mat < 0, len(self.chars), np.searchsorted(self.chars, self.mat))[by_rank]
+            self._by_rank = by_rank, at, np.random.default_rng(11).integers(1 << 62, size=(self.width, len(self.chars) + 1), dtype=np.uint64)
+        by_rank, at, numbers = self._by_rank
+        shown = np.array([not lacks >> k & 1 for k in range(len(self.chars))] + [True])
+        numbers = np.where(shown, numbers, np.uint64(0))
+        print_of = np.zeros(len(at), np.uint64)
+        for k in range(self.width):
+            print_of += numbers[k][at[:, k]]
+        prints, first = np.unique(print_of, return_index=True)
+        if len(prints) > most:
+            return None
+        char = np.append(np.where(shown[:-1], np.arange(len(self.chars)), -1), len(self.chars))[at]
+        if not (char == char[first[np.searchsorted(prints, print_of)]]).all():  # other names of an equal fingerprint
+            return None
+        return by_rank[np.sort(first)]
+
     # ------------------------------------------------------------------ long texts
 
     def _long(self, a: str):
-        """(places of the items in ``a``, cells of the names by the items it has or None, characters that only the late windows can add)."""
+        """(places of the items in ``a``, characters that only the late windows can add)."""
         window = len(a) // 2 - 1  # of every name, as the text is longer than all
         tail = a[window + 1:window + self.width]  # reached by the windows of later places of a name only
         where, late = np.full(len(self.kinds), -1, dtype=np.int64), set()
@@ -177,7 +288,7 @@ class NameIndex:
                         late.add(ch)
                     break
                 where[k] = p
-        return where, self._kept_cells(where >= 0), late
+        return where, late
 
     def _kept_cells(self, present: np.ndarray):
         """The cells of texts with the items ``present``, or None if no other text of these was seen before."""
@@ -198,8 +309,11 @@ class NameIndex:
         return cells
 
     def _best_cell(self, a: str, c, w: float) -> tuple[int, float]:
-        where, cells, late = self._long(a)
+        where, late = self._long(a)
         av = _points(a[:MAX_PREFIX])
+        if len(self.rank) > ROWS:
+            return self._best_likely(a, av, where, late, c, w)
+        cells = self._kept_cells(where >= 0)
         if cells is None:
             parts = [self._matched(a, where, late, slice(k, k + ROWS)) for k in range(0, len(self.rank), ROWS)]
             m, t = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -220,10 +334,53 @@ class NameIndex:
         jw = _jw(m, t, len(a), self.lens, self._prefix(av, slice(None)))
         return best_of(np.clip((1.0 - w) * jw if c is None else w * c + (1.0 - w) * jw, 0.0, 1.0), self.rank)
 
+    def _best_likely(self, a: str, av: np.ndarray, where: np.ndarray, late: set, c, w: float) -> tuple[int, float]:
+        """Among many names: those of the highest bound first, then only those whose bound reaches the best score."""
+        present = where >= 0
+        if late:
+            present |= np.isin(self.kinds // self.deep, np.searchsorted(self.chars, [ord(ch) for ch in late]))
+        mine = _bits(np.flatnonzero(present).reshape(1, -1), len(self.bits))
+        shared = self.excess.astype(np.int64)
+        for of_text, word in zip(mine, self.bits, strict=True):
+            shared += np.bitwise_count(word & of_text[0])
+        jw = _jw(np.minimum(shared, self.lens), 0, len(a), self.lens, lambda at: self._prefix(av, at))
+        bounds = (np.clip((1.0 - w) * jw if c is None else w * c + (1.0 - w) * jw, 0.0, 1.0)) + SLACK
+        bounds = np.where(np.isnan(bounds), -np.inf, bounds)
+        likely = np.argpartition(-bounds, ROWS)[:ROWS]
+        best = self._best_of_rows(a, av, where, late, c, w, likely)
+        rest = bounds >= best[1] if best[0] >= 0 else bounds > -np.inf
+        rest[likely] = False
+        rest = np.flatnonzero(rest)
+        for k in range(0, len(rest), ROWS):
+            rows = rest[k:k + ROWS]
+            if best[0] >= 0:
+                rows = rows[bounds[rows] >= best[1]]
+            got = self._best_of_rows(a, av, where, late, c, w, rows) if len(rows) else (-1, 0.0)
+            if got[0] >= 0 and (best[0] < 0 or got[1] > best[1] or (got[1] == best[1] and self.rank[got[0]] < self.rank[best[0]])):
+                best = got
+        return best
+
+    def _best_of_rows(self, a: str, av: np.ndarray, where: np.ndarray, late: set, c, w: float, rows: np.ndarray) -> tuple[int, float]:
+        m, t = self._matched(a, where, late, rows)
+        jw = _jw(m, t, len(a), self.lens[rows], lambda at: self._prefix(av, rows[at]))
+        p, s = best_of(np.clip((1.0 - w) * jw if c is None else w * c[rows] + (1.0 - w) * jw, 0.0, 1.0), self.rank[rows])
+        return (int(rows[p]), s) if p >= 0 else (p, s)
+
     def _matched(self, a: str, where: np.ndarray, late: set, rows) -> tuple[np.ndarray, np.ndarray]:
         """Matches and half transpositions of the names ``rows``, those included that get a match of a ``late`` character from places
         of the text whose windows no longer reach their beginnings."""
         mat = self.mat[rows]
+        if not late:
+            order, by_order = _ordered(where, self.chars[self.kinds // self.deep])
+            order = order[self.items[rows]]
+            hit = order < len(by_order) - 1
+            m = _count(hit)
+            part = np.flatnonzero(m < self.lens[rows])
+            if len(part):  # the matched characters to the left
+                mat = mat.copy()
+                left = np.sort(np.where(hit[part], np.arange(mat.shape[1], dtype=np.int32), np.int32(mat.shape[1])), axis=1)
+                mat[part] = np.take_along_axis(np.append(mat[part], np.full((len(part), 1), -1, mat.dtype), axis=1), left, axis=1)
+            return m, _half_moved(order, by_order, mat)
         place = np.append(np.where(where < 0, _NEVER, where), _NEVER)[self.items[rows]]
         window = len(a) // 2 - 1
         for i in range(window + 1, min(len(a), window + self.width)):
@@ -598,12 +755,13 @@ class _Cells:
         self.of = of[self.first]
         self.cell = np.empty(n, dtype=np.int64)
         self.cell[by] = np.cumsum(new) - 1
-        self.char = np.where(self.items >= 0, index.kinds[self.items] // index.deep, -1)
+        self.of_kind = index.kinds // index.deep
+        self.char = np.where(self.items >= 0, self.of_kind[self.items], -1)
         self.m = (self.items >= 0).sum(axis=1)
         self.size = self.items.size * 2 + n
 
     def matched(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matches, and half the places at which the text's order of the matched characters is another than the name's."""
-        place = np.append(np.where(where < 0, _NEVER, where), _NEVER)[self.items]
-        return self.m, _half_transpositions(place, self.char)
+        order, by_order = _ordered(where, self.of_kind)
+        return self.m, _half_moved(order[self.items], by_order, self.char)
 

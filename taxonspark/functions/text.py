@@ -42,6 +42,16 @@ def clean_list(arr) -> Column:
 _WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]"
 
 
+#: longer texts meet by their digest
+WHOLE_KEY = 64
+
+
+def text_key(c) -> Column:
+    """What stands for a text in joins: itself, or of a long one the SHA-256 (as no short text can look), so that it needn't travel."""
+    t = _c(c)
+    return F.when(F.char_length(t) > WHOLE_KEY, F.concat(F.lit("#"), F.sha2(t, 256))).otherwise(t)
+
+
 def split_keywords(c) -> Column:
     """Split a keyword cell on ``,`` ``，`` ``、``; strip each piece; drop blanks.
 

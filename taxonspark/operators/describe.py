@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ellipsize, strip
+from ..functions.text import ellipsize, strip, text_key
 from ..params import DEFAULT_PARAMS, Params
 from ..plans.committed import CommittedSink
 from ..session import checkpoint_dir_or_local, materialized, ship_package
@@ -71,13 +71,14 @@ def answered(texts: DataFrame, provider: Callable[[str], str | None], params: Pa
 
 def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None = None,
              provider: Callable[[str], str | None] | None = None, active=None,
-             params: Params = DEFAULT_PARAMS) -> DataFrame:
+             params: Params = DEFAULT_PARAMS, key_col: str | None = None) -> DataFrame:
     """``requests`` plus ``description`` (stripped; blank, missing or failed -> null).
 
     ``descriptions`` has columns ``text, description`` with one row per text; the join is a
     plain equi-join (AQE broadcasts it at run time when the table is small). ``active``
     (a boolean Column) limits which rows are described; the others get null and the
-    provider is not called for them. Each distinct text is asked once (``answered``).
+    provider is not called for them. Each distinct text is asked once (``answered``). ``key_col``: the ``text_key`` of the
+    text, by which a table is joined; only a provider needs the text itself.
     """
     act = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     if descriptions is not None:
@@ -85,7 +86,8 @@ def describe(requests: DataFrame, text_col: str, descriptions: DataFrame | None
         # multiplies result rows
         d = (descriptions.groupBy(F.col("text").alias("_dkey"))
              .agg(F.max(_clean(F.col("description"))).alias("_desc")))
-        out = requests.join(d, requests[text_col] == d["_dkey"], "left")
+        same = requests[text_col] == d["_dkey"] if key_col is None else requests[key_col] == text_key(d["_dkey"])
+        out = requests.join(d, same, "left")
         return out.select(*requests.columns, F.when(act, _clean(F.col("_desc"))).alias("description"))
     if provider is not None:
         rows = materialized(requests.withColumn("_act", act))  # read twice below; what made them runs once

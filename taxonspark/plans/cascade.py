@@ -10,7 +10,8 @@ Plan shape:
 4. Below the gate: description join or provider (each request once), rules again over the
    description, and one ``select`` that decides.
 5. One row per text is re-attached to every lead (duplicates included) with an equi-join on
-   ``(text, vector hash)``; AQE splits a hot text's partition (skew join).
+   ``(text, vector hash)``; AQE splits a hot text's partition (skew join). Long texts are joined by their digest (``text_key``)
+   and stay behind once the kernel has seen them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import strip, text_key
 from ..operators.describe import describe
 from ..operators.encode import encode_missing
 from ..operators.rules import RuleIndex, prepare_rules, rules_left, rules_met, with_set_matches
@@ -60,8 +61,8 @@ def per_text_results(names: DataFrame, rules: DataFrame, brands: DataFrame | Non
     return _with_categories(*_decided(names, rules, brands, descriptions, provider, params, encoder))
 
 
-def _decided(names, rules, brands, descriptions, provider, params, encoder) -> tuple[DataFrame, list[DataFrame]]:
-    """``per_text_results``, but a text matched by a large rule table has the id ``m_set`` of its matches instead of their categories;
+def _decided(names, rules, brands, descriptions, provider, params, encoder, key: str = "_t") -> tuple[DataFrame, list[DataFrame]]:
+    """``per_text_results`` (with the column ``key`` of ``names``, the ``text_key`` unless it is the text itself, in place of the text), but a text matched by a large rule table has the id ``m_set`` of its matches instead of their categories;
     and these matches (none for a compiled table). Thousands of matching rules make categories of a megabyte a text: they are
     made once per set and joined by ``_with_categories`` as the last step."""
     rules = prepare_rules(rules, params)
@@ -74,10 +75,10 @@ def _decided(names, rules, brands, descriptions, provider, params, encoder) -> t
         matches.append(found)
         return out.withColumns({prefix + c: F.lit("") for c in CATEGORIES})
 
-    stage1 = matched(names, "_t", ["_t", "_vh", "_v"], "r_")
+    stage1 = matched(names, "_t", [*dict.fromkeys((key, "_t", "_vh", "_v"))], "r_")
     ruled = F.col("r_n_rules") > 0
     if brands is None:
-        return stage1.select("_t", "_vh", *_decide(ruled, None, params, late)), matches
+        return stage1.select(key, "_vh", *_decide(ruled, None, params, late)), matches
     if encoder is not None:
         # every text that reaches the similarity stage and every brand gets a vector, as the reference
         # does (brands when they are loaded); the configured weight applies
@@ -86,16 +87,18 @@ def _decided(names, rules, brands, descriptions, provider, params, encoder) -> t
             brands = materialized(encode_missing(brands, "brand_name", "embedding", encoder))
     else:
         stage1 = stage1.withColumn("_v_error", _null("string"))
-    carry = ["_t", "_vh", "r_level1", "r_code", "r_atomic", "r_n_rules", *(["r_set"] if late else []), "_v_error"]
+    # a long text goes no further than to the kernel, unless a provider is to see it
+    asked = provider is not None and descriptions is None
+    carry = [*dict.fromkeys((key, *(["_t"] if asked else []), "_vh")), "r_level1", "r_code", "r_atomic", "r_n_rules", *(["r_set"] if late else []), "_v_error"]
     # a text that the encoder rejects is an error row of its own; the others go on (C4)
-    sim = match_by_similarity(stage1, brands, ["_t", "_vh"], "_t", "_v", params,
+    sim = match_by_similarity(stage1, brands, [key, "_vh"], "_t", "_v", params,
                               active=~ruled & F.col("_v_error").isNull(), carry=carry)
     sim = sim.withColumn("error", F.coalesce("error", "_v_error")).drop("_v_error")
     low = (F.col("error").isNull() & F.col("brand_idx").isNotNull()
            & (F.col("score") < F.lit(float(params.fallback_threshold))))
-    described = describe(sim, "_t", descriptions, provider, active=low, params=params)
+    described = describe(sim, "_t", descriptions, provider, active=low, params=params, key_col=None if key == "_t" else key)
     d = matched(described, "description", None, "d_")
-    return d.select("_t", "_vh", *_decide(ruled, low, params, late)), matches
+    return d.select(key, "_vh", *_decide(ruled, low, params, late)), matches
 
 
 CATEGORIES = ("level1", "code", "atomic")
@@ -199,16 +202,17 @@ def result_columns(params: Params = DEFAULT_PARAMS) -> list[Column]:
 
 def reattach(leads: DataFrame, per_text: DataFrame, name_col: str = "lead_name",
              vec_col: str = "embedding") -> DataFrame:
-    """J9 step 2: every lead (duplicates included) gets its text's result."""
+    """J9 step 2: every lead (duplicates included) gets its text's result. ``per_text`` has the text (``_t``) or its key (``_tk``)."""
     v = F.col(vec_col).cast("array<float>") if vec_col in leads.columns else _null("array<float>")
-    # the text crosses the shuffle once: the original name only travels where stripping changed it
-    keyed = (leads.withColumn("_t", strip(F.col(name_col))).withColumn("_vh", F.xxhash64(v))
-             .withColumn("_orig", F.when(F.col(name_col) != F.col("_t"), F.col(name_col)))
+    # the text crosses the shuffle once at most: the original name only travels where it isn't the key, and if it is asked for
+    keyed = (leads.withColumn("_tk", text_key(strip(F.col(name_col)))).withColumn("_vh", F.xxhash64(v))
+             .withColumn("_orig", F.when(F.col(name_col) != F.col("_tk"), F.col(name_col)))
              .drop(name_col))
     # null-safe, so that a lead without a name keeps its (unmatched) row
-    right = per_text.withColumnsRenamed({"_t": "_rt", "_vh": "_rvh"})
-    return (keyed.join(right, F.col("_t").eqNullSafe(F.col("_rt")) & (F.col("_vh") == F.col("_rvh")), "inner").drop("_rt", "_rvh")
-            .withColumn(name_col, F.coalesce(F.col("_orig"), F.col("_t"))).drop("_orig"))
+    right = per_text if "_tk" in per_text.columns else per_text.withColumn("_tk", text_key("_t")).drop("_t")
+    right = right.withColumnsRenamed({"_tk": "_rt", "_vh": "_rvh"})
+    return (keyed.join(right, F.col("_tk").eqNullSafe(F.col("_rt")) & (F.col("_vh") == F.col("_rvh")), "inner").drop("_rt", "_rvh")
+            .withColumn(name_col, F.coalesce(F.col("_orig"), F.col("_tk"))).drop("_orig", "_tk"))
 
 
 def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
@@ -220,8 +224,8 @@ def cascade(leads: DataFrame, rules: DataFrame, brands: DataFrame | None,
 
     ``encoder`` (texts -> vectors) fills the missing vectors of texts and of brands, as the
     reference does with its embedding model."""
-    names = distinct_texts(leads)
-    per_text, matches = _decided(names, rules, brands, descriptions, provider, params, encoder)
+    names = distinct_texts(leads).withColumn("_tk", text_key("_t"))
+    per_text, matches = _decided(names, rules, brands, descriptions, provider, params, encoder, "_tk")
     return attach_results(leads, per_text, params, extra_cols, matches)
 
 
@@ -231,7 +235,7 @@ def attach_results(leads: DataFrame, per_text: DataFrame, params: Params = DEFAU
     joined = reattach(leads.select(*extra_cols, "lead_code", "lead_name",
                                    *(["embedding"] if "embedding" in leads.columns else [])), per_text)
     if matches:
-        joined = _with_categories(joined.drop("embedding", "_vh", "_t"), matches)
+        joined = _with_categories(joined.drop("embedding", "_vh"), matches)
     labelled = joined.withColumn("method", method_label(params))
     return labelled.select(*extra_cols, *result_columns(params),
                            F.when(F.col("from_sim") & (F.col("m_n") > 0), F.col("score")).alias("score"))

@@ -193,3 +193,24 @@ def test_repeated_description_rows_do_not_multiply_results(inputs, spark):
     rules, brands, leads, desc = inputs
     twice = desc.unionByName(desc).unionByName(spark.createDataFrame([("描述不中", None)], "text string, description string"))
     assert rows(cascade(leads, rules, brands, descriptions=twice)) == rows(cascade(leads, rules, brands, descriptions=desc))
+
+
+def test_long_texts_are_joined_by_their_digest(spark):
+    """A long text is no join key: it travels to the kernel only."""
+    from taxonspark.functions.text import text_key
+    from taxonspark.plans.cascade import distinct_texts, per_text_results, reattach
+    long = "a red thing of many words " * 9
+    digest = spark.createDataFrame([(long,)], "t string").select(text_key("t")).first()[0]
+    names = [long, f"  {long}", long + "!", "short", " short ", None, "", digest, digest[1:]]
+    leads = spark.createDataFrame([(i, str(i), n, None) for i, n in enumerate(names)], LEAD_COLS)
+    brands = spark.createDataFrame([(1, "b1", "red thing", "", "X", None), (2, "b2", "short", "", "Y", None)], BRAND_COLS)
+    descriptions = spark.createDataFrame([(long.strip(), "told"), (digest, "digest")], "text string, description string")
+    none = spark.createDataFrame([], RULE_SCHEMA)
+    out = {r.lead_idx: r for r in cascade(leads, none, brands, descriptions).collect()}
+    assert [out[i].lead_name for i in range(len(names))] == names and len(out) == len(names)
+    assert [out[i].llm_desc for i in (0, 1, 7)] == ["told", "told", "digest"] and out[2].llm_desc != "told" != out[8].llm_desc
+    assert out[3].sim_brand == out[4].sim_brand == "short"
+    per_text = per_text_results(distinct_texts(leads), none, brands, descriptions)
+    assert reattach(leads, per_text).count() == len(names)
+    plan = cascade(leads, none, brands, descriptions).select("lead_idx", "method")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan

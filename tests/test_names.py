@@ -196,3 +196,35 @@ def test_runs_left_out_cannot_hold_the_best(seed):
                     assert want[k, p] >= top[k] - 1e-12
                     if dots is None:
                         assert index.rank[p] == index.rank[np.flatnonzero(want[k] == top[k])].min()
+
+
+def test_long_texts_meet_one_of_the_names_they_cannot_tell_apart(monkeypatch):
+    """Names that differ in characters a text lacks are compared once; of many others only those that can be the best."""
+    rng = random.Random(5)
+    monkeypatch.setattr(N, "ROWS", 512)
+    names = [f"{rng.choice(('blue', 'large', 'hot'))} {rng.choice(('anvil', 'ring', 'bolt'))} {7 * k + 1}" for k in range(N.MANY + 100)]
+    index = N.NameIndex(names)
+    words = ["the", "ring", "went", "by", "a", "lot", "of", "hue", "anvil", "blue", "large", "hut"]
+    plain = [" ".join(rng.choice(words) for _ in range(n)) for n in (12, 40, 41, 200, 201)]
+    numbered = [f"{p} {n}" for p, n in zip(plain, (7, 1234567890, 98, 2040, 1357911), strict=True)]
+    compared = []
+    jw = N._jw
+    monkeypatch.setattr(N, "_jw", lambda m, t, la, lens, prefix: compared.append(0 if isinstance(t, int) else len(lens)) or jw(m, t, la, lens, prefix))
+    got = index.best(plain, None, 0.5)
+    assert sum(compared) < len(names)  # five texts
+    got += index.best([*numbered, plain[0][:9]], None, 0.5)
+    for text, (p, s) in zip([*plain, *numbered, plain[0][:9]], got, strict=True):
+        want = _expected(text, names, None, 0.5)
+        assert (int(index.rank[p]), s) == want, text
+    # vectors tell them apart
+    cos = np.random.default_rng(3).random((2, len(names)))
+    got = index.best([plain[3], numbered[3]], cos[:, index.rank], 0.5)
+    assert [(int(index.rank[p]), s) for p, s in got] == [_expected(t, names, c, 0.5) for t, c in zip((plain[3], numbered[3]), cos, strict=True)]
+
+
+def test_copied_names_keep_their_rank():
+    names = ["hot ring 1", "hot ring 22", "hot ring 1", "old rod"] * 600
+    index = N.NameIndex(names)
+    got = index.best(["a thing was going hot and the rind fell on the floor of it " * 3] * 2, None, 0.5)
+    want = _expected(("a thing was going hot and the rind fell on the floor of it " * 3).strip(), names, None, 0.5)
+    assert [(int(index.rank[p]), s) for p, s in got] == [want, want]
