@@ -62,3 +62,15 @@ def test_cascade_joins_categories_last(spark, leads, rules, monkeypatch):
     assert longest and max(x or 0 for x in longest) == 0
     assert got == _rows(cascade(leads, rules, brands, descriptions, params=P))
     assert any("L1；L3" in (r[3] or "") for r in got)
+
+
+def test_texts_of_a_rule_follow_each_other(leads, rules, monkeypatch):
+    """Matches of a common set come rule by rule, not text by text, so that files keep them in little room."""
+    for name, n in (("COMMON", 2), ("PIECE", 16), ("TOGETHER", 16)):
+        monkeypatch.setattr(R, name, n, raising=False)
+    out = match_rules(leads, rules, "lead_name", ["lead_idx"], ANCHOR)
+    rows = out.select("lead_idx", "rule_idx", F.spark_partition_id().alias("p")).collect()
+    changes = sum(a.rule_idx != b.rule_idx for a, b in zip(rows, rows[1:]) if a.p == b.p)
+    assert len(rows) > 400 and changes < len(rows) / 3
+    keys = match_rules(leads, rules, "lead_name", ["lead_name", "lead_code"], ANCHOR)
+    assert _rows(keys) == _rows(match_rules(leads, rules, "lead_name", ["lead_name", "lead_code"], P))
