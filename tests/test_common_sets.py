@@ -8,6 +8,7 @@ from taxonspark.operators import similarity as S
 from taxonspark.operators.rules import RULE_SCHEMA, match_rules, rules_left
 from taxonspark.params import DEFAULT_PARAMS as P
 from taxonspark.plans.cascade import cascade
+from taxonspark.session import WIDE_ROWS
 
 ANCHOR = P.with_(rule_plan="anchor")
 
@@ -74,3 +75,22 @@ def test_texts_of_a_rule_follow_each_other(leads, rules, monkeypatch):
     assert len(rows) > 400 and changes < len(rows) / 3
     keys = match_rules(leads, rules, "lead_name", ["lead_name", "lead_code"], ANCHOR)
     assert _rows(keys) == _rows(match_rules(leads, rules, "lead_name", ["lead_name", "lead_code"], P))
+
+
+def test_categories_are_made_by_parts(spark, rules, leads, monkeypatch):
+    """A set's rules are collapsed some at a time: same strings, no list of all of them; the writer of wide rows looks at its buffers often."""
+    monkeypatch.setattr(R, "PART_BITS", 2)
+    rows = [(k % 2, i, ("", f"L{i}", " L ", "　")[i % 4], "" if i % 8 > 2 else f"{i}", f"A{i % 3}") for k, i in enumerate([*range(-6, 30), 5, 5, 1 << 40])]
+    rows += [(2, i, " ", "", "") for i in range(9)]
+    hits = spark.createDataFrame(rows, "h1 long, rule_idx long, level1 string, code string, atomic string")
+    assert _rows(R.collapse_by_parts(hits, ["h1"], "x_")) == _rows(R.collapse_matches(hits, ["h1"], "x_"))
+    for k in WIDE_ROWS:
+        spark.conf.unset(k)
+    longest, collapsed = [], R._collapsed
+    monkeypatch.setattr(R, "_collapsed", lambda g, *x: longest.append(g.agg(F.max(F.size("_m"))).first()[0]) or collapsed(g, *x))
+    out = ["lead_idx", "level1", "code", "atomic", "n_rules"]
+    got = _rows(rules_left(leads, rules, "lead_name", ["lead_idx"], ANCHOR).select(out))
+    assert longest == [4] and got == _rows(rules_left(leads, rules, "lead_name", None, P).select(out))
+    assert int(spark.conf.get("parquet.page.size.row.check.min")) < 10
+    for k in WIDE_ROWS:
+        spark.conf.unset(k)
